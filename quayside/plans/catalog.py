@@ -14,6 +14,7 @@ from ..operators import alerts as AL
 from ..operators import forecast as FC
 from ..operators import ledger as LG
 from ..operators import lifecycle as LC
+from ..functions.expr import sku_of, stable_id
 from ..sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,4 +203,517 @@ def q_all_alerts(spark, base):
     return AL.forecast_alerts(forecast_results(spark, base))
 
 
+# ============================================================ stored model tables
+def item_jobs(spark, base):
+    """One 30-day job per confirmed order item, on its seed history (F4)."""
+    keys = ["order_id", "item_pos"]
+    items = confirmed_order_items(spark, base)
+    model = FC.fit(FC.seed_history(items, keys), keys)
+    pts = FC.points(model, keys, 30, clamp_ingest=True)
+    tot = FC.total_demand(pts, keys)
+    jobs = (items.join(model.select(*keys, "mae"), keys).join(tot, keys)
+            .select(stable_id(F.lit("item"), "order_id", "item_pos").alias("id"), "product_id", "sku",
+                    F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"),
+                    F.lit("linear-trend").alias("model_used"), F.col("mae").cast("decimal(10,4)").alias("mae"),
+                    F.lit(None).cast("string").alias("error_message"), "total_predicted_demand",
+                    F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"),
+                    F.lit(0).cast("bigint").alias("version")))
+    points = pts.join(items.select(*keys, stable_id(F.lit("item"), "order_id", "item_pos").alias("job_id")), keys)
+    return jobs, points.drop(*keys)
+
+
+def jobs_table(spark, base) -> DataFrame:
+    """Stored forecast jobs: one per product request plus one per confirmed item."""
+    jobs, _ = forecast_jobs(spark, base)
+    t = FX.forecast_event_time("product_id")
+    prod = jobs.select("id", "product_id", "sku", "horizon_days", "status", "model_used", "mae",
+                       "error_message", "total_predicted_demand", t.alias("created_at"),
+                       t.alias("updated_at"), F.lit(0).cast("bigint").alias("version"))
+    ij, _ = item_jobs(spark, base)
+    return prod.unionByName(ij)
+
+
+def points_table(spark, base) -> DataFrame:
+    """Stored forecast points (decimal(12,4)) of every completed job."""
+    _, pts = forecast_jobs(spark, base)
+    jobs, _ = forecast_jobs(spark, base)
+    prod = pts.join(jobs.select(F.col("id").alias("job_id"), "product_id"), "product_id").drop("product_id")
+    _, ip = item_jobs(spark, base)
+    allp = prod.unionByName(ip)
+    return allp.select("job_id", F.col("date").alias("forecast_date"),
+                       *[F.col(c).cast("decimal(12,4)").alias(c)
+                         for c in ("predicted_quantity", "lower_bound", "upper_bound")])
+
+
+def product_events(spark, base) -> DataFrame:
+    """Product events of the ledger: one PRODUCT_CREATED per product at its
+    first movement, then one STOCK_ADJUSTED per accepted delta."""
+    led = ledger_rows(spark, base)
+    prods = FX.products(spark, base).select("product_id", "sku", "category", "price")
+    first = led.groupBy("product_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    created = first.select("product_id", F.col("f.ts").alias("occurredAt"),
+                           (F.col("f.event_id") * 2).alias("_order_seq"),
+                           F.lit("PRODUCT_CREATED").alias("eventType"),
+                           F.lit(FX.LEDGER_START).cast("int").alias("stockQuantity"),
+                           F.lit(None).cast("int").alias("stockDelta"))
+    adjusted = led.where("accepted").select(
+        "product_id", F.col("ts").alias("occurredAt"), (F.col("event_id") * 2 + 1).alias("_order_seq"),
+        F.lit("STOCK_ADJUSTED").alias("eventType"), F.col("balance").cast("int").alias("stockQuantity"),
+        F.col("delta").cast("int").alias("stockDelta"))
+    ev = created.unionByName(adjusted).join(prods, "product_id", "left")
+    return ev.select(F.col("product_id").alias("productId"), "eventType",
+                     F.coalesce("sku", sku_of("product_id")).alias("sku"), "category", "price",
+                     "stockQuantity", "stockDelta", "occurredAt",
+                     F.col("occurredAt").alias("_order_ts"), "_order_seq")
+
+
+def alerts_table(spark, base) -> DataFrame:
+    """Stored alerts: low-stock alerts of the ledger plus forecast alerts."""
+    ev = product_events(spark, base)
+    low = AL.low_stock(AL.downward_adjustments(ev).select(
+        F.col("productId").alias("product_id"), "sku", F.col("stockQuantity").alias("stock_quantity"),
+        F.col("occurredAt").alias("occurred_at"), F.col("_order_seq").alias("event_id")))
+    return AL.all_alerts(low, AL.forecast_alerts(forecast_results(spark, base)))
+
+
 QUERIES_LIST = list(QUERIES)
+
+
+# ============================================================ reads and joins
+from ..operators import reads as RD  # noqa: E402
+from ..operators import validate as VD  # noqa: E402
+from ..sources import events as EV  # noqa: E402
+from ..sources import store as ST  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+_PRODUCT_COLS = ("product_id", "name", "sku", "category", "price", "stock_quantity",
+                 "created_at", "updated_at", "version")
+_JOB_COLS = ("id", "product_id", "sku", "horizon_days", "status", "model_used", "mae",
+             "error_message", "created_at", "updated_at", "version")
+
+
+@query("scan_products")
+def q_scan_products(spark, base):
+    return _dbl(FX.products(spark, base), "price")
+
+
+@query("product_view")
+def q_product_view(spark, base):
+    return _dbl(RD.product_view(FX.products(spark, base)), "price")
+
+
+@query("products_by_category")
+def q_products_by_category(spark, base):
+    return _dbl(RD.products_by_category(FX.products(spark, base), "PROMO"), "price")
+
+
+@query("product_by_sku")
+def q_product_by_sku(spark, base):
+    return _dbl(RD.product_by_sku(FX.products(spark, base), "SKU-000042"), "price")
+
+
+def segment_customers(spark, base, segment: str) -> DataFrame:
+    return table(spark, base, "customer", "c_custkey", "c_mktsegment") \
+        .where(F.col("c_mktsegment") == segment).select(F.col("c_custkey").alias("customer_id"))
+
+
+@query("orders_by_customer")
+def q_orders_by_customer(spark, base):
+    return RD.orders_by_customer(FX.orders(spark, base), segment_customers(spark, base, "BUILDING"))
+
+
+@query("orders_by_status")
+def q_orders_by_status(spark, base):
+    return RD.orders_by_status(FX.orders(spark, base), "PENDING")
+
+
+@query("jobs_by_product")
+def q_jobs_by_product(spark, base):
+    promo = RD.products_by_category(FX.products(spark, base), "PROMO")
+    return _dbl(RD.jobs_by_product(jobs_table(spark, base), promo).select(*_JOB_COLS), "mae")
+
+
+@query("jobs_by_status")
+def q_jobs_by_status(spark, base):
+    return _dbl(RD.jobs_by_status(jobs_table(spark, base), "FAILED").select(*_JOB_COLS), "mae")
+
+
+@query("terminal_jobs")
+def q_terminal_jobs(spark, base):
+    return _dbl(RD.terminal_jobs(jobs_table(spark, base)).select(*_JOB_COLS), "mae")
+
+
+@query("latest_forecast")
+def q_latest_forecast(spark, base):
+    return _dbl(RD.latest_forecast(jobs_table(spark, base)).select(*_JOB_COLS), "mae")
+
+
+@query("low_stock_products")
+def q_low_stock_products(spark, base):
+    return _dbl(RD.low_stock_products(FX.products(spark, base), 10), "price")
+
+
+def requested_product_ids(spark, base) -> DataFrame:
+    """Lookup requests: every event user id scaled by 20 (part of them unknown)."""
+    return table(spark, base, "events", "user_id").select(
+        (F.col("user_id") * 20).alias("requested_id")).distinct()
+
+
+@query("lookup_by_id")
+def q_lookup_by_id(spark, base):
+    out = RD.lookup_by_id(FX.products(spark, base), requested_product_ids(spark, base), "product_id")
+    return _dbl(out, "price", "stock_quantity", "version")
+
+
+@query("orders_with_items")
+def q_orders_with_items(spark, base):
+    return _dbl(RD.orders_with_items(FX.orders(spark, base), FX.order_items(spark, base)),
+                "unit_price", "product_id", "quantity")
+
+
+@query("order_totals")
+def q_order_totals(spark, base):
+    return _dbl(RD.order_totals(FX.order_items(spark, base)), "total")
+
+
+@query("order_view")
+def q_order_view(spark, base):
+    return _dbl(RD.order_view_flat(FX.orders(spark, base), FX.order_items(spark, base)),
+                "unit_price", "subtotal", "total", "product_id", "quantity")
+
+
+@query("jobs_with_points")
+def q_jobs_with_points(spark, base):
+    j = RD.jobs_with_points(jobs_table(spark, base).select("id", "product_id", "status"),
+                            points_table(spark, base))
+    flat = j.select("id", "product_id", "status", F.posexplode_outer("points").alias("pos", "p"))
+    return flat.select("id", "product_id", "status", F.col("pos").cast("double").alias("point_pos"),
+                       F.col("p.forecast_date").alias("forecast_date"),
+                       F.col("p.predicted_quantity").cast("double").alias("predicted_quantity"))
+
+
+@query("forecast_job_view")
+def q_forecast_job_view(spark, base):
+    v = RD.forecast_job_view(jobs_table(spark, base).drop("total_predicted_demand"), points_table(spark, base))
+    return v.select("id", "product_id", "status", F.col("result.modelUsed").alias("model_used"),
+                    F.col("result.mae").cast("double").alias("mae"),
+                    F.col("result.totalPredictedDemand").cast("double").alias("total_predicted_demand"),
+                    F.when(F.col("result").isNotNull(), F.size("result.points")).cast("double")
+                    .alias("n_points"))
+
+
+def incoming_products(spark, base) -> DataFrame:
+    """New-product requests built from suppliers (SKU by nation: duplicates
+    inside the batch and SKUs already stored both occur)."""
+    s = table(spark, base, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    created = FX._ntz(FX.EPOCH_2024) + F.make_dt_interval(days=F.lit(31), secs=F.col("s_suppkey").cast("int"))
+    return s.select((F.lit(1000000) + F.col("s_suppkey")).alias("product_id"), F.col("s_name").alias("name"),
+                    sku_of(F.lit(1990) + F.col("s_nationkey")).alias("sku"),
+                    F.lit("SUPPLIES").alias("category"),
+                    F.col("s_acctbal").cast("decimal(12,2)").alias("price"),
+                    F.col("s_nationkey").cast("int").alias("stock_quantity"),
+                    created.alias("created_at"), created.alias("updated_at"))
+
+
+@query("existing_skus")
+def q_existing_skus(spark, base):
+    return _dbl(RD.existing_skus(incoming_products(spark, base), FX.products(spark, base)), "price")
+
+
+@query("admit_new_products")
+def q_admit_new_products(spark, base):
+    ok, bad = RD.admit_new_products(incoming_products(spark, base), FX.products(spark, base))
+    out = ok.withColumn("admitted", F.lit(True)).withColumn("reason", F.lit(None).cast("string")) \
+        .unionByName(bad.withColumn("admitted", F.lit(False)))
+    return _dbl(out.select("product_id", "sku", "price", "admitted", "reason"), "price")
+
+
+@query("orphan_children")
+def q_orphan_children(spark, base):
+    return _dbl(RD.orphan_children(FX.order_items(spark, base), FX.orders(spark, base), "order_id"),
+                "unit_price")
+
+
+@query("delete_cascade")
+def q_delete_cascade(spark, base):
+    auto = table(spark, base, "orders", "o_orderkey", "o_custkey").join(
+        segment_customers(spark, base, "AUTOMOBILE").withColumnRenamed("customer_id", "o_custkey"), "o_custkey")
+    unknown = segment_customers(spark, base, "MACHINERY").select(
+        (F.lit(10 ** 9) + F.col("customer_id")).alias("requested_id"))
+    ids = auto.select(F.col("o_orderkey").alias("requested_id")).unionByName(unknown)
+    orders, items = FX.orders(spark, base), FX.order_items(spark, base)
+    kept_o, kept_i, unk = RD.delete_cascade(orders, items, ids, "order_id")
+    kept_items = kept_i.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    return (kept_o.select(F.col("id"), F.lit("kept").alias("outcome"))
+            .join(kept_items.withColumnRenamed("order_id", "id"), "id", "left")
+            .select("id", "outcome", F.coalesce("n", F.lit(0).cast("bigint")).alias("items_kept"))
+            .unionByName(unk.select(F.col("requested_id").alias("id"), F.lit("unknown").alias("outcome"),
+                                    F.lit(0).cast("bigint").alias("items_kept"))))
+
+
+# ============================================================ event streams
+@query("sink_product_events")
+def q_sink_product_events(spark, base):
+    return EV.product_event_records(product_events(spark, base)).select("key", "value")
+
+
+@query("src_product_events")
+def q_src_product_events(spark, base):
+    rec = EV.product_event_records(product_events(spark, base))
+    ev = EV.parse_values(rec, "product.events")
+    return _dbl(ev.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz")), "price", "stockDelta")
+
+
+@query("downward_adjustments")
+def q_downward_adjustments(spark, base):
+    return _dbl(AL.downward_adjustments(product_events(spark, base)).drop("_order_ts", "_order_seq"), "price")
+
+
+@query("out_of_stock_signals")
+def q_out_of_stock_signals(spark, base):
+    return _dbl(RD.out_of_stock_signals(product_events(spark, base)).drop("_order_ts", "_order_seq"), "price")
+
+
+@query("product_deleted_signals")
+def q_product_deleted_signals(spark, base):
+    return _dbl(RD.product_deleted_signals(product_events(spark, base)).drop("_order_ts", "_order_seq"),
+                "price")
+
+
+ORDER_EVENT_OF_STATUS = {"PENDING": "ORDER_PLACED", "CONFIRMED": "ORDER_CONFIRMED",
+                         "SHIPPED": "ORDER_SHIPPED", "CANCELLED": "ORDER_CANCELLED"}
+
+
+def order_events(spark, base) -> DataFrame:
+    """Fat order events of the stored orders: the event of each order's status
+    (delivery publishes none) with sorted items and the derived total."""
+    v = RD.order_view(FX.orders(spark, base), FX.order_items(spark, base))
+    etype = None
+    for k, val in ORDER_EVENT_OF_STATUS.items():
+        etype = F.when(F.col("status") == k, val) if etype is None else etype.when(F.col("status") == k, val)
+    items = F.transform("items", lambda i: F.struct(
+        i["product_id"].cast("string").alias("productId"), i["sku"].alias("sku"),
+        i["quantity"].alias("quantity"), i["unit_price"].alias("unitPrice")))
+    return v.select(etype.alias("eventType"), F.col("id").alias("orderId"),
+                    F.col("customer_id").alias("customerId"), items.alias("items"), "total", "status",
+                    F.col("updated_at").alias("occurredAt")).where(F.col("eventType").isNotNull())
+
+
+@query("sink_order_events")
+def q_sink_order_events(spark, base):
+    return EV.order_event_records(order_events(spark, base))
+
+
+@query("src_order_events")
+def q_src_order_events(spark, base):
+    ev = EV.parse_values(EV.order_event_records(order_events(spark, base)), "order.events")
+    return ev.select("eventType", "orderId", "customerId", F.size("items").alias("n_items"),
+                     F.col("total").cast("double").alias("total"), "status",
+                     F.col("occurredAt").cast("timestamp_ntz").alias("occurredAt"))
+
+
+@query("confirmed_orders")
+def q_confirmed_orders(spark, base):
+    c = RD.confirmed_orders(order_events(spark, base))
+    return c.select("orderId", "customerId", F.size("items").alias("n_items"),
+                    F.col("total").cast("double").alias("total"), "occurredAt")
+
+
+def forecast_events(spark, base) -> DataFrame:
+    jobs = jobs_table(spark, base).withColumnRenamed("updated_at", "occurred_at")
+    return EV.parse_values(EV.forecast_event_records(jobs), "forecast.completed")
+
+
+@query("sink_forecast_events")
+def q_sink_forecast_events(spark, base):
+    jobs = jobs_table(spark, base).withColumnRenamed("updated_at", "occurred_at")
+    return EV.forecast_event_records(jobs).select("key", "value")
+
+
+@query("src_forecast_events")
+def q_src_forecast_events(spark, base):
+    return _dbl(forecast_events(spark, base).withColumn(
+        "occurredAt", F.col("occurredAt").cast("timestamp_ntz")), "totalPredictedDemand", "mae")
+
+
+@query("route_events")
+def q_route_events(spark, base):
+    return RD.route_events(forecast_events(spark, base)).select("jobId", "eventType", "route")
+
+
+# ============================================================ alert rules
+def stock_events_for_alerts(spark, base) -> DataFrame:
+    ev = AL.downward_adjustments(product_events(spark, base))
+    return ev.select(F.col("productId").alias("product_id"), "sku",
+                     F.col("stockQuantity").alias("stock_quantity"),
+                     F.col("occurredAt").alias("occurred_at"), F.col("_order_seq").alias("event_id"))
+
+
+@query("alerts_low_stock")
+def q_alerts_low_stock(spark, base):
+    return AL.low_stock(stock_events_for_alerts(spark, base))
+
+
+@query("alerts_demand_surge")
+def q_alerts_demand_surge(spark, base):
+    r = forecast_results(spark, base).where(F.col("status") == "COMPLETED")
+    return AL.demand_surge(r)
+
+
+@query("alerts_low_demand")
+def q_alerts_low_demand(spark, base):
+    r = forecast_results(spark, base).where(F.col("status") == "COMPLETED")
+    return AL.low_demand(r)
+
+
+@query("alerts_forecast_failed")
+def q_alerts_forecast_failed(spark, base):
+    return AL.forecast_failed(forecast_results(spark, base).where(F.col("status") == "FAILED"))
+
+
+@query("alerts_query")
+def q_alerts_query(spark, base):
+    return RD.alerts_query(alerts_table(spark, base), type_="DEMAND_SURGE")
+
+
+@query("alert_log_lines")
+def q_alert_log_lines(spark, base):
+    return AL.log_lines(alerts_table(spark, base))
+
+
+@query("alert_webhook_payload")
+def q_alert_webhook_payload(spark, base):
+    return AL.webhook_payload(alerts_table(spark, base))
+
+
+# ============================================================ validation
+def product_requests(spark, base) -> DataFrame:
+    """Create-product requests from part: brand-based SKUs, prices shifted
+    down by 950 and stock by 10 so both rules can fail."""
+    p = table(spark, base, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice", "p_size")
+    return p.select("p_partkey", F.col("p_name").alias("name"),
+                    F.upper(F.regexp_replace("p_brand", "#", "-")).alias("sku"),
+                    F.col("p_type").alias("category"),
+                    (F.col("p_retailprice") - 950).cast("decimal(12,2)").alias("price"),
+                    (F.col("p_size") - 10).alias("initial_stock"))
+
+
+@query("validate_products")
+def q_validate_products(spark, base):
+    return VD.validate_products(product_requests(spark, base)).select("p_partkey", "accepted", "errors")
+
+
+@query("validate_stock_deltas")
+def q_validate_stock_deltas(spark, base):
+    e = table(spark, base, "events", "event_id", "user_id", "event_type", "value")
+    sign = (F.when(F.col("event_type").isin("signup", "view"), 1)
+            .when(F.col("event_type").isin("purchase", "click"), -1))
+    req = e.select("event_id", F.col("user_id").alias("product_id"),
+                   (sign * F.floor("value")).cast("int").alias("delta"))
+    return VD.validate_stock_deltas(req).select("event_id", "accepted", "errors")
+
+
+@query("validate_orders")
+def q_validate_orders(spark, base):
+    return VD.validate_orders(FX.orders(spark, base), FX.order_items(spark, base)) \
+        .select("id", "n_items", "n_bad_items", "accepted", "errors")
+
+
+@query("validate_forecast_requests")
+def q_validate_forecast_requests(spark, base):
+    p = table(spark, base, "part", "p_partkey", "p_size")
+    req = p.select(F.col("p_partkey").alias("product_id"), sku_of("p_partkey").alias("sku"),
+                   (F.col("p_size") * 8).alias("horizon_days"))
+    return VD.validate_forecast_requests(req, history(spark, base)) \
+        .select("product_id", "horizon_days", "accepted", "errors")
+
+
+@query("validate_points")
+def q_validate_points(spark, base):
+    return _dbl(VD.validate_points(points_table(spark, base)),
+                "predicted_quantity", "lower_bound", "upper_bound")
+
+
+@query("audit_constraints")
+def q_audit_constraints(spark, base):
+    return VD.audit_constraints(FX.products(spark, base), FX.orders(spark, base), FX.order_items(spark, base),
+                                jobs_table(spark, base), points_table(spark, base))
+
+
+# ============================================================ writes
+def product_updates(spark, base) -> DataFrame:
+    """Incoming product rows: every part of size above 25 re-priced (+1.00)
+    with stock = size, plus the supplier products as new rows."""
+    p = FX.products(spark, base).join(
+        table(spark, base, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "product_id"),
+        "product_id").where(F.col("p_size") > 25)
+    upd = p.select("product_id", "name", "sku", "category",
+                   (F.col("price") + F.lit(1).cast("decimal(12,2)")).cast("decimal(12,2)").alias("price"),
+                   F.col("p_size").cast("int").alias("stock_quantity"),
+                   FX._ntz(FX.EPOCH_2024 .replace(month=3)).alias("created_at"),
+                   FX._ntz(FX.EPOCH_2024 .replace(month=3)).alias("updated_at"))
+    return upd.unionByName(incoming_products(spark, base))
+
+
+@query("upsert_products")
+def q_upsert_products(spark, base):
+    return _dbl(ST.upsert_products(FX.products(spark, base), product_updates(spark, base)), "price")
+
+
+@query("upsert_orders")
+def q_upsert_orders(spark, base):
+    orders, items = FX.orders(spark, base), FX.order_items(spark, base)
+    changed = orders.where(F.col("status") == "CONFIRMED").select(
+        "id", "customer_id", F.lit("SHIPPED").alias("status"), "created_at",
+        (F.col("updated_at") + F.expr("INTERVAL 1 DAY")).alias("updated_at"))
+    new = segment_customers(spark, base, "BUILDING").select(
+        (F.lit(10 ** 8) + F.col("customer_id")).alias("id"), "customer_id", F.lit("PENDING").alias("status"),
+        FX._ntz(FX.EPOCH_2024).alias("created_at"), FX._ntz(FX.EPOCH_2024).alias("updated_at"))
+    incoming = changed.unionByName(new)
+    inc_items = items.join(changed.select(F.col("id").alias("order_id")), "order_id") \
+        .withColumn("quantity", F.col("quantity") + 1)
+    o, i = ST.upsert_orders(orders, items, incoming, inc_items)
+    tot = RD.order_totals(i)
+    return _dbl(o.join(tot.withColumnRenamed("order_id", "id"), "id", "left"), "total")
+
+
+@query("upsert_forecast_jobs")
+def q_upsert_forecast_jobs(spark, base):
+    jobs = jobs_table(spark, base).select(*_JOB_COLS)
+    big = table(spark, base, "part", "p_partkey", "p_size").where(F.col("p_size") > 25) \
+        .select(F.col("p_partkey").alias("product_id"))
+    rerun = (jobs.join(big, "product_id", "left_semi")
+             .select("id", "product_id", "sku", "horizon_days", F.lit("RUNNING").alias("status"),
+                     F.lit(None).cast("string").alias("model_used"),
+                     F.lit(None).cast("decimal(10,4)").alias("mae"),
+                     F.lit(None).cast("string").alias("error_message")))
+    return _dbl(ST.upsert_forecast_jobs(jobs, rerun), "mae")
+
+
+@query("versioned_update")
+def q_versioned_update(spark, base):
+    li = table(spark, base, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    updates = li.select(F.col("l_partkey").alias("product_id"),
+                        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("update_id"),
+                        F.col("l_shipdate").alias("ts"), F.lit(0).cast("bigint").alias("version"))
+    return _dbl(LC.versioned_update(FX.products(spark, base), updates, key="product_id"), "new_version")
+
+
+# ============================================================ custom model hook
+def _mean_model(pdf, horizon):
+    """Example user model: flat forecast at the series mean, +/- one std."""
+    import datetime as _dt
+
+    import pandas as _pd
+    m, sd = float(pdf["y"].mean()), float(pdf["y"].std(ddof=0))
+    last = _pd.Timestamp(pdf["ds"].iloc[-1])
+    return _pd.DataFrame({
+        "product_id": pdf["product_id"].iloc[0],
+        "date": [(last + _dt.timedelta(days=i)).date() for i in range(1, horizon + 1)],
+        "predicted_quantity": m, "lower_bound": max(0.0, m - sd), "upper_bound": m + sd})
+
+
+@query("forecast_custom_model")
+def q_forecast_custom_model(spark, base):
+    return FC.forecast_with("mean", _valid_history(spark, base), ["product_id"], 30,
+                            registry={"mean": _mean_model})

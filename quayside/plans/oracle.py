@@ -87,12 +87,12 @@ valid AS (
     SELECT product_id FROM hist GROUP BY product_id HAVING count(*) >= 14 AND min(y) >= 0))"""
 
 
-def _fit_ctes(src: str, keys: str) -> list[str]:
+def _fit_ctes(src: str, keys: str, p: str = "") -> list[str]:
     dows = ",\n".join(
         f"sum(y) FILTER (WHERE x < k AND dow = {i}) AS dsum{i}, "
         f"count(*) FILTER (WHERE x < k AND dow = {i}) AS dcnt{i}" for i in range(7))
     idx = f"""
-idx AS (
+{p}idx AS (
   SELECT {keys}, ds, y,
          CAST(row_number() OVER (PARTITION BY {keys} ORDER BY ds) - 1 AS BIGINT) AS x,
          count(*) OVER (PARTITION BY {keys}) AS n,
@@ -102,57 +102,57 @@ idx AS (
          isodow(ds) - 1 AS dow
   FROM {src})"""
     sums = f"""
-sums AS (
+{p}sums AS (
   SELECT {keys}, max(n) AS n, max(k) AS k, max(last_ds) AS last_ds,
          sum(CAST(x AS DOUBLE)) FILTER (WHERE x < k) AS sx,
          sum(y) FILTER (WHERE x < k) AS sy,
          sum(x * y) FILTER (WHERE x < k) AS sxy,
          sum(CAST(x * x AS DOUBLE)) FILTER (WHERE x < k) AS sxx,
          {dows}
-  FROM idx GROUP BY {keys})"""
-    coef = """
-coef AS (
-  SELECT *, (CAST(k AS DOUBLE) * sxy - sx * sy) / (CAST(k AS DOUBLE) * sxx - sx * sx) AS slope FROM sums)"""
+  FROM {p}idx GROUP BY {keys})"""
+    coef = f"""
+{p}coef AS (
+  SELECT *, (CAST(k AS DOUBLE) * sxy - sx * sy) / (CAST(k AS DOUBLE) * sxx - sx * sx) AS slope FROM {p}sums)"""
     facs = ",\n".join(
         f"coalesce(CASE WHEN dcnt{i} > 0 THEN (dsum{i} / dcnt{i}) / g END, 1.0::DOUBLE) AS f{i}"
         for i in range(7))
     model0 = f"""
-model0 AS (
+{p}model0 AS (
   SELECT *, (sy - slope * sx) / CAST(k AS DOUBLE) AS intercept,
          CASE WHEN sy / CAST(k AS DOUBLE) > 0 THEN sy / CAST(k AS DOUBLE) ELSE 1.0::DOUBLE END AS g
-  FROM coef)"""
+  FROM {p}coef)"""
     model1 = f"""
-model1 AS (SELECT *, {facs} FROM model0)"""
+{p}model1 AS (SELECT *, {facs} FROM {p}model0)"""
     mae = f"""
-maes AS (
+{p}maes AS (
   SELECT i.{keys.replace(', ', ', i.')},
          avg(abs(i.y - greatest(0.0::DOUBLE, m.slope * CAST(i.x AS DOUBLE) + m.intercept)))
            FILTER (WHERE i.x >= i.k) AS mae_raw
-  FROM idx i JOIN model1 m USING ({keys})
+  FROM {p}idx i JOIN {p}model1 m USING ({keys})
   GROUP BY {', '.join('i.' + k for k in keys.split(', '))})"""
     model = f"""
-model AS (
+{p}model AS (
   SELECT m.*, round_even(coalesce(e.mae_raw, 0.0::DOUBLE) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS mae
-  FROM model1 m JOIN maes e USING ({keys}))"""
+  FROM {p}model1 m JOIN {p}maes e USING ({keys}))"""
     return [idx, sums, coef, model0, model1, mae, model]
 
 
-def _points_ctes(keys: str, horizon: str = "30") -> list[str]:
+def _points_ctes(keys: str, horizon: str = "30", p: str = "") -> list[str]:
     steps = f"""
-steps AS (
+{p}steps AS (
   SELECT {keys}, n, slope, intercept, last_ds, [f0, f1, f2, f3, f4, f5, f6] AS fs,
          unnest(range(1, {horizon} + 1)) AS step
-  FROM model)"""
+  FROM {p}model)"""
     pred = f"""
-pred AS (
+{p}pred AS (
   SELECT {keys}, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS date,
          greatest(0.0::DOUBLE,
                   round_even((slope * CAST(n + step - 1 AS DOUBLE) + intercept)
                              * fs[isodow(last_ds + CAST(step AS INTEGER))] * 100.0::DOUBLE, 0) / 100.0::DOUBLE)
            + 0.0::DOUBLE AS predicted_quantity
-  FROM steps)"""
+  FROM {p}steps)"""
     pts = f"""
-pts AS (
+{p}pts AS (
   SELECT {keys}, date, predicted_quantity,
          greatest(0.0::DOUBLE, round_even((predicted_quantity - 1.96::DOUBLE
                   * greatest(0.5::DOUBLE, abs(predicted_quantity) * 0.15::DOUBLE)) * 100.0::DOUBLE, 0)
@@ -160,7 +160,7 @@ pts AS (
          round_even((predicted_quantity + 1.96::DOUBLE
                   * greatest(0.5::DOUBLE, abs(predicted_quantity) * 0.15::DOUBLE)) * 100.0::DOUBLE, 0)
                   / 100.0::DOUBLE + 0.0::DOUBLE AS upper_bound
-  FROM pred)"""
+  FROM {p}pred)"""
     return [steps, pred, pts]
 
 
@@ -219,14 +219,14 @@ jobs AS (
          30 AS horizon_days,
          CASE WHEN c.failure_reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status,
          CASE WHEN c.failure_reason IS NULL THEN 'linear-trend' END AS model_used,
-         CAST(CAST(m.mae AS DECIMAL(10,4)) AS DOUBLE) AS mae,
+         CAST(m.mae AS DECIMAL(10,4)) AS mae,
          c.failure_reason AS error_message,
-         CAST(t.total AS DOUBLE) AS total_predicted_demand
+         t.total AS total_predicted_demand
   FROM checks c LEFT JOIN model m USING (product_id) LEFT JOIN totals t USING (product_id))"""
 
 sql("forecast_jobs", with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS)
-    + "SELECT id, product_id, sku, horizon_days, status, model_used, mae, error_message, "
-      "total_predicted_demand FROM jobs")
+    + "SELECT id, product_id, sku, horizon_days, status, model_used, CAST(mae AS DOUBLE) AS mae, "
+      "error_message, CAST(total_predicted_demand AS DOUBLE) AS total_predicted_demand FROM jobs")
 
 CONF_ITEMS = """
 conf_items AS (
@@ -333,7 +333,7 @@ FROM lsteps GROUP BY job_id""")
 # ------------------------------------------------------------ alerts
 RESULTS = """
 ledger_ok AS (
-  SELECT l.product_id, d.ts, l.event_id, l.balance
+  SELECT l.product_id, d.ts, l.event_id, l.balance, l.delta
   FROM ledger l JOIN deltas d ON d.product_id = l.product_id AND d.event_id = l.event_id
   WHERE l.accepted),
 fevents AS (
@@ -347,7 +347,8 @@ results AS (
 
 sql("forecast_with_stock_asof",
     with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS, DELTAS, LEDGER, RESULTS)
-    + "SELECT job_id, product_id, occurred_at, total_predicted_demand, current_stock FROM results")
+    + "SELECT job_id, product_id, occurred_at, CAST(total_predicted_demand AS DOUBLE) AS total_predicted_demand, "
+      "current_stock FROM results")
 
 ALERTS_SQL = """
 fired AS (
@@ -378,3 +379,435 @@ alerts AS (
 sql("all_alerts",
     with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS, DELTAS, LEDGER, RESULTS, ALERTS_SQL)
     + "SELECT id, type, severity, product_id, sku, title, message, occurred_at FROM alerts")
+
+# ------------------------------------------------------------ stored tables
+_IK = "order_id, item_pos"
+ITEM_JOBS = [*_fit_ctes("seeds", _IK, "it_"), *_points_ctes(_IK, p="it_"), """
+it_totals AS (
+  SELECT order_id, item_pos,
+         CAST(sum(CAST(greatest(predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4))) AS DECIMAL(18,2)) AS total
+  FROM it_pts GROUP BY order_id, item_pos)""", """
+item_jobs AS (
+  SELECT sha256('item:' || CAST(c.order_id AS VARCHAR) || ':' || CAST(c.item_pos AS VARCHAR)) AS id,
+         c.product_id, c.sku, 30 AS horizon_days, 'COMPLETED' AS status, 'linear-trend' AS model_used,
+         CAST(m.mae AS DECIMAL(10,4)) AS mae, CAST(NULL AS VARCHAR) AS error_message,
+         t.total AS total_predicted_demand, c.occurred_at AS created_at, c.occurred_at AS updated_at,
+         CAST(0 AS BIGINT) AS version
+  FROM conf_items c JOIN it_model m USING (order_id, item_pos) JOIN it_totals t USING (order_id, item_pos))"""]
+
+JOBS_ALL = """
+jobs_all AS (
+  SELECT id, product_id, sku, horizon_days, status, model_used, mae, error_message, total_predicted_demand,
+         CAST(TIMESTAMP '2024-01-10 12:00:00' + to_days(CAST(product_id % 15 AS INTEGER)) AS TIMESTAMP) AS created_at,
+         CAST(TIMESTAMP '2024-01-10 12:00:00' + to_days(CAST(product_id % 15 AS INTEGER)) AS TIMESTAMP) AS updated_at,
+         CAST(0 AS BIGINT) AS version
+  FROM jobs
+  UNION ALL SELECT * FROM item_jobs)"""
+
+POINTS_ALL = """
+points_all AS (
+  SELECT j.id AS job_id, p.date AS forecast_date,
+         CAST(greatest(p.predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4)) AS predicted_quantity,
+         CAST(greatest(p.lower_bound, 0.0::DOUBLE) AS DECIMAL(12,4)) AS lower_bound,
+         CAST(greatest(p.upper_bound, 0.0::DOUBLE) AS DECIMAL(12,4)) AS upper_bound
+  FROM pts p JOIN jobs j USING (product_id)
+  UNION ALL
+  SELECT sha256('item:' || CAST(order_id AS VARCHAR) || ':' || CAST(item_pos AS VARCHAR)), date,
+         CAST(greatest(predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4)),
+         CAST(greatest(lower_bound, 0.0::DOUBLE) AS DECIMAL(12,4)),
+         CAST(greatest(upper_bound, 0.0::DOUBLE) AS DECIMAL(12,4))
+  FROM it_pts)"""
+
+STORE = [PRODUCTS, ORDERS_M, ITEMS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS, CONF_ITEMS, SEEDS,
+         *ITEM_JOBS, JOBS_ALL, POINTS_ALL]
+JOB_COLS = ("id, product_id, sku, horizon_days, status, model_used, CAST(mae AS DOUBLE) AS mae, "
+            "error_message, created_at, updated_at, version")
+PRODUCT_COLS = ("product_id, name, sku, category, CAST(price AS DOUBLE) AS price, stock_quantity, "
+                "created_at, updated_at, version")
+
+sql("scan_products", with_(PRODUCTS) + f"SELECT {PRODUCT_COLS} FROM products")
+sql("product_view", with_(PRODUCTS) + "SELECT product_id, name, sku, category, CAST(price AS DOUBLE) AS price, "
+    "stock_quantity, created_at, updated_at FROM products")
+sql("products_by_category", with_(PRODUCTS) + f"SELECT {PRODUCT_COLS} FROM products WHERE category = 'PROMO'")
+sql("product_by_sku", with_(PRODUCTS) + f"SELECT {PRODUCT_COLS} FROM products WHERE sku = 'SKU-000042'")
+sql("low_stock_products", with_(PRODUCTS) + f"SELECT {PRODUCT_COLS} FROM products WHERE stock_quantity <= 10")
+sql("orders_by_customer", with_(ORDERS_M) + """
+SELECT customer_id, id, status, created_at, updated_at, version FROM orders_m
+WHERE customer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+sql("orders_by_status", with_(ORDERS_M) + "SELECT * FROM orders_m WHERE status = 'PENDING'")
+sql("jobs_by_product", with_(*STORE) + f"""
+SELECT {JOB_COLS} FROM jobs_all WHERE product_id IN (SELECT product_id FROM products WHERE category = 'PROMO')""")
+sql("jobs_by_status", with_(*STORE) + f"SELECT {JOB_COLS} FROM jobs_all WHERE status = 'FAILED'")
+sql("terminal_jobs", with_(*STORE) + f"SELECT {JOB_COLS} FROM jobs_all WHERE status IN ('COMPLETED', 'FAILED')")
+sql("latest_forecast", with_(*STORE) + f"""
+SELECT {JOB_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY updated_at DESC, id) AS rn
+  FROM jobs_all WHERE status = 'COMPLETED') WHERE rn = 1""")
+sql("lookup_by_id", with_(PRODUCTS) + """
+SELECT r.requested_id, p.product_id IS NOT NULL AS found, p.name, p.sku, p.category,
+       CAST(p.price AS DOUBLE) AS price, CAST(p.stock_quantity AS DOUBLE) AS stock_quantity, p.created_at,
+       p.updated_at, CAST(p.version AS DOUBLE) AS version
+FROM (SELECT DISTINCT user_id * 20 AS requested_id FROM events) r
+LEFT JOIN products p ON p.product_id = r.requested_id""")
+sql("orders_with_items", with_(ORDERS_M, ITEMS) + """
+SELECT o.id, o.customer_id, o.status, o.created_at, o.updated_at, o.version,
+       CAST(i.product_id AS DOUBLE) AS product_id, i.sku, CAST(i.quantity AS DOUBLE) AS quantity,
+       CAST(i.unit_price AS DOUBLE) AS unit_price
+FROM orders_m o LEFT JOIN items i ON i.order_id = o.id""")
+sql("order_totals", with_(ITEMS) + """
+SELECT order_id, CAST(CAST(sum(unit_price * quantity) AS DECIMAL(18,2)) AS DOUBLE) AS total
+FROM items GROUP BY order_id""")
+sql("order_view", with_(ORDERS_M, ITEMS) + """
+SELECT o.id, o.customer_id, o.status, o.created_at, o.updated_at, o.version,
+       CAST(i.product_id AS DOUBLE) AS product_id, i.sku, CAST(i.quantity AS DOUBLE) AS quantity,
+       CAST(i.unit_price AS DOUBLE) AS unit_price,
+       CAST(CAST(i.unit_price * i.quantity AS DECIMAL(18,2)) AS DOUBLE) AS subtotal,
+       CAST(coalesce(t.total, 0) AS DOUBLE) AS total
+FROM orders_m o LEFT JOIN items i ON i.order_id = o.id
+LEFT JOIN (SELECT order_id, CAST(sum(unit_price * quantity) AS DECIMAL(18,2)) AS total
+           FROM items GROUP BY order_id) t ON t.order_id = o.id""")
+sql("jobs_with_points", with_(*STORE) + """
+SELECT j.id, j.product_id, j.status,
+       CAST(row_number() OVER (PARTITION BY j.id ORDER BY p.forecast_date, p.predicted_quantity,
+            p.lower_bound, p.upper_bound) - 1 AS DOUBLE) AS point_pos,
+       p.forecast_date, CAST(p.predicted_quantity AS DOUBLE) AS predicted_quantity
+FROM jobs_all j JOIN points_all p ON p.job_id = j.id
+UNION ALL
+SELECT j.id, j.product_id, j.status, CAST(NULL AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS DOUBLE)
+FROM jobs_all j WHERE j.id NOT IN (SELECT job_id FROM points_all)""")
+sql("forecast_job_view", with_(*STORE) + """
+SELECT j.id, j.product_id, j.status, j.model_used,
+       CASE WHEN j.model_used IS NOT NULL THEN CAST(j.mae AS DOUBLE) END AS mae,
+       CASE WHEN j.model_used IS NOT NULL THEN CAST(coalesce(p.total, 0) AS DOUBLE) END AS total_predicted_demand,
+       CASE WHEN j.model_used IS NOT NULL THEN CAST(coalesce(p.n, 0) AS DOUBLE) END AS n_points
+FROM jobs_all j LEFT JOIN (
+  SELECT job_id, CAST(sum(predicted_quantity) AS DECIMAL(18,2)) AS total, count(*) AS n
+  FROM points_all GROUP BY job_id) p ON p.job_id = j.id""")
+
+INCOMING = """
+incoming AS (
+  SELECT 1000000 + s_suppkey AS product_id, s_name AS name, printf('SKU-%06d', 1990 + s_nationkey) AS sku,
+         'SUPPLIES' AS category, CAST(s_acctbal AS DECIMAL(12,2)) AS price,
+         CAST(s_nationkey AS INTEGER) AS stock_quantity,
+         CAST(TIMESTAMP '2024-01-01 00:00:00' + to_days(31) + to_seconds(s_suppkey) AS TIMESTAMP) AS created_at,
+         CAST(TIMESTAMP '2024-01-01 00:00:00' + to_days(31) + to_seconds(s_suppkey) AS TIMESTAMP) AS updated_at
+  FROM supplier)"""
+
+sql("existing_skus", with_(PRODUCTS, INCOMING) + """
+SELECT sku, product_id, name, category, CAST(price AS DOUBLE) AS price, stock_quantity, created_at, updated_at
+FROM incoming WHERE sku IN (SELECT sku FROM products)""")
+sql("admit_new_products", with_(PRODUCTS, INCOMING) + """
+SELECT product_id, sku, CAST(price AS DOUBLE) AS price,
+       NOT stored AND rn = 1 AS admitted,
+       CASE WHEN stored OR rn > 1 THEN 'SKU already exists: ' || sku END AS reason
+FROM (SELECT i.*, i.sku IN (SELECT sku FROM products) AS stored,
+             row_number() OVER (PARTITION BY i.sku ORDER BY i.created_at, i.product_id) AS rn
+      FROM incoming i)
+WHERE stored OR rn >= 1""")
+sql("orphan_children", with_(ORDERS_M, ITEMS) + """
+SELECT order_id, product_id, sku, quantity, CAST(unit_price AS DOUBLE) AS unit_price
+FROM items WHERE order_id NOT IN (SELECT id FROM orders_m)""")
+sql("delete_cascade", with_(ORDERS_M, ITEMS) + """,
+req AS (
+  SELECT o_orderkey AS id FROM orders
+  WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+  UNION SELECT 1000000000 + c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')
+SELECT o.id, 'kept' AS outcome, coalesce(n, 0) AS items_kept
+FROM orders_m o LEFT JOIN (SELECT order_id, count(*) AS n FROM items
+                           WHERE order_id NOT IN (SELECT id FROM req) GROUP BY 1) c ON c.order_id = o.id
+WHERE o.id NOT IN (SELECT id FROM req)
+UNION ALL
+SELECT id, 'unknown', CAST(0 AS BIGINT) FROM req WHERE id NOT IN (SELECT id FROM orders_m)""".replace(
+    "\n,\nreq", ",\nreq"))
+
+# ------------------------------------------------------------ product events
+LEDGER_TS = """
+ledger_ts AS (
+  SELECT l.*, d.ts FROM ledger l JOIN deltas d ON d.product_id = l.product_id AND d.event_id = l.event_id)"""
+
+PEVENTS = """
+pe0 AS (
+  SELECT product_id, 'PRODUCT_CREATED' AS eventType, ts AS occurredAt, event_id * 2 AS seq,
+         300 AS stockQuantity, CAST(NULL AS INTEGER) AS stockDelta
+  FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ts, event_id) AS rn FROM deltas)
+  WHERE rn = 1
+  UNION ALL
+  SELECT product_id, 'STOCK_ADJUSTED', ts, event_id * 2 + 1, CAST(balance AS INTEGER), CAST(delta AS INTEGER)
+  FROM ledger_ts WHERE accepted),
+pevents AS (
+  SELECT e.product_id AS productId, e.eventType, coalesce(p.sku, printf('SKU-%06d', e.product_id)) AS sku,
+         p.category, p.price, CAST(e.stockQuantity AS INTEGER) AS stockQuantity, e.stockDelta, e.occurredAt, e.seq
+  FROM pe0 e LEFT JOIN products p USING (product_id))"""
+
+PE = [PRODUCTS, DELTAS, LEDGER, LEDGER_TS, PEVENTS]
+PE_COLS = ("productId, eventType, sku, category, CAST(price AS DOUBLE) AS price, stockQuantity, "
+           "stockDelta, occurredAt")
+
+
+def _jstr(x: str) -> str:
+    return f"coalesce(to_json({x}), 'null')"
+
+
+def _jnum(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'null')"
+
+
+def _jts(x: str) -> str:
+    return f"""coalesce('"' || strftime({x}, '%Y-%m-%dT%H:%M:%S.%fZ') || '"', 'null')"""
+
+
+sql("sink_product_events", with_(*PE) + f"""
+SELECT CAST(productId AS VARCHAR) AS key,
+       '{{"eventType":' || {_jstr('eventType')} || ',"productId":' || {_jstr('CAST(productId AS VARCHAR)')}
+       || ',"sku":' || {_jstr('sku')} || ',"category":' || {_jstr('category')}
+       || ',"stockQuantity":' || {_jnum('stockQuantity')} || ',"stockDelta":' || {_jnum('stockDelta')}
+       || ',"price":' || {_jnum('price')} || ',"occurredAt":' || {_jts('occurredAt')} || '}}' AS value
+FROM pevents""")
+sql("src_product_events", with_(*PE) + """
+SELECT eventType, CAST(productId AS VARCHAR) AS productId, sku, category, stockQuantity,
+       CAST(stockDelta AS DOUBLE) AS stockDelta,
+       CAST(price AS DOUBLE) AS price, occurredAt FROM pevents""")
+sql("downward_adjustments", with_(*PE) + f"""
+SELECT {PE_COLS} FROM pevents WHERE eventType = 'STOCK_ADJUSTED' AND stockDelta < 0""")
+sql("out_of_stock_signals", with_(*PE) + f"""
+SELECT {PE_COLS} FROM pevents WHERE eventType = 'STOCK_ADJUSTED' AND stockQuantity = 0""")
+sql("product_deleted_signals", with_(*PE) + f"SELECT {PE_COLS} FROM pevents WHERE eventType = 'PRODUCT_DELETED'")
+
+# ------------------------------------------------------------ order events
+OEVENTS = """
+oitems AS (
+  SELECT order_id,
+         '[' || string_agg('{"productId":"' || CAST(product_id AS VARCHAR) || '","sku":' || to_json(sku)
+                           || ',"quantity":' || CAST(quantity AS VARCHAR) || ',"unitPrice":'
+                           || CAST(unit_price AS VARCHAR) || '}', ','
+                           ORDER BY product_id, sku, quantity, unit_price) || ']' AS items_json,
+         count(*) AS n_items, CAST(sum(CAST(unit_price * quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total
+  FROM items GROUP BY order_id),
+oevents AS (
+  SELECT CASE o.status WHEN 'PENDING' THEN 'ORDER_PLACED' WHEN 'CONFIRMED' THEN 'ORDER_CONFIRMED'
+                       WHEN 'SHIPPED' THEN 'ORDER_SHIPPED' WHEN 'CANCELLED' THEN 'ORDER_CANCELLED' END AS eventType,
+         o.id AS orderId, o.customer_id AS customerId, coalesce(i.items_json, '[]') AS items_json,
+         coalesce(i.n_items, 0) AS n_items, coalesce(i.total, CAST(0 AS DECIMAL(18,2))) AS total,
+         o.status, o.updated_at AS occurredAt
+  FROM orders_m o LEFT JOIN oitems i ON i.order_id = o.id
+  WHERE o.status IN ('PENDING', 'CONFIRMED', 'SHIPPED', 'CANCELLED'))"""
+
+sql("sink_order_events", with_(ORDERS_M, ITEMS, OEVENTS) + f"""
+SELECT CAST(orderId AS VARCHAR) AS key,
+       '{{"eventType":' || {_jstr('eventType')} || ',"orderId":' || {_jstr('CAST(orderId AS VARCHAR)')}
+       || ',"customerId":' || {_jstr('CAST(customerId AS VARCHAR)')} || ',"items":' || items_json
+       || ',"total":' || {_jnum('total')} || ',"status":' || {_jstr('status')}
+       || ',"occurredAt":' || {_jts('occurredAt')} || '}}' AS value
+FROM oevents""")
+sql("src_order_events", with_(ORDERS_M, ITEMS, OEVENTS) + """
+SELECT eventType, CAST(orderId AS VARCHAR) AS orderId, CAST(customerId AS VARCHAR) AS customerId,
+       CAST(n_items AS INTEGER) AS n_items, CAST(total AS DOUBLE) AS total, status, occurredAt FROM oevents""")
+sql("confirmed_orders", with_(ORDERS_M, ITEMS, OEVENTS) + """
+SELECT orderId, customerId, CAST(n_items AS INTEGER) AS n_items, CAST(total AS DOUBLE) AS total, occurredAt
+FROM oevents WHERE eventType = 'ORDER_CONFIRMED'""")
+
+# ------------------------------------------------------------ forecast events
+FEVENTS = """
+fev AS (
+  SELECT CASE WHEN status = 'COMPLETED' THEN 'FORECAST_COMPLETED' ELSE 'FORECAST_FAILED' END AS eventType,
+         id AS jobId, CAST(product_id AS VARCHAR) AS productId, sku, status,
+         CASE WHEN status = 'COMPLETED' THEN total_predicted_demand END AS totalPredictedDemand,
+         CASE WHEN status = 'COMPLETED' THEN mae END AS mae,
+         CASE WHEN status <> 'COMPLETED' THEN error_message END AS errorMessage,
+         updated_at AS occurredAt
+  FROM jobs_all)"""
+
+sql("sink_forecast_events", with_(*STORE, FEVENTS) + f"""
+SELECT productId AS key,
+       '{{"eventType":' || {_jstr('eventType')} || ',"jobId":' || {_jstr('jobId')}
+       || ',"productId":' || {_jstr('productId')} || ',"sku":' || {_jstr('sku')}
+       || ',"status":' || {_jstr('status')} || ',"totalPredictedDemand":' || {_jnum('totalPredictedDemand')}
+       || ',"mae":' || {_jnum('mae')} || ',"errorMessage":' || {_jstr('errorMessage')}
+       || ',"occurredAt":' || {_jts('occurredAt')} || '}}' AS value
+FROM fev""")
+sql("src_forecast_events", with_(*STORE, FEVENTS) + """
+SELECT eventType, jobId, productId, sku, status, CAST(totalPredictedDemand AS DOUBLE) AS totalPredictedDemand,
+       CAST(mae AS DOUBLE) AS mae, errorMessage, occurredAt FROM fev""")
+sql("route_events", with_(*STORE, FEVENTS) + """
+SELECT jobId, eventType,
+       CASE WHEN eventType = 'FORECAST_FAILED' THEN 'failure'
+            WHEN eventType = 'FORECAST_COMPLETED' AND totalPredictedDemand IS NOT NULL THEN 'result'
+            ELSE 'ignored' END AS route FROM fev""")
+
+# ------------------------------------------------------------ alert rules
+LOW_STOCK = """
+low_alerts AS (
+  SELECT sha256('LOW_STOCK:' || CAST(productId AS VARCHAR) || ':' || CAST(seq AS VARCHAR)) AS id,
+         'LOW_STOCK' AS type, CASE WHEN stockQuantity = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+         productId AS product_id, sku, 'Low Stock Alert: ' || sku AS title,
+         printf('Product %s has only %d units remaining (threshold: %d).', sku, stockQuantity, 10) AS message,
+         occurredAt AS occurred_at
+  FROM pevents WHERE eventType = 'STOCK_ADJUSTED' AND stockDelta < 0 AND stockQuantity <= 10)"""
+
+FULL = [PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS, DELTAS, LEDGER, RESULTS, ALERTS_SQL,
+        LEDGER_TS, PEVENTS, LOW_STOCK, """
+alerts_all AS (SELECT * FROM alerts UNION ALL SELECT * FROM low_alerts)"""]
+ALERT_COLS = "id, type, severity, product_id, sku, title, message, occurred_at"
+
+sql("alerts_low_stock", with_(PRODUCTS, DELTAS, LEDGER, LEDGER_TS, PEVENTS, LOW_STOCK)
+    + f"SELECT {ALERT_COLS} FROM low_alerts")
+sql("alerts_demand_surge", with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts WHERE type = 'DEMAND_SURGE'")
+sql("alerts_low_demand", with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts WHERE type = 'LOW_DEMAND_FORECAST'")
+sql("alerts_forecast_failed", with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts WHERE type = 'FORECAST_FAILED'")
+sql("alerts_query", with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts_all WHERE type = 'DEMAND_SURGE'")
+sql("alert_log_lines", with_(*FULL) + """
+SELECT id, CASE severity WHEN 'CRITICAL' THEN 'ERROR' WHEN 'WARNING' THEN 'WARN' ELSE 'INFO' END AS level,
+       printf('[ALERT] id=%s type=%s severity=%s sku=%s | %s', id, type, severity, sku, message) AS line
+FROM alerts_all""")
+
+# ------------------------------------------------------------ validation
+sql("validate_products", """
+WITH r AS (
+  SELECT p_partkey, p_name AS name, upper(replace(p_brand, '#', '-')) AS sku, p_type AS category,
+         CAST(p_retailprice - 950 AS DECIMAL(12,2)) AS price, p_size - 10 AS initial_stock FROM part),
+e AS (
+  SELECT p_partkey, concat_ws(', ',
+    CASE WHEN name IS NULL OR trim(name) = '' THEN 'name: name is required' END,
+    CASE WHEN sku IS NULL OR trim(sku) = '' THEN 'sku: sku is required' END,
+    CASE WHEN sku IS NOT NULL AND NOT regexp_full_match(sku, '^[A-Z0-9\\-]{3,20}$')
+         THEN 'sku: SKU must be 3-20 uppercase alphanumeric characters' END,
+    CASE WHEN category IS NULL OR trim(category) = '' THEN 'category: category is required' END,
+    CASE WHEN price IS NULL THEN 'price: price is required' END,
+    CASE WHEN price <= 0 THEN 'price: price must be positive' END,
+    CASE WHEN initial_stock < 0 THEN 'initialStock: initialStock cannot be negative' END) AS errors
+  FROM r)
+SELECT p_partkey, errors = '' AS accepted, errors FROM e""")
+
+sql("validate_stock_deltas", """
+SELECT event_id, event_type <> 'error' AS accepted,
+       CASE WHEN event_type = 'error' THEN 'delta: delta is required' ELSE '' END AS errors
+FROM events""")
+
+sql("validate_orders", with_(ORDERS_M, ITEMS) + """
+, per AS (
+  SELECT order_id, count(*) AS n_items,
+         count(*) FILTER (WHERE NOT (product_id IS NOT NULL AND sku IS NOT NULL AND trim(sku) <> ''
+                                     AND quantity >= 1 AND unit_price IS NOT NULL AND unit_price >= 0.01))
+           AS n_bad_items
+  FROM items GROUP BY order_id),
+v AS (
+  SELECT o.id, coalesce(p.n_items, 0) AS n_items, coalesce(p.n_bad_items, 0) AS n_bad_items,
+         concat_ws(', ', CASE WHEN o.customer_id IS NULL THEN 'customerId: must not be null' END,
+                   CASE WHEN coalesce(p.n_items, 0) = 0 THEN 'items: Order must have at least one item' END,
+                   CASE WHEN coalesce(p.n_bad_items, 0) > 0 THEN 'items: invalid items' END) AS errors
+  FROM orders_m o LEFT JOIN per p ON p.order_id = o.id)
+SELECT id, n_items, n_bad_items, errors = '' AS accepted, errors FROM v""".replace("\n\n, per", ",\nper"))
+
+sql("validate_forecast_requests", with_(HIST) + """
+, r AS (SELECT p_partkey AS product_id, printf('SKU-%06d', p_partkey) AS sku, p_size * 8 AS horizon_days FROM part),
+v AS (
+  SELECT r.product_id, r.horizon_days, concat_ws(', ',
+    CASE WHEN r.product_id IS NULL THEN 'productId: must not be null' END,
+    CASE WHEN r.sku IS NULL OR trim(r.sku) = '' THEN 'sku: must not be blank' END,
+    CASE WHEN r.horizon_days < 1 THEN 'horizonDays: must be greater than or equal to 1' END,
+    CASE WHEN r.horizon_days > 365 THEN 'horizonDays: must be less than or equal to 365' END,
+    CASE WHEN r.product_id NOT IN (SELECT product_id FROM hist) THEN 'historicalData: must not be empty' END)
+    AS errors
+  FROM r)
+SELECT product_id, horizon_days, errors = '' AS accepted, errors FROM v""".replace("\n\n, r AS", ",\nr AS"))
+
+sql("validate_points", with_(*STORE) + """
+SELECT job_id, forecast_date, CAST(predicted_quantity AS DOUBLE) AS predicted_quantity,
+       CAST(lower_bound AS DOUBLE) AS lower_bound, CAST(upper_bound AS DOUBLE) AS upper_bound,
+       concat_ws(', ', CASE WHEN lower_bound > upper_bound THEN 'lowerBound cannot exceed upperBound' END,
+                 CASE WHEN predicted_quantity < 0 THEN 'predictedQuantity cannot be negative' END) AS errors,
+       NOT (lower_bound > upper_bound OR predicted_quantity < 0) AS accepted
+FROM points_all""")
+
+sql("audit_constraints", with_(*STORE) + """
+SELECT 'products' AS table_name, rule, violations FROM (
+  SELECT 'price_non_negative' AS rule, count(*) FILTER (WHERE price < 0) AS violations FROM products
+  UNION ALL SELECT 'stock_non_negative', count(*) FILTER (WHERE stock_quantity < 0) FROM products
+  UNION ALL SELECT 'name_not_null', count(*) FILTER (WHERE name IS NULL) FROM products
+  UNION ALL SELECT 'sku_not_null', count(*) FILTER (WHERE sku IS NULL) FROM products
+  UNION ALL SELECT 'name_length_255', count(*) FILTER (WHERE length(name) > 255) FROM products
+  UNION ALL SELECT 'sku_length_50', count(*) FILTER (WHERE length(sku) > 50) FROM products
+  UNION ALL SELECT 'category_length_100', count(*) FILTER (WHERE length(category) > 100) FROM products
+  UNION ALL SELECT 'sku_unique', CAST(coalesce(sum(c), 0) AS BIGINT)
+            FROM (SELECT count(*) AS c FROM products GROUP BY sku HAVING count(*) > 1))
+UNION ALL
+SELECT 'orders', 'status_allowed', count(*) FILTER (WHERE status IS NULL OR status NOT IN
+       ('PENDING', 'CONFIRMED', 'SHIPPED', 'DELIVERED', 'CANCELLED')) FROM orders_m
+UNION ALL SELECT 'orders', 'customer_not_null', count(*) FILTER (WHERE customer_id IS NULL) FROM orders_m
+UNION ALL SELECT 'order_items', 'quantity_positive', count(*) FILTER (WHERE quantity <= 0) FROM items
+UNION ALL SELECT 'order_items', 'unit_price_non_negative', count(*) FILTER (WHERE unit_price < 0) FROM items
+UNION ALL SELECT 'order_items', 'order_fk', count(*) FROM items WHERE order_id NOT IN (SELECT id FROM orders_m)
+UNION ALL SELECT 'forecast_jobs', 'status_allowed', count(*) FILTER (WHERE status IS NULL OR status NOT IN
+       ('PENDING', 'RUNNING', 'COMPLETED', 'FAILED')) FROM jobs_all
+UNION ALL SELECT 'forecast_jobs', 'horizon_range', count(*) FILTER (WHERE NOT horizon_days BETWEEN 1 AND 365)
+          FROM jobs_all
+UNION ALL SELECT 'forecast_points', 'predicted_non_negative', count(*) FILTER (WHERE predicted_quantity < 0)
+          FROM points_all
+UNION ALL SELECT 'forecast_points', 'job_fk', count(*) FROM points_all WHERE job_id NOT IN (SELECT id FROM jobs_all)""")
+
+# ------------------------------------------------------------ writes
+sql("upsert_products", with_(PRODUCTS, INCOMING) + """
+, upd AS (
+  SELECT p.product_id, p.name, p.sku, p.category, CAST(p.price + 1 AS DECIMAL(12,2)) AS price,
+         CAST(t.p_size AS INTEGER) AS stock_quantity, TIMESTAMP '2024-03-01 00:00:00' AS created_at,
+         TIMESTAMP '2024-03-01 00:00:00' AS updated_at
+  FROM products p JOIN part t ON t.p_partkey = p.product_id WHERE t.p_size > 25
+  UNION ALL SELECT * FROM incoming)
+SELECT coalesce(i.product_id, s.product_id) AS product_id,
+       CASE WHEN i.product_id IS NOT NULL THEN i.name ELSE s.name END AS name,
+       CASE WHEN i.product_id IS NOT NULL THEN i.sku ELSE s.sku END AS sku,
+       CASE WHEN i.product_id IS NOT NULL THEN i.category ELSE s.category END AS category,
+       CAST(CASE WHEN i.product_id IS NOT NULL THEN i.price ELSE s.price END AS DOUBLE) AS price,
+       CASE WHEN i.product_id IS NOT NULL THEN i.stock_quantity ELSE s.stock_quantity END AS stock_quantity,
+       coalesce(s.created_at, i.created_at) AS created_at,
+       CASE WHEN i.product_id IS NOT NULL THEN i.updated_at ELSE s.updated_at END AS updated_at,
+       CASE WHEN i.product_id IS NOT NULL AND s.product_id IS NOT NULL THEN s.version + 1
+            WHEN i.product_id IS NOT NULL THEN 0 ELSE s.version END AS version
+FROM products s FULL OUTER JOIN upd i ON s.product_id = i.product_id""".replace("\n\n, upd", ",\nupd"))
+
+sql("upsert_orders", with_(ORDERS_M, ITEMS) + """
+, changed AS (
+  SELECT id, customer_id, 'SHIPPED' AS status, created_at, updated_at + INTERVAL 1 DAY AS updated_at
+  FROM orders_m WHERE status = 'CONFIRMED'),
+incoming AS (
+  SELECT * FROM changed
+  UNION ALL SELECT 100000000 + c_custkey, c_custkey, 'PENDING', TIMESTAMP '2024-01-01 00:00:00',
+                   TIMESTAMP '2024-01-01 00:00:00' FROM customer WHERE c_mktsegment = 'BUILDING'),
+new_items AS (
+  SELECT order_id, product_id, sku, quantity, unit_price FROM items WHERE order_id NOT IN (SELECT id FROM changed)
+  UNION ALL SELECT order_id, product_id, sku, quantity + 1, unit_price FROM items
+            WHERE order_id IN (SELECT id FROM changed)),
+o AS (
+  SELECT coalesce(i.id, s.id) AS id, coalesce(s.customer_id, i.customer_id) AS customer_id,
+         CASE WHEN i.id IS NOT NULL THEN i.status ELSE s.status END AS status,
+         coalesce(s.created_at, i.created_at) AS created_at,
+         CASE WHEN i.id IS NOT NULL THEN i.updated_at ELSE s.updated_at END AS updated_at,
+         CASE WHEN i.id IS NOT NULL AND s.id IS NOT NULL THEN s.version + 1
+              WHEN i.id IS NOT NULL THEN 0 ELSE s.version END AS version
+  FROM orders_m s FULL OUTER JOIN incoming i ON s.id = i.id)
+SELECT o.*, CAST(t.total AS DOUBLE) AS total FROM o
+LEFT JOIN (SELECT order_id, CAST(sum(unit_price * quantity) AS DECIMAL(18,2)) AS total
+           FROM new_items GROUP BY 1) t ON t.order_id = o.id""".replace("\n\n, changed", ",\nchanged"))
+
+sql("upsert_forecast_jobs", with_(*STORE) + """
+, rerun AS (SELECT id FROM jobs_all WHERE product_id IN (SELECT p_partkey FROM part WHERE p_size > 25))
+SELECT id, product_id, sku, horizon_days,
+       CASE WHEN id IN (SELECT id FROM rerun) THEN 'RUNNING' ELSE status END AS status,
+       model_used, CAST(mae AS DOUBLE) AS mae,
+       CASE WHEN id IN (SELECT id FROM rerun) THEN NULL ELSE error_message END AS error_message,
+       CASE WHEN id IN (SELECT id FROM rerun) THEN version + 1 ELSE version END AS version
+FROM jobs_all""".replace("\n\n, rerun", ",\nrerun"))
+
+sql("versioned_update", with_(PRODUCTS) + """
+, u AS (SELECT l_partkey AS product_id, l_orderkey * 100 + l_linenumber AS update_id, l_shipdate AS ts,
+               CAST(0 AS BIGINT) AS version FROM lineitem),
+w AS (SELECT u.product_id, min({'t': u.ts, 'u': u.update_id}) AS win
+      FROM u JOIN products p ON p.product_id = u.product_id AND p.version = u.version GROUP BY 1)
+SELECT u.product_id, u.update_id, u.ts, u.version AS read_version,
+       CASE WHEN p.product_id IS NULL THEN 'UNKNOWN_ID'
+            WHEN w.win IS NOT NULL AND w.win = {'t': u.ts, 'u': u.update_id} THEN 'ACCEPTED' ELSE 'STALE' END
+         AS outcome,
+       CAST(CASE WHEN w.win IS NOT NULL AND w.win = {'t': u.ts, 'u': u.update_id} THEN p.version + 1 END
+            AS DOUBLE) AS new_version
+FROM u LEFT JOIN products p ON p.product_id = u.product_id LEFT JOIN w ON w.product_id = u.product_id""".replace(
+    "\n\n, u AS", ",\nu AS"))

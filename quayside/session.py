@@ -41,7 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the job defaults on an existing session where the cluster left them unset."""
     for key, value in _DEFAULTS.items():
-        if key == "spark.ui.enabled":
+        if key.startswith("spark.ui."):
             continue  # static setting; only meaningful at session start
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
