@@ -717,3 +717,84 @@ def _mean_model(pdf, horizon):
 def q_forecast_custom_model(spark, base):
     return FC.forecast_with("mean", _valid_history(spark, base), ["product_id"], 30,
                             registry={"mean": _mean_model})
+
+
+# ============================================================ streaming twins
+from ..schemas import TOPIC_SCHEMAS  # noqa: E402
+from ..streaming import jobs as SJ  # noqa: E402
+
+
+def _events_stream(spark, base) -> DataFrame:
+    schema = spark.read.parquet(f"{base}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(base)
+
+
+@query("stream_stock_ledger")
+def q_stream_stock_ledger(spark, base):
+    out = SJ.stream_stock_ledger(FX.deltas_of(_events_stream(spark, base)), FX.LEDGER_START)
+    run = SJ.scratch(spark, "ledger")
+    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/out")
+    res = spark.read.parquet(f"{run}/out")
+    msg = F.when(~F.col("accepted"), F.format_string(
+        "Cannot reduce stock below zero. Current: %d, Delta: %d", F.col("balance_before"), F.col("delta")))
+    return res.withColumn("message", msg)
+
+
+@query("stream_dedup_events")
+def q_stream_dedup_events(spark, base):
+    out = SJ.dedup_events(_events_stream(spark, base), ["event_id"])
+    run = SJ.scratch(spark, "dedup")
+    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/out")
+    return spark.read.parquet(f"{run}/out").select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
+
+
+@query("stream_low_stock")
+def q_stream_low_stock(spark, base):
+    run = SJ.scratch(spark, "low-stock")
+    ev = product_events(spark, base).select(
+        "eventType", F.col("productId").cast("string").alias("productId"), "sku", "category",
+        "stockQuantity", "stockDelta", "price", "occurredAt", F.col("_order_seq").alias("eventSeq"))
+    EV.write_records(ev, f"{run}/topic", "productId", ("occurredAt", "eventSeq"))
+    src = EV.read_topic(spark, f"{run}/topic", "product.events", stream=True)
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.low_stock_sink(f"{run}/alerts"))
+    return spark.read.parquet(f"{run}/alerts").withColumn(
+        "occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+@query("stream_forecast_alerts")
+def q_stream_forecast_alerts(spark, base):
+    run = SJ.scratch(spark, "forecast-alerts")
+    jobs, _ = forecast_jobs(spark, base)
+    rec = EV.parse_values(EV.forecast_event_records(
+        jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
+    EV.write_records(rec, f"{run}/topic", "productId", ("occurredAt",))
+    src = EV.read_topic(spark, f"{run}/topic", "forecast.completed", stream=True)
+    src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
+    stock = ledger_rows(spark, base).where(F.col("accepted"))
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.forecast_alert_sink(f"{run}/alerts", stock))
+    return spark.read.parquet(f"{run}/alerts")
+
+
+def _item_forecasts(batch: DataFrame):
+    keys = ["order_id", "item_pos"]
+    conf = RD.confirmed_orders(batch).select(
+        F.col("orderId").cast("bigint").alias("order_id"), F.col("occurredAt").alias("occurred_at"),
+        F.posexplode("items").alias("item_pos", "item"))
+    items = conf.select("order_id", "item_pos", "occurred_at", F.col("item.quantity").alias("quantity"))
+    model = FC.fit(FC.seed_history(items, keys), keys)
+    pts = FC.points(model, keys, 30, clamp_ingest=True)
+    return model.select(*keys, "mae"), pts
+
+
+@query("stream_order_forecasts")
+def q_stream_order_forecasts(spark, base):
+    run = SJ.scratch(spark, "order-forecasts")
+    ev = order_events(spark, base).withColumn("orderId", F.col("orderId").cast("string")) \
+        .withColumn("customerId", F.col("customerId").cast("string"))
+    EV.write_records(ev, f"{run}/topic", "orderId", ("occurredAt",))
+    src = EV.read_topic(spark, f"{run}/topic", "order.events", stream=True)
+    src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
+    SJ.run_available_now(src, f"{run}/_checkpoint",
+                         sink=SJ.order_forecast_sink(f"{run}/jobs", f"{run}/points", _item_forecasts))
+    return spark.read.parquet(f"{run}/points")

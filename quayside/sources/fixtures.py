@@ -98,7 +98,11 @@ def confirmed_items(spark: SparkSession, base: str) -> DataFrame:
 
 def stock_deltas(spark: SparkSession, base: str) -> DataFrame:
     """Signed stock movements: + for signup/view, - for purchase/click, errors dropped."""
-    e = table(spark, base, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return deltas_of(table(spark, base, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def deltas_of(e: DataFrame) -> DataFrame:
+    """The delta mapping on any events frame (batch or stream)."""
     sign = (F.when(F.col("event_type").isin("signup", "view"), 1)
             .when(F.col("event_type").isin("purchase", "click"), -1))
     return (e.where(F.col("event_type").isin(*DELTA_SIGN))
