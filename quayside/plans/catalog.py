@@ -460,7 +460,7 @@ def q_sink_product_events(spark, base):
 @query("src_product_events")
 def q_src_product_events(spark, base):
     rec = EV.product_event_records(product_events(spark, base))
-    ev = EV.parse_values(rec, "product.events")
+    ev = EV.parse_values(rec, "product.events").drop("eventSeq")
     return _dbl(ev.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz")), "price", "stockDelta")
 
 
