@@ -63,6 +63,20 @@ def series_index(history: DataFrame, keys: Keys, ds: str = "ds") -> DataFrame:
     )
 
 
+def valid_series(history: DataFrame, keys: Keys, y: str = "y", ds: str = "ds",
+                 min_points: int = C.MIN_HISTORY) -> DataFrame:
+    """Rows of series the model accepts (>= 14 points, no negative quantity).
+
+    Window aggregates on the series key: the check shares the exchange and
+    sort of the fit that follows instead of a second pass plus a semi join.
+    """
+    # ordered by day with a full frame: the fit's windows reuse this sort
+    w = (Window.partitionBy(*keys).orderBy(ds)
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (history.select("*", F.count(F.lit(1)).over(w).alias("_n"), F.min(y).over(w).alias("_min"))
+            .where((F.col("_n") >= min_points) & (F.col("_min") >= 0)).drop("_n", "_min"))
+
+
 def _train(c: Column) -> Column:
     return F.when(F.col("x") < F.col("k"), c)
 
@@ -112,7 +126,7 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y") -> DataFra
 
 # ------------------------------------------------------------------------- F1
 def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT_HORIZON,
-           clamp_ingest: bool = False) -> DataFrame:
+           clamp_ingest: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Forecast rows for i = 1..horizon after the last observed day.
 
     predicted = max(0, round2(trend * factor[weekday])); std = max(0.5, 0.15 |pred|);
@@ -127,7 +141,7 @@ def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT
     factor = F.element_at(F.array(*[F.col(f"f{i}") for i in range(7)]), weekday_mon0(date) + 1)
     # "+ 0.0" turns a -0.0 from rounding into 0.0
     pred = F.greatest(F.lit(0.0), round_even(trend * factor, 2)) + F.lit(0.0)
-    out = m.select(*keys, date.alias("date"), pred.alias("predicted_quantity"))
+    out = m.select(*keys, *carry, date.alias("date"), pred.alias("predicted_quantity"))
     std = F.greatest(F.lit(C.STD_FLOOR), F.abs(F.col("predicted_quantity")) * F.lit(C.STD_FRACTION))
     pq = F.col("predicted_quantity")
     out = out.select(
@@ -187,12 +201,14 @@ def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
     """
     req = history_checks(history, requests, keys, horizon, model)
     ok = req.where(F.col("failure_reason").isNull()).select(*keys, horizon)
-    model_rows = fit(history.join(ok.select(*keys), list(keys), "left_semi"), keys)
-    model_rows = model_rows.join(ok, list(keys))
-    pts = points(model_rows, keys, horizon, clamp_ingest=True)
-    totals = total_demand(pts, keys)
-    jobs = (req.join(model_rows.select(*keys, "mae"), list(keys), "left")
-            .join(totals, list(keys), "left")
+    model_rows = fit(valid_series(history, keys), keys).join(ok, list(keys))
+    pts = points(model_rows, keys, horizon, clamp_ingest=True, carry=("mae",))
+    # one pass over the points gives the total and carries the model's MAE
+    totals = pts.groupBy(*keys).agg(
+        F.sum(F.col("predicted_quantity").cast("decimal(12,4)")).cast("decimal(18,2)")
+        .alias("total_predicted_demand"), F.max("mae").alias("mae"))
+    pts = pts.drop("mae")
+    jobs = (req.join(totals, list(keys), "left")
             .select(
                 stable_id(F.lit("job"), *keys).alias("id"),
                 *[c for c in req.columns if c not in ("n_points", "min_y", "failure_reason")],

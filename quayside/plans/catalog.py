@@ -38,10 +38,7 @@ def history(spark, base) -> DataFrame:
 
 
 def _valid_history(spark, base) -> DataFrame:
-    h = history(spark, base)
-    ok = h.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"), F.min("y").alias("_m")) \
-        .where((F.col("_n") >= 14) & (F.col("_m") >= 0)).select("product_id")
-    return h.join(ok, "product_id", "left_semi")
+    return FC.valid_series(history(spark, base), ["product_id"])
 
 
 def _model(spark, base) -> DataFrame:
@@ -235,8 +232,7 @@ def jobs_table(spark, base) -> DataFrame:
 
 def points_table(spark, base) -> DataFrame:
     """Stored forecast points (decimal(12,4)) of every completed job."""
-    _, pts = forecast_jobs(spark, base)
-    jobs, _ = forecast_jobs(spark, base)
+    jobs, pts = forecast_jobs(spark, base)
     prod = pts.join(jobs.select(F.col("id").alias("job_id"), "product_id"), "product_id").drop("product_id")
     _, ip = item_jobs(spark, base)
     allp = prod.unionByName(ip)
