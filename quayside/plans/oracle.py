@@ -818,3 +818,16 @@ ORACLE["stream_low_stock"] = ORACLE["alerts_low_stock"]
 ORACLE["stream_forecast_alerts"] = ORACLE["all_alerts"]
 ORACLE["stream_order_forecasts"] = ORACLE["forecast_per_confirmed_item"]
 sql("stream_dedup_events", "SELECT event_id, ts, user_id, event_type, value FROM events")
+
+_FIELD = """'{{"title":"{t}","value":' || coalesce(to_json({v}), 'null') || ',"short":true}}'"""
+sql("alert_webhook_payload", with_(*FULL) + """
+SELECT id,
+       '{"text":' || to_json('*' || severity || '* — ' || title || chr(10) || message)
+       || ',"attachments":[{"color":' || coalesce(to_json(CASE severity WHEN 'CRITICAL' THEN '#FF0000'
+            WHEN 'WARNING' THEN '#FFA500' WHEN 'INFO' THEN '#36A64F' END), 'null')
+       || ',"fields":[' || """ + " || ',' || ".join([
+    _FIELD.format(t="Type", v="type"), _FIELD.format(t="Severity", v="severity"),
+    _FIELD.format(t="SKU", v="sku"),
+    _FIELD.format(t="Time", v="strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ')")]) + """
+       || ']}]}' AS payload
+FROM alerts_all""")
