@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
@@ -123,13 +123,11 @@ def confirmed_order_items(spark, base) -> DataFrame:
     """Items of CONFIRMED orders with a stable position inside their order."""
     o = FX.orders(spark, base).where(F.col("status") == "CONFIRMED").select("id", "created_at")
     items = FX.order_items(spark, base)
-    grouped = (items.join(o, items.order_id == o.id)
-               .groupBy("order_id", "created_at")
-               .agg(F.array_sort(F.collect_list(F.struct("product_id", "quantity", "unit_price", "sku")))
-                    .alias("items")))
-    return grouped.select("order_id", F.col("created_at").alias("occurred_at"),
-                          F.posexplode("items").alias("item_pos", "item")) \
-        .select("order_id", "item_pos", "occurred_at", "item.product_id", "item.sku", "item.quantity")
+    # position by a window (spillable sort), not by collecting an order's items
+    w = Window.partitionBy("order_id").orderBy("product_id", "quantity", "unit_price", "sku")
+    return (items.join(o, items.order_id == o.id)
+            .select("order_id", (F.row_number().over(w) - 1).alias("item_pos"),
+                    F.col("created_at").alias("occurred_at"), "product_id", "sku", "quantity"))
 
 
 @query("seed_history")
