@@ -752,7 +752,7 @@ def q_stream_low_stock(spark, base):
     EV.write_records(ev, f"{run}/topic", "productId", ("occurredAt", "eventSeq"))
     src = EV.read_topic(spark, f"{run}/topic", "product.events", stream=True)
     SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.low_stock_sink(f"{run}/alerts"))
-    return spark.read.parquet(f"{run}/alerts").withColumn(
+    return spark.read.parquet(f"{run}/alerts").drop("alert_date").withColumn(
         "occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
 
 

@@ -93,13 +93,17 @@ def low_stock_sink(path: str, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOL
             F.col("productId").cast("bigint").alias("product_id"), "sku",
             F.col("stockQuantity").alias("stock_quantity"),
             F.col("occurredAt").alias("occurred_at"), F.col("eventSeq").alias("event_id"))
-        alerts = AL.low_stock(ev, thresholds).dropDuplicates(["id"])
+        alerts = AL.low_stock(ev, thresholds).dropDuplicates(["id"]) \
+            .withColumn("alert_date", F.to_date("occurred_at"))
         try:
-            existing = spark.read.parquet(path).select("id")
-            alerts = alerts.join(existing, "id", "left_anti")
+            # only the date partitions this batch touches are read (the semi
+            # join on the partition column lets Spark prune the others)
+            existing = spark.read.parquet(path).select("id", "alert_date") \
+                .join(alerts.select("alert_date").distinct(), "alert_date", "left_semi")
+            alerts = alerts.join(existing, ["id", "alert_date"], "left_anti")
         except Exception:  # noqa: BLE001 - first batch: nothing written yet
             pass
-        alerts.write.mode("append").parquet(path)
+        alerts.write.mode("append").partitionBy("alert_date").parquet(path)
     return write
 
 
