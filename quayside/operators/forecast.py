@@ -82,46 +82,59 @@ def _train(c: Column) -> Column:
 
 
 # ------------------------------------------------------- A3, A4, A5, A6 (fit)
-def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y") -> DataFrame:
+def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
+        min_points: int | None = None) -> DataFrame:
     """One model row per series: n, k, slope, intercept, seven weekday factors,
     validation MAE and last date.
 
     Least squares on x = 0..k-1 in closed form from exact integer-valued sums;
     weekday factor = weekday mean / training mean (mean <= 0 counts as 1.0);
     unseen weekdays get 1.0; MAE on the last 20 % with the clipped trend only.
-    """
-    h = series_index(history.select(*keys, ds, F.col(y).cast("double").alias("y")), keys, ds)
-    h = h.withColumn("dow", weekday_mon0(ds))
-    w_all = Window.partitionBy(*keys)
-    sums = {
-        "sx": F.sum(_train(F.col("x").cast("double"))),
-        "sy": F.sum(_train(F.col("y"))),
-        "sxy": F.sum(_train(F.col("x") * F.col("y"))),
-        "sxx": F.sum(_train((F.col("x") * F.col("x")).cast("double"))),
-    }
-    for i in range(7):
-        sums[f"dsum{i}"] = F.sum(F.when((F.col("x") < F.col("k")) & (F.col("dow") == i), F.col("y")))
-        sums[f"dcnt{i}"] = F.count(F.when((F.col("x") < F.col("k")) & (F.col("dow") == i), 1))
-    h = h.select("*", *[v.over(w_all).alias(k) for k, v in sums.items()])
+    With ``min_points``, series shorter than that or with a negative quantity
+    are dropped in the same window pass (what the model refuses).
 
+    Two window passes over one sort (position/length, then the four training
+    sums every row needs for its residual); the weekday sums and the MAE are
+    conditional sums in the final hash aggregate, which is code-generated.
+    """
+    w_ord = Window.partitionBy(*keys).orderBy(ds)
+    w_all = w_ord.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count(F.lit(1)).over(w_all)
+    h = history.select(*keys, ds, F.col(y).cast("double").alias("y"))
+    h = h.select("*", (F.row_number().over(w_ord) - 1).cast("bigint").alias("x"), n.alias("n"),
+                 F.max(ds).over(w_all).alias("last_ds"), F.min("y").over(w_all).alias("_min"))
+    if min_points is not None:
+        h = h.where((F.col("n") >= min_points) & (F.col("_min") >= 0))
+    h = h.withColumn("k", F.greatest(F.lit(1).cast("bigint"),
+                                     F.floor(F.col("n") * F.lit(C.TRAIN_FRACTION)).cast("bigint")))
+    h = h.select("*",
+                 F.sum(_train(F.col("x").cast("double"))).over(w_all).alias("sx"),
+                 F.sum(_train(F.col("y"))).over(w_all).alias("sy"),
+                 F.sum(_train(F.col("x") * F.col("y"))).over(w_all).alias("sxy"),
+                 F.sum(_train((F.col("x") * F.col("x")).cast("double"))).over(w_all).alias("sxx"))
     kd = F.col("k").cast("double")
     slope = ((kd * F.col("sxy") - F.col("sx") * F.col("sy"))
              / (kd * F.col("sxx") - F.col("sx") * F.col("sx")))
     h = h.withColumn("slope", slope)
     h = h.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / kd)
-    mean = F.col("sy") / kd
-    g = F.when(mean > 0, mean).otherwise(F.lit(1.0))
-    factors = [F.coalesce((F.col(f"dsum{i}") / F.col(f"dcnt{i}")) / g, F.lit(1.0)).alias(f"f{i}")
-               for i in range(7)]
+    h = h.withColumn("dow", weekday_mon0(ds))
     val_err = F.when(F.col("x") >= F.col("k"),
                      F.abs(F.col("y") - F.greatest(F.lit(0.0),
                                                    F.col("slope") * F.col("x").cast("double")
                                                    + F.col("intercept"))))
-    agg = [F.max(c).alias(c) for c in ("n", "k", "slope", "intercept", "last_ds")]
-    agg += [F.max(f).alias(f"f{i}") for i, f in enumerate(factors)]
+    train_dow = [(F.col("x") < F.col("k")) & (F.col("dow") == i) for i in range(7)]
+    agg = [F.max(c).alias(c) for c in ("n", "k", "slope", "intercept", "last_ds", "sy")]
+    agg += [F.sum(F.when(t, F.col("y"))).alias(f"dsum{i}") for i, t in enumerate(train_dow)]
+    agg += [F.count(F.when(t, 1)).alias(f"dcnt{i}") for i, t in enumerate(train_dow)]
     agg.append(F.coalesce(F.avg(val_err), F.lit(0.0)).alias("mae_raw"))
     model = h.groupBy(*keys).agg(*agg)
-    return model.withColumn("mae", round_even("mae_raw", 4)).drop("mae_raw")
+
+    mean = F.col("sy") / F.col("k").cast("double")
+    g = F.when(mean > 0, mean).otherwise(F.lit(1.0))
+    factors = [F.coalesce(F.when(F.col(f"dcnt{i}") > 0, F.col(f"dsum{i}") / F.col(f"dcnt{i}")) / g,
+                          F.lit(1.0)).alias(f"f{i}") for i in range(7)]
+    return model.select(*keys, "n", "k", "slope", "intercept", "last_ds", *factors,
+                        round_even("mae_raw", 4).alias("mae"))
 
 
 # ------------------------------------------------------------------------- F1
@@ -201,7 +214,7 @@ def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
     """
     req = history_checks(history, requests, keys, horizon, model)
     ok = req.where(F.col("failure_reason").isNull()).select(*keys, horizon)
-    model_rows = fit(valid_series(history, keys), keys).join(ok, list(keys))
+    model_rows = fit(history, keys, min_points=C.MIN_HISTORY).join(ok, list(keys))
     pts = points(model_rows, keys, horizon, clamp_ingest=True, carry=("mae",))
     # one pass over the points gives the total and carries the model's MAE
     totals = pts.groupBy(*keys).agg(

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from .. import config as C
 from ..session import ensure_checkpoint_dir
@@ -89,71 +89,103 @@ def _replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bal, ok
 
 
-def _runs(pdf: pd.DataFrame, cols: list[str]):
-    """Consecutive runs of equal ``cols`` values, in row order."""
-    if pdf.empty:
-        return
-    arrays = [pdf[c].to_numpy() for c in cols]
-    change = np.zeros(len(pdf) - 1, dtype=bool)
-    for a in arrays:
-        change |= a[1:] != a[:-1]
-    bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(pdf)]])
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        yield tuple(x[a] for x in arrays), pdf.iloc[a:b]
+def _run_starts(*cols: np.ndarray) -> np.ndarray:
+    """Indexes where a run of equal values (over all columns) begins."""
+    n = len(cols[0])
+    change = np.ones(n, dtype=bool)
+    if n > 1:
+        change[1:] = False
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
 def _summaries(it):
     """Per partition (= chunk), rows sorted by key: one transfer function per
-    key run. A run may continue across Arrow batches, so deltas are carried."""
-    cur, chunk, buf = None, None, []
-
-    def emit():
-        lo, sh = _transfer(np.concatenate(buf))
-        return {"_k0": cur_val, "_chunk": chunk, "_lo": lo.tolist(), "_shift": sh.tolist()}
-
-    cur_val = None
+    key run. Runs are cut with numpy; only runs with a deficit go through the
+    piecewise loop. The last run of an Arrow batch may continue in the next
+    one, so its rows are held back and prepended."""
+    held = None
     for pdf in it:
-        rows = []
-        for k, g in _runs(pdf, ["_k0"]):
-            if k != cur and buf:
-                rows.append(emit())
-                buf = []
-            cur, cur_val, chunk = k, g["_k0"].iloc[0], int(g["_chunk"].iloc[0])
-            buf.append(g["_delta"].to_numpy(dtype=np.int64))
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        k0, d = pdf["_k0"].to_numpy(), pdf["_delta"].to_numpy(dtype=np.int64)
+        bounds = np.append(_run_starts(k0), len(pdf))
+        held = pdf.iloc[bounds[-2]:]
+        rows = [_summary_row(k0, pdf["_chunk"].to_numpy(), d, a, b)
+                for a, b in zip(bounds[:-2], bounds[1:-1])]
         if rows:
-            yield pd.DataFrame(rows)
-    if buf:
-        yield pd.DataFrame([emit()])
+            yield pd.DataFrame(rows, columns=["_k0", "_chunk", "_lo", "_shift"])
+    if held is not None and not held.empty:
+        k0, d = held["_k0"].to_numpy(), held["_delta"].to_numpy(dtype=np.int64)
+        yield pd.DataFrame([_summary_row(k0, held["_chunk"].to_numpy(), d, 0, len(held))],
+                           columns=["_k0", "_chunk", "_lo", "_shift"])
 
 
-def _fold_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_chunk")
-    b = int(pdf["_opening"].iloc[0])
-    starts = []
-    for lo, sh in zip(pdf["_lo"], pdf["_shift"]):
-        starts.append(b)
-        j = int(np.searchsorted(np.asarray(lo, dtype=np.int64), b, side="right")) - 1
-        b = b + int(sh[j])
-    return pd.DataFrame({"_k0": pdf["_k0"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
-                         "_start": np.asarray(starts, dtype=np.int64)})
+def _summary_row(k0, chunk, d, a, b):
+    lo, sh = _transfer(d[a:b])
+    return (k0[a], int(chunk[a]), lo.tolist(), sh.tolist())
+
+
+def _fold_starts(it):
+    """Summaries sorted by (key, chunk): each chunk's opening balance is the
+    previous chunk's end, evaluated through that chunk's transfer function.
+    One pass per partition; a key's fold may continue into the next batch."""
+    last_key, bal = object(), 0
+    for pdf in it:
+        keys, chunks = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
+        opening = pdf["_opening"].to_numpy(dtype=np.int64)
+        starts = np.empty(len(pdf), dtype=np.int64)
+        for i, (lo, sh) in enumerate(zip(pdf["_lo"], pdf["_shift"])):
+            if keys[i] != last_key:
+                last_key, bal = keys[i], int(opening[i])
+            starts[i] = bal
+            j = int(np.searchsorted(np.asarray(lo, dtype=np.int64), bal, side="right")) - 1
+            bal = bal + int(sh[j])
+        yield pd.DataFrame({"_k0": keys, "_chunk": chunks, "_start": starts})
 
 
 def _replays(it):
-    """Rows arrive sorted by (key, chunk, ts, seq); the balance of a run is
-    carried into the next Arrow batch when the run continues there."""
-    last_key, carry = None, None
+    """Rows sorted by (key, chunk, ts, seq). Every run's balances come from one
+    cumulative sum; a run whose opening covers its deficit is done, the others
+    are replayed with the loop. A run continuing into the next Arrow batch
+    carries its balance over."""
+    last, carry = None, 0
     for pdf in it:
-        parts = []
-        for k, g in _runs(pdf, ["_k0", "_chunk"]):
-            start = carry if k == last_key else int(g["_start"].iloc[0])
-            d = g["_delta"].to_numpy(dtype=np.int64)
-            bal, ok = _replay(start, d)
-            before = np.concatenate([[start], bal[:-1]])
-            parts.append(g.drop(columns=["_start"]).assign(
-                _before=before, _balance=bal, _accepted=ok))
-            last_key, carry = k, int(bal[-1])
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+        if pdf.empty:
+            continue
+        k0, ch = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
+        d = pdf["_delta"].to_numpy(dtype=np.int64)
+        first = _run_starts(k0, ch)
+        run = np.cumsum(np.isin(np.arange(len(d)), first)) - 1
+        start = pdf["_start"].to_numpy(dtype=np.int64)[first].copy()
+        if last is not None and (k0[0], ch[0]) == last:
+            start[0] = carry
+        cs = np.cumsum(d)
+        prefix = cs - (cs[first] - d[first])[run]
+        deficit = np.minimum.reduceat(prefix, first)
+        bal = start[run] + prefix
+        acc = np.ones(len(d), dtype=bool)
+        ends = np.append(first[1:], len(d))
+        for r in np.flatnonzero(start + deficit < 0):
+            a, b = first[r], ends[r]
+            rb, ra = _replay(int(start[r]), d[a:b])
+            bal[a:b], acc[a:b] = rb, ra
+        before = bal - np.where(acc, d, 0)
+        last, carry = (k0[-1], ch[-1]), int(bal[-1])
+        yield pdf.drop(columns=["_start"]).assign(_before=before, _balance=bal, _accepted=acc)
+
+
+def _pinned(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder. The frame is
+    persisted first so the checkpoint write does not compute it a second
+    time; the cached copy is dropped once the checkpoint exists."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "product_id",
@@ -171,10 +203,9 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
     base = deltas.select(F.col(key).alias("_k0"), F.col(ts).alias("_ts"), F.col(seq).alias("_seq"),
                          F.col(delta).cast("bigint").alias("_delta"))
     # phase 1: ordered range partitions; a hot key is split by time
-    chunked = (base.repartitionByRange(n, "_k0", "_ts", "_seq")
-               .sortWithinPartitions("_k0", "_ts", "_seq")
-               .withColumn("_chunk", F.spark_partition_id())
-               .checkpoint(eager=True))
+    chunked = _pinned(base.repartitionByRange(n, "_k0", "_ts", "_seq")
+                      .sortWithinPartitions("_k0", "_ts", "_seq")
+                      .withColumn("_chunk", F.spark_partition_id()))
     ktype = chunked.schema["_k0"].dataType.simpleString()
 
     summaries = chunked.select("_k0", "_chunk", "_delta").mapInPandas(
@@ -187,8 +218,8 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
     summaries = summaries.withColumn(
         "_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
     # phase 2: fold the chunk summaries of each product (<= one row per partition)
-    starts = summaries.groupBy("_k0").applyInPandas(
-        _fold_starts, f"_k0 {ktype}, _chunk int, _start bigint").checkpoint(eager=True)
+    starts = _pinned(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+                     .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint"))
 
     # phase 3: replay every chunk from its opening balance
     if starts.count() <= BROADCAST_STARTS_MAX_ROWS:

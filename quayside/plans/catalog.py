@@ -42,7 +42,7 @@ def _valid_history(spark, base) -> DataFrame:
 
 
 def _model(spark, base) -> DataFrame:
-    return FC.fit(_valid_history(spark, base), ["product_id"])
+    return FC.fit(history(spark, base), ["product_id"], min_points=14)
 
 
 @query("daily_demand")

@@ -76,3 +76,22 @@ def test_hot_product_spans_chunks(spark):
     chunked = got.orderBy("event_id").collect()
     want = brute(3, [d for _, d in rows])
     assert [(r.balance, r.accepted) for r in chunked] == want
+
+
+def test_runs_split_across_arrow_batches(spark):
+    """Tiny Arrow batches cut every product's run; carries must keep it exact."""
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(0, 4)), int(rng.integers(-30, 25))) for _ in range(500)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = LG.ledger(frame(spark, rows), None, default_opening=10, num_chunks=3).orderBy("event_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for p in range(4):
+        idx = [i for i, (q, _) in enumerate(rows) if q == p]
+        for i, res in zip(idx, brute(10, [rows[i][1] for i in idx])):
+            want[i] = res
+    assert [(r.balance, r.accepted) for r in got] == [want[i] for i in range(len(rows))]
+    assert all(r.balance_before + (r.delta if r.accepted else 0) == r.balance for r in got)
