@@ -40,9 +40,18 @@ def daily_demand(items: DataFrame, key: str = "product_id", ts: str = "occurred_
 def seed_history(items: DataFrame, keys: Keys, ts: str = "occurred_at",
                  qty: str = "quantity", days: int = C.SEED_HISTORY_DAYS) -> DataFrame:
     """For each item, ``days`` rows dated order day - days ... order day - 1,
-    each with the item's quantity (the literal seed the order consumer builds)."""
+    each with the item's quantity (the literal seed the order consumer builds).
+
+    The items are hash-partitioned by the series key before the explode, so
+    the shuffle moves one row per item instead of ``days`` rows, and the fit's
+    windows on the same key need no exchange of their own. The partition
+    count is explicit so AQE does not shrink it by the pre-explode size.
+    """
     d = F.to_date(F.col(ts))
-    return items.select(*keys,
+    # an explicit count: AQE would otherwise coalesce by the small pre-explode
+    # size and leave the 30x larger exploded rows to a handful of tasks
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return items.repartition(n, *keys).select(*keys,
                         F.explode(F.sequence(F.date_sub(d, days), F.date_sub(d, 1))).alias("ds"),
                         F.col(qty).cast("double").alias("y"))
 
@@ -90,8 +99,10 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
     Least squares on x = 0..k-1 in closed form from exact integer-valued sums;
     weekday factor = weekday mean / training mean (mean <= 0 counts as 1.0);
     unseen weekdays get 1.0; MAE on the last 20 % with the clipped trend only.
-    With ``min_points``, series shorter than that or with a negative quantity
-    are dropped in the same window pass (what the model refuses).
+    Every series gets a row with its length ``n`` and smallest quantity
+    ``min_y`` (the request checks read them from this same pass); with
+    ``min_points``, series the model refuses (too short, negative quantity)
+    are left out.
 
     Two window passes over one sort (position/length, then the four training
     sums every row needs for its residual); the weekday sums and the MAE are
@@ -102,9 +113,7 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
     n = F.count(F.lit(1)).over(w_all)
     h = history.select(*keys, ds, F.col(y).cast("double").alias("y"))
     h = h.select("*", (F.row_number().over(w_ord) - 1).cast("bigint").alias("x"), n.alias("n"),
-                 F.max(ds).over(w_all).alias("last_ds"), F.min("y").over(w_all).alias("_min"))
-    if min_points is not None:
-        h = h.where((F.col("n") >= min_points) & (F.col("_min") >= 0))
+                 F.max(ds).over(w_all).alias("last_ds"))
     h = h.withColumn("k", F.greatest(F.lit(1).cast("bigint"),
                                      F.floor(F.col("n") * F.lit(C.TRAIN_FRACTION)).cast("bigint")))
     h = h.select("*",
@@ -113,8 +122,9 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
                  F.sum(_train(F.col("x") * F.col("y"))).over(w_all).alias("sxy"),
                  F.sum(_train((F.col("x") * F.col("x")).cast("double"))).over(w_all).alias("sxx"))
     kd = F.col("k").cast("double")
-    slope = ((kd * F.col("sxy") - F.col("sx") * F.col("sy"))
-             / (kd * F.col("sxx") - F.col("sx") * F.col("sx")))
+    den = kd * F.col("sxx") - F.col("sx") * F.col("sx")
+    # a single training point has no slope (such series are refused upstream)
+    slope = F.when(den != 0, (kd * F.col("sxy") - F.col("sx") * F.col("sy")) / den)
     h = h.withColumn("slope", slope)
     h = h.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / kd)
     h = h.withColumn("dow", weekday_mon0(ds))
@@ -124,6 +134,7 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
                                                    + F.col("intercept"))))
     train_dow = [(F.col("x") < F.col("k")) & (F.col("dow") == i) for i in range(7)]
     agg = [F.max(c).alias(c) for c in ("n", "k", "slope", "intercept", "last_ds", "sy")]
+    agg.append(F.min("y").alias("min_y"))
     agg += [F.sum(F.when(t, F.col("y"))).alias(f"dsum{i}") for i, t in enumerate(train_dow)]
     agg += [F.count(F.when(t, 1)).alias(f"dcnt{i}") for i, t in enumerate(train_dow)]
     agg.append(F.coalesce(F.avg(val_err), F.lit(0.0)).alias("mae_raw"))
@@ -133,8 +144,11 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
     g = F.when(mean > 0, mean).otherwise(F.lit(1.0))
     factors = [F.coalesce(F.when(F.col(f"dcnt{i}") > 0, F.col(f"dsum{i}") / F.col(f"dcnt{i}")) / g,
                           F.lit(1.0)).alias(f"f{i}") for i in range(7)]
-    return model.select(*keys, "n", "k", "slope", "intercept", "last_ds", *factors,
-                        round_even("mae_raw", 4).alias("mae"))
+    model = model.select(*keys, "n", "k", "slope", "intercept", "last_ds", *factors,
+                         round_even("mae_raw", 4).alias("mae"), "min_y")
+    if min_points is not None:
+        model = model.where((F.col("n") >= min_points) & (F.col("min_y") >= 0))
+    return model
 
 
 # ------------------------------------------------------------------------- F1
@@ -193,15 +207,20 @@ def history_checks(history: DataFrame, requests: DataFrame, keys: Keys,
                                        F.min("y").alias("min_y"))
     r = requests.join(stats, list(keys), "left").withColumn(
         "n_points", F.coalesce(F.col("n_points"), F.lit(0).cast("bigint")))
-    reason = (F.when(F.coalesce(F.col(model), F.lit(C.MODEL_NAME)) != C.MODEL_NAME,
-                     F.concat(F.lit("Unsupported model: "), F.col(model)))
-              .when(~F.coalesce(F.col(horizon), F.lit(C.DEFAULT_HORIZON))
-                    .between(C.MIN_HORIZON, C.MAX_HORIZON),
-                    F.lit("horizonDays must be between 1 and 365"))
-              .when(F.col("n_points") < C.MIN_HISTORY,
-                    F.format_string("history needs at least 14 points, got %d", F.col("n_points")))
-              .when(F.col("min_y") < 0, F.lit("quantity must be greater than or equal to 0")))
-    return r.withColumn("failure_reason", reason)
+    return r.withColumn("failure_reason", _failure_reason(horizon, model))
+
+
+def _failure_reason(horizon: str, model: str) -> Column:
+    """First failing model rule, null when the request is accepted. Needs
+    ``n_points`` and ``min_y`` next to the request columns."""
+    return (F.when(F.coalesce(F.col(model), F.lit(C.MODEL_NAME)) != C.MODEL_NAME,
+                   F.concat(F.lit("Unsupported model: "), F.col(model)))
+            .when(~F.coalesce(F.col(horizon), F.lit(C.DEFAULT_HORIZON))
+                  .between(C.MIN_HORIZON, C.MAX_HORIZON),
+                  F.lit("horizonDays must be between 1 and 365"))
+            .when(F.col("n_points") < C.MIN_HISTORY,
+                  F.format_string("history needs at least 14 points, got %d", F.col("n_points")))
+            .when(F.col("min_y") < 0, F.lit("quantity must be greater than or equal to 0")))
 
 
 # ------------------------------------------------------------------------- F2
@@ -210,21 +229,25 @@ def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
     """Every request becomes one job row, COMPLETED with model, MAE and total
     demand, or FAILED with the reason; plus the points of completed jobs.
 
-    Failing series are kept as FAILED rows, never dropped.
+    The history is read once: one fit over all series yields both the request
+    checks (length, smallest quantity) and the models. Failing series are kept
+    as FAILED rows, never dropped.
     """
-    req = history_checks(history, requests, keys, horizon, model)
-    ok = req.where(F.col("failure_reason").isNull()).select(*keys, horizon)
-    model_rows = fit(history, keys, min_points=C.MIN_HISTORY).join(ok, list(keys))
-    pts = points(model_rows, keys, horizon, clamp_ingest=True, carry=("mae",))
+    models = fit(history, keys)
+    req = requests.join(models, list(keys), "left").withColumn(
+        "n_points", F.coalesce(F.col("n"), F.lit(0).cast("bigint")))
+    req = req.withColumn("failure_reason", _failure_reason(horizon, model))
+    ok = req.where(F.col("failure_reason").isNull())
+    pts = points(ok, keys, horizon, clamp_ingest=True, carry=("mae",))
     # one pass over the points gives the total and carries the model's MAE
     totals = pts.groupBy(*keys).agg(
         F.sum(F.col("predicted_quantity").cast("decimal(12,4)")).cast("decimal(18,2)")
         .alias("total_predicted_demand"), F.max("mae").alias("mae"))
     pts = pts.drop("mae")
-    jobs = (req.join(totals, list(keys), "left")
+    jobs = (req.select(*requests.columns, "failure_reason").join(totals, list(keys), "left")
             .select(
                 stable_id(F.lit("job"), *keys).alias("id"),
-                *[c for c in req.columns if c not in ("n_points", "min_y", "failure_reason")],
+                *[c for c in requests.columns],
                 F.when(F.col("failure_reason").isNull(), "COMPLETED").otherwise("FAILED").alias("status"),
                 F.when(F.col("failure_reason").isNull(), F.lit(C.MODEL_USED)).alias("model_used"),
                 F.col("mae").cast("decimal(10,4)").alias("mae"),

@@ -204,9 +204,12 @@ def item_jobs(spark, base):
     keys = ["order_id", "item_pos"]
     items = confirmed_order_items(spark, base)
     model = FC.fit(FC.seed_history(items, keys), keys)
-    pts = FC.points(model, keys, 30, clamp_ingest=True)
-    tot = FC.total_demand(pts, keys)
-    jobs = (items.join(model.select(*keys, "mae"), keys).join(tot, keys)
+    pts = FC.points(model, keys, 30, clamp_ingest=True, carry=("mae",))
+    tot = pts.groupBy(*keys).agg(
+        F.sum(F.col("predicted_quantity").cast("decimal(12,4)")).cast("decimal(18,2)")
+        .alias("total_predicted_demand"), F.max("mae").alias("mae"))
+    pts = pts.drop("mae")
+    jobs = (items.join(tot, keys)
             .select(stable_id(F.lit("item"), "order_id", "item_pos").alias("id"), "product_id", "sku",
                     F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"),
                     F.lit("linear-trend").alias("model_used"), F.col("mae").cast("decimal(10,4)").alias("mae"),
