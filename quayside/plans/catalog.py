@@ -770,7 +770,7 @@ def q_stream_forecast_alerts(spark, base):
     src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
     stock = ledger_rows(spark, base).where(F.col("accepted"))
     SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.forecast_alert_sink(f"{run}/alerts", stock))
-    return spark.read.parquet(f"{run}/alerts")
+    return spark.read.parquet(f"{run}/alerts").drop("batch_id")
 
 
 def _item_forecasts(batch: DataFrame):
@@ -794,4 +794,4 @@ def q_stream_order_forecasts(spark, base):
     src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
     SJ.run_available_now(src, f"{run}/_checkpoint",
                          sink=SJ.order_forecast_sink(f"{run}/jobs", f"{run}/points", _item_forecasts))
-    return spark.read.parquet(f"{run}/points")
+    return spark.read.parquet(f"{run}/points").drop("batch_id")

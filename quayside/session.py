@@ -88,6 +88,11 @@ def ship_package(spark: SparkSession) -> None:
     folder = ensure_checkpoint_dir(spark).rstrip("/")
     if folder.startswith("file:"):
         folder = folder[len("file:"):]
+    elif "://" in folder:
+        # shared remote storage: the cluster ships the package (--py-files or
+        # an installed wheel); nothing is written to a machine-local folder
+        _SHIPPED.add(app)
+        return
     os.makedirs(folder, exist_ok=True)
     target = os.path.join(folder, f"quayside-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

@@ -41,6 +41,12 @@ def run_available_now(df: DataFrame, checkpoint: str, *, sink: Callable | None =
     q.awaitTermination()
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Idempotent micro-batch output: one folder per batch id, overwritten when
+    a failed batch is retried, so a retry never duplicates rows."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
 # ------------------------------------------------------------------ T8
 STATE_SCHEMA = "balance bigint"
 LEDGER_OUT = ("product_id {k}, ts {t}, event_id bigint, delta bigint, balance_before bigint, "
@@ -117,7 +123,7 @@ def forecast_alert_sink(path: str, stock: DataFrame):
             F.col("totalPredictedDemand").alias("total_predicted_demand"),
             F.col("errorMessage").alias("error_message"), F.col("occurredAt").alias("occurred_at"))
         res = AL.stock_as_of(ev, stock)
-        AL.forecast_alerts(res).write.mode("append").parquet(path)
+        write_batch(AL.forecast_alerts(res), path, batch_id)
     return write
 
 
@@ -127,8 +133,8 @@ def order_forecast_sink(jobs_path: str, points_path: str, run: Callable[[DataFra
     forecast job per item (batch F4 plan), written as job and point rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         jobs, pts = run(batch)
-        jobs.write.mode("append").parquet(jobs_path)
-        pts.write.mode("append").parquet(points_path)
+        write_batch(jobs, jobs_path, batch_id)
+        write_batch(pts, points_path, batch_id)
     return write
 
 
