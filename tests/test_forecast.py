@@ -172,3 +172,11 @@ def test_daily_demand_sums_per_day(spark):
     got = {(r.ds, r.y) for r in FC.daily_demand(items).collect()}
     assert got == {(dt.date(2024, 1, 1), 5.0), (dt.date(2024, 1, 2), 4.0)}
     assert F is not None
+
+
+def test_daily_demand_recent_window(spark):
+    items = spark.createDataFrame(
+        [(1, dt.datetime(2024, 3, d, 12), 1) for d in range(1, 11)],
+        "product_id long, occurred_at timestamp, quantity int")
+    got = FC.daily_demand(items, since_days=3, as_of=F.lit(dt.date(2024, 3, 10))).collect()
+    assert sorted(r.ds.day for r in got) == [8, 9, 10]
