@@ -27,6 +27,14 @@ def query(name: str):
     return reg
 
 
+def dates_as_timestamps(df: DataFrame) -> DataFrame:
+    """Registry boundary: calendar days are handed over as midnight
+    timestamps (the test tables carry only timestamps, and both engines then
+    return the same value type); the SQL twins do the same."""
+    dates = [f.name for f in df.schema.fields if f.dataType.typeName() == "date"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in dates}) if dates else df
+
+
 def _dbl(df: DataFrame, *cols: str) -> DataFrame:
     """Exact decimals handed over as doubles (the same on the SQL side)."""
     return df.withColumns({c: F.col(c).cast("double") for c in cols})

@@ -831,3 +831,20 @@ SELECT id,
     _FIELD.format(t="Time", v="strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ')")]) + """
        || ']}]}' AS payload
 FROM alerts_all""")
+
+
+# ------------------------------------------------------------ registry boundary
+# calendar-day columns of each query, handed over as midnight timestamps
+DATE_COLUMNS = {
+    "daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
+    "forecast_points": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
+    "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"],
+}
+
+
+def dates_as_timestamps_sql(name: str, text: str) -> str:
+    cols = DATE_COLUMNS.get(name)
+    if not cols:
+        return text
+    repl = ", ".join(f"CAST({c} AS TIMESTAMP) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({repl}) FROM (\n{text}\n) AS q"
