@@ -96,13 +96,19 @@ def replay(events: DataFrame, machine: Machine, key: str = "order_id", ts: str =
         .withColumn("_at", F.lit(None).cast(ev.schema["_pos"].dataType))
     depth = machine.depth()
     for r in range(1, depth + 1):
-        cand = (ev.join(frontier.select("_k", "_state", "_at"), "_k")
-                .where((F.col("_at").isNull() | (F.col("_pos") > F.col("_at")))
-                       & moves[F.concat_ws("|", F.col("_state"), F.col("_a"))].isNotNull())
-                .groupBy("_k")
-                .agg(F.min(F.struct("_pos", "_a")).alias("_m"))
-                .select("_k", F.col("_m._pos").alias(f"_p{r}"), F.col("_m._a").alias(f"_a{r}")))
-        frontier = frontier.join(cand, "_k", "left")
+        # every key has events, so the inner join keeps every key; the
+        # conditional min is null where no event is accepted, and the frontier
+        # columns ride along (constant per key) -- one join per round, no
+        # self-join of the frontier
+        accept = ((F.col("_at").isNull() | (F.col("_pos") > F.col("_at")))
+                  & moves[F.concat_ws("|", F.col("_state"), F.col("_a"))].isNotNull())
+        carried = [c for c in frontier.columns if c != "_k"]
+        frontier = (ev.join(frontier, "_k")
+                    .groupBy("_k")
+                    .agg(*[F.max(c).alias(c) for c in carried],
+                         F.min(F.when(accept, F.struct("_pos", "_a"))).alias("_m"))
+                    .withColumn(f"_p{r}", F.col("_m._pos")).withColumn(f"_a{r}", F.col("_m._a"))
+                    .drop("_m"))
         nxt = moves[F.concat_ws("|", F.col("_state"), F.col(f"_a{r}"))]
         frontier = (frontier.withColumn(f"_s{r}", F.when(F.col(f"_p{r}").isNotNull(), nxt))
                     .withColumn("_state", F.coalesce(F.col(f"_s{r}"), F.col("_state")))
