@@ -781,6 +781,23 @@ def q_stream_forecast_alerts(spark, base):
     return spark.read.parquet(f"{run}/alerts").drop("batch_id")
 
 
+@query("stream_forecast_alerts_stateful")
+def q_stream_forecast_alerts_stateful(spark, base):
+    run = SJ.scratch(spark, "forecast-alerts-stateful")
+    pev = product_events(spark, base).select(
+        "eventType", F.col("productId").cast("string").alias("productId"), "sku", "category",
+        "stockQuantity", "stockDelta", "price", "occurredAt", F.col("_order_seq").alias("eventSeq"))
+    EV.write_records(pev, f"{run}/products", "productId", ("occurredAt", "eventSeq"))
+    jobs, _ = forecast_jobs(spark, base)
+    fev = EV.parse_values(EV.forecast_event_records(
+        jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
+    EV.write_records(fev, f"{run}/forecasts", "productId", ("occurredAt",))
+    out = SJ.forecast_alerts_stateful(EV.read_topic(spark, f"{run}/products", "product.events", stream=True),
+                                      EV.read_topic(spark, f"{run}/forecasts", "forecast.completed", stream=True))
+    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/alerts")
+    return spark.read.parquet(f"{run}/alerts")
+
+
 def _item_forecasts(batch: DataFrame):
     keys = ["order_id", "item_pos"]
     conf = RD.confirmed_orders(batch).select(

@@ -816,6 +816,7 @@ FROM u LEFT JOIN products p ON p.product_id = u.product_id LEFT JOIN w ON w.prod
 ORACLE["stream_stock_ledger"] = ORACLE["stock_ledger"]
 ORACLE["stream_low_stock"] = ORACLE["alerts_low_stock"]
 ORACLE["stream_forecast_alerts"] = ORACLE["all_alerts"]
+ORACLE["stream_forecast_alerts_stateful"] = ORACLE["all_alerts"]
 ORACLE["stream_order_forecasts"] = ORACLE["forecast_per_confirmed_item"]
 sql("stream_dedup_events", "SELECT event_id, ts, user_id, event_type, value FROM events")
 

@@ -127,6 +127,60 @@ def forecast_alert_sink(path: str, stock: DataFrame):
     return write
 
 
+# ------------------------------------------------------------------ T6 (stateful)
+STOCK_STATE = "stock bigint"
+RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
+              "total_predicted_demand decimal(18,2), error_message string, occurred_at timestamp_ntz, "
+              "current_stock int")
+
+
+def _stock_state(default_stock: int):
+    def step(key, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        # a stock change at the same instant as a forecast counts for it
+        pdf = pdf.sort_values(["ts", "kind", "seq"], kind="stable")
+        stock = int(state.get[0]) if state.exists else None
+        out = []
+        for row in pdf.itertuples(index=False):
+            if row.kind == 0:
+                stock = int(row.stock)
+            else:
+                out.append((row.job_id, int(row.product_id), row.sku, row.status, row.total,
+                            row.error_message, row.ts, default_stock if stock is None else stock))
+        if stock is not None:
+            state.update((stock,))
+        yield pd.DataFrame(out, columns=["job_id", "product_id", "sku", "status", "total_predicted_demand",
+                                         "error_message", "occurred_at", "current_stock"])
+    return step
+
+
+def forecast_alerts_stateful(product_events: DataFrame, forecast_events: DataFrame,
+                             thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS,
+                             default_stock: int = C.DEFAULT_CURRENT_STOCK) -> DataFrame:
+    """Both topics in one stream keyed by product: stock adjustments update the
+    product's last known stock (kept in state), each forecast event is joined
+    with it as of its own time and evaluated by the alert rules. Events of one
+    product arrive in order within a micro-batch by (time, stock first, seq);
+    the state carries the stock across micro-batches."""
+    stock = product_events.where(F.col("eventType") == "STOCK_ADJUSTED").select(
+        F.col("productId").cast("bigint").alias("product_id"),
+        F.col("occurredAt").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("kind"),
+        F.col("eventSeq").alias("seq"), F.col("stockQuantity").cast("bigint").alias("stock"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("job_id", "string"), ("sku", "string"),
+                                                   ("status", "string"), ("total", "decimal(18,2)"),
+                                                   ("error_message", "string"))])
+    fc = forecast_events.where(F.col("eventType").isin("FORECAST_COMPLETED", "FORECAST_FAILED")).select(
+        F.col("productId").cast("bigint").alias("product_id"),
+        F.col("occurredAt").cast("timestamp_ntz").alias("ts"), F.lit(1).alias("kind"),
+        F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("stock"),
+        F.col("jobId").alias("job_id"), "sku", "status",
+        F.col("totalPredictedDemand").alias("total"), F.col("errorMessage").alias("error_message"))
+    results = stock.unionByName(fc).groupBy("product_id").applyInPandasWithState(
+        _stock_state(default_stock), outputStructType=RESULT_OUT, stateStructType=STOCK_STATE,
+        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+    return AL.forecast_alerts(results, thresholds)
+
+
 # ------------------------------------------------------------------ T7
 def order_forecast_sink(jobs_path: str, points_path: str, run: Callable[[DataFrame], tuple]):
     """foreachBatch writer: confirmed orders of the micro-batch become one
