@@ -96,3 +96,33 @@ def test_daily_demand_stream_matches_batch(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items())
     last_day = max(d for _, d in want)
     assert {k for k in want if k[1] < last_day} <= set(got)
+
+
+def test_stateful_forecast_alerts_carry_stock_across_batches(spark, tmp_path):
+    from decimal import Decimal
+    pschema = ("eventType string, productId string, sku string, category string, stockQuantity int, "
+               "stockDelta int, price decimal(12,2), occurredAt timestamp, eventSeq long")
+    fschema = ("eventType string, jobId string, productId string, sku string, status string, "
+               "totalPredictedDemand decimal(18,2), mae decimal(10,4), errorMessage string, occurredAt timestamp")
+    prod, fc = tmp_path / "p", tmp_path / "f"
+    # batch 1: stock 40 at 08:00; batch 2: forecast at 09:00 (total 90 > 2 x 40 -> surge)
+    spark.createDataFrame([("STOCK_ADJUSTED", "7", "SKU-7", "C", 40, -5, None, T0 + dt.timedelta(hours=8), 1)],
+                          pschema).write.json(str(prod / "b1"))
+    # the forecast folder must exist for the stream to start: an empty first file
+    spark.createDataFrame([], fschema).write.json(str(fc / "b0"))
+    run = str(tmp_path / "run")
+
+    def run_once():
+        p_src = spark.readStream.schema(pschema).option("recursiveFileLookup", "true").json(str(prod))
+        f_src = spark.readStream.schema(fschema).option("recursiveFileLookup", "true").json(str(fc))
+        SJ.run_available_now(SJ.forecast_alerts_stateful(p_src, f_src), run + "/ckpt", path=run + "/out")
+
+    run_once()                       # first run: only the stock change, kept in state
+    spark.createDataFrame([("FORECAST_COMPLETED", "j1", "7", "SKU-7", "COMPLETED", Decimal("90.00"), None, None,
+                            T0 + dt.timedelta(hours=9)),
+                           ("FORECAST_COMPLETED", "j2", "8", "SKU-8", "COMPLETED", Decimal("150.00"), None, None,
+                            T0 + dt.timedelta(hours=9))], fschema).write.json(str(fc / "b2"))
+    run_once()                       # restart from the checkpoint: the forecast meets the stored stock
+    got = {(r.sku, r.type): r.message for r in spark.read.parquet(run + "/out").collect()}
+    assert set(got) == {("SKU-7", "DEMAND_SURGE")}  # SKU-8 falls back to stock 100: 150 < 200
+    assert "current stock is only 40 units" in got[("SKU-7", "DEMAND_SURGE")]
