@@ -218,11 +218,15 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
     summaries = summaries.withColumn(
         "_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
     # phase 2: fold the chunk summaries of each product (<= one row per partition)
-    starts = _pinned(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
-                     .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint"))
+    # one row per chunk; its input is checkpointed and the fold deterministic,
+    # so a cached copy suffices (a lost block is recomputed from the checkpoint)
+    starts = (summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+              .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint")
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    n_starts = starts.count()
 
     # phase 3: replay every chunk from its opening balance
-    if starts.count() <= BROADCAST_STARTS_MAX_ROWS:
+    if n_starts <= BROADCAST_STARTS_MAX_ROWS:
         # size-checked broadcast: the chunked side keeps partitioning and order
         tagged = chunked.join(F.broadcast(starts), ["_k0", "_chunk"])
     else:
