@@ -136,3 +136,29 @@ def test_order_total_and_reads(spark):
     assert RD.products_by_category(products).count() == 3
     assert sorted(r.product_id for r in RD.low_stock_products(products, 5).collect()) == [1, 2]
     assert F is not None
+
+
+def test_stock_as_of_random_against_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(17)
+    base = dt.datetime(2024, 1, 1)
+    stock_rows, ev_rows = [], []
+    for i in range(2000):
+        p = 0 if rng.random() < 0.34 else int(rng.integers(1, 20))      # product 0 is hot
+        stock_rows.append((p, base + dt.timedelta(minutes=int(rng.integers(0, 6 * 1440))), i,
+                           int(rng.integers(0, 500))))
+    for j in range(300):
+        p = int(rng.integers(0, 22))                                      # 20, 21: no stock at all
+        t = base + dt.timedelta(minutes=int(rng.integers(0, 7 * 1440)))
+        if j % 10 == 0 and stock_rows:                                    # exact-instant ties
+            t = stock_rows[j][1]
+            p = stock_rows[j][0]
+        ev_rows.append((p, t))
+    ev_rows = list(set(ev_rows))
+    stock = spark.createDataFrame(stock_rows, "product_id long, ts timestamp, event_id long, balance long")
+    ev = spark.createDataFrame(ev_rows, "product_id long, occurred_at timestamp")
+    got = {(r.product_id, r.occurred_at): r.current_stock for r in AL.stock_as_of(ev, stock).collect()}
+    for p, t in ev_rows:
+        cands = [(ts, i, b) for q, ts, i, b in stock_rows if q == p and ts <= t]
+        want = max(cands)[2] if cands else 100
+        assert got[(p, t)] == want, (p, t)
