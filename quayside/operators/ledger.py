@@ -41,34 +41,37 @@ def _transfer(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exact piecewise transfer function of one chunk.
 
     Returns ``(lo, shift)``: for a start balance b with lo[j] <= b < lo[j+1]
-    (the last piece open-ended) the chunk ends at b + shift[j].
+    (the last piece open-ended) the chunk ends at b + shift[j]. Only negative
+    deltas can split a piece; the positive ones between them are added in bulk.
     """
     prefix = np.cumsum(deltas)
     deficit = int(max(0, -prefix.min())) if len(prefix) else 0
     total = int(prefix[-1]) if len(prefix) else 0
     if deficit == 0:
         return np.array([0], dtype=np.int64), np.array([total], dtype=np.int64)
+    neg = np.flatnonzero(deltas < 0)
+    gains = np.cumsum(np.where(deltas > 0, deltas, 0))
     lo = np.array([0], dtype=np.int64)
     shift = np.array([0], dtype=np.int64)
-    for d in deltas.tolist():
-        if d >= 0:
-            shift = shift + d
-            continue
-        need = -d
+    seen = 0                                       # positive total already applied
+    for i in neg.tolist():
+        shift = shift + (int(gains[i]) - seen)     # the positives before this delta
+        seen = int(gains[i])
+        need = -int(deltas[i])
         hi = np.append(lo[1:], np.iinfo(np.int64).max)
         split = need - shift                       # first start accepted in each piece
         whole = split <= lo                        # piece fully accepted
         part = (split > lo) & (split < hi)         # piece cut in two
-        new_shift = np.where(whole, shift + d, shift)
+        new_shift = np.where(whole, shift - need, shift)
         if part.any():
             idx = np.flatnonzero(part)
             lo = np.insert(lo, idx + 1, split[idx])
-            new_shift = np.insert(new_shift, idx + 1, shift[idx] + d)
+            new_shift = np.insert(new_shift, idx + 1, shift[idx] - need)
         shift = new_shift
         keep = np.ones(len(lo), dtype=bool)        # merge neighbours with equal shift
         keep[1:] = shift[1:] != shift[:-1]
         lo, shift = lo[keep], shift[keep]
-    return lo, shift
+    return lo, shift + (int(gains[-1]) - seen)
 
 
 def _replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
