@@ -9,11 +9,16 @@ It is still split across tasks, hot products included, as a three-phase scan:
    a product holding a third of all rows spans many partitions. The tagged
    chunks are checkpointed to the shared checkpoint folder, which pins the
    chunk boundaries and cuts lineage for executor loss.
-2. Each chunk is summarised, in parallel, by its exact transfer function
-   ``end = start + shift(start)``: a short sorted list of (from_balance, shift)
-   pieces; every start at or above the chunk's largest deficit takes the
-   plain total. A per-product fold over those summaries (at most one row per
-   partition the product touches) gives each chunk's opening balance.
+2. The reflected walk ``r = max(0, r + d)`` composes in parallel (a chunk
+   maps a start s to ``max(s + total, m)``), and the refusal ledger always
+   lies in ``[r, r + w)`` with w the largest negative step seen so far. A
+   fold over one row per chunk gives every chunk's start window; each chunk
+   is then summarised, in parallel, by its exact transfer function on that
+   window only (``end = start + shift(start)``; a table of distinct balances
+   for narrow windows, sorted pieces for wide ones; one piece when the window
+   lies above the chunk's deficit). A second fold over the summaries gives
+   each chunk's exact opening balance. Without the window a draining product
+   would need one piece per delta.
 3. Chunks are replayed in parallel from their opening balances: a vectorised
    cumulative sum when the opening covers the chunk's deficit, a plain loop
    over that chunk otherwise.
@@ -35,30 +40,36 @@ from ..session import ensure_checkpoint_dir
 # Starts table at or below this many rows is broadcast to the replay; above it,
 # a shuffle join on (product, chunk) is used.
 BROADCAST_STARTS_MAX_ROWS = 2_000_000
+# start windows up to this width are tabulated; wider ones use pieces
+TABULATE_MAX_WIDTH = 4096
 
 
-def _transfer(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact piecewise transfer function of one chunk.
+def _transfer(deltas: np.ndarray, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exact piecewise transfer function of one chunk on start balances [a, b).
 
-    Returns ``(lo, shift)``: for a start balance b with lo[j] <= b < lo[j+1]
-    (the last piece open-ended) the chunk ends at b + shift[j]. Only negative
-    deltas can split a piece; the positive ones between them are added in bulk.
+    Returns ``(lo, shift)``: for a start balance s with lo[j] <= s < lo[j+1]
+    (the last piece running to ``b``) the chunk ends at s + shift[j]. Only
+    negative deltas can split a piece; the positive ones between them are
+    added in bulk. Starts at or above the chunk's deficit take the plain total.
     """
     prefix = np.cumsum(deltas)
     deficit = int(max(0, -prefix.min())) if len(prefix) else 0
     total = int(prefix[-1]) if len(prefix) else 0
-    if deficit == 0:
-        return np.array([0], dtype=np.int64), np.array([total], dtype=np.int64)
+    if deficit <= a:
+        return np.array([a], dtype=np.int64), np.array([total], dtype=np.int64)
+    end = np.iinfo(np.int64).max if b is None else b
+    if b is not None and b - a <= TABULATE_MAX_WIDTH:
+        return _transfer_table(deltas, a, b)
     neg = np.flatnonzero(deltas < 0)
     gains = np.cumsum(np.where(deltas > 0, deltas, 0))
-    lo = np.array([0], dtype=np.int64)
+    lo = np.array([a], dtype=np.int64)
     shift = np.array([0], dtype=np.int64)
     seen = 0                                       # positive total already applied
     for i in neg.tolist():
         shift = shift + (int(gains[i]) - seen)     # the positives before this delta
         seen = int(gains[i])
         need = -int(deltas[i])
-        hi = np.append(lo[1:], np.iinfo(np.int64).max)
+        hi = np.append(lo[1:], end)
         split = need - shift                       # first start accepted in each piece
         whole = split <= lo                        # piece fully accepted
         part = (split > lo) & (split < hi)         # piece cut in two
@@ -74,6 +85,41 @@ def _transfer(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, shift + (int(gains[-1]) - seen)
 
 
+def _transfer_table(deltas: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same function for a narrow window, as a table of the distinct
+    balances reached from every start in [a, b). Trajectories that meet stay
+    together, so the table shrinks; once one value is left the rest of the
+    chunk is a scalar loop."""
+    starts = np.arange(a, b, dtype=np.int64)
+    uniq = starts.copy()                           # distinct current balances
+    idx = np.arange(len(starts))                   # start -> position in uniq
+    ds = deltas.tolist()
+    i = 0
+    while i < len(ds):
+        if len(uniq) == 1:
+            v = int(uniq[0])
+            for x in ds[i:]:
+                if v + x >= 0:
+                    v += x
+            uniq = np.array([v], dtype=np.int64)
+            break
+        x = ds[i]
+        i += 1
+        if x >= 0:
+            uniq = uniq + x
+            continue
+        ok = uniq + x >= 0
+        if ok.all():
+            uniq = uniq + x
+        elif ok.any():
+            uniq, inv = np.unique(np.where(ok, uniq + x, uniq), return_inverse=True)
+            idx = inv[idx]
+    shift = uniq[idx] - starts
+    keep = np.ones(len(shift), dtype=bool)
+    keep[1:] = shift[1:] != shift[:-1]
+    return starts[keep], shift[keep]
+
+
 def _replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Balances after each delta and acceptance flags, from a known start."""
     prefix = np.cumsum(deltas)
@@ -103,33 +149,80 @@ def _run_starts(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _summaries(it):
-    """Per partition (= chunk), rows sorted by key: one transfer function per
-    key run. Runs are cut with numpy; only runs with a deficit go through the
-    piecewise loop. The last run of an Arrow batch may continue in the next
-    one, so its rows are held back and prepended."""
+def _iter_runs(it, extra: tuple[str, ...] = ()):
+    """Complete (key, chunk) runs of rows sorted by key (and chunk), across
+    Arrow batches: the last run of a batch may continue in the next one, so
+    its rows are held back and prepended. Yields (key, chunk, deltas, extras)."""
     held = None
     for pdf in it:
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        k0, d = pdf["_k0"].to_numpy(), pdf["_delta"].to_numpy(dtype=np.int64)
-        bounds = np.append(_run_starts(k0), len(pdf))
+        k0, ch = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
+        d = pdf["_delta"].to_numpy(dtype=np.int64)
+        ex = [pdf[c].to_numpy() for c in extra]
+        bounds = np.append(_run_starts(k0, ch), len(pdf))
         held = pdf.iloc[bounds[-2]:]
-        rows = [_summary_row(k0, pdf["_chunk"].to_numpy(), d, a, b)
-                for a, b in zip(bounds[:-2], bounds[1:-1])]
-        if rows:
-            yield pd.DataFrame(rows, columns=["_k0", "_chunk", "_lo", "_shift"])
+        for a, b in zip(bounds[:-2], bounds[1:-1]):
+            yield k0[a], int(ch[a]), d[a:b], [e[a] for e in ex]
     if held is not None and not held.empty:
-        k0, d = held["_k0"].to_numpy(), held["_delta"].to_numpy(dtype=np.int64)
-        yield pd.DataFrame([_summary_row(k0, held["_chunk"].to_numpy(), d, 0, len(held))],
-                           columns=["_k0", "_chunk", "_lo", "_shift"])
+        yield (held["_k0"].iat[0], int(held["_chunk"].iat[0]), held["_delta"].to_numpy(dtype=np.int64),
+               [held[c].iat[0] for c in extra])
+
+
+def _batched(rows_iter, columns, size: int = 4096):
+    rows = []
+    for r in rows_iter:
+        rows.append(r)
+        if len(rows) >= size:
+            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _reflections(it):
+    """Phase A, per chunk run: the reflected walk r = max(0, r + d) maps a
+    start s to max(s + total, m) with m = total - min(0, min prefix); plus the
+    largest negative step. All vectorised."""
+    def rows():
+        for k, c, d, _ in _iter_runs(it):
+            pre = np.cumsum(d)
+            total = int(pre[-1])
+            yield (k, c, total, total - min(0, int(pre.min())), max(0, -int(d.min())))
+    yield from _batched(rows(), ["_k0", "_chunk", "_total", "_m", "_dneg"])
+
+
+def _bounds_fold(it):
+    """Phase B, per product over its chunks in order: the reflected balance
+    at each chunk start (exact, from the opening) and the width w of the
+    window [r, r + w) that must hold the true balance. The refusal ledger never
+    drops below the reflected walk and never exceeds it by the largest
+    negative step seen so far (a refusal leaves at most |d| - 1 above it)."""
+    last_key, r, w = object(), 0, 0
+    for pdf in it:
+        keys, chunks = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
+        op, tot = pdf["_opening"].to_numpy(dtype=np.int64), pdf["_total"].to_numpy(dtype=np.int64)
+        m, dneg = pdf["_m"].to_numpy(dtype=np.int64), pdf["_dneg"].to_numpy(dtype=np.int64)
+        lo = np.empty(len(pdf), dtype=np.int64)
+        width = np.empty(len(pdf), dtype=np.int64)
+        for i in range(len(pdf)):
+            if keys[i] != last_key:
+                last_key, r, w = keys[i], int(op[i]), 0
+            lo[i], width[i] = r, max(1, w)
+            r = max(r + int(tot[i]), int(m[i]))
+            w = max(w, int(dneg[i]))
+        yield pd.DataFrame({"_k0": keys, "_chunk": chunks, "_a": lo, "_w": width})
 
 
-def _summary_row(k0, chunk, d, a, b):
-    lo, sh = _transfer(d[a:b])
-    return (k0[a], int(chunk[a]), lo.tolist(), sh.tolist())
+def _summaries(it):
+    """Phase C, per chunk run: its exact transfer function on its start window."""
+    def rows():
+        for k, c, d, (a, w) in _iter_runs(it, ("_a", "_w")):
+            lo, sh = _transfer(d, int(a), int(a) + int(w))
+            yield (k, c, lo.tolist(), sh.tolist())
+    yield from _batched(rows(), ["_k0", "_chunk", "_lo", "_shift"])
 
 
 def _fold_starts(it):
@@ -139,13 +232,15 @@ def _fold_starts(it):
     last_key, bal = object(), 0
     for pdf in it:
         keys, chunks = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
-        opening = pdf["_opening"].to_numpy(dtype=np.int64)
         starts = np.empty(len(pdf), dtype=np.int64)
         for i, (lo, sh) in enumerate(zip(pdf["_lo"], pdf["_shift"])):
             if keys[i] != last_key:
-                last_key, bal = keys[i], int(opening[i])
+                # the first chunk's window is [opening, opening + 1)
+                last_key, bal = keys[i], int(lo[0])
             starts[i] = bal
             j = int(np.searchsorted(np.asarray(lo, dtype=np.int64), bal, side="right")) - 1
+            if j < 0:
+                raise ValueError(f"ledger: balance {bal} below the start window of chunk {chunks[i]}")
             bal = bal + int(sh[j])
         yield pd.DataFrame({"_k0": keys, "_chunk": chunks, "_start": starts})
 
@@ -191,6 +286,24 @@ def _pinned(df: DataFrame) -> DataFrame:
     return out
 
 
+def _small(df: DataFrame) -> tuple[DataFrame, int]:
+    """A one-row-per-chunk table, cached and counted (the count decides the
+    join below). Its inputs are checkpointed and its fold deterministic, so a
+    lost block is recomputed from the checkpoint."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
+def _attach(chunked: DataFrame, small: tuple[DataFrame, int]) -> DataFrame:
+    """Join a per-chunk table to the chunk rows, keeping rows in chunk order:
+    broadcast after a size check (partitioning and order are kept), else a
+    shuffle join followed by a sort within partitions."""
+    table, rows = small
+    if rows <= BROADCAST_STARTS_MAX_ROWS:
+        return chunked.join(F.broadcast(table), ["_k0", "_chunk"])
+    return chunked.join(table, ["_k0", "_chunk"]).sortWithinPartitions("_k0", "_chunk", "_ts", "_seq")
+
+
 def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "product_id",
            ts: str = "ts", seq: str = "event_id", delta: str = "delta",
            default_opening: int = 0, num_chunks: int | None = None) -> DataFrame:
@@ -211,30 +324,27 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
                       .withColumn("_chunk", F.spark_partition_id()))
     ktype = chunked.schema["_k0"].dataType.simpleString()
 
-    summaries = chunked.select("_k0", "_chunk", "_delta").mapInPandas(
-        _summaries, f"_k0 {ktype}, _chunk int, _lo array<bigint>, _shift array<bigint>")
+    # phase A: reflected-walk map of every chunk (vectorised, parallel)
+    refl = chunked.select("_k0", "_chunk", "_delta").mapInPandas(
+        _reflections, f"_k0 {ktype}, _chunk int, _total bigint, _m bigint, _dneg bigint")
     if opening is not None:
         op = opening.select(F.col(key).alias("_k0"), F.col("opening").cast("bigint").alias("_op"))
-        summaries = summaries.join(op, "_k0", "left")
-    else:
-        summaries = summaries.withColumn("_op", F.lit(None).cast("bigint"))
-    summaries = summaries.withColumn(
-        "_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
-    # phase 2: fold the chunk summaries of each product (<= one row per partition)
-    # one row per chunk; its input is checkpointed and the fold deterministic,
-    # so a cached copy suffices (a lost block is recomputed from the checkpoint)
-    starts = (summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
-              .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint")
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    n_starts = starts.count()
-
-    # phase 3: replay every chunk from its opening balance
-    if n_starts <= BROADCAST_STARTS_MAX_ROWS:
-        # size-checked broadcast: the chunked side keeps partitioning and order
-        tagged = chunked.join(F.broadcast(starts), ["_k0", "_chunk"])
+        refl = refl.join(op, "_k0", "left")
     else:
-        tagged = (chunked.join(starts, ["_k0", "_chunk"])
-                  .sortWithinPartitions("_k0", "_chunk", "_ts", "_seq"))
+        refl = refl.withColumn("_op", F.lit(None).cast("bigint"))
+    refl = refl.withColumn("_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
+    # phase B: start window of every chunk (a fold over <= one row per
+    # partition the product touches); cached: derived from the checkpoint
+    windows = _small(refl.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+                     .mapInPandas(_bounds_fold, f"_k0 {ktype}, _chunk int, _a bigint, _w bigint"))
+    # phase C: exact transfer function of every chunk on its window (parallel)
+    summaries = _attach(chunked, windows).select("_k0", "_chunk", "_delta", "_a", "_w").mapInPandas(
+        _summaries, f"_k0 {ktype}, _chunk int, _lo array<bigint>, _shift array<bigint>")
+    # phase D: exact opening balance of every chunk
+    starts = _small(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+                    .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint"))
+    # phase E: replay every chunk from its opening balance (parallel)
+    tagged = _attach(chunked, starts)
     tagged = tagged.select("_k0", "_chunk", "_ts", "_seq", "_delta", "_start")
     schema = (f"_k0 {ktype}, _chunk int, _ts {chunked.schema['_ts'].dataType.simpleString()}, "
               f"_seq {chunked.schema['_seq'].dataType.simpleString()}, _delta bigint, "

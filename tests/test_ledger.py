@@ -95,3 +95,30 @@ def test_runs_split_across_arrow_batches(spark):
             want[i] = res
     assert [(r.balance, r.accepted) for r in got] == [want[i] for i in range(len(rows))]
     assert all(r.balance_before + (r.delta if r.accepted else 0) == r.balance for r in got)
+
+
+@pytest.mark.parametrize("width", [1, 7, 40, 5000])
+def test_windowed_transfer_matches_loop(width):
+    rng = np.random.default_rng(width)
+    for _ in range(40):
+        d = rng.integers(-35, 30, size=int(rng.integers(1, 300)))
+        a = int(rng.integers(0, 60))
+        lo, sh = LG._transfer(d, a, a + width)
+        assert lo[0] == a
+        for b in list(range(a, a + min(width, 80))) + [a + width - 1]:
+            j = np.searchsorted(lo, b, side="right") - 1
+            assert b + sh[j] == brute(b, d.tolist())[-1][0]
+
+
+def test_reflected_window_holds_true_balance():
+    """The refusal ledger stays within [reflected, reflected + largest negative step)."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        d = rng.integers(-40, 35, size=200).tolist()
+        s = int(rng.integers(0, 30))
+        b, r, w = s, s, 0
+        for x in d:
+            b = b + x if b + x >= 0 else b
+            r = max(0, r + x)
+            w = max(w, -x)
+            assert r <= b < r + max(1, w)
