@@ -146,42 +146,54 @@ def all_alerts(*parts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- J7
 def stock_as_of(events: DataFrame, stock: DataFrame, key: str = "product_id",
                 t: str = "occurred_at", stock_ts: str = "ts", stock_seq: str = "event_id",
-                stock_col: str = "balance", default: int | None = C.DEFAULT_CURRENT_STOCK) -> DataFrame:
-    """Each event gets the product's latest stock at or before its time.
-
-    Skew-safe: the stock side is first reduced map-side to its last row per
-    (product, day), so a hot product contributes one row per day. The answer is
-    either the last stock row of the event's own day at or before the event
-    (equi-join on product and day, then a partially aggregated max), or the
-    last daily row of an earlier day (a window over at most one row per day
-    and event). A stock row at the same instant as the event counts.
+                stock_col: str = "balance", default: int | None = C.DEFAULT_CURRENT_STOCK,
+                bucket: str = "day") -> DataFrame:
+    """Each event gets the product's latest stock at or before its time (a
+    stock row at the same instant counts; among equal instants the highest
+    sequence wins).
+
+    Two levels, neither of which pairs stock rows with events nor holds a
+    product's whole history in one task:
+    1. within the event's time bucket (``bucket``: a ``date_trunc`` unit): the
+       stock rows of buckets that have events, unioned with the events and
+       ordered by time -- a running ``last(ignorenulls)`` gives the answer;
+    2. otherwise the last stock row of the latest earlier bucket: stock is
+       reduced map-side to one row per (product, bucket), then a window over
+       those rows (one per bucket) carries it forward.
     """
-    ev = events.withColumn("_d", F.to_date(F.col(t)))
-    st = stock.select(F.col(key), F.col(stock_ts).alias("_ts"), F.col(stock_seq).alias("_seq"),
-                      F.col(stock_col).alias("_stock"), F.to_date(F.col(stock_ts)).alias("_d"))
-    ev_keys = ev.select(key, t, "_d").distinct()
-
-    # same day, at or before the event instant
-    same = (ev_keys.join(st, [key, "_d"])
-            .where(F.col("_ts") <= F.col(t))
-            .groupBy(key, t).agg(F.max_by("_stock", F.struct("_ts", "_seq")).alias("_same")))
-
-    # earlier days: last row of each day, then the last such day before the event day
-    daily = st.groupBy(key, "_d").agg(F.max_by("_stock", F.struct("_ts", "_seq")).alias("_day_last"))
-    marks = (ev_keys.select(key, "_d", t, F.lit(None).cast("bigint").alias("_day_last"), F.lit(1).alias("_side"))
-             .unionByName(daily.select(key, "_d", F.lit(None).cast(ev.schema[t].dataType).alias(t),
-                                       F.col("_day_last").cast("bigint"), F.lit(0).alias("_side"))))
-    w = (Window.partitionBy(key).orderBy("_d", F.col("_side").desc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    before = (marks.select(key, t, "_side", F.last("_day_last", ignorenulls=True).over(w).alias("_before"))
+    b = lambda c: F.date_trunc(bucket, F.col(c))
+    st = stock.select(F.col(key), F.col(stock_ts).alias("_o"), F.col(stock_seq).alias("_seq"),
+                      F.col(stock_col).cast("bigint").alias("_stock"), b(stock_ts).alias("_b"))
+    ev_keys = events.select(F.col(key), F.col(t), b(t).alias("_b")).distinct()
+    ev_buckets = ev_keys.select(key, "_b").distinct()
+
+    # level 1: same bucket, at or before the event
+    u = (st.join(ev_buckets, [key, "_b"], "left_semi")
+         .select(key, "_b", "_o", F.lit(0).alias("_side"), "_seq", "_stock",
+                 F.lit(None).cast(ev_keys.schema[t].dataType).alias(t))
+         .unionByName(ev_keys.select(key, "_b", F.col(t).alias("_o"), F.lit(1).alias("_side"),
+                                     F.lit(None).cast("bigint").alias("_seq"),
+                                     F.lit(None).cast("bigint").alias("_stock"), F.col(t))))
+    w1 = (Window.partitionBy(key, "_b").orderBy("_o", "_side", "_seq")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = (u.select(key, t, "_side", F.last("_stock", ignorenulls=True).over(w1).alias("_same"))
+            .where(F.col("_side") == 1).drop("_side"))
+
+    # level 2: last row of the latest earlier bucket
+    last_of_bucket = st.groupBy(key, "_b").agg(F.max_by("_stock", F.struct("_o", "_seq")).alias("_last"))
+    marks = (ev_buckets.select(key, "_b", F.lit(None).cast("bigint").alias("_last"), F.lit(1).alias("_side"))
+             .unionByName(last_of_bucket.select(key, "_b", "_last", F.lit(0).alias("_side"))))
+    w2 = (Window.partitionBy(key).orderBy("_b", F.col("_side").desc())
+          .rowsBetween(Window.unboundedPreceding, -1))
+    before = (marks.select(key, "_b", "_side", F.last("_last", ignorenulls=True).over(w2).alias("_before"))
               .where(F.col("_side") == 1).drop("_side"))
 
     found = F.coalesce(F.col("_same"), F.col("_before"))
     if default is not None:
         found = F.coalesce(found, F.lit(default))
-    return (ev.join(same, [key, t], "left").join(before, [key, t], "left")
+    return (events.withColumn("_b", b(t)).join(same, [key, t], "left").join(before, [key, "_b"], "left")
             .withColumn("current_stock", found.cast("int"))
-            .drop("_same", "_before", "_d"))
+            .drop("_same", "_before", "_b"))
 
 
 # ------------------------------------------------------------------------- C10

@@ -138,7 +138,8 @@ def test_order_total_and_reads(spark):
     assert F is not None
 
 
-def test_stock_as_of_random_against_brute_force(spark):
+@pytest.mark.parametrize("bucket", ["day", "hour"])
+def test_stock_as_of_random_against_brute_force(spark, bucket):
     import numpy as np
     rng = np.random.default_rng(17)
     base = dt.datetime(2024, 1, 1)
@@ -157,7 +158,8 @@ def test_stock_as_of_random_against_brute_force(spark):
     ev_rows = list(set(ev_rows))
     stock = spark.createDataFrame(stock_rows, "product_id long, ts timestamp, event_id long, balance long")
     ev = spark.createDataFrame(ev_rows, "product_id long, occurred_at timestamp")
-    got = {(r.product_id, r.occurred_at): r.current_stock for r in AL.stock_as_of(ev, stock).collect()}
+    got = {(r.product_id, r.occurred_at): r.current_stock
+           for r in AL.stock_as_of(ev, stock, bucket=bucket).collect()}
     for p, t in ev_rows:
         cands = [(ts, i, b) for q, ts, i, b in stock_rows if q == p and ts <= t]
         want = max(cands)[2] if cands else 100
