@@ -11,11 +11,24 @@ PRODUCT_FIELDS = ("name", "sku", "category", "price", "stock_quantity")
 
 
 # ------------------------------------------------------------------ S8
+def _last_per_key(incoming: DataFrame, key: str, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Several writes to one id in a batch: the last one (by ``order``) wins and
+    each write counts for the version. A partially aggregated ``max_by``, so an
+    id written by a large share of the batch is reduced map-side."""
+    cols = [c for c in incoming.columns if c != key]
+    o = F.struct(*[F.col(c) for c in order], F.struct(*cols))
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*cols), o).alias("_last"),
+                                     F.count(F.lit(1)).alias("_writes"))
+    return last.select(key, "_last.*", "_writes")
+
+
 def upsert_products(stored: DataFrame, incoming: DataFrame, key: str = "product_id") -> DataFrame:
     """Known id: overwrite name, sku, category, price, stock; keep created_at;
-    version + 1. Unknown id: insert with version 0. Untouched rows stay."""
+    version + 1 per write. Unknown id: insert with version 0 (+1 per further
+    write in the same batch). Untouched rows stay. Several writes to one id in
+    a batch: the last by updated_at wins."""
     s = stored.alias("s")
-    i = incoming.alias("i")
+    i = _last_per_key(incoming, key).alias("i")
     j = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
     new = F.col(f"i.{key}").isNotNull()
     cols = [F.coalesce(F.col(f"i.{key}"), F.col(f"s.{key}")).alias(key)]
@@ -23,8 +36,8 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, key: str = "product_
     cols += [
         F.coalesce(F.col("s.created_at"), F.col("i.created_at")).alias("created_at"),
         F.when(new, F.col("i.updated_at")).otherwise(F.col("s.updated_at")).alias("updated_at"),
-        F.when(new & F.col(f"s.{key}").isNotNull(), F.col("s.version") + 1)
-        .when(new, F.lit(0).cast("bigint")).otherwise(F.col("s.version")).alias("version"),
+        F.when(new & F.col(f"s.{key}").isNotNull(), F.col("s.version") + F.col("i._writes"))
+        .when(new, F.col("i._writes") - 1).otherwise(F.col("s.version")).cast("bigint").alias("version"),
     ]
     return j.select(*cols)
 

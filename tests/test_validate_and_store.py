@@ -100,3 +100,17 @@ def test_append_alerts_skips_known_ids(spark, tmp_path):
                                ("y", "LOW_STOCK", "WARNING", 1, "S", "t", "m", T0)], cols)
     ST.append_alerts(b, path, existing=spark.read.parquet(path))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["x", "y"]
+
+
+def test_upsert_products_several_writes_last_wins(spark):
+    cols = ("product_id long, name string, sku string, category string, price decimal(12,2), stock_quantity int, "
+            "created_at timestamp, updated_at timestamp")
+    stored = spark.createDataFrame([(1, "A", "S1", "C", Decimal("1.00"), 5, T0, T0, 2)], cols + ", version long")
+    t1, t2 = T0 + dt.timedelta(days=1), T0 + dt.timedelta(days=2)
+    incoming = spark.createDataFrame([(1, "A2", "S1", "C", Decimal("1.50"), 7, t1, t2),
+                                      (1, "A1", "S1", "C", Decimal("1.20"), 6, t1, t1),
+                                      (5, "N1", "S5", "C", Decimal("3.00"), 1, t1, t1),
+                                      (5, "N2", "S5", "C", Decimal("3.10"), 2, t1, t2)], cols)
+    got = {r.product_id: r for r in ST.upsert_products(stored, incoming).collect()}
+    assert (got[1].name, got[1].stock_quantity, got[1].version, got[1].created_at) == ("A2", 7, 4, T0)
+    assert (got[5].name, got[5].version, got[5].created_at) == ("N2", 1, t1)
