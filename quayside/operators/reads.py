@@ -8,7 +8,7 @@ Filters are plain predicates so Catalyst pushes them into the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 

@@ -725,7 +725,6 @@ def q_forecast_custom_model(spark, base):
 
 
 # ============================================================ streaming twins
-from ..schemas import TOPIC_SCHEMAS  # noqa: E402
 from ..streaming import jobs as SJ  # noqa: E402
 
 
