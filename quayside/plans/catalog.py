@@ -819,3 +819,30 @@ def q_stream_order_forecasts(spark, base):
     SJ.run_available_now(src, f"{run}/_checkpoint",
                          sink=SJ.order_forecast_sink(f"{run}/jobs", f"{run}/points", _item_forecasts))
     return spark.read.parquet(f"{run}/points").drop("batch_id")
+
+
+# ============================================================ alert store and fan-out
+from ..operators import notify as NT  # noqa: E402
+
+
+@query("append_alerts")
+def q_append_alerts(spark, base):
+    """S11: the alerts are appended, then appended again as a redelivery; ids
+    already stored are skipped, so the store holds each alert once."""
+    run = SJ.scratch(spark, "alert-store")
+    alerts = LG._pinned(alerts_table(spark, base))   # one incoming batch, delivered twice
+    ST.append_alerts(alerts, run)
+    ST.append_alerts(alerts, run, existing=spark.read.parquet(run))
+    return spark.read.parquet(run)
+
+
+@query("alert_fanout")
+def q_alert_fanout(spark, base):
+    """S12: every alert goes to the log channel, then the webhook channel; the
+    log channel's rows are returned (both channels are written)."""
+    run = SJ.scratch(spark, "fanout")
+    errors = NT.fanout([NT.log_channel(f"{run}/log"), NT.webhook_channel(f"{run}/webhook")])(
+        alerts_table(spark, base), 0)
+    if errors:
+        raise RuntimeError(f"notification channels failed: {errors}")
+    return spark.read.parquet(f"{run}/log")

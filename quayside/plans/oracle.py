@@ -834,6 +834,9 @@ SELECT id,
 FROM alerts_all""")
 
 
+ORACLE["append_alerts"] = with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts_all"
+ORACLE["alert_fanout"] = ORACLE["alert_log_lines"]
+
 # ------------------------------------------------------------ registry boundary
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
