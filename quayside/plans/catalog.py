@@ -846,3 +846,17 @@ def q_alert_fanout(spark, base):
     if errors:
         raise RuntimeError(f"notification channels failed: {errors}")
     return spark.read.parquet(f"{run}/log")
+
+
+@query("forecast_job_transitions")
+def q_forecast_job_transitions(spark, base):
+    """F2 + T3: each product job moves PENDING -> RUNNING -> COMPLETED or
+    FAILED; its two commands are replayed through the job machine."""
+    jobs, _ = forecast_jobs(spark, base)
+    t = FX.forecast_event_time("product_id")
+    cmds = jobs.select(F.col("id").alias("job_id"), t.alias("ts"), F.lit(0).cast("bigint").alias("event_id"),
+                       F.lit("START").alias("action")).unionByName(
+        jobs.select(F.col("id").alias("job_id"), t.alias("ts"), F.lit(1).cast("bigint").alias("event_id"),
+                    F.when(F.col("status") == "COMPLETED", "COMPLETE").otherwise("FAIL").alias("action")))
+    final, _ = LC.job_lifecycle(cmds)
+    return final

@@ -837,6 +837,13 @@ FROM alerts_all""")
 ORACLE["append_alerts"] = with_(*FULL) + f"SELECT {ALERT_COLS} FROM alerts_all"
 ORACLE["alert_fanout"] = ORACLE["alert_log_lines"]
 
+sql("forecast_job_transitions", with_(PRODUCTS, HIST, CHECKS) + """
+SELECT sha256('job:' || CAST(product_id AS VARCHAR)) AS job_id,
+       CASE WHEN failure_reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       CAST(2 AS BIGINT) AS n_events, CAST(2 AS BIGINT) AS n_accepted, CAST(0 AS BIGINT) AS n_refused,
+       CAST(TIMESTAMP '2024-01-10 12:00:00' + to_days(CAST(product_id % 15 AS INTEGER)) AS TIMESTAMP) AS last_change
+FROM checks""")
+
 # ------------------------------------------------------------ registry boundary
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
