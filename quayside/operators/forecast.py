@@ -36,6 +36,19 @@ def daily_demand(items: DataFrame, key: str = "product_id", ts: str = "occurred_
             .agg(F.sum(F.col(qty).cast("double")).alias("y")))
 
 
+# --------------------------------------------------------------------------- F4
+def keyed_items(items: DataFrame, order_key: str, content: Keys, carry: Keys = ()) -> DataFrame:
+    """Order items have no identity, so each gets ``item_key`` = its content
+    plus its index among identical items of the same order. Identical items
+    are counted by a group-by (partially aggregated, no sort of an order's
+    items) and expanded again with ``sequence``; equal items get equal
+    forecasts, so their order does not matter."""
+    g = items.groupBy(order_key, *content, *carry).agg(F.count(F.lit(1)).alias("_copies"))
+    g = g.select("*", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_dup"))
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in content], F.col("_dup").cast("string"))
+    return g.select(order_key, key.alias("item_key"), *content, *carry)
+
+
 # --------------------------------------------------------------------------- A8
 def seed_history(items: DataFrame, keys: Keys, ts: str = "occurred_at",
                  qty: str = "quantity", days: int = C.SEED_HISTORY_DAYS) -> DataFrame:

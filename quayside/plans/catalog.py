@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
@@ -127,25 +127,27 @@ def q_forecast_jobs(spark, base):
     return _dbl(jobs.drop("model"), "mae", "total_predicted_demand")
 
 
+ITEM_CONTENT = ("product_id", "sku", "quantity", "unit_price")
+ITEM_KEYS = ["order_id", "item_key"]
+
+
 def confirmed_order_items(spark, base) -> DataFrame:
-    """Items of CONFIRMED orders with a stable position inside their order."""
+    """Items of CONFIRMED orders, each with a content key (no per-order sort)."""
     o = FX.orders(spark, base).where(F.col("status") == "CONFIRMED").select("id", "created_at")
     items = FX.order_items(spark, base)
-    # position by a window (spillable sort), not by collecting an order's items
-    w = Window.partitionBy("order_id").orderBy("product_id", "quantity", "unit_price", "sku")
-    return (items.join(o, items.order_id == o.id)
-            .select("order_id", (F.row_number().over(w) - 1).alias("item_pos"),
-                    F.col("created_at").alias("occurred_at"), "product_id", "sku", "quantity"))
+    joined = items.join(o, items.order_id == o.id).select(
+        "order_id", *ITEM_CONTENT, F.col("created_at").alias("occurred_at"))
+    return FC.keyed_items(joined, "order_id", ITEM_CONTENT, ("occurred_at",))
 
 
 @query("seed_history")
 def q_seed_history(spark, base):
-    return FC.seed_history(confirmed_order_items(spark, base), ["order_id", "item_pos"])
+    return FC.seed_history(confirmed_order_items(spark, base), ITEM_KEYS)
 
 
 @query("forecast_per_confirmed_item")
 def q_forecast_per_item(spark, base):
-    keys = ["order_id", "item_pos"]
+    keys = ITEM_KEYS
     seeds = FC.seed_history(confirmed_order_items(spark, base), keys)
     pts = FC.points(FC.fit(seeds, keys), keys, 30, clamp_ingest=True)
     return pts
@@ -209,7 +211,7 @@ def q_all_alerts(spark, base):
 # ============================================================ stored model tables
 def item_jobs(spark, base):
     """One 30-day job per confirmed order item, on its seed history (F4)."""
-    keys = ["order_id", "item_pos"]
+    keys = ITEM_KEYS
     items = confirmed_order_items(spark, base)
     model = FC.fit(FC.seed_history(items, keys), keys)
     pts = FC.points(model, keys, 30, clamp_ingest=True, carry=("mae",))
@@ -218,13 +220,13 @@ def item_jobs(spark, base):
         .alias("total_predicted_demand"), F.max("mae").alias("mae"))
     pts = pts.drop("mae")
     jobs = (items.join(tot, keys)
-            .select(stable_id(F.lit("item"), "order_id", "item_pos").alias("id"), "product_id", "sku",
+            .select(stable_id(F.lit("item"), "order_id", "item_key").alias("id"), "product_id", "sku",
                     F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"),
                     F.lit("linear-trend").alias("model_used"), F.col("mae").cast("decimal(10,4)").alias("mae"),
                     F.lit(None).cast("string").alias("error_message"), "total_predicted_demand",
                     F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"),
                     F.lit(0).cast("bigint").alias("version")))
-    points = pts.join(items.select(*keys, stable_id(F.lit("item"), "order_id", "item_pos").alias("job_id")), keys)
+    points = pts.join(items.select(*keys, stable_id(F.lit("item"), "order_id", "item_key").alias("job_id")), keys)
     return jobs, points.drop(*keys)
 
 
@@ -798,11 +800,14 @@ def q_stream_forecast_alerts_stateful(spark, base):
 
 
 def _item_forecasts(batch: DataFrame):
-    keys = ["order_id", "item_pos"]
+    keys = ITEM_KEYS
     conf = RD.confirmed_orders(batch).select(
         F.col("orderId").cast("bigint").alias("order_id"), F.col("occurredAt").alias("occurred_at"),
-        F.posexplode("items").alias("item_pos", "item"))
-    items = conf.select("order_id", "item_pos", "occurred_at", F.col("item.quantity").alias("quantity"))
+        F.explode("items").alias("item"))
+    flat = conf.select("order_id", "occurred_at", F.col("item.productId").cast("bigint").alias("product_id"),
+                       F.col("item.sku").alias("sku"), F.col("item.quantity").alias("quantity"),
+                       F.col("item.unitPrice").alias("unit_price"))
+    items = FC.keyed_items(flat, "order_id", ITEM_CONTENT, ("occurred_at",))
     model = FC.fit(FC.seed_history(items, keys), keys)
     pts = FC.points(model, keys, 30, clamp_ingest=True)
     return model.select(*keys, "mae"), pts

@@ -230,25 +230,27 @@ sql("forecast_jobs", with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS,
 
 CONF_ITEMS = """
 conf_items AS (
-  SELECT order_id, CAST(row_number() OVER (PARTITION BY order_id
-                        ORDER BY product_id, quantity, unit_price, sku) - 1 AS INTEGER) AS item_pos,
+  SELECT order_id,
+         concat_ws(':', CAST(product_id AS VARCHAR), sku, CAST(quantity AS VARCHAR), CAST(unit_price AS VARCHAR),
+                   CAST(row_number() OVER (PARTITION BY order_id, product_id, sku, quantity, unit_price) - 1
+                        AS VARCHAR)) AS item_key,
          occurred_at, product_id, sku, quantity
   FROM (SELECT i.*, o.created_at AS occurred_at FROM items i
         JOIN orders_m o ON i.order_id = o.id WHERE o.status = 'CONFIRMED'))"""
 
 SEEDS = """
 seeds AS (
-  SELECT order_id, item_pos,
+  SELECT order_id, item_key,
          CAST(CAST(occurred_at AS DATE) - 30 + CAST(unnest(range(0, 30)) AS INTEGER) AS DATE) AS ds,
          CAST(quantity AS DOUBLE) AS y
   FROM conf_items)"""
 
-sql("seed_history", with_(ORDERS_M, ITEMS, CONF_ITEMS, SEEDS) + "SELECT order_id, item_pos, ds, y FROM seeds")
+sql("seed_history", with_(ORDERS_M, ITEMS, CONF_ITEMS, SEEDS) + "SELECT order_id, item_key, ds, y FROM seeds")
 
-_ITEM_KEYS = "order_id, item_pos"
+_ITEM_KEYS = "order_id, item_key"
 sql("forecast_per_confirmed_item",
     with_(ORDERS_M, ITEMS, CONF_ITEMS, SEEDS, *_fit_ctes("seeds", _ITEM_KEYS), *_points_ctes(_ITEM_KEYS))
-    + "SELECT order_id, item_pos, date, greatest(predicted_quantity, 0.0::DOUBLE) AS predicted_quantity, "
+    + "SELECT order_id, item_key, date, greatest(predicted_quantity, 0.0::DOUBLE) AS predicted_quantity, "
       "greatest(lower_bound, 0.0::DOUBLE) AS lower_bound, greatest(upper_bound, 0.0::DOUBLE) AS upper_bound FROM pts")
 
 # ------------------------------------------------------------ ledger (fold)
@@ -381,19 +383,19 @@ sql("all_alerts",
     + "SELECT id, type, severity, product_id, sku, title, message, occurred_at FROM alerts")
 
 # ------------------------------------------------------------ stored tables
-_IK = "order_id, item_pos"
+_IK = "order_id, item_key"
 ITEM_JOBS = [*_fit_ctes("seeds", _IK, "it_"), *_points_ctes(_IK, p="it_"), """
 it_totals AS (
-  SELECT order_id, item_pos,
+  SELECT order_id, item_key,
          CAST(sum(CAST(greatest(predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4))) AS DECIMAL(18,2)) AS total
-  FROM it_pts GROUP BY order_id, item_pos)""", """
+  FROM it_pts GROUP BY order_id, item_key)""", """
 item_jobs AS (
-  SELECT sha256('item:' || CAST(c.order_id AS VARCHAR) || ':' || CAST(c.item_pos AS VARCHAR)) AS id,
+  SELECT sha256('item:' || CAST(c.order_id AS VARCHAR) || ':' || c.item_key) AS id,
          c.product_id, c.sku, 30 AS horizon_days, 'COMPLETED' AS status, 'linear-trend' AS model_used,
          CAST(m.mae AS DECIMAL(10,4)) AS mae, CAST(NULL AS VARCHAR) AS error_message,
          t.total AS total_predicted_demand, c.occurred_at AS created_at, c.occurred_at AS updated_at,
          CAST(0 AS BIGINT) AS version
-  FROM conf_items c JOIN it_model m USING (order_id, item_pos) JOIN it_totals t USING (order_id, item_pos))"""]
+  FROM conf_items c JOIN it_model m USING (order_id, item_key) JOIN it_totals t USING (order_id, item_key))"""]
 
 JOBS_ALL = """
 jobs_all AS (
@@ -412,7 +414,7 @@ points_all AS (
          CAST(greatest(p.upper_bound, 0.0::DOUBLE) AS DECIMAL(12,4)) AS upper_bound
   FROM pts p JOIN jobs j USING (product_id)
   UNION ALL
-  SELECT sha256('item:' || CAST(order_id AS VARCHAR) || ':' || CAST(item_pos AS VARCHAR)), date,
+  SELECT sha256('item:' || CAST(order_id AS VARCHAR) || ':' || item_key), date,
          CAST(greatest(predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4)),
          CAST(greatest(lower_bound, 0.0::DOUBLE) AS DECIMAL(12,4)),
          CAST(greatest(upper_bound, 0.0::DOUBLE) AS DECIMAL(12,4))

@@ -47,7 +47,7 @@ def test_top1_per_product_is_limited_before_the_shuffle(spark):
 
 
 def test_seed_histories_shuffle_items_not_exploded_rows(spark):
-    keys = ["order_id", "item_pos"]
+    keys = CA.ITEM_KEYS
     items = CA.confirmed_order_items(spark, BASE)
     p = plan(FC.fit(FC.seed_history(items, keys), keys))
     # the exchange on the series key sits below the explode (Generate)
@@ -63,3 +63,8 @@ def test_lifecycle_rounds_do_not_duplicate_the_plan(spark):
     p = plan(final)
     # one events scan per round plus the key count, not 2^rounds copies
     assert count(r"FileScan parquet", p) <= 5
+
+
+def test_item_keys_need_no_per_order_sort(spark):
+    p = plan(CA.confirmed_order_items(spark, BASE))
+    assert "Window" not in p and "partial_count" in p
