@@ -708,16 +708,21 @@ def q_versioned_update(spark, base):
 
 # ============================================================ custom model hook
 def _mean_model(pdf, horizon):
-    """Example user model: flat forecast at the series mean, +/- one std."""
+    """Example user model: flat forecast at the series mean, +/- one population
+    standard deviation, rounded to 4 decimals."""
     import datetime as _dt
 
+    import numpy as _np
     import pandas as _pd
-    m, sd = float(pdf["y"].mean()), float(pdf["y"].std(ddof=0))
+    y = pdf["y"].to_numpy(dtype=float)
+    m = float(y.mean())
+    sd = float(_np.sqrt(((y - m) ** 2).mean()))
+    r4 = lambda v: float(_np.rint(v * 10000.0) / 10000.0)
     last = _pd.Timestamp(pdf["ds"].iloc[-1])
     return _pd.DataFrame({
         "product_id": pdf["product_id"].iloc[0],
         "date": [(last + _dt.timedelta(days=i)).date() for i in range(1, horizon + 1)],
-        "predicted_quantity": m, "lower_bound": max(0.0, m - sd), "upper_bound": m + sd})
+        "predicted_quantity": r4(m), "lower_bound": max(0.0, r4(m - sd)), "upper_bound": r4(m + sd)})
 
 
 @query("forecast_custom_model")

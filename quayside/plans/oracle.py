@@ -846,12 +846,26 @@ SELECT sha256('job:' || CAST(product_id AS VARCHAR)) AS job_id,
        CAST(TIMESTAMP '2024-01-10 12:00:00' + to_days(CAST(product_id % 15 AS INTEGER)) AS TIMESTAMP) AS last_change
 FROM checks""")
 
+sql("forecast_custom_model", with_(HIST, VALID) + """
+, stats AS (
+  SELECT product_id, max(ds) AS last_ds, avg(y) AS m FROM valid GROUP BY product_id),
+sd AS (
+  SELECT v.product_id, sqrt(avg((v.y - s.m) * (v.y - s.m))) AS sd
+  FROM valid v JOIN stats s USING (product_id) GROUP BY v.product_id),
+steps AS (
+  SELECT s.product_id, s.last_ds, s.m, d.sd, unnest(range(1, 31)) AS step FROM stats s JOIN sd d USING (product_id))
+SELECT product_id, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS date,
+       round_even(m * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS predicted_quantity,
+       greatest(0.0::DOUBLE, round_even((m - sd) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE) AS lower_bound,
+       round_even((m + sd) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS upper_bound
+FROM steps""".replace("\n\n, stats", ",\nstats"))
 # ------------------------------------------------------------ registry boundary
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
     "daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
     "forecast_points": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
     "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"],
+    "forecast_custom_model": ["date"],
 }
 
 
