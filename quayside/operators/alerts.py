@@ -147,53 +147,68 @@ def all_alerts(*parts: DataFrame) -> DataFrame:
 def stock_as_of(events: DataFrame, stock: DataFrame, key: str = "product_id",
                 t: str = "occurred_at", stock_ts: str = "ts", stock_seq: str = "event_id",
                 stock_col: str = "balance", default: int | None = C.DEFAULT_CURRENT_STOCK,
-                bucket: str = "day") -> DataFrame:
+                buckets: tuple[str, ...] = ("hour", "day")) -> DataFrame:
     """Each event gets the product's latest stock at or before its time (a
     stock row at the same instant counts; among equal instants the highest
     sequence wins).
 
-    Two levels, neither of which pairs stock rows with events nor holds a
-    product's whole history in one task:
-    1. within the event's time bucket (``bucket``: a ``date_trunc`` unit): the
-       stock rows of buckets that have events, unioned with the events and
-       ordered by time -- a running ``last(ignorenulls)`` gives the answer;
-    2. otherwise the last stock row of the latest earlier bucket: stock is
-       reduced map-side to one row per (product, bucket), then a window over
-       those rows (one per bucket) carries it forward.
+    Time is cut into nested buckets (``date_trunc`` units, finest first). The
+    answer is the last stock row of the event's finest bucket at or before the
+    event (a running ``last(ignorenulls)`` over those stock rows and the events,
+    ordered by time), else the last row of the latest earlier finest bucket in
+    the same next-coarser bucket, and so on up to the coarsest level, which is
+    carried across a product's whole history. Stock is pre-aggregated to one
+    row per bucket before every carry, so no window partition holds more than
+    one finest bucket's rows or one row per sub-bucket, and no stock row is
+    paired with an event.
     """
-    b = lambda c: F.date_trunc(bucket, F.col(c))
-    st = stock.select(F.col(key), F.col(stock_ts).alias("_o"), F.col(stock_seq).alias("_seq"),
-                      F.col(stock_col).cast("bigint").alias("_stock"), b(stock_ts).alias("_b"))
-    ev_keys = events.select(F.col(key), F.col(t), b(t).alias("_b")).distinct()
-    ev_buckets = ev_keys.select(key, "_b").distinct()
-
-    # level 1: same bucket, at or before the event
-    u = (st.join(ev_buckets, [key, "_b"], "left_semi")
-         .select(key, "_b", "_o", F.lit(0).alias("_side"), "_seq", "_stock",
-                 F.lit(None).cast(ev_keys.schema[t].dataType).alias(t))
-         .unionByName(ev_keys.select(key, "_b", F.col(t).alias("_o"), F.lit(1).alias("_side"),
-                                     F.lit(None).cast("bigint").alias("_seq"),
+    units = tuple(buckets)
+    bcol = [f"_b{i}" for i in range(len(units))]
+    cut = lambda c: [F.date_trunc(u, F.col(c)).alias(b) for u, b in zip(units, bcol)]
+    st = stock.select(F.col(key), F.struct(F.col(stock_ts).alias("o"), F.col(stock_seq).alias("s"))
+                      .alias("_pos"), F.col(stock_col).cast("bigint").alias("_stock"), *cut(stock_ts))
+    ev_keys = events.select(F.col(key), F.col(t), *cut(t)).distinct()
+    pos_type = st.schema["_pos"].dataType
+
+    # level 0: inside the event's finest bucket, at or before the event
+    fine = ev_keys.select(key, bcol[0]).distinct()
+    u = (st.join(fine, [key, bcol[0]], "left_semi")
+         .select(key, bcol[0], F.col("_pos.o").alias("_o"), F.lit(0).alias("_side"),
+                 F.col("_pos.s").alias("_seq"), "_stock", F.lit(None).cast(ev_keys.schema[t].dataType).alias(t))
+         .unionByName(ev_keys.select(key, bcol[0], F.col(t).alias("_o"), F.lit(1).alias("_side"),
+                                     F.lit(None).cast(pos_type["s"].dataType).alias("_seq"),
                                      F.lit(None).cast("bigint").alias("_stock"), F.col(t))))
-    w1 = (Window.partitionBy(key, "_b").orderBy("_o", "_side", "_seq")
+    w0 = (Window.partitionBy(key, bcol[0]).orderBy("_o", "_side", "_seq")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same = (u.select(key, t, "_side", F.last("_stock", ignorenulls=True).over(w1).alias("_same"))
-            .where(F.col("_side") == 1).drop("_side"))
-
-    # level 2: last row of the latest earlier bucket
-    last_of_bucket = st.groupBy(key, "_b").agg(F.max_by("_stock", F.struct("_o", "_seq")).alias("_last"))
-    marks = (ev_buckets.select(key, "_b", F.lit(None).cast("bigint").alias("_last"), F.lit(1).alias("_side"))
-             .unionByName(last_of_bucket.select(key, "_b", "_last", F.lit(0).alias("_side"))))
-    w2 = (Window.partitionBy(key).orderBy("_b", F.col("_side").desc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    before = (marks.select(key, "_b", "_side", F.last("_last", ignorenulls=True).over(w2).alias("_before"))
-              .where(F.col("_side") == 1).drop("_side"))
-
-    found = F.coalesce(F.col("_same"), F.col("_before"))
+    found = (u.select(key, t, "_side", F.last("_stock", ignorenulls=True).over(w0).alias("_v0"))
+             .where(F.col("_side") == 1).drop("_side"))
+    result = events.select("*", *cut(t)).join(found, [key, t], "left")
+    values = ["_v0"]
+
+    # levels 1..n: the last row of the latest earlier bucket of the finer unit
+    lasts = st.groupBy(key, *bcol).agg(F.max_by(F.struct("_pos", "_stock"), "_pos").alias("_l"))
+    for j in range(1, len(units) + 1):
+        inner, outer = bcol[j - 1], bcol[j:j + 1]            # outer: [] at the top level
+        marks = (ev_keys.select(key, *bcol[j - 1:]).distinct()
+                 .select(key, inner, *outer, F.lit(None).cast("bigint").alias("_last"), F.lit(1).alias("_side"))
+                 .unionByName(lasts.select(key, inner, *outer, F.col("_l._stock").alias("_last"),
+                                           F.lit(0).alias("_side"))))
+        w = (Window.partitionBy(key, *outer).orderBy(inner, F.col("_side").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+        carried = (marks.select(key, inner, *outer, "_side",
+                                F.last("_last", ignorenulls=True).over(w).alias(f"_v{j}"))
+                   .where(F.col("_side") == 1).drop("_side"))
+        result = result.join(carried, [key, inner, *outer], "left")
+        values.append(f"_v{j}")
+        if j < len(units):
+            lasts = (lasts.groupBy(key, *bcol[j:])
+                     .agg(F.max_by(F.col("_l"), F.col("_l._pos")).alias("_l")))
+
+    found_value = F.coalesce(*[F.col(v) for v in values])
     if default is not None:
-        found = F.coalesce(found, F.lit(default))
-    return (events.withColumn("_b", b(t)).join(same, [key, t], "left").join(before, [key, "_b"], "left")
-            .withColumn("current_stock", found.cast("int"))
-            .drop("_same", "_before", "_b"))
+        found_value = F.coalesce(found_value, F.lit(default))
+    return (result.withColumn("current_stock", found_value.cast("int"))
+            .drop(*values, *bcol))
 
 
 # ------------------------------------------------------------------------- C10

@@ -138,7 +138,7 @@ def test_order_total_and_reads(spark):
     assert F is not None
 
 
-@pytest.mark.parametrize("bucket", ["day", "hour"])
+@pytest.mark.parametrize("bucket", [("day",), ("hour",), ("hour", "day"), ("minute", "hour", "day")])
 def test_stock_as_of_random_against_brute_force(spark, bucket):
     import numpy as np
     rng = np.random.default_rng(17)
@@ -159,7 +159,7 @@ def test_stock_as_of_random_against_brute_force(spark, bucket):
     stock = spark.createDataFrame(stock_rows, "product_id long, ts timestamp, event_id long, balance long")
     ev = spark.createDataFrame(ev_rows, "product_id long, occurred_at timestamp")
     got = {(r.product_id, r.occurred_at): r.current_stock
-           for r in AL.stock_as_of(ev, stock, bucket=bucket).collect()}
+           for r in AL.stock_as_of(ev, stock, buckets=bucket).collect()}
     for p, t in ev_rows:
         cands = [(ts, i, b) for q, ts, i, b in stock_rows if q == p and ts <= t]
         want = max(cands)[2] if cands else 100
