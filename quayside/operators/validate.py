@@ -73,6 +73,20 @@ def validate_orders(orders: DataFrame, items: DataFrame, key: str = "order_id")
     ))
 
 
+def validate_order_items(items: DataFrame) -> DataFrame:
+    """Per item: the field messages of its failing rules (productId not null,
+    sku not blank, quantity >= 1, unitPrice present and >= 0.01). One row per
+    item, so an order with very many items needs no per-order list."""
+    return _split(items, error_list(
+        (F.col("product_id").isNull(), f"productId: {NOT_NULL}"),
+        (~not_blank("sku"), f"sku: {NOT_BLANK}"),
+        (F.col("quantity") < 1, "quantity: must be greater than or equal to 1"),
+        (F.col("unit_price").isNull(), f"unitPrice: {NOT_NULL}"),
+        (F.col("unit_price") < F.lit(0.01).cast("decimal(12,2)"),
+         "unitPrice: must be greater than or equal to 0.01"),
+    ))
+
+
 # ------------------------------------------------------------------ V4
 def validate_forecast_requests(requests: DataFrame, history: DataFrame,
                                key: str = "product_id") -> DataFrame:

@@ -626,6 +626,12 @@ def q_validate_orders(spark, base):
         .select("id", "n_items", "n_bad_items", "accepted", "errors")
 
 
+@query("validate_order_items")
+def q_validate_order_items(spark, base):
+    items = FC.keyed_items(FX.order_items(spark, base), "order_id", ITEM_CONTENT)
+    return VD.validate_order_items(items).select("order_id", "item_key", "accepted", "errors")
+
+
 @query("validate_forecast_requests")
 def q_validate_forecast_requests(spark, base):
     p = table(spark, base, "part", "p_partkey", "p_size")

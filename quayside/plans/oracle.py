@@ -859,6 +859,23 @@ SELECT product_id, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS date,
        greatest(0.0::DOUBLE, round_even((m - sd) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE) AS lower_bound,
        round_even((m + sd) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS upper_bound
 FROM steps""".replace("\n\n, stats", ",\nstats"))
+sql("validate_order_items", with_(ITEMS) + """
+, k AS (
+  SELECT order_id, product_id, sku, quantity, unit_price,
+         concat_ws(':', CAST(product_id AS VARCHAR), sku, CAST(quantity AS VARCHAR), CAST(unit_price AS VARCHAR),
+                   CAST(row_number() OVER (PARTITION BY order_id, product_id, sku, quantity, unit_price) - 1
+                        AS VARCHAR)) AS item_key
+  FROM items),
+e AS (
+  SELECT order_id, item_key, concat_ws(', ',
+    CASE WHEN product_id IS NULL THEN 'productId: must not be null' END,
+    CASE WHEN sku IS NULL OR trim(sku) = '' THEN 'sku: must not be blank' END,
+    CASE WHEN quantity < 1 THEN 'quantity: must be greater than or equal to 1' END,
+    CASE WHEN unit_price IS NULL THEN 'unitPrice: must not be null' END,
+    CASE WHEN unit_price < 0.01 THEN 'unitPrice: must be greater than or equal to 0.01' END) AS errors
+  FROM k)
+SELECT order_id, item_key, errors = '' AS accepted, errors FROM e""".replace("\n\n, k AS", ",\nk AS"))
+
 # ------------------------------------------------------------ registry boundary
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {

@@ -114,3 +114,15 @@ def test_upsert_products_several_writes_last_wins(spark):
     got = {r.product_id: r for r in ST.upsert_products(stored, incoming).collect()}
     assert (got[1].name, got[1].stock_quantity, got[1].version, got[1].created_at) == ("A2", 7, 4, T0)
     assert (got[5].name, got[5].version, got[5].created_at) == ("N2", 1, t1)
+
+
+def test_order_item_rules(spark):
+    items = spark.createDataFrame(
+        [(1, 10, "A", 1, Decimal("0.01")), (1, None, " ", 0, None), (2, 11, "B", 2, Decimal("0.00"))],
+        "order_id long, product_id long, sku string, quantity int, unit_price decimal(12,2)")
+    got = sorted((r.order_id, r.accepted, r.errors) for r in VD.validate_order_items(items).collect())
+    assert got == [
+        (1, False, "productId: must not be null, sku: must not be blank, "
+                   "quantity: must be greater than or equal to 1, unitPrice: must not be null"),
+        (1, True, ""),
+        (2, False, "unitPrice: must be greater than or equal to 0.01")]
