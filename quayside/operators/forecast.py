@@ -286,9 +286,6 @@ def custom_model(history: DataFrame, keys: Keys, fn, horizon: int = C.DEFAULT_HO
     return history.groupBy(*keys).applyInPandas(run, out_schema)
 
 
-MODELS = {C.MODEL_NAME: "built-in linear trend x weekday"}
-
-
 def forecast_with(model_name: str, history: DataFrame, keys: Keys,
                   horizon: int = C.DEFAULT_HORIZON, registry: dict | None = None) -> DataFrame:
     """Model registry: the built-in model runs natively; a registered callable

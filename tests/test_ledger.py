@@ -122,3 +122,10 @@ def test_reflected_window_holds_true_balance():
             r = max(0, r + x)
             w = max(w, -x)
             assert r <= b < r + max(1, w)
+
+
+def test_final_balances(spark):
+    rows = [(1, 5), (1, -20), (2, 3), (1, -4)]
+    led = LG.ledger(frame(spark, rows), None, default_opening=10)
+    got = {r.product_id: (r.balance, r.n_deltas, r.n_refused) for r in LG.final_balances(led).collect()}
+    assert got == {1: (11, 3, 1), 2: (13, 1, 0)}
