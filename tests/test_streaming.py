@@ -126,3 +126,19 @@ def test_stateful_forecast_alerts_carry_stock_across_batches(spark, tmp_path):
     got = {(r.sku, r.type): r.message for r in spark.read.parquet(run + "/out").collect()}
     assert set(got) == {("SKU-7", "DEMAND_SURGE")}  # SKU-8 falls back to stock 100: 150 < 200
     assert "current stock is only 40 units" in got[("SKU-7", "DEMAND_SURGE")]
+
+
+def test_stream_ledger_restores_order_inside_a_batch(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 3)), T0 + dt.timedelta(minutes=i), i, int(rng.integers(-40, 30)))
+            for i in range(300)]
+    shuffled = [rows[i] for i in rng.permutation(len(rows))]
+    schema = "product_id long, ts timestamp, event_id long, delta long"
+    src = str(tmp_path / "src")
+    spark.createDataFrame(shuffled, schema).repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    run = str(tmp_path / "run")
+    SJ.run_available_now(SJ.stream_stock_ledger(stream, opening=15), run + "/ckpt", path=run + "/out")
+    got = {r.event_id: (r.balance, r.accepted) for r in spark.read.parquet(run + "/out").collect()}
+    batch = LG.ledger(spark.createDataFrame(rows, schema), None, default_opening=15)
+    assert got == {r.event_id: (r.balance, r.accepted) for r in batch.collect()}
