@@ -142,3 +142,15 @@ def test_stream_ledger_restores_order_inside_a_batch(spark, tmp_path):
     got = {r.event_id: (r.balance, r.accepted) for r in spark.read.parquet(run + "/out").collect()}
     batch = LG.ledger(spark.createDataFrame(rows, schema), None, default_opening=15)
     assert got == {r.event_id: (r.balance, r.accepted) for r in batch.collect()}
+
+
+def test_topic_reader_accepts_every_instant_form(spark, tmp_path):
+    p = tmp_path / "topic"
+    p.mkdir()
+    (p / "a.json").write_text("\n".join(
+        '{"eventType":"STOCK_ADJUSTED","productId":"%d","occurredAt":"%s"}' % (i, ts)
+        for i, ts in enumerate(["2024-01-01T00:00:00Z", "2024-01-01T00:00:07.1Z",
+                                "2024-01-01T00:00:07.123Z", "2024-01-01T00:00:07.179575Z"])) + "\n")
+    got = sorted((int(r.productId), r.occurredAt) for r in EV.read_topic(spark, str(p), "product.events").collect())
+    assert [t for _, t in got] == [T0.replace(hour=0) + dt.timedelta(seconds=s)
+                                   for s in (0, 7.1, 7.123, 7.179575)]
