@@ -37,8 +37,8 @@ from pyspark.storagelevel import StorageLevel
 from .. import config as C
 from ..session import ensure_checkpoint_dir
 
-# Starts table at or below this many rows is broadcast to the replay; above it,
-# a shuffle join on (product, chunk) is used.
+# Per-chunk tables (start windows, opening balances) at or below this many rows
+# are broadcast to the chunk rows; above it, a shuffle join on (product, chunk).
 BROADCAST_STARTS_MAX_ROWS = 2_000_000
 # start windows up to this width are tabulated; wider ones use pieces
 TABULATE_MAX_WIDTH = 4096
