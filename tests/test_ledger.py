@@ -129,3 +129,17 @@ def test_final_balances(spark):
     led = LG.ledger(frame(spark, rows), None, default_opening=10)
     got = {r.product_id: (r.balance, r.n_deltas, r.n_refused) for r in LG.final_balances(led).collect()}
     assert got == {1: (11, 3, 1), 2: (13, 1, 0)}
+
+
+def test_shuffle_join_path_when_tables_are_large(spark, monkeypatch):
+    """Force the non-broadcast path: shuffle join + sort within partitions."""
+    monkeypatch.setattr(LG, "BROADCAST_STARTS_MAX_ROWS", 0)
+    rng = np.random.default_rng(23)
+    rows = [(0 if rng.random() < 0.4 else int(rng.integers(1, 6)), int(rng.integers(-30, 25))) for _ in range(700)]
+    got = LG.ledger(frame(spark, rows), None, default_opening=20, num_chunks=5).orderBy("event_id").collect()
+    want = {}
+    for p in range(6):
+        idx = [i for i, (q, _) in enumerate(rows) if q == p]
+        for i, res in zip(idx, brute(20, [rows[i][1] for i in idx])):
+            want[i] = res
+    assert [(r.balance, r.accepted) for r in got] == [want[i] for i in range(len(rows))]
