@@ -143,3 +143,20 @@ def test_shuffle_join_path_when_tables_are_large(spark, monkeypatch):
         for i, res in zip(idx, brute(20, [rows[i][1] for i in idx])):
             want[i] = res
     assert [(r.balance, r.accepted) for r in got] == [want[i] for i in range(len(rows))]
+
+
+def test_transfer_property():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.integers(-60, 50), min_size=1, max_size=80), st.integers(0, 40),
+           st.sampled_from([1, 3, 17, 5000]))
+    def check(deltas, a, width):
+        d = np.array(deltas, dtype=np.int64)
+        lo, sh = LG._transfer(d, a, a + width)
+        for b in range(a, a + min(width, 60)):
+            j = np.searchsorted(lo, b, side="right") - 1
+            assert b + sh[j] == brute(b, deltas)[-1][0]
+
+    check()
