@@ -167,6 +167,9 @@ def stock_as_of(events: DataFrame, stock: DataFrame, key: str = "product_id",
     cut = lambda c: [F.date_trunc(u, F.col(c)).alias(b) for u, b in zip(units, bcol)]
     st = stock.select(F.col(key), F.struct(F.col(stock_ts).alias("o"), F.col(stock_seq).alias("s"))
                       .alias("_pos"), F.col(stock_col).cast("bigint").alias("_stock"), *cut(stock_ts))
+    # both levels below need the stock rows by (product, finest bucket): one
+    # shuffle that both read, so an expensive stock input is computed once
+    st = st.repartition(key, bcol[0])
     ev_keys = events.select(F.col(key), F.col(t), *cut(t)).distinct()
     pos_type = st.schema["_pos"].dataType
 

@@ -158,6 +158,14 @@ def ledger_rows(spark, base) -> DataFrame:
     return LG.ledger(FX.stock_deltas(spark, base), FX.ledger_opening(spark, base))
 
 
+def ledger_table(spark, base) -> DataFrame:
+    """The ledger written once (reliable checkpoint in the shared folder) for
+    plans that read it in several branches: a re-instantiated Python step is
+    neither cached nor exchange-reused by Spark, so each branch would replay
+    the ledger again."""
+    return LG._pinned(ledger_rows(spark, base))
+
+
 @query("stock_ledger")
 def q_stock_ledger(spark, base):
     return ledger_rows(spark, base).select("product_id", "ts", "event_id", "delta", "balance_before",
@@ -192,7 +200,7 @@ def forecast_results(spark, base) -> DataFrame:
     ev = jobs.select(F.col("id").alias("job_id"), "product_id", "sku", "status",
                      "total_predicted_demand", "error_message",
                      FX.forecast_event_time("product_id").alias("occurred_at"))
-    stock = ledger_rows(spark, base).where(F.col("accepted"))
+    stock = ledger_table(spark, base).where(F.col("accepted"))
     return AL.stock_as_of(ev, stock)
 
 
@@ -255,7 +263,7 @@ def points_table(spark, base) -> DataFrame:
 def product_events(spark, base) -> DataFrame:
     """Product events of the ledger: one PRODUCT_CREATED per product at its
     first movement, then one STOCK_ADJUSTED per accepted delta."""
-    led = ledger_rows(spark, base)
+    led = ledger_table(spark, base)
     prods = FX.products(spark, base).select("product_id", "sku", "category", "price")
     first = led.groupBy("product_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     created = first.select("product_id", F.col("f.ts").alias("occurredAt"),
@@ -788,7 +796,7 @@ def q_stream_forecast_alerts(spark, base):
     EV.write_records(rec, f"{run}/topic", "productId", ("occurredAt",))
     src = EV.read_topic(spark, f"{run}/topic", "forecast.completed", stream=True)
     src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
-    stock = ledger_rows(spark, base).where(F.col("accepted"))
+    stock = ledger_table(spark, base).where(F.col("accepted"))
     SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.forecast_alert_sink(f"{run}/alerts", stock))
     return spark.read.parquet(f"{run}/alerts").drop("batch_id")
 
