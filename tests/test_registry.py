@@ -23,8 +23,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_or_is_known():
-    assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) <= {"forecast_custom_model"}
+    assert set(ORACLE) == set(QUERIES)
 
 
 @pytest.fixture(scope="module")
