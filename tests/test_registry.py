@@ -16,10 +16,11 @@ QUERIES = E.queries()
 ORACLE = E.oracle_sql()
 
 
-def test_entry_runs(spark):
+def test_entry_runs_and_is_deterministic(spark):
     df = E.entry(spark)
     assert set(df.columns) == {"id", "type", "severity", "product_id", "sku", "title", "message", "occurred_at"}
-    assert df.count() >= 0
+    first = sorted(tuple(r) for r in df.collect())
+    assert first and first == sorted(tuple(r) for r in E.entry(spark).collect())
 
 
 def test_every_query_has_sql_or_is_known():
