@@ -2,6 +2,7 @@
 on DuckDB (tiny scale here; the driver checks sf0.01)."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -12,8 +13,9 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import duck, rows  # noqa: E402
 
 BASE = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# the training-data queries have their own tests
+QUERIES = {k: v for k, v in E.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 def test_entry_runs_and_is_deterministic(spark):
