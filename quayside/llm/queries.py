@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, quality
+from quayside.llm import exact_dedup, quality, sketch_join
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     judged = quality.cascade(docs, report=quality.REPORTED).drop("rejected_by")
@@ -24,6 +28,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_sketch_join": op4_sketch_join,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -53,7 +58,23 @@ _QUALITY = """
                      OR (n_dup_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) AS more_failed FROM f)
 """
 
+# Shingle sets, links and what they reach.
+_SIMILAR = f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS x
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM meet JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+"""
+
 ORACLE = {
+    "op4_sketch_join": _SIMILAR + """
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles,
+               least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = w.doc_id), w.doc_id)) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+    """,
     "op8_quality_cascade": _QUALITY + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT more_failed AS kept FROM v
