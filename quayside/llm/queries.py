@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, quality, sketch_join
+from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     judged = quality.cascade(docs, report=quality.REPORTED).drop("rejected_by")
@@ -28,6 +37,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mix": op1_source_mix,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op4_sketch_join": op4_sketch_join,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_exact_dedup": op9_exact_dedup,
