@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join
+from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(spark, token_files.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
@@ -38,6 +42,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_token_files": op2_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op4_sketch_join": op4_sketch_join,
     "op8_quality_cascade": op8_quality_cascade,
