@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join, token_files
+from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join, token_files, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_files": op2_token_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op3_warc_segments": op3_warc_segments,
     "op4_sketch_join": op4_sketch_join,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_exact_dedup": op9_exact_dedup,
@@ -86,6 +91,13 @@ _SIMILAR = f"""
 """
 
 ORACLE = {
+    "op3_warc_segments": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to FROM q
+    """,
     "op4_sketch_join": _SIMILAR + """
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles,
                least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = w.doc_id), w.doc_id)) AS component_id
