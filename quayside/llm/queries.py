@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join, token_files, warc
+from quayside.llm import exact_dedup, langid, mixing, packing, quality, sketch_join, token_files, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join.similar_groups(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    langs, matrix = langid.learn(docs.where(~langid.held_out()))
+    return langid.predict(docs, langs, matrix).withColumn("held_out", langid.held_out())
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_files": op2_token_files,
+    "op5_language": op5_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op3_warc_segments": op3_warc_segments,
     "op4_sketch_join": op4_sketch_join,
