@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,20 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, seed: int = 0) -> DataFra
         return df
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30))
     return df.where(share < F.lit(int((1 << 30) * rows / total)))
+
+
+def summed_tables(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Add up tables of 64-bit counts by ``key`` (columns key, counts). Each key's
+    tables are added in a stream, so a task holds one table per key, and one per
+    key comes back; keys are few and tables of fixed size by the caller's bound."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = np.frombuffer(data, np.int64)
+                sums[key] = sums[key] + c if key in sums else c
+        yield pa.RecordBatch.from_pydict({"key": pa.array(list(sums), pa.string()),
+                                          "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary())})
+
+    schema = "key string, counts binary"
+    return {r["key"]: np.frombuffer(r["counts"], np.int64) for r in rows.repartition("key").mapInArrow(add, schema).collect()}

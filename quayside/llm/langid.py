@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.common import summed_tables
+
 FEATURES = 1 << 17
 ORDERS = 3
 BLOCK = 1 << 20  # characters looked up at a time
@@ -82,6 +84,8 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
+                if len(counts) >= MAX_LANGS and lang not in counts:
+                    raise ValueError(f"more than {MAX_LANGS} languages")
                 c = counts.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
                 own = [t for x, t in zip(langs, texts) if x == lang]
                 c[-1] += len(own)
@@ -92,28 +96,18 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
                             c[:-1] += np.bincount(x, minlength=FEATURES)
         yield _packed(counts)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.frombuffer(data, np.int64)
-                counts[lang] = counts[lang] + c if lang in counts else c
-        yield _packed(counts)
-
-    schema = "lang string, counts binary"
-    got = sorted((r["lang"], r["counts"]) for r in rows.mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema)
-                 .limit(MAX_LANGS + 1).collect())  # a fixed table per language
+    got = sorted(summed_tables(rows.mapInArrow(count, "key string, counts binary")).items())
     if len(got) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not got:
         return [], np.zeros((FEATURES + 1, 0), np.float32)
-    counts = np.array([np.frombuffer(x, np.int64) for _, x in got], np.float64).T
+    counts = np.array([x for _, x in got], np.float64).T
     grams = np.log((counts[:-1] + 0.5) / (counts[:-1].sum(0) + 0.5 * FEATURES))
     return [x for x, _ in got], np.vstack([grams, np.log(counts[-1:] / counts[-1].sum())]).astype(np.float32)
 
 
 def _packed(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array(list(counts), pa.string()),
+    return pa.RecordBatch.from_pydict({"key": pa.array(list(counts), pa.string()),
                                        "counts": pa.array([c.tobytes() for c in counts.values()], pa.binary())})
 
 

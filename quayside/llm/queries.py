@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import exact_dedup, langid, mixing, packing, quality, sketch_join, token_files, warc
+from quayside.llm import attribution, exact_dedup, langid, mixing, packing, quality, sketch_join, token_files, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, matrix).withColumn("held_out", langid.held_out())
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.predict(docs, toxicity.fit(docs, labels, ["toxic", "low_quality"]))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,15 +56,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "most")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_files": op2_token_files,
     "op5_language": op5_language,
+    "op6_toxicity_chain": op6_toxicity_chain,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op3_warc_segments": op3_warc_segments,
     "op4_sketch_join": op4_sketch_join,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_section_tokens": op10_section_tokens,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

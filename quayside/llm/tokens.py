@@ -43,6 +43,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.tokenizer.no_truncation()
+        self.keeps_all = spaces  # pieces cover the text, so their lengths give places
         self.cut = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
         self.known: dict[str, bytes] = {}
 
@@ -68,3 +69,34 @@ class Encoder:
                 new = set(pieces)
             self._learn(list(new))
             return b"".join(map(self.known.__getitem__, pieces))
+
+
+class SpanEncoder:
+    """Character spans of a text's tokens, by the same pieces."""
+
+    def __init__(self, file_text: str, spaces: bool):
+        self.encoder = Encoder(file_text, spaces)
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]):
+        for e in self.encoder.tokenizer.encode_batch(texts, add_special_tokens=False):
+            yield np.array(e.offsets, np.int32).reshape(-1, 2)
+
+    def spans(self, text: str | None) -> np.ndarray:
+        """A (start, end) row for each token, in order."""
+        text = text or ""
+        if _UNCUT.search(text) or not self.encoder.keeps_all:
+            return next(self._encode([text])).astype(np.int64)
+        pieces = self.encoder.cut(text)
+        new = list({p for p in pieces if p not in self.known})
+        if len(self.known) + len(new) > MOST_PIECES // 2:
+            self.known.clear()
+            new = list(set(pieces))
+        for i in range(0, len(new), 4096):
+            for p, x in zip(some := new[i:i + 4096], self._encode(some)):
+                self.known[p] = x.tobytes()
+        parts = [self.known[p] for p in pieces]
+        spans = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
+        return spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
