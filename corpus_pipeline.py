@@ -1,11 +1,14 @@
 """A corpus pipeline over ``documents``: each stage works on all rows its
-predecessor kept; all but the last return the columns of ``documents``."""
+predecessor kept and its decisions take effect; all but the last return the
+columns of ``documents``. Copies that the mix makes of a document stay apart by
+their position in the mix only, so rows may repeat after it."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import exact_dedup, quality
+from quayside.llm import exact_dedup, mixing, packing, quality, sketch_join
 from quayside.llm.common import written
 
 
@@ -19,11 +22,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more,
+    the document with the smallest id."""
+    return sketch_join.one_of_each(docs, size=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight, documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", drop_exact_copies),
+    ("sketch_join", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("best_fit_packing", pack),
 ]
 
+#: The packing stage needs a tokenizer, which SQL has not.
 ORACLE_SQL = None
 
 
