@@ -66,7 +66,6 @@ LOG_LINE = "[ALERT] id=%s type=%s severity=%s sku=%s | %s"
 # --- fixed values: forecast model ------------------------------------------
 MODEL_NAME = "prophet"            # the only accepted request model
 MODEL_USED = "linear-trend"       # what the built-in model reports
-SUPPORTED_MODELS = ("prophet", "arima")
 MIN_HISTORY = 14
 MIN_HORIZON, MAX_HORIZON, DEFAULT_HORIZON = 1, 365, 30
 TRAIN_FRACTION = 0.8
@@ -77,9 +76,7 @@ CONFIDENCE = 0.95
 SEED_HISTORY_DAYS = 30
 
 # --- fixed values: product request rules -----------------------------------
-SKU_PATTERN = r"^[A-Z0-9\-]{3,20}$"
-# Java's int range: balances are computed in bigint and checked against it.
-INT_MAX = 2147483647
+SKU_PATTERN = r"\A[A-Z0-9\-]{3,20}\z"
 
 # --- stand-in stock for forecast alerts when no stock is known -------------
 DEFAULT_CURRENT_STOCK = 100

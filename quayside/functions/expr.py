@@ -23,8 +23,8 @@ def weekday_mon0(c: str | Column) -> Column:
 
 
 def not_blank(c: str | Column) -> Column:
-    """True when a string is present and has a non-whitespace character."""
-    return col(c).isNotNull() & (F.trim(col(c)) != F.lit(""))
+    """True when a string is present and has a character above U+0020."""
+    return col(c).isNotNull() & col(c).rlike("[^\\x00-\\x20]")
 
 
 def error_list(*rules: tuple[Column, str]) -> Column:
@@ -37,8 +37,14 @@ def error_list(*rules: tuple[Column, str]) -> Column:
 
 
 def stable_id(*parts: str | Column) -> Column:
-    """Deterministic row id: sha-256 of the ':'-joined parts (replays dedupe)."""
-    return F.sha2(F.concat_ws(":", *[col(p).cast("string") for p in parts]), 256)
+    """Deterministic row id: sha-256 of the ':'-joined parts (replays dedupe). A
+    null part is written as ``\\N`` so that it keeps its place."""
+    return F.sha2(joined_key(*parts), 256)
+
+
+def joined_key(*parts: str | Column) -> Column:
+    """The parts as one ':'-joined text, null parts as ``\\N``."""
+    return F.concat_ws(":", *[F.coalesce(col(p).cast("string"), F.lit("\\N")) for p in parts])
 
 
 def sku_of(key: str | Column) -> Column:
@@ -51,6 +57,14 @@ def iso_instant(c: str | Column) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def instant_text(c: str | Column) -> Column:
+    """An instant as text with a fraction of 0, 3 or 6 digits, as many as it needs."""
+    us = F.unix_micros(col(c).cast("timestamp")) % 1000000
+    fraction = (F.when(us == 0, F.lit("")).when(us % 1000 == 0, F.format_string(".%03d", (us / 1000).cast("int")))
+                .otherwise(F.format_string(".%06d", us.cast("int"))))
+    return F.concat(F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+
+
 def half_up_int(c: str | Column) -> Column:
     """``%.0f`` of a decimal: round half away from zero, as a whole number."""
     return F.round(col(c), 0).cast("bigint")

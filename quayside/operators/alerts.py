@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import AlertThresholds, DEFAULT_THRESHOLDS
-from ..functions.expr import half_up_int, stable_id
+from ..functions.expr import half_up_int, instant_text, joined_key, stable_id
 
 ALERT_COLUMNS = ("id", "type", "severity", "product_id", "sku", "title", "message", "occurred_at")
 
@@ -38,6 +38,13 @@ def downward_adjustments(product_events: DataFrame) -> DataFrame:
                                 & (F.col("stockDelta") < 0))
 
 
+def stock_event_key(ts: str = "occurredAt", stock: str = "stockQuantity", delta: str = "stockDelta",
+                    seq: str = "eventSeq") -> Column:
+    """What tells stock events of one product apart, from their own content: the
+    instant, stock, change and sequence number (which a record may lack)."""
+    return joined_key(F.unix_micros(F.col(ts).cast("timestamp")), stock, delta, seq)
+
+
 # ------------------------------------------------------------------------- R1
 def low_stock(stock_events: DataFrame, thresholds: AlertThresholds = DEFAULT_THRESHOLDS,
               event_key: str = "event_id", ts: str = "occurred_at",
@@ -231,7 +238,7 @@ def webhook_payload(alerts: DataFrame) -> DataFrame:
         F.array(F.struct(colour.alias("color"), F.array(
             field("Type", F.col("type")), field("Severity", F.col("severity")),
             field("SKU", F.col("sku")),
-            field("Time", F.date_format(F.col("occurred_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+            field("Time", instant_text("occurred_at")),
         ).alias("fields"))).alias("attachments"))
     return alerts.select("id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 

@@ -164,6 +164,23 @@ def fit(history: DataFrame, keys: Keys, ds: str = "ds", y: str = "y",
     return model
 
 
+def _predicted(step: Column) -> Column:
+    """The forecast of day ``step`` after the last one, from a model row."""
+    date = F.date_add(F.col("last_ds"), step)
+    x = (F.col("n") + step - 1).cast("double")
+    trend = F.col("slope") * x + F.col("intercept")
+    factor = F.element_at(F.array(*[F.col(f"f{i}") for i in range(7)]), weekday_mon0(date) + 1)
+    # "+ 0.0" turns a -0.0 from rounding into 0.0
+    return F.greatest(F.lit(0.0), round_even(trend * factor, 2)) + F.lit(0.0)
+
+
+def horizon_total(horizon: Column) -> Column:
+    """A2 on the model row itself: the exact sum of the predictions over the
+    horizon, without a row per day."""
+    days = F.transform(F.sequence(F.lit(1), horizon.cast("int")), lambda i: _predicted(i).cast("decimal(12,4)"))
+    return F.aggregate(days, F.lit(0).cast("decimal(22,4)"), lambda acc, x: (acc + x).cast("decimal(22,4)")).cast("decimal(18,2)")
+
+
 # ------------------------------------------------------------------------- F1
 def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT_HORIZON,
            clamp_ingest: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -175,13 +192,8 @@ def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT
     h = F.lit(horizon) if isinstance(horizon, int) else (
         F.col(horizon) if isinstance(horizon, str) else horizon)
     m = model.select("*", F.explode(F.sequence(F.lit(1), h.cast("int"))).alias("step"))
-    date = F.date_add(F.col("last_ds"), F.col("step"))
-    x = (F.col("n") + F.col("step") - 1).cast("double")
-    trend = F.col("slope") * x + F.col("intercept")
-    factor = F.element_at(F.array(*[F.col(f"f{i}") for i in range(7)]), weekday_mon0(date) + 1)
-    # "+ 0.0" turns a -0.0 from rounding into 0.0
-    pred = F.greatest(F.lit(0.0), round_even(trend * factor, 2)) + F.lit(0.0)
-    out = m.select(*keys, *carry, date.alias("date"), pred.alias("predicted_quantity"))
+    out = m.select(*keys, *carry, F.date_add(F.col("last_ds"), F.col("step")).alias("date"),
+                   _predicted(F.col("step")).alias("predicted_quantity"))
     std = F.greatest(F.lit(C.STD_FLOOR), F.abs(F.col("predicted_quantity")) * F.lit(C.STD_FRACTION))
     pq = F.col("predicted_quantity")
     out = out.select(
@@ -238,36 +250,68 @@ def _failure_reason(horizon: str, model: str) -> Column:
 
 # ------------------------------------------------------------------------- F2
 def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
-             horizon: str = "horizon_days", model: str = "model") -> tuple[DataFrame, DataFrame]:
+             horizon: str = "horizon_days", model: str = "model", request: Keys | None = None,
+             registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Every request becomes one job row, COMPLETED with model, MAE and total
     demand, or FAILED with the reason; plus the points of completed jobs.
 
+    ``request`` names the columns that tell requests apart (default: the series
+    keys, one request per series); job ids and points are keyed by them. A null
+    horizon or model means the default. ``registry`` holds user models by name
+    (``fn(series, horizon) -> points``, see ``custom_model``); their jobs have no
+    MAE, and any other model name fails its job.
+
     The history is read once: one fit over all series yields both the request
-    checks (length, smallest quantity) and the models. Failing series are kept
-    as FAILED rows, never dropped.
+    checks (length, smallest quantity) and the models. MAE and total come from
+    the model's own row. Failing series are kept as FAILED rows, never dropped.
     """
+    request, registry = list(request or keys), registry or {}
+    requests = requests.withColumns({horizon: F.coalesce(F.col(horizon), F.lit(C.DEFAULT_HORIZON)),
+                                     model: F.coalesce(F.col(model), F.lit(C.MODEL_NAME))})
     models = fit(history, keys)
     req = requests.join(models, list(keys), "left").withColumn(
         "n_points", F.coalesce(F.col("n"), F.lit(0).cast("bigint")))
-    req = req.withColumn("failure_reason", _failure_reason(horizon, model))
-    ok = req.where(F.col("failure_reason").isNull())
-    pts = points(ok, keys, horizon, clamp_ingest=True, carry=("mae",))
-    # one pass over the points gives the total and carries the model's MAE
-    totals = pts.groupBy(*keys).agg(
-        F.sum(F.col("predicted_quantity").cast("decimal(12,4)")).cast("decimal(18,2)")
-        .alias("total_predicted_demand"), F.max("mae").alias("mae"))
-    pts = pts.drop("mae")
-    jobs = (req.select(*requests.columns, "failure_reason").join(totals, list(keys), "left")
-            .select(
-                stable_id(F.lit("job"), *keys).alias("id"),
-                *[c for c in requests.columns],
-                F.when(F.col("failure_reason").isNull(), "COMPLETED").otherwise("FAILED").alias("status"),
-                F.when(F.col("failure_reason").isNull(), F.lit(C.MODEL_USED)).alias("model_used"),
-                F.col("mae").cast("decimal(10,4)").alias("mae"),
-                F.col("failure_reason").alias("error_message"),
-                F.col("total_predicted_demand"),
-            ))
-    return jobs, pts
+    own = F.col(model).isin(*registry) if registry else F.lit(False)
+    named = F.when(own, F.lit(C.MODEL_NAME)).otherwise(F.col(model))
+    req = req.withColumn("_name", named).withColumn("failure_reason", _failure_reason(horizon, "_name")).withColumn("_own", own)
+    ok = F.col("failure_reason").isNull()
+    native = ok & ~F.col("_own")
+    out = points(req.where(native), request, horizon, clamp_ingest=True)
+    total = F.when(native, horizon_total(F.col(horizon)))
+    kept = req.select(*requests.columns, "failure_reason", "_own", F.when(native, F.col("mae")).alias("mae"),
+                      total.alias("_total"))
+    for name, fn in registry.items():
+        asked = req.where(ok & (F.col(model) == name)).select(
+            *dict.fromkeys([*request, *keys]), F.col(horizon).cast("int").alias("_h"))
+        made = _user_points(asked, history, keys, request, fn)
+        out = out.unionByName(made)
+        kept = (kept.join(total_demand(made, request), request, "left")
+                .withColumn("_total", F.coalesce("_total", "total_predicted_demand")).drop("total_predicted_demand"))
+    done = F.col("failure_reason").isNull()
+    jobs = kept.select(
+        stable_id(F.lit("job"), *request).alias("id"),
+        *[F.col(c) for c in requests.columns],
+        F.when(done, "COMPLETED").otherwise("FAILED").alias("status"),
+        F.when(done, F.when(F.col("_own"), F.col(model)).otherwise(F.lit(C.MODEL_USED))).alias("model_used"),
+        F.col("mae").cast("decimal(10,4)").alias("mae"),
+        F.col("failure_reason").alias("error_message"),
+        F.col("_total").alias("total_predicted_demand"))
+    return jobs, out
+
+
+def _user_points(asked: DataFrame, history: DataFrame, keys: Keys, request: Keys, fn) -> DataFrame:
+    """A user model on the series of each request (a series has a row per day,
+    so a group is bounded by the days covered)."""
+    rows = asked.join(history, list(keys))
+    schema = ", ".join([*(f"{k} {asked.schema[k].dataType.simpleString()}" for k in request),
+                        "date date, predicted_quantity double, lower_bound double, upper_bound double"])
+    names = list(request)
+
+    def run(pdf):
+        got = fn(pdf.sort_values("ds").reset_index(drop=True), int(pdf["_h"].iloc[0]))
+        return got.assign(**{k: pdf[k].iloc[0] for k in names})[[*names, "date", "predicted_quantity", "lower_bound", "upper_bound"]]
+
+    return clamp_negative(rows.groupBy(*request).applyInPandas(run, schema))
 
 
 # ------------------------------------------------------------------------- X1

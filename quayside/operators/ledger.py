@@ -32,14 +32,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from .. import config as C
 from ..session import ensure_checkpoint_dir
 
-# Per-chunk tables (start windows, opening balances) at or below this many rows
-# are broadcast to the chunk rows; above it, a shuffle join on (product, chunk).
-BROADCAST_STARTS_MAX_ROWS = 2_000_000
 # start windows up to this width are tabulated; wider ones use pieces
 TABULATE_MAX_WIDTH = 4096
 
@@ -120,7 +116,7 @@ def _transfer_table(deltas: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.
     return starts[keep], shift[keep]
 
 
-def _replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Balances after each delta and acceptance flags, from a known start."""
     prefix = np.cumsum(deltas)
     if len(prefix) == 0 or start + prefix.min() >= 0:
@@ -153,22 +149,30 @@ def _iter_runs(it, extra: tuple[str, ...] = ()):
     """Complete (key, chunk) runs of rows sorted by key (and chunk), across
     Arrow batches: the last run of a batch may continue in the next one, so
     its rows are held back and prepended. Yields (key, chunk, deltas, extras)."""
-    held = None
+    held: list[pd.DataFrame] = []                  # the open run's rows, joined once when it ends
     for pdf in it:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
         if pdf.empty:
             continue
+        if held:
+            last = held[-1]
+            same = (pdf["_k0"].to_numpy() == last["_k0"].iat[-1]) & (pdf["_chunk"].to_numpy() == last["_chunk"].iat[-1])
+            if same.all():
+                held.append(pdf)
+                continue
+            cut = int(np.argmin(same))
+            yield _one_run(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True), extra)
+            pdf = pdf.iloc[cut:]
         k0, ch = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
-        d = pdf["_delta"].to_numpy(dtype=np.int64)
-        ex = [pdf[c].to_numpy() for c in extra]
         bounds = np.append(_run_starts(k0, ch), len(pdf))
-        held = pdf.iloc[bounds[-2]:]
         for a, b in zip(bounds[:-2], bounds[1:-1]):
-            yield k0[a], int(ch[a]), d[a:b], [e[a] for e in ex]
-    if held is not None and not held.empty:
-        yield (held["_k0"].iat[0], int(held["_chunk"].iat[0]), held["_delta"].to_numpy(dtype=np.int64),
-               [held[c].iat[0] for c in extra])
+            yield _one_run(pdf.iloc[a:b], extra)
+        held = [pdf.iloc[bounds[-2]:]]
+    if held:
+        yield _one_run(pd.concat(held, ignore_index=True), extra)
+
+
+def _one_run(run: pd.DataFrame, extra: tuple[str, ...]):
+    return run["_k0"].iat[0], int(run["_chunk"].iat[0]), run["_delta"].to_numpy(dtype=np.int64), [run[c].iat[0] for c in extra]
 
 
 def _batched(rows_iter, columns, size: int = 4096):
@@ -269,7 +273,7 @@ def _replays(it):
         ends = np.append(first[1:], len(d))
         for r in np.flatnonzero(start + deficit < 0):
             a, b = first[r], ends[r]
-            rb, ra = _replay(int(start[r]), d[a:b])
+            rb, ra = replay(int(start[r]), d[a:b])
             bal[a:b], acc[a:b] = rb, ra
         before = bal - np.where(acc, d, 0)
         last, carry = (k0[-1], ch[-1]), int(bal[-1])
@@ -277,30 +281,16 @@ def _replays(it):
 
 
 def _pinned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder. The frame is
-    persisted first so the checkpoint write does not compute it a second
-    time; the cached copy is dropped once the checkpoint exists."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
-
-
-def _small(df: DataFrame) -> tuple[DataFrame, int]:
-    """A one-row-per-chunk table, cached and counted (the count decides the
-    join below). Its inputs are checkpointed and its fold deterministic, so a
-    lost block is recomputed from the checkpoint."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, df.count()
-
-
-def _attach(chunked: DataFrame, small: tuple[DataFrame, int]) -> DataFrame:
-    """Join a per-chunk table to the chunk rows, keeping rows in chunk order:
-    broadcast after a size check (partitioning and order are kept), else a
-    shuffle join followed by a sort within partitions."""
-    table, rows = small
-    if rows <= BROADCAST_STARTS_MAX_ROWS:
-        return chunked.join(F.broadcast(table), ["_k0", "_chunk"])
+    """Reliable checkpoint into the shared checkpoint folder: partitions and their
+    order stay, lineage ends, nothing is kept on executors. (The write reads the
+    shuffle of the first computation again; nothing before it runs twice.)"""
+    return df.checkpoint(eager=True)
+
+
+def _attach(chunked: DataFrame, table: DataFrame) -> DataFrame:
+    """Join a per-chunk table to the chunk rows. Adaptive execution picks the join
+    by the table's bytes; the sort restores chunk order after a shuffle and finds
+    it in place after a broadcast."""
     return chunked.join(table, ["_k0", "_chunk"]).sortWithinPartitions("_k0", "_chunk", "_ts", "_seq")
 
 
@@ -335,13 +325,13 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
     refl = refl.withColumn("_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
     # phase B: start window of every chunk (a fold over <= one row per
     # partition the product touches); cached: derived from the checkpoint
-    windows = _small(refl.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+    windows = _pinned(refl.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
                      .mapInPandas(_bounds_fold, f"_k0 {ktype}, _chunk int, _a bigint, _w bigint"))
     # phase C: exact transfer function of every chunk on its window (parallel)
     summaries = _attach(chunked, windows).select("_k0", "_chunk", "_delta", "_a", "_w").mapInPandas(
         _summaries, f"_k0 {ktype}, _chunk int, _lo array<bigint>, _shift array<bigint>")
     # phase D: exact opening balance of every chunk
-    starts = _small(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
+    starts = _pinned(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
                     .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint"))
     # phase E: replay every chunk from its opening balance (parallel)
     tagged = _attach(chunked, starts)

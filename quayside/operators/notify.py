@@ -20,22 +20,25 @@ log = logging.getLogger("quayside.notify")
 
 
 def log_channel(path: str) -> Channel:
-    """Log lines (with their level) appended as text rows."""
+    """Log lines (with their level) as rows, one folder per batch: a batch that is
+    tried again replaces its own lines."""
     def send(alerts: DataFrame, batch_id: int) -> None:
-        AL.log_lines(alerts).write.mode("append").parquet(path)
+        AL.log_lines(alerts).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return send
 
 
 def webhook_channel(path: str) -> Channel:
-    """Webhook payloads appended as JSON rows (sending is outside the engine)."""
+    """Webhook payloads as JSON rows, one folder per batch (sending is outside the
+    engine)."""
     def send(alerts: DataFrame, batch_id: int) -> None:
-        AL.webhook_payload(alerts).write.mode("append").parquet(path)
+        AL.webhook_payload(alerts).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
     return send
 
 
 def fanout(channels: Sequence[Channel]) -> Callable[[DataFrame, int], list[str]]:
     """``foreachBatch``-ready dispatcher: every channel in order, each guarded.
-    Returns the errors of failing channels (empty when all succeeded)."""
+    Returns the errors of failing channels (empty when all succeeded). Every
+    channel computes ``alerts`` anew, so hand in a written table."""
     def dispatch(alerts: DataFrame, batch_id: int) -> list[str]:
         errors = []
         for ch in channels:

@@ -127,13 +127,31 @@ def q_forecast_jobs(spark, base):
     return _dbl(jobs.drop("model"), "mae", "total_predicted_demand")
 
 
+def several_requests(spark, base) -> DataFrame:
+    """Four requests per product: 7 days, 30 days, no horizon given, and an
+    unknown model for every third product (else a registered user model)."""
+    p = FX.products(spark, base).select("product_id", "sku")
+    asked = F.array(*[F.struct(F.lit(n).alias("request_no"), F.lit(h).cast("int").alias("horizon_days"), m.alias("model"))
+                      for n, h, m in ((1, 7, F.lit("prophet")), (2, 30, F.lit("prophet")), (3, None, F.lit("prophet")),
+                                      (4, 5, F.when(F.col("product_id") % 3 == 0, "arima").otherwise("mean")))])
+    return p.select("*", F.explode(asked).alias("r")).select("product_id", "sku", "r.*")
+
+
+@query("forecast_jobs_by_request")
+def q_forecast_jobs_by_request(spark, base):
+    jobs, _ = FC.run_jobs(several_requests(spark, base), history(spark, base), ["product_id"],
+                          request=["product_id", "request_no"], registry={"mean": _mean_model})
+    return _dbl(jobs, "mae", "total_predicted_demand")
+
+
 ITEM_CONTENT = ("product_id", "sku", "quantity", "unit_price")
 ITEM_KEYS = ["order_id", "item_key"]
 
 
 def confirmed_order_items(spark, base) -> DataFrame:
-    """Items of CONFIRMED orders, each with a content key (no per-order sort)."""
-    o = FX.orders(spark, base).where(F.col("status") == "CONFIRMED").select("id", "created_at")
+    """Items of orders that were confirmed (and perhaps shipped or delivered since),
+    each with a content key (no per-order sort)."""
+    o = FX.orders(spark, base).where(F.col("status").isin("CONFIRMED", "SHIPPED", "DELIVERED")).select("id", "created_at")
     items = FX.order_items(spark, base)
     joined = items.join(o, items.order_id == o.id).select(
         "order_id", *ITEM_CONTENT, F.col("created_at").alias("occurred_at"))
@@ -222,11 +240,8 @@ def item_jobs(spark, base):
     keys = ITEM_KEYS
     items = confirmed_order_items(spark, base)
     model = FC.fit(FC.seed_history(items, keys), keys)
-    pts = FC.points(model, keys, 30, clamp_ingest=True, carry=("mae",))
-    tot = pts.groupBy(*keys).agg(
-        F.sum(F.col("predicted_quantity").cast("decimal(12,4)")).cast("decimal(18,2)")
-        .alias("total_predicted_demand"), F.max("mae").alias("mae"))
-    pts = pts.drop("mae")
+    pts = FC.points(model, keys, 30, clamp_ingest=True)
+    tot = model.select(*keys, "mae", FC.horizon_total(F.lit(30)).alias("total_predicted_demand"))
     jobs = (items.join(tot, keys)
             .select(stable_id(F.lit("item"), "order_id", "item_key").alias("id"), "product_id", "sku",
                     F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"),
@@ -261,8 +276,9 @@ def points_table(spark, base) -> DataFrame:
 
 
 def product_events(spark, base) -> DataFrame:
-    """Product events of the ledger: one PRODUCT_CREATED per product at its
-    first movement, then one STOCK_ADJUSTED per accepted delta."""
+    """Product events: PRODUCT_CREATED for every product (at its first stock
+    movement, or at its creation if it never moved), one STOCK_ADJUSTED per
+    accepted delta, and PRODUCT_DELETED for discontinued products."""
     led = ledger_table(spark, base)
     prods = FX.products(spark, base).select("product_id", "sku", "category", "price")
     first = led.groupBy("product_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
@@ -275,7 +291,14 @@ def product_events(spark, base) -> DataFrame:
         "product_id", F.col("ts").alias("occurredAt"), (F.col("event_id") * 2 + 1).alias("_order_seq"),
         F.lit("STOCK_ADJUSTED").alias("eventType"), F.col("balance").cast("int").alias("stockQuantity"),
         F.col("delta").cast("int").alias("stockDelta"))
-    ev = created.unionByName(adjusted).join(prods, "product_id", "left")
+    still = (FX.products(spark, base).join(first, "product_id", "left_anti")
+             .select("product_id", F.col("created_at").alias("occurredAt"),
+                     F.lit(0).cast("bigint").alias("_order_seq"), F.lit("PRODUCT_CREATED").alias("eventType"),
+                     F.col("stock_quantity").alias("stockQuantity"), F.lit(None).cast("int").alias("stockDelta")))
+    gone = still.join(FX.discontinued(spark, base), "product_id", "left_semi").withColumns({
+        "occurredAt": F.col("occurredAt") + F.expr("INTERVAL 60 DAYS"), "_order_seq": F.lit(1).cast("bigint"),
+        "eventType": F.lit("PRODUCT_DELETED")})
+    ev = created.unionByName(adjusted).unionByName(still).unionByName(gone).join(prods, "product_id", "left")
     return ev.select(F.col("product_id").alias("productId"), "eventType",
                      F.coalesce("sku", sku_of("product_id")).alias("sku"), "category", "price",
                      "stockQuantity", "stockDelta", "occurredAt",
@@ -287,7 +310,7 @@ def alerts_table(spark, base) -> DataFrame:
     ev = product_events(spark, base)
     low = AL.low_stock(AL.downward_adjustments(ev).select(
         F.col("productId").alias("product_id"), "sku", F.col("stockQuantity").alias("stock_quantity"),
-        F.col("occurredAt").alias("occurred_at"), F.col("_order_seq").alias("event_id")))
+        F.col("occurredAt").alias("occurred_at"), AL.stock_event_key(seq="_order_seq").alias("event_id")))
     return AL.all_alerts(low, AL.forecast_alerts(forecast_results(spark, base)))
 
 
@@ -475,7 +498,7 @@ def q_sink_product_events(spark, base):
 @query("src_product_events")
 def q_src_product_events(spark, base):
     rec = EV.product_event_records(product_events(spark, base))
-    ev = EV.parse_values(rec, "product.events").drop("eventSeq")
+    ev = EV.parse_values(rec, "product.events")
     return _dbl(ev.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz")), "price", "stockDelta")
 
 
@@ -495,28 +518,40 @@ def q_product_deleted_signals(spark, base):
                 "price")
 
 
-ORDER_EVENT_OF_STATUS = {"PENDING": "ORDER_PLACED", "CONFIRMED": "ORDER_CONFIRMED",
-                         "SHIPPED": "ORDER_SHIPPED", "CANCELLED": "ORDER_CANCELLED"}
+#: The steps an order has passed when it is in a status, each with the status
+#: after it (delivery publishes no event).
+ORDER_STEPS = {
+    "PENDING": [("ORDER_PLACED", "PENDING")],
+    "CONFIRMED": [("ORDER_PLACED", "PENDING"), ("ORDER_CONFIRMED", "CONFIRMED")],
+    "SHIPPED": [("ORDER_PLACED", "PENDING"), ("ORDER_CONFIRMED", "CONFIRMED"), ("ORDER_SHIPPED", "SHIPPED")],
+    "DELIVERED": [("ORDER_PLACED", "PENDING"), ("ORDER_CONFIRMED", "CONFIRMED"), ("ORDER_SHIPPED", "SHIPPED")],
+    "CANCELLED": [("ORDER_PLACED", "PENDING"), ("ORDER_CANCELLED", "CANCELLED")],
+}
 
 
 def order_events(spark, base) -> DataFrame:
-    """Fat order events of the stored orders: the event of each order's status
-    (delivery publishes none) with sorted items and the derived total."""
+    """Fat order events of the stored orders: one for every step an order has
+    passed, in step order, with sorted items, the derived total and the status
+    after the step."""
     v = RD.order_view(FX.orders(spark, base), FX.order_items(spark, base))
-    etype = None
-    for k, val in ORDER_EVENT_OF_STATUS.items():
-        etype = F.when(F.col("status") == k, val) if etype is None else etype.when(F.col("status") == k, val)
+    steps = None
+    for status, passed in ORDER_STEPS.items():
+        arr = F.array(*[F.struct(F.lit(e).alias("eventType"), F.lit(st).alias("status"), F.lit(k).alias("step"))
+                        for k, (e, st) in enumerate(passed)])
+        steps = F.when(F.col("status") == status, arr) if steps is None else steps.when(F.col("status") == status, arr)
     items = F.transform("items", lambda i: F.struct(
         i["product_id"].cast("string").alias("productId"), i["sku"].alias("sku"),
         i["quantity"].alias("quantity"), i["unit_price"].alias("unitPrice")))
-    return v.select(etype.alias("eventType"), F.col("id").alias("orderId"),
-                    F.col("customer_id").alias("customerId"), items.alias("items"), "total", "status",
-                    F.col("updated_at").alias("occurredAt")).where(F.col("eventType").isNotNull())
+    # the items' array is built once per order; the steps multiply it by at most three
+    return v.withColumn("s", F.explode(steps)).select(
+        F.col("s.eventType").alias("eventType"), F.col("id").alias("orderId"), F.col("customer_id").alias("customerId"),
+        items.alias("items"), "total", F.col("s.status").alias("status"), F.col("updated_at").alias("occurredAt"),
+        F.col("updated_at").alias("_order_ts"), F.col("s.step").cast("bigint").alias("_order_seq"))
 
 
 @query("sink_order_events")
 def q_sink_order_events(spark, base):
-    return EV.order_event_records(order_events(spark, base))
+    return EV.order_event_records(order_events(spark, base)).select("key", "value")
 
 
 @query("src_order_events")
@@ -561,7 +596,7 @@ def stock_events_for_alerts(spark, base) -> DataFrame:
     ev = AL.downward_adjustments(product_events(spark, base))
     return ev.select(F.col("productId").alias("product_id"), "sku",
                      F.col("stockQuantity").alias("stock_quantity"),
-                     F.col("occurredAt").alias("occurred_at"), F.col("_order_seq").alias("event_id"))
+                     F.col("occurredAt").alias("occurred_at"), AL.stock_event_key(seq="_order_seq").alias("event_id"))
 
 
 @query("alerts_low_stock")
@@ -690,7 +725,9 @@ def q_upsert_orders(spark, base):
     new = segment_customers(spark, base, "BUILDING").select(
         (F.lit(10 ** 8) + F.col("customer_id")).alias("id"), "customer_id", F.lit("PENDING").alias("status"),
         FX._ntz(FX.EPOCH_2024).alias("created_at"), FX._ntz(FX.EPOCH_2024).alias("updated_at"))
-    incoming = changed.unionByName(new)
+    # an earlier write to every changed order in the same batch: the later one wins
+    earlier = changed.withColumns({"status": F.lit("CANCELLED"), "updated_at": F.col("created_at")})
+    incoming = earlier.unionByName(changed).unionByName(new)
     inc_items = items.join(changed.select(F.col("id").alias("order_id")), "order_id") \
         .withColumn("quantity", F.col("quantity") + 1)
     o, i = ST.upsert_orders(orders, items, incoming, inc_items)
@@ -703,12 +740,17 @@ def q_upsert_forecast_jobs(spark, base):
     jobs = jobs_table(spark, base).select(*_JOB_COLS)
     big = table(spark, base, "part", "p_partkey", "p_size").where(F.col("p_size") > 25) \
         .select(F.col("p_partkey").alias("product_id"))
-    rerun = (jobs.join(big, "product_id", "left_semi")
-             .select("id", "product_id", "sku", "horizon_days", F.lit("RUNNING").alias("status"),
-                     F.lit(None).cast("string").alias("model_used"),
-                     F.lit(None).cast("decimal(10,4)").alias("mae"),
-                     F.lit(None).cast("string").alias("error_message")))
-    return _dbl(ST.upsert_forecast_jobs(jobs, rerun), "mae")
+    hit = jobs.join(big, "product_id", "left_semi")
+    later = F.col("updated_at") + F.expr("INTERVAL 1 HOUR")
+    rerun = hit.withColumns({"status": F.lit("RUNNING"), "model_used": F.lit(None).cast("string"),
+                             "mae": F.lit(None).cast("decimal(10,4)"), "error_message": F.lit(None).cast("string"),
+                             "updated_at": later}).drop("version")
+    # every second of them gets its result by a second write, and some jobs are new
+    done = rerun.where(F.col("product_id") % 2 == 0).withColumns({
+        "status": F.lit("COMPLETED"), "model_used": F.lit("linear-trend"), "mae": F.lit("1.5").cast("decimal(10,4)"),
+        "updated_at": later})
+    new = done.where(F.col("product_id") % 10 == 0).withColumn("id", F.concat(F.lit("new-"), F.col("id")))
+    return _dbl(ST.upsert_forecast_jobs(jobs, rerun.unionByName(done).unionByName(new)), "mae")
 
 
 @query("versioned_update")
@@ -767,21 +809,32 @@ def q_stream_stock_ledger(spark, base):
 
 @query("stream_dedup_events")
 def q_stream_dedup_events(spark, base):
-    out = SJ.dedup_events(_events_stream(spark, base), ["event_id"])
     run = SJ.scratch(spark, "dedup")
-    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/out")
+    # the events out of order, in several files that each repeat some of another
+    ev = spark.read.parquet(f"{base}/events.parquet")
+    twice = ev.unionByName(ev.where(F.col("event_id") % 5 == 0))
+    twice.repartition(6, F.hash("event_id", "value")).write.parquet(f"{run}/in")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(f"{run}/in")
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.dedup_sink(f"{run}/out", ["event_id"]))
     return spark.read.parquet(f"{run}/out").select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
 
 
+@query("stream_daily_demand")
+def q_stream_daily_demand(spark, base):
+    run = SJ.scratch(spark, "daily-demand")
+    items = FX.confirmed_items(spark, base)
+    items.repartition(6, "order_id").write.parquet(f"{run}/in")
+    src = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{run}/in")
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.daily_demand_sink(f"{run}/out"))
+    return SJ.daily_demand_total(spark.read.parquet(f"{run}/out"))
+
+
 @query("stream_low_stock")
 def q_stream_low_stock(spark, base):
     run = SJ.scratch(spark, "low-stock")
-    ev = product_events(spark, base).select(
-        "eventType", F.col("productId").cast("string").alias("productId"), "sku", "category",
-        "stockQuantity", "stockDelta", "price", "occurredAt", F.col("_order_seq").alias("eventSeq"))
-    EV.write_records(ev, f"{run}/topic", "productId", ("occurredAt", "eventSeq"))
-    src = EV.read_topic(spark, f"{run}/topic", "product.events", stream=True)
+    EV.write_topic(EV.product_event_records(product_events(spark, base)), f"{run}/topic", ("_order_ts", "_order_seq"))
+    src = EV.read_keyed_topic(spark, f"{run}/topic", "product.events", stream=True, max_files_per_trigger=8)
     SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.low_stock_sink(f"{run}/alerts"))
     return spark.read.parquet(f"{run}/alerts").drop("alert_date").withColumn(
         "occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
@@ -804,15 +857,12 @@ def q_stream_forecast_alerts(spark, base):
 @query("stream_forecast_alerts_stateful")
 def q_stream_forecast_alerts_stateful(spark, base):
     run = SJ.scratch(spark, "forecast-alerts-stateful")
-    pev = product_events(spark, base).select(
-        "eventType", F.col("productId").cast("string").alias("productId"), "sku", "category",
-        "stockQuantity", "stockDelta", "price", "occurredAt", F.col("_order_seq").alias("eventSeq"))
-    EV.write_records(pev, f"{run}/products", "productId", ("occurredAt", "eventSeq"))
+    EV.write_topic(EV.product_event_records(product_events(spark, base)), f"{run}/products", ("_order_ts", "_order_seq"))
     jobs, _ = forecast_jobs(spark, base)
     fev = EV.parse_values(EV.forecast_event_records(
         jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
     EV.write_records(fev, f"{run}/forecasts", "productId", ("occurredAt",))
-    out = SJ.forecast_alerts_stateful(EV.read_topic(spark, f"{run}/products", "product.events", stream=True),
+    out = SJ.forecast_alerts_stateful(EV.read_keyed_topic(spark, f"{run}/products", "product.events", stream=True),
                                       EV.read_topic(spark, f"{run}/forecasts", "forecast.completed", stream=True))
     SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/alerts")
     return spark.read.parquet(f"{run}/alerts")
@@ -829,20 +879,34 @@ def _item_forecasts(batch: DataFrame):
     items = FC.keyed_items(flat, "order_id", ITEM_CONTENT, ("occurred_at",))
     model = FC.fit(FC.seed_history(items, keys), keys)
     pts = FC.points(model, keys, 30, clamp_ingest=True)
-    return model.select(*keys, "mae"), pts
+    done = model.select(*keys, "mae", FC.horizon_total(F.lit(30)).alias("total_predicted_demand"))
+    jobs = items.join(done, keys, "left").select(
+        stable_id(F.lit("item"), "order_id", "item_key").alias("id"), "order_id", "item_key", "product_id", "sku",
+        F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"), F.lit("linear-trend").alias("model_used"),
+        F.col("mae").cast("decimal(10,4)").alias("mae"), F.lit(None).cast("string").alias("error_message"),
+        "total_predicted_demand", F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"))
+    return jobs, pts
 
 
-@query("stream_order_forecasts")
-def q_stream_order_forecasts(spark, base):
+def _order_forecast_run(spark, base) -> str:
     run = SJ.scratch(spark, "order-forecasts")
-    ev = order_events(spark, base).withColumn("orderId", F.col("orderId").cast("string")) \
-        .withColumn("customerId", F.col("customerId").cast("string"))
-    EV.write_records(ev, f"{run}/topic", "orderId", ("occurredAt",))
-    src = EV.read_topic(spark, f"{run}/topic", "order.events", stream=True)
+    EV.write_topic(EV.order_event_records(order_events(spark, base)), f"{run}/topic", ("_order_ts", "_order_seq"))
+    src = EV.read_keyed_topic(spark, f"{run}/topic", "order.events", stream=True, max_files_per_trigger=64)
     src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
     SJ.run_available_now(src, f"{run}/_checkpoint",
                          sink=SJ.order_forecast_sink(f"{run}/jobs", f"{run}/points", _item_forecasts))
-    return spark.read.parquet(f"{run}/points").drop("batch_id")
+    return run
+
+
+@query("stream_order_forecasts")
+def q_stream_order_forecasts(spark, base):
+    return spark.read.parquet(f"{_order_forecast_run(spark, base)}/points").drop("batch_id")
+
+
+@query("stream_order_forecast_jobs")
+def q_stream_order_forecast_jobs(spark, base):
+    jobs = spark.read.parquet(f"{_order_forecast_run(spark, base)}/jobs")
+    return _dbl(jobs.drop("batch_id", "order_id", "item_key"), "mae", "total_predicted_demand")
 
 
 # ============================================================ alert store and fan-out
@@ -866,10 +930,10 @@ def q_alert_fanout(spark, base):
     log channel's rows are returned (both channels are written)."""
     run = SJ.scratch(spark, "fanout")
     errors = NT.fanout([NT.log_channel(f"{run}/log"), NT.webhook_channel(f"{run}/webhook")])(
-        alerts_table(spark, base), 0)
+        LG._pinned(alerts_table(spark, base)), 0)
     if errors:
         raise RuntimeError(f"notification channels failed: {errors}")
-    return spark.read.parquet(f"{run}/log")
+    return spark.read.parquet(f"{run}/log").drop("batch_id")
 
 
 @query("forecast_job_transitions")

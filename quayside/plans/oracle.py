@@ -228,6 +228,25 @@ sql("forecast_jobs", with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS,
     + "SELECT id, product_id, sku, horizon_days, status, model_used, CAST(mae AS DOUBLE) AS mae, "
       "error_message, CAST(total_predicted_demand AS DOUBLE) AS total_predicted_demand FROM jobs")
 
+sql("forecast_jobs_by_request", with_(PRODUCTS, HIST, CHECKS, VALID, *FIT, *_points_ctes("product_id", "30")) + """
+, asked AS (SELECT c.*, r.request_no, r.h AS horizon_days,
+                   CASE WHEN r.request_no < 4 THEN 'prophet' WHEN c.product_id % 3 = 0 THEN 'arima' ELSE 'mean' END AS model
+            FROM checks c CROSS JOIN (VALUES (1, 7), (2, 30), (3, 30), (4, 5)) r(request_no, h)),
+verdict AS (SELECT a.* EXCLUDE (failure_reason),
+                   CASE WHEN model = 'arima' THEN 'Unsupported model: arima' ELSE failure_reason END AS reason FROM asked a),
+own AS (SELECT product_id, round_even(avg(y) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS m FROM hist GROUP BY 1)
+SELECT sha256('job:' || CAST(v.product_id AS VARCHAR) || ':' || CAST(v.request_no AS VARCHAR)) AS id, v.product_id, v.sku,
+       v.request_no, v.horizon_days, v.model, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       CASE WHEN reason IS NULL THEN CASE WHEN v.model = 'mean' THEN 'mean' ELSE 'linear-trend' END END AS model_used,
+       CASE WHEN reason IS NULL AND v.model = 'prophet' THEN CAST(CAST(m.mae AS DECIMAL(10,4)) AS DOUBLE) END AS mae,
+       reason AS error_message,
+       CASE WHEN reason IS NULL THEN CASE WHEN v.model = 'mean'
+            THEN CAST(CAST(5 * CAST(o.m AS DECIMAL(12,4)) AS DECIMAL(18,2)) AS DOUBLE)
+            ELSE (SELECT CAST(CAST(sum(CAST(greatest(p.predicted_quantity, 0.0::DOUBLE) AS DECIMAL(12,4))) AS DECIMAL(18,2)) AS DOUBLE)
+                  FROM pts p WHERE p.product_id = v.product_id AND p.date <= m.last_ds + CAST(v.horizon_days AS INTEGER)) END END
+       AS total_predicted_demand
+FROM verdict v LEFT JOIN model m USING (product_id) LEFT JOIN own o USING (product_id)""".replace("\n\n, asked", ",\nasked"))
+
 CONF_ITEMS = """
 conf_items AS (
   SELECT order_id,
@@ -236,7 +255,7 @@ conf_items AS (
                         AS VARCHAR)) AS item_key,
          occurred_at, product_id, sku, quantity
   FROM (SELECT i.*, o.created_at AS occurred_at FROM items i
-        JOIN orders_m o ON i.order_id = o.id WHERE o.status = 'CONFIRMED'))"""
+        JOIN orders_m o ON i.order_id = o.id WHERE o.status IN ('CONFIRMED', 'SHIPPED', 'DELIVERED')))"""
 
 SEEDS = """
 seeds AS (
@@ -535,7 +554,14 @@ pe0 AS (
   WHERE rn = 1
   UNION ALL
   SELECT product_id, 'STOCK_ADJUSTED', ts, event_id * 2 + 1, CAST(balance AS INTEGER), CAST(delta AS INTEGER)
-  FROM ledger_ts WHERE accepted),
+  FROM ledger_ts WHERE accepted
+  UNION ALL
+  SELECT product_id, 'PRODUCT_CREATED', created_at, 0, stock_quantity, NULL FROM products
+  WHERE product_id NOT IN (SELECT product_id FROM deltas)
+  UNION ALL
+  SELECT product_id, 'PRODUCT_DELETED', created_at + INTERVAL 60 DAY, 1, stock_quantity, NULL
+  FROM products JOIN part ON p_partkey = product_id AND p_size = 50
+  WHERE product_id NOT IN (SELECT product_id FROM deltas)),
 pevents AS (
   SELECT e.product_id AS productId, e.eventType, coalesce(p.sku, printf('SKU-%06d', e.product_id)) AS sku,
          p.category, p.price, CAST(e.stockQuantity AS INTEGER) AS stockQuantity, e.stockDelta, e.occurredAt, e.seq
@@ -563,12 +589,13 @@ SELECT CAST(productId AS VARCHAR) AS key,
        '{{"eventType":' || {_jstr('eventType')} || ',"productId":' || {_jstr('CAST(productId AS VARCHAR)')}
        || ',"sku":' || {_jstr('sku')} || ',"category":' || {_jstr('category')}
        || ',"stockQuantity":' || {_jnum('stockQuantity')} || ',"stockDelta":' || {_jnum('stockDelta')}
-       || ',"price":' || {_jnum('price')} || ',"occurredAt":' || {_jts('occurredAt')} || '}}' AS value
+       || ',"price":' || {_jnum('price')} || ',"occurredAt":' || {_jts('occurredAt')}
+       || ',"eventSeq":' || {_jnum('seq')} || '}}' AS value
 FROM pevents""")
 sql("src_product_events", with_(*PE) + """
 SELECT eventType, CAST(productId AS VARCHAR) AS productId, sku, category, stockQuantity,
        CAST(stockDelta AS DOUBLE) AS stockDelta,
-       CAST(price AS DOUBLE) AS price, occurredAt FROM pevents""")
+       CAST(price AS DOUBLE) AS price, occurredAt, seq AS eventSeq FROM pevents""")
 sql("downward_adjustments", with_(*PE) + f"""
 SELECT {PE_COLS} FROM pevents WHERE eventType = 'STOCK_ADJUSTED' AND stockDelta < 0""")
 sql("out_of_stock_signals", with_(*PE) + f"""
@@ -586,13 +613,15 @@ oitems AS (
          count(*) AS n_items, CAST(sum(CAST(unit_price * quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total
   FROM items GROUP BY order_id),
 oevents AS (
-  SELECT CASE o.status WHEN 'PENDING' THEN 'ORDER_PLACED' WHEN 'CONFIRMED' THEN 'ORDER_CONFIRMED'
-                       WHEN 'SHIPPED' THEN 'ORDER_SHIPPED' WHEN 'CANCELLED' THEN 'ORDER_CANCELLED' END AS eventType,
-         o.id AS orderId, o.customer_id AS customerId, coalesce(i.items_json, '[]') AS items_json,
+  SELECT p.e AS eventType, o.id AS orderId, o.customer_id AS customerId, coalesce(i.items_json, '[]') AS items_json,
          coalesce(i.n_items, 0) AS n_items, coalesce(i.total, CAST(0 AS DECIMAL(18,2))) AS total,
-         o.status, o.updated_at AS occurredAt
-  FROM orders_m o LEFT JOIN oitems i ON i.order_id = o.id
-  WHERE o.status IN ('PENDING', 'CONFIRMED', 'SHIPPED', 'CANCELLED'))"""
+         p.after AS status, o.updated_at AS occurredAt
+  FROM orders_m o
+  JOIN (VALUES ('ORDER_PLACED', 'PENDING', ['PENDING', 'CONFIRMED', 'SHIPPED', 'DELIVERED', 'CANCELLED']),
+               ('ORDER_CONFIRMED', 'CONFIRMED', ['CONFIRMED', 'SHIPPED', 'DELIVERED']),
+               ('ORDER_SHIPPED', 'SHIPPED', ['SHIPPED', 'DELIVERED']),
+               ('ORDER_CANCELLED', 'CANCELLED', ['CANCELLED'])) p(e, after, passed) ON list_contains(p.passed, o.status)
+  LEFT JOIN oitems i ON i.order_id = o.id)"""
 
 sql("sink_order_events", with_(ORDERS_M, ITEMS, OEVENTS) + f"""
 SELECT CAST(orderId AS VARCHAR) AS key,
@@ -639,7 +668,8 @@ SELECT jobId, eventType,
 # ------------------------------------------------------------ alert rules
 LOW_STOCK = """
 low_alerts AS (
-  SELECT sha256('LOW_STOCK:' || CAST(productId AS VARCHAR) || ':' || CAST(seq AS VARCHAR)) AS id,
+  SELECT sha256('LOW_STOCK:' || CAST(productId AS VARCHAR) || ':' || CAST(epoch_us(occurredAt) AS VARCHAR) || ':'
+                || CAST(stockQuantity AS VARCHAR) || ':' || CAST(stockDelta AS VARCHAR) || ':' || CAST(seq AS VARCHAR)) AS id,
          'LOW_STOCK' AS type, CASE WHEN stockQuantity = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
          productId AS product_id, sku, 'Low Stock Alert: ' || sku AS title,
          printf('Product %s has only %d units remaining (threshold: %d).', sku, stockQuantity, 10) AS message,
@@ -784,7 +814,7 @@ o AS (
          CASE WHEN i.id IS NOT NULL THEN i.status ELSE s.status END AS status,
          coalesce(s.created_at, i.created_at) AS created_at,
          CASE WHEN i.id IS NOT NULL THEN i.updated_at ELSE s.updated_at END AS updated_at,
-         CASE WHEN i.id IS NOT NULL AND s.id IS NOT NULL THEN s.version + 1
+         CASE WHEN i.id IS NOT NULL AND s.id IS NOT NULL THEN s.version + 2
               WHEN i.id IS NOT NULL THEN 0 ELSE s.version END AS version
   FROM orders_m s FULL OUTER JOIN incoming i ON s.id = i.id)
 SELECT o.*, CAST(t.total AS DOUBLE) AS total FROM o
@@ -792,13 +822,19 @@ LEFT JOIN (SELECT order_id, CAST(sum(unit_price * quantity) AS DECIMAL(18,2)) AS
            FROM new_items GROUP BY 1) t ON t.order_id = o.id""".replace("\n\n, changed", ",\nchanged"))
 
 sql("upsert_forecast_jobs", with_(*STORE) + """
-, rerun AS (SELECT id FROM jobs_all WHERE product_id IN (SELECT p_partkey FROM part WHERE p_size > 25))
-SELECT id, product_id, sku, horizon_days,
-       CASE WHEN id IN (SELECT id FROM rerun) THEN 'RUNNING' ELSE status END AS status,
-       model_used, CAST(mae AS DOUBLE) AS mae,
-       CASE WHEN id IN (SELECT id FROM rerun) THEN NULL ELSE error_message END AS error_message,
-       CASE WHEN id IN (SELECT id FROM rerun) THEN version + 1 ELSE version END AS version
-FROM jobs_all""".replace("\n\n, rerun", ",\nrerun"))
+, hit AS (SELECT j.*, product_id % 2 = 0 AS done FROM jobs_all j
+          WHERE product_id IN (SELECT p_partkey FROM part WHERE p_size > 25))
+SELECT j.id, j.product_id, j.sku, j.horizon_days,
+       CASE WHEN h.id IS NULL THEN j.status WHEN h.done THEN 'COMPLETED' ELSE 'RUNNING' END AS status,
+       CASE WHEN h.done THEN 'linear-trend' ELSE j.model_used END AS model_used,
+       CASE WHEN h.done THEN 1.5 ELSE CAST(j.mae AS DOUBLE) END AS mae,
+       CASE WHEN h.id IS NULL THEN j.error_message END AS error_message, j.created_at,
+       j.updated_at + INTERVAL 1 HOUR * (CASE WHEN h.id IS NULL THEN 0 WHEN h.done THEN 2 ELSE 1 END) AS updated_at,
+       j.version + CASE WHEN h.id IS NULL THEN 0 WHEN h.done THEN 2 ELSE 1 END AS version
+FROM jobs_all j LEFT JOIN hit h ON h.id = j.id
+UNION ALL
+SELECT 'new-' || id, product_id, sku, horizon_days, 'COMPLETED', 'linear-trend', 1.5, NULL, created_at,
+       updated_at + INTERVAL 2 HOUR, 0 FROM hit WHERE product_id % 10 = 0""".replace("\n\n, hit", ",\nhit"))
 
 sql("versioned_update", with_(PRODUCTS) + """
 , u AS (SELECT l_partkey AS product_id, l_orderkey * 100 + l_linenumber AS update_id, l_shipdate AS ts,
@@ -819,6 +855,11 @@ ORACLE["stream_stock_ledger"] = ORACLE["stock_ledger"]
 ORACLE["stream_low_stock"] = ORACLE["alerts_low_stock"]
 ORACLE["stream_forecast_alerts"] = ORACLE["all_alerts"]
 ORACLE["stream_forecast_alerts_stateful"] = ORACLE["all_alerts"]
+ORACLE["stream_daily_demand"] = ORACLE["daily_demand"]
+sql("stream_order_forecast_jobs", with_(*STORE) + """
+SELECT j.id, j.product_id, j.sku, j.horizon_days, j.status, j.model_used, CAST(j.mae AS DOUBLE) AS mae, j.error_message,
+       CAST(j.total_predicted_demand AS DOUBLE) AS total_predicted_demand, j.created_at, j.updated_at
+FROM jobs_all j WHERE j.id IN (SELECT sha256('item:' || CAST(order_id AS VARCHAR) || ':' || item_key) FROM conf_items)""")
 ORACLE["stream_order_forecasts"] = ORACLE["forecast_per_confirmed_item"]
 sql("stream_dedup_events", "SELECT event_id, ts, user_id, event_type, value FROM events")
 
@@ -831,7 +872,7 @@ SELECT id,
        || ',"fields":[' || """ + " || ',' || ".join([
     _FIELD.format(t="Type", v="type"), _FIELD.format(t="Severity", v="severity"),
     _FIELD.format(t="SKU", v="sku"),
-    _FIELD.format(t="Time", v="strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ')")]) + """
+    _FIELD.format(t="Time", v="strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(occurred_at) % 1000000 = 0 THEN '' WHEN epoch_us(occurred_at) % 1000 = 0 THEN strftime(occurred_at, '.%g') ELSE strftime(occurred_at, '.%f') END || 'Z'")]) + """
        || ']}]}' AS payload
 FROM alerts_all""")
 
@@ -879,7 +920,7 @@ SELECT order_id, item_key, errors = '' AS accepted, errors FROM e""".replace("\n
 # ------------------------------------------------------------ registry boundary
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
-    "daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
+    "daily_demand": ["ds"], "stream_daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
     "forecast_points": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
     "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"],
     "forecast_custom_model": ["date"],

@@ -1,7 +1,8 @@
 """Spark session helpers.
 
 Production jobs receive a session from the cluster; these helpers only fill in
-settings that are unset, so cluster-wide configuration always wins.
+settings that are unset, so cluster-wide configuration wins. One setting is forced:
+the time zone is UTC, since days are cut from instants.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.sparkContext.getCheckpointDir() or configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="quayside-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -49,6 +49,12 @@ def products(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def discontinued(spark: SparkSession, base: str) -> DataFrame:
+    """Products that were taken off the range (fixture rule: parts of size 50)."""
+    return table(spark, base, "part", "p_partkey", "p_size").where(F.col("p_size") == 50).select(
+        F.col("p_partkey").alias("product_id"))
+
+
 def _status_of(code) -> F.Column:
     expr = None
     for k, v in STATUS_OF_CODE.items():

@@ -43,11 +43,21 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, key: str = "product_
 
 
 # ------------------------------------------------------------------ S9
+def _version(key: str):
+    """Version after an upsert: + 1 per write; an insert's first write gives 0."""
+    new = F.col(f"i.{key}").isNotNull()
+    return (F.when(new & F.col(f"s.{key}").isNotNull(), F.col("s.version") + F.col("i._writes"))
+            .when(new, F.col("i._writes") - 1).otherwise(F.col("s.version")).cast("bigint").alias("version"))
+
+
 def upsert_orders(stored: DataFrame, stored_items: DataFrame, incoming: DataFrame,
                   incoming_items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Known id: replace status and the items only; unknown: insert.
-    Items of changed orders are replaced as a whole (anti join + union)."""
-    s, i = stored.alias("s"), incoming.alias("i")
+    """Known id: replace status and the items only; unknown: insert. Of several
+    writes to one id in a batch the last by updated_at wins. Items of changed
+    orders are replaced as a whole (anti join + union); incoming items that carry
+    their write's updated_at count only for the write that won."""
+    last = _last_per_key(incoming, "id")
+    s, i = stored.alias("s"), last.alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
     new = F.col("i.id").isNotNull()
     orders = j.select(
@@ -56,9 +66,10 @@ def upsert_orders(stored: DataFrame, stored_items: DataFrame, incoming: DataFram
         F.when(new, F.col("i.status")).otherwise(F.col("s.status")).alias("status"),
         F.coalesce(F.col("s.created_at"), F.col("i.created_at")).alias("created_at"),
         F.when(new, F.col("i.updated_at")).otherwise(F.col("s.updated_at")).alias("updated_at"),
-        F.when(new & F.col("s.id").isNotNull(), F.col("s.version") + 1)
-        .when(new, F.lit(0).cast("bigint")).otherwise(F.col("s.version")).alias("version"))
-    changed = incoming.select(F.col("id").alias("order_id"))
+        _version("id"))
+    changed = last.select(F.col("id").alias("order_id"), "updated_at")
+    if "updated_at" in incoming_items.columns:
+        incoming_items = incoming_items.join(changed, ["order_id", "updated_at"], "left_semi")
     items = stored_items.join(changed, "order_id", "left_anti").unionByName(
         incoming_items.select(*stored_items.columns))
     return orders, items
@@ -69,22 +80,34 @@ JOB_RESULT_FIELDS = ("model_used", "mae")
 
 
 def upsert_forecast_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Known id: status and error message always; model and mae only when the
-    incoming row carries a result (model_used present), else the old ones stay."""
-    s, i = stored.alias("s"), incoming.alias("i")
+    """Known id: status, error message and updated_at always; model and mae only
+    when a write carries a result (model_used present), else the old ones stay;
+    created_at stays. Of several writes to one id in a batch the last by
+    updated_at wins, and the last that carries a result gives the result."""
+    result = F.struct(*JOB_RESULT_FIELDS)
+    results = (incoming.where(F.col("model_used").isNotNull()).groupBy("id")
+               .agg(F.max_by(result, F.struct("updated_at", *JOB_RESULT_FIELDS)).alias("_result")))
+    s = stored.alias("s")
+    i = _last_per_key(incoming, "id").join(results, "id", "left").alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
     new = F.col("i.id").isNotNull()
-    has_result = F.col("i.model_used").isNotNull()
     cols = [F.coalesce(F.col("i.id"), F.col("s.id")).alias("id")]
-    for c in ("product_id", "sku", "horizon_days"):
+    for c in ("product_id", "sku", "horizon_days", "created_at"):
         cols.append(F.coalesce(F.col(f"s.{c}"), F.col(f"i.{c}")).alias(c))
-    cols.append(F.when(new, F.col("i.status")).otherwise(F.col("s.status")).alias("status"))
+    for c in ("status", "error_message", "updated_at"):
+        cols.append(F.when(new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
     for c in JOB_RESULT_FIELDS:
-        cols.append(F.when(new & has_result, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
-    cols.append(F.when(new, F.col("i.error_message")).otherwise(F.col("s.error_message")).alias("error_message"))
-    cols.append(F.when(new & F.col("s.id").isNotNull(), F.col("s.version") + 1)
-                .when(new, F.lit(0).cast("bigint")).otherwise(F.col("s.version")).alias("version"))
-    return j.select(*cols)
+        cols.append(F.when(F.col("i._result").isNotNull(), F.col(f"i._result.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
+    return j.select(*cols, _version("id"))
+
+
+def replace_points(stored: DataFrame, jobs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Forecast points after ``upsert_forecast_jobs`` with the writes ``jobs``:
+    a job whose write carries a result gets the incoming points in place of all
+    its old ones; the points of other jobs stay."""
+    done = jobs.where(F.col("model_used").isNotNull()).select(F.col("id").alias("job_id")).distinct()
+    return stored.join(done, "job_id", "left_anti").unionByName(
+        incoming.join(done, "job_id", "left_semi").select(*stored.columns))
 
 
 # ------------------------------------------------------------------ S11

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..operators import alerts as AL
+from ..operators import ledger as LG
 from ..session import ensure_checkpoint_dir
 
 
@@ -47,6 +48,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other trouble with the store rises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 # ------------------------------------------------------------------ T8
 STATE_SCHEMA = "balance bigint"
 LEDGER_OUT = ("product_id {k}, ts {t}, event_id bigint, delta bigint, balance_before bigint, "
@@ -59,17 +66,9 @@ def _ledger_state(opening: int):
         frames = list(batches)
         pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         d = pdf["delta"].to_numpy(dtype=np.int64)
-        before = np.empty(len(d), dtype=np.int64)
-        after = np.empty(len(d), dtype=np.int64)
-        ok = np.empty(len(d), dtype=bool)
-        for i, x in enumerate(d.tolist()):
-            before[i] = b
-            if b + x >= 0:
-                b += x
-                ok[i] = True
-            else:
-                ok[i] = False
-            after[i] = b
+        after, ok = LG.replay(b, d)
+        before = after - np.where(ok, d, 0)
+        b = int(after[-1]) if len(d) else b
         state.update((b,))
         yield pdf.assign(balance_before=before, balance=after, accepted=ok)[
             ["product_id", "ts", "event_id", "delta", "balance_before", "balance", "accepted"]]
@@ -98,17 +97,15 @@ def low_stock_sink(path: str, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOL
         ev = AL.downward_adjustments(batch).select(
             F.col("productId").cast("bigint").alias("product_id"), "sku",
             F.col("stockQuantity").alias("stock_quantity"),
-            F.col("occurredAt").alias("occurred_at"), F.col("eventSeq").alias("event_id"))
-        alerts = AL.low_stock(ev, thresholds).dropDuplicates(["id"]) \
+            F.col("occurredAt").alias("occurred_at"), AL.stock_event_key().alias("event_key"))
+        alerts = AL.low_stock(ev, thresholds, event_key="event_key").dropDuplicates(["id"]) \
             .withColumn("alert_date", F.to_date("occurred_at"))
-        try:
+        if path_exists(spark, path):
             # only the date partitions this batch touches are read (the semi
             # join on the partition column lets Spark prune the others)
-            existing = spark.read.parquet(path).select("id", "alert_date") \
+            existing = spark.read.schema(alerts.schema).parquet(path).select("id", "alert_date") \
                 .join(alerts.select("alert_date").distinct(), "alert_date", "left_semi")
             alerts = alerts.join(existing, ["id", "alert_date"], "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            pass
         alerts.write.mode("append").partitionBy("alert_date").parquet(path)
     return write
 
@@ -128,7 +125,7 @@ def forecast_alert_sink(path: str, stock: DataFrame):
 
 
 # ------------------------------------------------------------------ T6 (stateful)
-STOCK_STATE = "stock bigint"
+STOCK_STATE = "stock bigint, ts bigint, seq bigint"
 RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
               "total_predicted_demand decimal(18,2), error_message string, occurred_at timestamp_ntz, "
               "current_stock int")
@@ -137,20 +134,26 @@ RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
 def _stock_state(default_stock: int):
     def step(key, batches, state):
         pdf = pd.concat(list(batches), ignore_index=True)
-        # a stock change at the same instant as a forecast counts for it
-        pdf = pdf.sort_values(["ts", "kind", "seq"], kind="stable")
-        stock = int(state.get[0]) if state.exists else None
-        out = []
-        for row in pdf.itertuples(index=False):
-            if row.kind == 0:
-                stock = int(row.stock)
-            else:
-                out.append((row.job_id, int(row.product_id), row.sku, row.status, row.total,
-                            row.error_message, row.ts, default_stock if stock is None else stock))
-        if stock is not None:
-            state.update((stock,))
-        yield pd.DataFrame(out, columns=["job_id", "product_id", "sku", "status", "total_predicted_demand",
-                                         "error_message", "occurred_at", "current_stock"])
+        # the stock kept so far takes part as one more change, so an older change
+        # that comes later does not replace it; a change at the same instant as a
+        # forecast counts for it
+        us, seq = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), pdf["seq"].fillna(-1).to_numpy(np.int64)
+        kind, stock = pdf["kind"].to_numpy(np.int64), pdf["stock"].fillna(-1).to_numpy(np.int64)
+        if state.exists:
+            old_stock, old_us, old_seq = state.get
+            us, seq = np.append(us, old_us), np.append(seq, old_seq)
+            kind, stock = np.append(kind, 0), np.append(stock, old_stock)
+        order = np.lexsort((seq, kind, us))
+        is_stock = kind[order] == 0
+        at = np.maximum.accumulate(np.where(is_stock, np.arange(len(order)), -1))
+        asof = np.where(at >= 0, stock[order][at], default_stock)
+        if at[-1] >= 0:
+            k = order[at[-1]]
+            state.update((int(stock[k]), int(us[k]), int(seq[k])))
+        rows = order[~is_stock]
+        out = pdf.iloc[rows].assign(current_stock=asof[~is_stock])
+        yield out.rename(columns={"total": "total_predicted_demand", "ts": "occurred_at"})[
+            ["job_id", "product_id", "sku", "status", "total_predicted_demand", "error_message", "occurred_at", "current_stock"]]
     return step
 
 
@@ -193,20 +196,36 @@ def order_forecast_sink(jobs_path: str, points_path: str, run: Callable[[DataFra
 
 
 # ------------------------------------------------------------------ T9
-def dedup_events(events: DataFrame, keys: Sequence[str], event_time: str = "ts",
-                 delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered events: duplicates of a key arriving within the
-    watermark delay are dropped; state older than the watermark is purged.
-    Event time must be a ``timestamp`` (not ``timestamp_ntz``) for watermarks."""
-    ev = events.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return ev.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
-def daily_demand_stream(items: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming A7: a 1-day tumbling window sum per product, final once the
-    watermark passes the day (append mode)."""
-    it = items.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
-    return (it.withWatermark("occurred_at", delay)
-            .groupBy("product_id", F.window("occurred_at", "1 day").alias("w"))
-            .agg(F.sum(F.col("quantity").cast("double")).alias("y"))
-            .select("product_id", F.to_date(F.col("w.start")).alias("ds"), "y"))
+def dedup_sink(path: str, keys: Sequence[str], event_time: str = "ts"):
+    """foreachBatch writer that keeps the first delivery of every event, however
+    late it comes: a batch loses its own repeats and the keys already stored for
+    the days it touches. A redelivered event has its event time again, so only
+    those days are read. Each batch writes to a folder of its own below the day,
+    which a retry replaces; stored batches with a higher number are not looked at,
+    so a retry gives the same rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date(event_time))
+        if path_exists(spark, path):
+            schema = new.schema.add("batch_id", "long")
+            stored = (spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
+                      .join(new.select("day").distinct(), "day", "left_semi").select("day", *keys))
+            new = new.join(stored, ["day", *keys], "left_anti")
+        (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "day").parquet(path))
+    return write
+
+
+def daily_demand_sink(path: str):
+    """foreachBatch writer of A7: each micro-batch adds its own sums per product
+    and day (one folder per batch, replaced on a retry). No row is too late and
+    no day stays open; ``daily_demand_total`` adds the parts up."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = (batch.groupBy("product_id", F.to_date("occurred_at").alias("ds"))
+                .agg(F.sum(F.col("quantity").cast("double")).alias("y")))
+        write_batch(part, path, batch_id)
+    return write
+
+
+def daily_demand_total(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("product_id", "ds").agg(F.sum("y").alias("y"))

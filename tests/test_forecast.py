@@ -102,6 +102,26 @@ def test_jobs_keep_failed_series(spark):
     assert pts.count() == 14
 
 
+def test_two_requests_of_one_series_and_a_null_horizon(spark):
+    h = hist(spark, {"a": ramp(30)})
+    req = spark.createDataFrame([("a", 1, 7, "prophet"), ("a", 2, None, None), ("a", 3, 14, "prophet"), ("a", 4, 3, "flat"),
+                                 ("a", 5, 3, "arima")], "product_id string, no int, horizon_days int, model string")
+
+    def flat(pdf, horizon):
+        days = pd.date_range(pdf["ds"].iloc[-1], periods=horizon + 1)[1:].date
+        return pd.DataFrame({"date": days, "predicted_quantity": 2.0, "lower_bound": 1.0, "upper_bound": 3.0})
+
+    jobs, pts = FC.run_jobs(req, h, ["product_id"], request=["product_id", "no"], registry={"flat": flat})
+    j = {r.no: r for r in jobs.collect()}
+    n = {r.no: r["count"] for r in pts.groupBy("no").count().collect()}
+    assert len({r.id for r in j.values()}) == 5 and n == {1: 7, 2: 30, 3: 14, 4: 3}
+    assert float(j[3].total_predicted_demand) == 395.51 and j[2].horizon_days == 30
+    one = {r.no: r.t for r in pts.groupBy("no").agg({"predicted_quantity": "sum"}).toDF("no", "t").collect()}
+    assert all(abs(one[k] - float(j[k].total_predicted_demand)) < 0.006 for k in n)
+    assert j[1].mae == j[2].mae is not None and j[4].mae is None and j[4].model_used == "flat"
+    assert j[5].status == "FAILED" and j[5].error_message == "Unsupported model: arima"
+
+
 def _numpy_forecast(ys, horizon, days):
     """Brute force: least squares by numpy, per-weekday means, same rounding."""
     n = len(ys)

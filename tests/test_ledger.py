@@ -131,12 +131,17 @@ def test_final_balances(spark):
     assert got == {1: (11, 3, 1), 2: (13, 1, 0)}
 
 
-def test_shuffle_join_path_when_tables_are_large(spark, monkeypatch):
-    """Force the non-broadcast path: shuffle join + sort within partitions."""
-    monkeypatch.setattr(LG, "BROADCAST_STARTS_MAX_ROWS", 0)
+def test_shuffle_join_path_when_tables_are_large(spark):
+    """Without broadcasts: shuffle join + sort within partitions."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     rng = np.random.default_rng(23)
     rows = [(0 if rng.random() < 0.4 else int(rng.integers(1, 6)), int(rng.integers(-30, 25))) for _ in range(700)]
-    got = LG.ledger(frame(spark, rows), None, default_opening=20, num_chunks=5).orderBy("event_id").collect()
+    try:
+        got = LG.ledger(frame(spark, rows), None, default_opening=20, num_chunks=5).orderBy("event_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     want = {}
     for p in range(6):
         idx = [i for i, (q, _) in enumerate(rows) if q == p]

@@ -34,14 +34,40 @@ def test_stream_ledger_over_micro_batches_equals_batch(spark, tmp_path):
     assert got == want and len(got) == 400
 
 
-def test_dedup_within_watermark(spark, tmp_path):
-    rows = [(1, T0, "a"), (2, T0 + dt.timedelta(minutes=1), "b"), (1, T0 + dt.timedelta(minutes=2), "a-again")]
-    p = str(tmp_path / "ev")
-    spark.createDataFrame(rows, "event_id long, ts timestamp, v string").write.parquet(p)
-    stream = spark.readStream.schema("event_id long, ts timestamp, v string").parquet(p)
+def test_dedup_keeps_late_first_deliveries(spark, tmp_path):
+    """One file per batch; a first delivery that comes nine hours late stays, a
+    repeat in a later batch and one in the same batch go."""
+    rows = [[(1, T0, "a")], [(2, T0 + dt.timedelta(hours=10), "b"), (2, T0 + dt.timedelta(hours=10), "b")],
+            [(3, T0 + dt.timedelta(hours=20), "c"), (1, T0, "a")], [(4, T0 + dt.timedelta(hours=1), "late")],
+            [(5, T0 + dt.timedelta(hours=21), "e"), (4, T0 + dt.timedelta(hours=1), "late")]]
+    schema = "event_id long, ts timestamp, v string"
+    src = tmp_path / "ev"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(src / f"p={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(str(src))
     run = str(tmp_path / "run")
-    SJ.run_available_now(SJ.dedup_events(stream, ["event_id"]), run + "/ckpt", path=run + "/out")
-    assert sorted(r.event_id for r in spark.read.parquet(run + "/out").collect()) == [1, 2]
+    SJ.run_available_now(stream, run + "/ckpt", sink=SJ.dedup_sink(run + "/out", ["event_id"]))
+    assert sorted(r.event_id for r in spark.read.parquet(run + "/out").collect()) == [1, 2, 3, 4, 5]
+    # a batch that is tried again writes the same rows once
+    SJ.dedup_sink(run + "/out", ["event_id"])(spark.createDataFrame(rows[4], schema), 4)
+    assert sorted(r.event_id for r in spark.read.parquet(run + "/out").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_events_without_a_sequence_alert_each(spark, tmp_path):
+    """Five low-stock events of one product, as the product sink writes them and
+    without sequence numbers: five alerts, and five after a redelivery."""
+    ev = spark.createDataFrame(
+        [("STOCK_ADJUSTED", "1", "SKU-1", "C", 5 - k, -1, None, T0 + dt.timedelta(minutes=k)) for k in range(5)],
+        "eventType string, productId string, sku string, category string, stockQuantity int, stockDelta int, "
+        "price decimal(12,2), occurredAt timestamp")
+    topic, run = str(tmp_path / "topic"), str(tmp_path / "run")
+    for _ in range(2):
+        EV.write_topic(EV.product_event_records(ev), topic)
+        src = EV.read_keyed_topic(spark, topic, "product.events", stream=True)
+        SJ.run_available_now(src, run + "/ckpt", sink=SJ.low_stock_sink(run + "/alerts"))
+        got = spark.read.parquet(run + "/alerts").collect()
+        assert len(got) == len({r.id for r in got}) == 5
 
 
 def test_low_stock_stream_redelivery_alerts_once(spark, tmp_path):
@@ -89,13 +115,10 @@ def test_daily_demand_stream_matches_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(str(src))
     run = str(tmp_path / "run")
-    SJ.run_available_now(SJ.daily_demand_stream(stream, "0 seconds"), run + "/ckpt", path=run + "/out")
-    got = {(r.product_id, r.ds): r.y for r in spark.read.parquet(run + "/out").collect()}
+    SJ.run_available_now(stream, run + "/ckpt", sink=SJ.daily_demand_sink(run + "/out"))
+    got = {(r.product_id, r.ds): r.y for r in SJ.daily_demand_total(spark.read.parquet(run + "/out")).collect()}
     want = {(r.product_id, r.ds): r.y for r in FC.daily_demand(spark.createDataFrame(rows, schema)).collect()}
-    # append mode emits a day once the watermark passes it: every closed day equals the batch sum
-    assert got and all(want[k] == v for k, v in got.items())
-    last_day = max(d for _, d in want)
-    assert {k for k in want if k[1] < last_day} <= set(got)
+    assert got == want
 
 
 def test_stateful_forecast_alerts_carry_stock_across_batches(spark, tmp_path):

@@ -79,15 +79,44 @@ def test_upsert_products(spark):
     assert (got[3].version, got[3].created_at) == (0, t1)
 
 
-def test_upsert_jobs_keeps_result_without_new_one(spark):
-    cols = "id string, product_id long, sku string, horizon_days int, status string, model_used string, " \
-           "mae decimal(10,4), error_message string"
-    stored = spark.createDataFrame([("j", 1, "S", 30, "COMPLETED", "linear-trend", Decimal("1.5"), None, 0)],
-                                   cols + ", version long")
-    incoming = spark.createDataFrame([("j", 1, "S", 30, "FAILED", None, None, "boom")], cols)
-    (r,) = ST.upsert_forecast_jobs(stored, incoming).collect()
-    assert (r.status, r.model_used, r.mae, r.error_message, r.version) == \
-        ("FAILED", "linear-trend", Decimal("1.5000"), "boom", 1)
+JOB_COLS = ("id string, product_id long, sku string, horizon_days int, status string, model_used string, "
+            "mae decimal(10,4), error_message string, created_at timestamp, updated_at timestamp")
+
+
+def test_upsert_jobs_keeps_result_and_creation_time(spark):
+    t1, t2, t3 = (T0 + dt.timedelta(hours=h) for h in (1, 2, 3))
+    stored = spark.createDataFrame([("j", 1, "S", 30, "COMPLETED", "linear-trend", Decimal("1.5"), None, T0, T0, 0)],
+                                   JOB_COLS + ", version long")
+    incoming = spark.createDataFrame(
+        [("j", 1, "S", 30, "RUNNING", None, None, None, t1, t1), ("j", 1, "S", 30, "FAILED", None, None, "boom", t2, t2),
+         ("n", 2, "N", 7, "RUNNING", None, None, None, t1, t1),
+         ("n", 2, "N", 7, "COMPLETED", "linear-trend", Decimal("2.5"), None, t2, t2),
+         ("n", 2, "N", 7, "COMPLETED", None, None, None, t3, t3)], JOB_COLS)
+    got = {r.id: r for r in ST.upsert_forecast_jobs(stored, incoming).collect()}
+    assert tuple(got["j"][c] for c in ("status", "model_used", "mae", "error_message", "created_at", "updated_at", "version")) == \
+        ("FAILED", "linear-trend", Decimal("1.5000"), "boom", T0, t2, 2)
+    assert tuple(got["n"][c] for c in ("status", "model_used", "mae", "created_at", "updated_at", "version")) == \
+        ("COMPLETED", "linear-trend", Decimal("2.5000"), t3, t3, 2)
+
+
+def test_points_are_replaced_only_by_a_result(spark):
+    jobs = spark.createDataFrame([("a", "linear-trend"), ("b", None)], "id string, model_used string")
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "job_id string, p int")
+    new = spark.createDataFrame([("a", 9), ("b", 9)], "job_id string, p int")
+    assert sorted(map(tuple, ST.replace_points(old, jobs, new).collect())) == [("a", 9), ("b", 1), ("c", 1)]
+
+
+def test_upsert_orders_last_write_wins(spark):
+    t1, t2 = T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)
+    cols = "id long, customer_id long, status string, created_at timestamp, updated_at timestamp"
+    items = "order_id long, product_id long, quantity int"
+    stored = spark.createDataFrame([(1, 5, "PENDING", T0, T0, 3), (2, 5, "PENDING", T0, T0, 0)], cols + ", version long")
+    stored_items = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], items)
+    incoming = spark.createDataFrame([(1, 5, "CONFIRMED", T0, t1), (1, 5, "CANCELLED", T0, t2), (3, 6, "PENDING", t1, t1)], cols)
+    new_items = spark.createDataFrame([(1, 11, 1, t1), (1, 12, 2, t2), (3, 30, 1, t1)], items + ", updated_at timestamp")
+    o, i = ST.upsert_orders(stored, stored_items, incoming, new_items)
+    assert sorted((r.id, r.status, r.version) for r in o.collect()) == [(1, "CANCELLED", 5), (2, "PENDING", 0), (3, "PENDING", 0)]
+    assert sorted(map(tuple, i.collect())) == [(1, 12, 2), (2, 20, 1), (3, 30, 1)]
 
 
 def test_append_alerts_skips_known_ids(spark, tmp_path):
