@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import written
 from quayside.llm.components import components
-from quayside.llm.sketches import Bands, WordHashes, dense_sketch, part_keys, rarest, shingle_set
+from quayside.llm.sketches import Bands, dense_sketch, part_keys, rarest, shingle_sets
 
 CELLS = 1 << 20  # counts of part keys; the memory of the broadcast is 4 bytes each
 SLICES = 64
@@ -64,17 +64,15 @@ def describe(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     names = ["doc_id", "n", "f1", "f2", *WORDS, "slice", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = WordHashes(), np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.uint32)
         for b in batches:
-            n, marks = [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, hashes, size)
+            n, marks, keys = [], [], [np.empty(0, np.uint64)]
+            for s in shingle_sets(b.column(1).to_pylist(), size):
                 n.append(len(s))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                marks.append(np.r_[digest, dense_sketch(s).view(np.int64)])
-                for band, parts in bands.of(len(s)):
-                    at = (part_keys(s, band, parts) & np.uint64(CELLS - 1)).astype(np.int64)
-                    np.add.at(cells, at, 1)
+                marks.append(np.concatenate([digest, dense_sketch(s).view(np.int64)]))
+                keys += [part_keys(s, band, parts) for band, parts in bands.of(len(s))]
+            cells += np.bincount((np.concatenate(keys) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             marks = np.array(marks, np.int64).reshape(len(n), 10)
             cols = [b.column(0), pa.array(n, pa.int32()), *(pa.array(marks[:, k]) for k in range(10))]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
@@ -106,27 +104,23 @@ def _cell_counts(described: DataFrame) -> np.ndarray:
 
 
 def sketch_keys(texts: DataFrame, size: int, bands: Bands, counts) -> DataFrame:
-    """(key, doc_id, f1, f2): the rarest d + 1 part keys of each document."""
+    """(key, doc_id, f1): the rarest d + 1 part keys of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = WordHashes(), counts.value
+        cells = counts.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, keys, digests, n = part.column(0).to_numpy(zero_copy_only=False), [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, hashes, size)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids, keys, first, n = part.column(0).to_numpy(zero_copy_only=False), [np.empty(0, np.uint64)], [], []
+                for s in shingle_sets(part.column(1).to_pylist(), size):
                     own = [rarest(part_keys(s, band, parts), cells, bands.differ(len(s)) + 1) for band, parts in bands.of(len(s))]
                     keys += own
                     n.append(sum(map(len, own)))
-                    digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
-                if not keys:
-                    continue
-                d = np.array(digests, np.int64).reshape(len(n), 2)
+                    first.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                 yield pa.RecordBatch.from_pydict({
                     "key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(ids.astype(np.int64), n),
-                    "f1": np.repeat(d[:, 0], n), "f2": np.repeat(d[:, 1], n)})
+                    "f1": np.repeat(np.array(first, np.int64), n)})
 
-    return texts.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, f1 long, f2 long")
+    return texts.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, f1 long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -145,13 +139,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     few = ids.count() <= BROADCAST_IDS
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes, size).tobytes() for t in b.column(1).to_pylist()]
+            sets = [x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["doc_id", "elements"])
 
     sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-                   .mapInArrow(to_sets, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
+                   .mapInArrow(to_sets, "doc_id long, elements binary"), "sets")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +157,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "linked")
+    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "linked")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -180,28 +173,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = written(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"))
                    .where("lo <> hi").select("key"), "live")
     met = written(keyed.join(live, "key", "left_semi"), "met")
-    members = written(met.groupBy("key", "f1", "f2").agg(F.min("doc_id").alias("rep")).select("key", "rep"), "members")
-
-    scores = members.groupBy("rep").agg(F.count(F.lit(1)).alias("score"))
-    nodes = (scores.join(sets.select(F.col("doc_id").alias("rep"), "n", *WORDS), "rep").dropDuplicates(["rep"]))
-    nodes = written(nodes, "nodes")
-    known = written(members.join(nodes, "rep"), "known")
-
-    hubs = (known.groupBy("key")
-            .agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"), "n", *WORDS)).alias("h"))
-            .select("key", (-F.col("h.neg")).alias("rep"), *(F.col(f"h.{x}") for x in ["n", *WORDS])))
-    hubs = written(hubs, "hubs")
-    star = (known.alias("k").join(hubs.alias("h"), (F.col("k.key") == F.col("h.key")) & (F.col("k.rep") != F.col("h.rep")) & _may_link("k", "h", percent))
-            .select(F.least("k.rep", "h.rep").alias("a"), F.greatest("k.rep", "h.rep").alias("b")).distinct())
+    members = written(met.groupBy("key", "f1").agg(F.min("doc_id").alias("rep")).select("key", "rep"), "members")
+
+    scores = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("score")), "scores")
+    hubs = written(members.join(scores, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"))).alias("h"))
+                   .select("key", (-F.col("h.neg")).alias("hub")), "hubs")
+    star = members.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     star = written(star, "star")
-    first = verified(star, texts, size, percent)
+    nodes = written(sets.join(scores.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", *WORDS), "nodes")
+    near = (star.join(nodes.alias("k"), F.col("a") == F.col("k.rep")).join(nodes.alias("h"), F.col("b") == F.col("h.rep"))
+            .where(_may_link("k", "h", percent)).select("a", "b").distinct())
+    first = verified(written(near, "near"), texts, size, percent)
     groups = components(first)
 
-    placed = known.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed.select("key", "rep", "component", "n", *WORDS), "placed")
+    placed = written(members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
     mixed = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                     .where("lo <> hi").select("key"), "mixed")
-    rest = written(placed.join(mixed, "key", "left_semi"), "mixed-members")
+    rest = written(placed.join(mixed, "key", "left_semi").join(nodes, "rep"), "mixed-members")
     across = (rest.alias("k").join(rest.alias("h"), (F.col("k.key") == F.col("h.key")) & (F.col("k.component") < F.col("h.component")) & _may_link("k", "h", percent))
               .select(F.least("k.rep", "h.rep").alias("a"), F.greatest("k.rep", "h.rep").alias("b")).distinct())
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,33 +18,97 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: bytes | None, hashes: WordHashes, size: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``size``-word shingles, words
-    lower-cased in A-Z only and split at ASCII white space. A text with fewer
-    words has its whole sequence as its one shingle; one without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(size, len(w))
-    acc = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        acc = acc * _K + w[i:len(w) - k + 1 + i]
-    return np.unique(mix(acc))
+CHUNK = 1 << 20  # bytes hashed at a time
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _K)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+_UP = _powers(int(_K), CHUNK)
+_DOWN = _powers(pow(int(_K), -1, 1 << 64), CHUNK)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of up to CHUNK bytes, and where they begin: a
+    polynomial in the word's bytes, from one running sum over all of them."""
+    x = np.frombuffer(data, np.uint8)
+    gap = np.concatenate([[True], _SPACE[x], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[x] * _UP[:len(x)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * _DOWN[start] + (end - start).astype(np.uint64)), start
+
+
+def _long(data: bytes) -> np.ndarray:
+    """Word hashes of a text longer than a chunk: chunks end after white space;
+    a word that is longer than a chunk is hashed alone."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        cut = end
+        if end < len(data):
+            while cut > at and not _SPACE[data[cut - 1]]:
+                cut -= 1
+        if cut > at:
+            out.append(word_hashes(data[at:cut])[0])
+        else:
+            cut = m.start() if (m := _GAP.search(data, end)) else len(data)
+            out.append(np.array([xxhash.xxh3_64_intdigest(data[at:cut])], np.uint64))
+        at = cut
+    return np.concatenate(out)
+
+
+def words_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The word hashes of each text, A-Z lower-cased, split at ASCII white space."""
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+    held: list[int] = []
+
+    def hash_held() -> None:
+        parts = [texts[k] for k in held]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        h, start = word_hashes(b" ".join(parts).lower())
+        for k, own in zip(held, np.split(h, np.searchsorted(start, ends[:-1]))):
+            out[k] = own
+        held.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) >= CHUNK:
+            out[k] = _long(text.lower())
+            continue
+        if held and size + len(text) + 1 > CHUNK:
+            hash_held()
+            size = 0
+        held.append(k)
+        size += len(text) + 1
+    if held:
+        hash_held()
+    return out
+
+
+def shingle_sets(texts: list[bytes | None], size: int = 4) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's ``size``-word shingles. A text
+    with fewer words has its whole sequence as its one shingle; one without words
+    has none."""
+    out = []
+    for w in words_of(texts):
+        if not len(w):
+            out.append(w)
+            continue
+        k = min(size, len(w))
+        acc = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            acc = acc * _K + w[i:len(w) - k + 1 + i]
+        acc = np.sort(mix(acc))
+        out.append(acc[np.concatenate([[True], acc[1:] != acc[:-1]])])
+    return out
 
 
 @dataclass(frozen=True)
@@ -101,6 +166,6 @@ def rarest(keys: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
 
 
 def dense_sketch(elements: np.ndarray, bits: int = 512) -> np.ndarray:
-    """The parity sketch folded to ``bits`` bits (64-bit words)."""
-    at = np.bincount((mix(elements + _K) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    """A parity sketch of ``bits`` bits (a power of two), packed."""
+    at = np.bincount((mix(elements + _K) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(at.astype(np.uint8))
