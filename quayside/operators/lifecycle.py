@@ -5,8 +5,9 @@ replay is a short chain of "first accepted event after the last change"
 steps: step r finds, per key, the earliest event whose action the current
 state accepts. Each step is a join of the events with a one-row-per-key
 frontier and a partially aggregated ``min`` -- no per-key list is ever
-collected, so an order or job with very many events is still split across
-tasks (AQE splits the skewed event side of the join). The number of steps is
+collected. The events of one very busy order or job still meet in one task of
+each join: the frontier is an aggregate above its shuffle, which adaptive
+execution does not split. The number of steps is
 the longest path of the machine (3 for orders, 2 for jobs), not the number of
 events. Per-event verdicts come from comparing each event's position with the
 positions of the accepted steps.
