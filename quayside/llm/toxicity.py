@@ -38,7 +38,7 @@ from quayside.llm.common import hash_sample, summed_tables, written
 SPACE = 1 << 18
 FEATURES = 8192
 FOLDS = 5
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 BROADCAST_LABELS = 500_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789«»¡¿…–—“”‘’"
 
