@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.tokens import SpanEncoder, vocabulary
+from quayside.llm.tokens import SpanEncoder, encoder, vocabulary
 
 RULES = ("first", "most", "split")
 
@@ -107,7 +107,7 @@ def attribute(docs: DataFrame, tokenizer: str, rule: str = "first", sections: st
     names = ["id", "section", "start", "end", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpanEncoder(file_text.value, spaces)
+        own = encoder(SpanEncoder, file_text.value, spaces)
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
@@ -118,7 +118,7 @@ def attribute(docs: DataFrame, tokenizer: str, rule: str = "first", sections: st
                         where = np.array([(x["start"], x["end"]) for x in places or []], np.int64).reshape(-1, 2)
                     else:
                         where = lines(text or "")
-                    total, crossing = allocate(encoder.spans(text), where, rule)
+                    total, crossing = allocate(own.spans(text), where, rule)
                     keep = len(where) + bool(total[-1] or crossing[-1])
                     rows.append(np.column_stack([np.append(np.arange(len(where)), -1), np.vstack([where, [[-1, -1]]]), crossing])[:keep])
                     owners.append((np.full(keep, i), total[:keep]))

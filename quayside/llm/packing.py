@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import rank_within, written
-from quayside.llm.tokens import Encoder, vocabulary
+from quayside.llm.tokens import Encoder, encoder, vocabulary
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, spaces: bool = False,
@@ -39,12 +39,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file_text.value, spaces)
+        own = encoder(Encoder, file_text.value, spaces)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encoder.ids(text) + end
+                    ids = own.ids(text) + end
                     out += [(doc, k, k * capacity, (len(x := ids[s:s + width])) // 4, x) for k, s in enumerate(range(0, len(ids), width))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],

@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from quayside.llm import rans
 from quayside.llm.common import shared_path, written
 from quayside.llm.files import opened, published
-from quayside.llm.tokens import Encoder, vocabulary
+from quayside.llm.tokens import Encoder, encoder, vocabulary
 
 MAGIC = b"QTOKENS1"
 BLOCK = 1 << 18
+IDS = "<u2"  # ids on their way to the files: the vocabularies have below 2**16
 UNIT = 8  # blocks
 _HEADER = struct.Struct("<8sI")
 _TRAILER = struct.Struct("<QQQQI8s")  # documents, blocks, ids, place of the index, crc32, magic
@@ -49,15 +50,15 @@ _POINT = np.dtype([("at", "<u8"), ("bytes", "<u4"), ("n", "<u4"), ("first", "<u8
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of the whole text and the end id, unsigned 32-bit."""
-    file_text, end = vocabulary(docs.sparkSession, tokenizer), np.array([end_id], "<u4").tobytes()
+    """(doc_id, ids): ids of the whole text and the end id, as numbers of type IDS."""
+    file_text, end = vocabulary(docs.sparkSession, tokenizer), np.array([end_id], IDS).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file_text.value, spaces)
+        own = encoder(Encoder, file_text.value, spaces, IDS)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [encoder.ids(t) + end for t in part.column(1).to_pylist()]
+                ids = [own.ids(t) + end for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -70,7 +71,7 @@ def frequencies(table: DataFrame) -> np.ndarray:
         n = np.zeros(1 << 17, np.int64)
         for b in batches:
             for ids in b.column(0).to_pylist():
-                x = np.bincount(np.frombuffer(ids, "<u4"))
+                x = np.bincount(np.frombuffer(ids, IDS))
                 if len(x) > len(n):
                     n = np.pad(n, (0, 2 * len(x) - len(n)))
                 n[:len(x)] += x
@@ -138,7 +139,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, files: int
             file = _File(out, rans.Table.of(shared.value))
             for b in batches:
                 for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    file.add(doc, np.frombuffer(data, "<u4"))
+                    file.add(doc, np.frombuffer(data, IDS))
             n_docs, n = file.close()
         yield pa.RecordBatch.from_pydict({"file": [k], "docs": [n_docs], "n": [n]})
 

@@ -11,6 +11,7 @@ are encoded uncut. Tests hold the ids against uncut encoding.
 
 from __future__ import annotations
 
+import os
 import re
 from pathlib import Path
 
@@ -23,7 +24,7 @@ _RUN = rf"[{_LETTERS}]++(?![^\x00-\x7f])"
 _WITH_SPACE = re.compile(rf"\s*{_RUN}|\s*\S+|\s+")
 _WITHOUT_SPACE = re.compile(rf"{_RUN}|\S+")
 _UNCUT = re.compile("[\x1c-\x1f᠎]")
-MOST_PIECES = 600_000  # remembered pieces of a worker, about 150 MB
+MOST_PIECES = 350_000  # remembered pieces of a worker, twice: about 150 MB
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -32,51 +33,78 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+class Remembered(dict):
+    """Values by piece for the last MOST_PIECES to twice as many pieces: when the
+    younger half is full it becomes the older one, and a piece of the older half
+    that is met again moves to the younger."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, pieces: list[str]) -> list[str]:
+        """The pieces that must be learned; all others are in the dict then."""
+        new = {p for p in pieces if p not in self}
+        if len(self) + len(new) > MOST_PIECES:
+            self.old = dict(self)
+            self.clear()
+            new = set(pieces)
+        for p in [p for p in new if p in self.old]:
+            self[p] = self.old[p]
+            new.discard(p)
+        return list(new)
+
+
 class Encoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts.
+    """Ids (little-endian unsigned) of whole texts.
 
     ``spaces``: the tokenizer keeps white space (byte-level) or drops it."""
 
-    def __init__(self, file_text: str, spaces: bool):
+    def __init__(self, file_text: str, spaces: bool, dtype: str = "<u4"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.tokenizer.no_truncation()
+        if self.tokenizer.get_vocab_size() > 1 << 8 * np.dtype(dtype).itemsize:
+            raise ValueError("the ids do not fit")
         self.keeps_all = spaces  # pieces cover the text, so their lengths give places
         self.cut = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MOST_PIECES:
-            self.known.clear()
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i:i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        self.dtype, self.known = dtype, Remembered()
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
         if _UNCUT.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         pieces = self.cut(text)
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            new = {p for p in pieces if p not in self.known}
-            if len(self.known) + len(new) > MOST_PIECES:
-                self.known.clear()
-                new = set(pieces)
-            self._learn(list(new))
+            new = self.known.missing(pieces)
+            for i in range(0, len(new), 4096):
+                for p, e in zip(some := new[i:i + 4096], self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    self.known[p] = np.array(e.ids, self.dtype).tobytes()
             return b"".join(map(self.known.__getitem__, pieces))
 
 
+_ENCODERS: dict[tuple, object] = {}
+
+
+def encoder(kind: type, *args):
+    """One encoder per Python worker, kept between tasks with what it remembers."""
+    if (kind, *args) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[kind, *args] = kind(*args)
+    return _ENCODERS[kind, *args]
+
+
 class SpanEncoder:
     """Character spans of a text's tokens, by the same pieces."""
 
     def __init__(self, file_text: str, spaces: bool):
         self.encoder = Encoder(file_text, spaces)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
 
     def _encode(self, texts: list[str]):
         for e in self.encoder.tokenizer.encode_batch(texts, add_special_tokens=False):
@@ -88,10 +116,7 @@ class SpanEncoder:
         if _UNCUT.search(text) or not self.encoder.keeps_all:
             return next(self._encode([text])).astype(np.int64)
         pieces = self.encoder.cut(text)
-        new = list({p for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > MOST_PIECES // 2:
-            self.known.clear()
-            new = list(set(pieces))
+        new = self.known.missing(pieces)
         for i in range(0, len(new), 4096):
             for p, x in zip(some := new[i:i + 4096], self._encode(some)):
                 self.known[p] = x.tobytes()
