@@ -41,14 +41,15 @@ def lower_ascii(col: Column) -> Column:
 
 
 def rank_within(df: DataFrame, keys: list[str], id_col: str, rank: str = "rank",
-                seed: int = 0, splits: int = 256) -> DataFrame:
+                seed: int = 0, splits: int = 256, ties: str | None = None) -> DataFrame:
     """Number the rows of every key 0, 1, 2, ... in a seeded order.
 
     A key may hold a third of all rows, so no window spans a whole key: rows go
     to ``splits`` parts of their key by a seeded hash of ``id_col``, each part is
     numbered on its own, and the parts' starts come from a running sum over the
     (key, part) counts. ``keys`` must be non-null columns; ``df`` is read twice,
-    so hand in a written table. Rows equal in ``id_col`` take neighbouring ranks.
+    so hand in a written table. Rows equal in ``id_col`` take neighbouring ranks,
+    in the order of ``ties`` if given.
     """
     h, part, first = "__hash", "__part", "__first"
     d = (df.withColumn(h, F.xxhash64(F.lit(seed), F.col(id_col)))
@@ -58,7 +59,7 @@ def rank_within(df: DataFrame, keys: list[str], id_col: str, rank: str = "rank",
     starts = (d.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
               .withColumn(first, F.coalesce(F.sum("__n").over(before), F.lit(0)))
               .drop("__n"))
-    inside = Window.partitionBy(*keys, part).orderBy(h, id_col)
+    inside = Window.partitionBy(*keys, part).orderBy(h, id_col, *([ties] if ties else []))
     numbered = d.withColumn("__row", F.row_number().over(inside))
     return (numbered.join(starts, [*keys, part])
             .withColumn(rank, (F.col(first) + F.col("__row") - 1).cast("long"))

@@ -16,10 +16,12 @@ Only histograms enter the plan, never documents. Documents of a size are then
 taken by seeded rank within (source, size), see ``rank_within``.
 
 Defined cases. Null and empty texts have size 0 and take part with 0 words. A
-null source is a source of its own, last in order. Null ids and repeated rows
-are ranked like any others; equal rows may differ in what they take, but reruns
-give the same rows. Only id, text and source are read, so other names cannot
-clash. An empty table gives an empty result.
+null source is a source of its own, last in order. Every row is planned by
+itself, whatever its id: rows are ranked by id and text, so null ids and ids on
+several rows spread like any others, and a row key tells rows apart. Rows equal
+in both may differ in what they take, but reruns give the same rows. ``mix``
+reads id, text and source only, so other names cannot clash. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,14 +105,14 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
-    """One row per input row: id, ``size``, ``source_size`` and ``target`` of its
-    source, ``copies`` (how often the mix holds it) and ``taken`` (its words in
-    the mix). Sources in code point order, null last, get ``weights`` in turn and
-    share ``share`` times all words."""
+def _planned(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
+             seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             size: Column | None = None) -> DataFrame:
+    """The rows of ``mix`` with their key ``row`` as ``__row``."""
     source = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    rows = written(docs.select(F.col(id_col).alias("__id"), source.alias("__source"),
+    order = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"), row.alias("row"))
+    rows = written(docs.select(order.alias("__order"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__spread"),
+                               source.alias("__source"),
                                (n_words(F.col(text_col)) if size is None else size).alias("size")), "mix-sizes")
     histogram = written(rows.groupBy("__source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     sources = histogram.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).limit(MAX_SOURCES + 1).collect()
@@ -131,17 +133,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     extra = written(histogram.join(table, "__source").select("__source", "size", "n", "budget")
                     .groupBy("__source").applyInPandas(chosen, "__source string, size long, extra long"), "mix-plan")
-    ranked = rank_within(rows, ["__source", "size"], "__id", "__rank", seed)
+    ranked = rank_within(rows, ["__source", "size"], "__spread", "__rank", seed, ties="__order")
     out = (ranked.join(extra.where("extra > 0"), ["__source", "size"], "left").join(table, "__source"))
     copies = F.col("epochs") + F.coalesce(F.col("__rank") < F.col("extra"), F.lit(False)).cast("long")
-    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
-                      (F.col("size") * copies).alias("taken"))
+    return out.select(F.col("__order.row").alias("__row"), F.col("__order.id").alias(id_col), "size", "source_size", "target",
+                      copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def mix(docs: DataFrame, **kw) -> DataFrame:
+    """One row per input row: id, ``size``, ``source_size`` and ``target`` of its
+    source, ``copies`` (how often the mix holds it) and ``taken`` (its words in
+    the mix). Sources in code point order, null last, get ``weights`` in turn and
+    share ``share`` times all words. For keywords see ``_planned``."""
+    return _planned(docs, F.monotonically_increasing_id(), **kw).drop("__row")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: every document as often as it was taken, with all its
-    columns. Documents of size 0 hold no words and go. Ids must be unique."""
-    how = mix(docs, id_col=id_col, **kw).where("taken > 0").select(F.col(id_col).alias("__mix_id"), F.col("copies").alias("__copies"))
-    return (docs.join(how, docs[id_col] == how["__mix_id"])
+    columns. Documents of size 0 hold no words and go. The rows are written with
+    a key of their own before planning, and the plan comes back by that key, so
+    ids may be null or stand on several rows."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    how = _planned(rows, F.col("__row"), **kw).where("taken > 0").select("__row", F.col("copies").alias("__copies"))
+    return (rows.join(how, "__row")
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
             .select(*docs.columns))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quayside.llm import mixing, quality, tokens
@@ -71,3 +72,37 @@ def test_registered_with_the_rest():
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     assert set(E.oracle_sql()) <= set(names)
+
+
+def test_mixed_takes_every_row_as_planned(spark, odd):
+    """Null ids, repeated rows and two texts under one id: each row has the
+    copies planned for it, and every source meets its target."""
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 == 0 else k // 2 if k % 3 == 1 else 7, " ".join(["w"] * int(rng.integers(1, 60))) + f" t{k}", f"s{k % 3}")
+            for k in range(600)]
+    rows += rows[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mixed(docs).collect()
+    had, got = Counter(rows), Counter(map(tuple, out))
+    assert set(got) <= set(had) and all(got[r] <= 2 * n for r, n in had.items())
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == len(rows) and len(out) == sum(r.copies for r in plan)
+    words_of = Counter()
+    for (_, t, s), n in got.items():
+        words_of[s] += n * len(t.split())
+    names = sorted({r[2] for r in rows})
+    size = [sum(len(t.split()) for _, t, s in rows if s == name) for name in names]
+    for name, want in zip(names, mixing.targets(size, mixing.WEIGHTS, 1.5 * sum(size))):
+        assert abs(words_of[name] - want) <= 2
+    again = mixing.mixed(odd).collect()
+    assert len(again) == sum(r.copies for r in mixing.mix(odd).collect() if r.taken)
+    assert any(r.doc_id is None for r in again)
+
+
+def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    null = docs.doc_id % 3 == 0
+    (docs.withColumn("doc_id", F.when(~null, docs.doc_id)).unionByName(docs.where("doc_id < 20"))
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()
+    assert any(r.doc_id is None for r in got) and any(r.doc_id is not None for r in got)
