@@ -5,12 +5,18 @@
 target is e times its size and a rest takes every document e times; the rest is
 the budget of a subset sum over the source's histogram of document sizes:
 
-1. every size gives the same share of its documents, rounded down;
-2. what is then missing is at most the sum of the distinct sizes; one more
-   document of a size is taken, largest size first, while more than ``window``
-   is missing;
-3. a bounded-knapsack dynamic program over the documents left, by size, finds
-   the reachable sum nearest to the last budget (of at most ``window``).
+1. every size gives the same share of its documents, largest size first, its
+   fraction of a document carried to the next size from a seeded start; the
+   share of the sizes to come is that of the budget still open, so what one size
+   took too much or too little is spread over all smaller documents. A reserve stays open: ``RESERVE``
+   documents of mean size, at most half of ``window`` (of up to twice ``RESERVE``
+   documents, all that step 3 can fill);
+2. only where no smaller documents are left to make up for large ones, more
+   documents are taken, largest size first, while more than four times
+   ``window`` is missing;
+3. a bounded-knapsack dynamic program finds the reachable sum nearest to the last
+   budget, over a seeded sample of the documents left and, only if that does not
+   meet it, over all of them, by size.
 
 Only histograms enter the plan, never documents. Documents of a size are then
 taken by seeded rank within (source, size), see ``rank_within``.
@@ -26,6 +32,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +45,7 @@ from quayside.llm.common import WORD, rank_within, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 200_000  # a mix is set per source; their names and sizes fit the driver
 WINDOW = 1 << 14
+RESERVE = 32
 
 
 def n_words(text: Column) -> Column:
@@ -61,7 +69,22 @@ def targets(sizes: list[int], weights: list[float], budget: float, most: float =
     return out
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+def _candidates(sizes: np.ndarray, free: np.ndarray, n: float, rng: np.random.Generator) -> Iterator[tuple[int, int]]:
+    """Sizes and numbers of free documents for the program: about ``n`` documents
+    of a random sample, by size in random order, then all others, smallest first."""
+    left = int(free.sum())
+    ends, n = np.cumsum(free), min(left, int(n) + 16)
+    some = np.zeros(len(free), np.int64)
+    if n:  # places of documents, without repeats where they are few
+        at = rng.permutation(left)[:n] if left <= 4 * n else np.unique(rng.integers(0, left, n))
+        np.add.at(some, np.searchsorted(ends, at, side="right"), 1)
+    for k in rng.permutation(np.flatnonzero(some)):
+        yield int(k), int(some[k])
+    for k in np.flatnonzero(free - some):
+        yield int(k), int(free[k] - some[k])
+
+
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW, seed: int | tuple[int, ...] = 0) -> np.ndarray:
     """How many documents of each distinct size (ascending, positive) to take so
     that their sum comes as near to ``budget`` as the program finds."""
     if not len(sizes):
@@ -71,21 +94,34 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW
     budget = min(max(budget, 0), total)
     if budget == total:
         return counts.copy()
-    take = np.minimum(counts, (counts.astype(np.float64) * (budget / total)).astype(np.int64))
+    rng = np.random.default_rng(seed)
+    take, due = np.zeros(len(sizes), np.int64), rng.random()
+    mean = total / int(counts.sum())
+    reserve = min(4 * window if counts.sum() <= 2 * RESERVE else int(min(RESERVE * mean, window // 2)), budget)
+    open_, rest, spare = budget - reserve, total, 0
+    for k in range(len(sizes) - 1, -1, -1) if reserve < budget else ():
+        size, n = int(sizes[k]), int(counts[k])
+        due += n * (open_ / rest)
+        rest -= n * size
+        fits = n * size if 4 * size <= reserve else 0
+        # as many as all others that are left could not make up for
+        least = min(n, -(-max(open_ + reserve - rest - spare - fits, 0) // size), (open_ + reserve) // size)
+        take[k] = max(least, min(n, max(int(due), 0), open_ // size))
+        due -= int(take[k])
+        open_ -= int(take[k]) * size
+        spare += (n - int(take[k])) * size if 4 * size <= reserve else 0
     missing = budget - int((take * sizes).sum())
     for k in range(len(sizes) - 1, -1, -1):
-        if missing <= window:
+        if missing <= 4 * window:
             break
-        more = int(min(counts[k] - take[k], (missing - window + sizes[k] - 1) // sizes[k], missing // sizes[k]))
+        more = int(min(counts[k] - take[k], (missing - 4 * window + sizes[k] - 1) // sizes[k], missing // sizes[k]))
         take[k] += more
         missing -= more * int(sizes[k])
     # Bits of `reach` are the sums made so far; counts split into powers of two.
     limit = min(missing, 4 * window) + window
     reach, steps, mask = 1, [], (1 << (limit + 1)) - 1
-    for k in range(len(sizes)):
-        size, free = int(sizes[k]), int(counts[k] - take[k])
-        if size > limit:
-            break
+    for k, free in _candidates(sizes, counts - take, 3 * missing / mean, rng):
+        size = int(sizes[k])
         free, lot = min(free, limit // size), 1
         while free > 0:
             lot = min(lot, free)
@@ -128,7 +164,8 @@ def _planned(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS,
 
     def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["size"] > 0].sort_values("size", ignore_index=True)
-        take = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0])) if len(pdf) else []
+        take = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0]),
+                   seed=(seed & 0xFFFFFFFF, zlib.crc32(pdf["__source"].iloc[0].encode()))) if len(pdf) else []
         return pdf[["__source", "size"]].assign(extra=take)
 
     extra = written(histogram.join(table, "__source").select("__source", "size", "n", "budget")

@@ -155,6 +155,25 @@ def test_mixing_targets_and_fit():
             assert abs(int((take * sizes).sum()) - budget) <= sizes[0]
 
 
+def test_mixing_takes_lengths_by_share():
+    """Mostly distinct lengths: the lengths taken follow those of the source,
+    also near the end, and the sum still meets the budget."""
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        sizes, counts = np.unique(np.ceil(rng.lognormal(5.5, 1, 600)).astype(np.int64), return_counts=True)
+        total = int((sizes * counts).sum())
+        ratio = float(rng.uniform(0.3, 0.9))
+        take = mixing.fit(sizes, counts, int(total * ratio), seed=k)
+        assert int((take * sizes).sum()) == int(total * ratio) and (take <= counts).all()
+        share = take.sum() / counts.sum()
+        assert abs(share - ratio) < 0.1
+        assert np.abs(np.cumsum(take) - share * np.cumsum(counts)).max() < 0.08 * take.sum()
+    # a document that the smaller ones cannot make up for is taken
+    sizes, counts = np.array([1, 2, 3, 60_000]), np.array([3000, 3000, 3000, 1])
+    for k in range(10):
+        assert int((mixing.fit(sizes, counts, 70_000, seed=k) * sizes).sum()) == 70_000
+
+
 def test_mixing(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(odd_rows()) and mixing.mix(empty).count() == 0
