@@ -857,14 +857,21 @@ def q_stream_forecast_alerts(spark, base):
 @query("stream_forecast_alerts_stateful")
 def q_stream_forecast_alerts_stateful(spark, base):
     run = SJ.scratch(spark, "forecast-alerts-stateful")
-    EV.write_topic(EV.product_event_records(product_events(spark, base)), f"{run}/products", ("_order_ts", "_order_seq"))
+    # stock changes in three parts that each span the whole time, a micro-batch per
+    # few files; the forecasts come after all of them, most far behind the newest stock
+    EV.product_event_records(product_events(spark, base)).write.parquet(f"{run}/records")
+    records = spark.read.parquet(f"{run}/records")
+    for k in range(3):
+        EV.write_topic(records.where(F.pmod(F.hash("value"), F.lit(3)) == k), f"{run}/products", ("_order_ts", "_order_seq"))
     jobs, _ = forecast_jobs(spark, base)
     fev = EV.parse_values(EV.forecast_event_records(
         jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
-    EV.write_records(fev, f"{run}/forecasts", "productId", ("occurredAt",))
-    out = SJ.forecast_alerts_stateful(EV.read_keyed_topic(spark, f"{run}/products", "product.events", stream=True),
-                                      EV.read_topic(spark, f"{run}/forecasts", "forecast.completed", stream=True))
-    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/alerts")
+    for part in (fev.limit(0), fev):
+        EV.write_records(part, f"{run}/forecasts", "productId", ("occurredAt",))
+        out = SJ.forecast_alerts_stateful(
+            EV.read_keyed_topic(spark, f"{run}/products", "product.events", stream=True, max_files_per_trigger=8),
+            EV.read_topic(spark, f"{run}/forecasts", "forecast.completed", stream=True, max_files_per_trigger=8))
+        SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/alerts")
     return spark.read.parquet(f"{run}/alerts")
 
 

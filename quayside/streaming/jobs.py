@@ -125,7 +125,7 @@ def forecast_alert_sink(path: str, stock: DataFrame):
 
 
 # ------------------------------------------------------------------ T6 (stateful)
-STOCK_STATE = "stock bigint, ts bigint, seq bigint"
+STOCK_STATE = "stock binary, ts binary, seq binary"  # a product's changes in time order, 64-bit integers
 RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
               "total_predicted_demand decimal(18,2), error_message string, occurred_at timestamp_ntz, "
               "current_stock int")
@@ -134,22 +134,23 @@ RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
 def _stock_state(default_stock: int):
     def step(key, batches, state):
         pdf = pd.concat(list(batches), ignore_index=True)
-        # the stock kept so far takes part as one more change, so an older change
-        # that comes later does not replace it; a change at the same instant as a
-        # forecast counts for it
+        # the changes kept so far take part again, so a forecast that comes late
+        # meets the stock of its own time and an older change its place; a change
+        # at the same instant as a forecast counts for it
         us, seq = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), pdf["seq"].fillna(-1).to_numpy(np.int64)
         kind, stock = pdf["kind"].to_numpy(np.int64), pdf["stock"].fillna(-1).to_numpy(np.int64)
         if state.exists:
-            old_stock, old_us, old_seq = state.get
+            old_stock, old_us, old_seq = (np.frombuffer(x, np.int64) for x in state.get)
             us, seq = np.append(us, old_us), np.append(seq, old_seq)
-            kind, stock = np.append(kind, 0), np.append(stock, old_stock)
+            kind, stock = np.append(kind, np.zeros(len(old_us), np.int64)), np.append(stock, old_stock)
         order = np.lexsort((seq, kind, us))
         is_stock = kind[order] == 0
         at = np.maximum.accumulate(np.where(is_stock, np.arange(len(order)), -1))
         asof = np.where(at >= 0, stock[order][at], default_stock)
-        if at[-1] >= 0:
-            k = order[at[-1]]
-            state.update((int(stock[k]), int(us[k]), int(seq[k])))
+        changes = order[is_stock]
+        last = changes[np.append(us[changes][1:] != us[changes][:-1], True)] if len(changes) else changes
+        if (pdf["kind"] == 0).any():  # of the changes at one instant only the last can be met again
+            state.update(tuple(x[last].tobytes() for x in (stock, us, seq)))
         rows = order[~is_stock]
         out = pdf.iloc[rows].assign(current_stock=asof[~is_stock])
         yield out.rename(columns={"total": "total_predicted_demand", "ts": "occurred_at"})[
@@ -160,11 +161,12 @@ def _stock_state(default_stock: int):
 def forecast_alerts_stateful(product_events: DataFrame, forecast_events: DataFrame,
                              thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS,
                              default_stock: int = C.DEFAULT_CURRENT_STOCK) -> DataFrame:
-    """Both topics in one stream keyed by product: stock adjustments update the
-    product's last known stock (kept in state), each forecast event is joined
-    with it as of its own time and evaluated by the alert rules. Events of one
-    product arrive in order within a micro-batch by (time, stock first, seq);
-    the state carries the stock across micro-batches."""
+    """Both topics in one stream keyed by product: stock adjustments go into the
+    product's stock history (kept in state), each forecast event is joined with
+    it as of its own time, however late either comes, and evaluated by the alert
+    rules. Rows of a micro-batch are put in order by (time, stock first, seq).
+    A forecast is answered in the micro-batch it comes in, from the changes
+    received by then; a change that comes after it does not alter its answer."""
     stock = product_events.where(F.col("eventType") == "STOCK_ADJUSTED").select(
         F.col("productId").cast("bigint").alias("product_id"),
         F.col("occurredAt").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("kind"),

@@ -177,3 +177,39 @@ def test_topic_reader_accepts_every_instant_form(spark, tmp_path):
     got = sorted((int(r.productId), r.occurredAt) for r in EV.read_topic(spark, str(p), "product.events").collect())
     assert [t for _, t in got] == [T0.replace(hour=0) + dt.timedelta(seconds=s)
                                    for s in (0, 7.1, 7.123, 7.179575)]
+
+
+def test_stateful_forecast_alerts_of_late_and_unordered_files(spark, tmp_path):
+    """Stock changes out of order over many micro-batches, then the forecasts,
+    older than the newest stock: each meets the stock as of its own time."""
+    from decimal import Decimal
+    from quayside.operators import alerts as AL
+    pschema = ("eventType string, productId string, sku string, category string, stockQuantity int, "
+               "stockDelta int, price decimal(12,2), occurredAt timestamp, eventSeq long")
+    fschema = ("eventType string, jobId string, productId string, sku string, status string, "
+               "totalPredictedDemand decimal(18,2), mae decimal(10,4), errorMessage string, occurredAt timestamp")
+    rng = np.random.default_rng(11)
+    changes = [("STOCK_ADJUSTED", str(p), f"SKU-{p}", "C", int(rng.integers(5, 400)), -1, None,
+                T0 + dt.timedelta(hours=int(h)), 1000 * p + n)
+               for p in range(4) for n, h in enumerate(rng.integers(10, 200, 60))]
+    changes = [changes[i] for i in rng.permutation(len(changes))]
+    wanted = [("FORECAST_COMPLETED", f"j{p}-{n}", str(p), f"SKU-{p}", "COMPLETED", Decimal(int(rng.integers(10, 600))), None, None,
+               T0 + dt.timedelta(hours=int(h))) for p in range(4) for n, h in enumerate(rng.integers(0, 210, 40))]
+    prod, fc, run = tmp_path / "p", tmp_path / "f", str(tmp_path / "run")
+    for k in range(4):
+        spark.createDataFrame(changes[k * 60:(k + 1) * 60], pschema).coalesce(1).write.json(str(prod / f"b{k}"))
+    for k, part in enumerate(([], wanted[:100], wanted[100:])):
+        spark.createDataFrame(part, fschema).coalesce(1).write.json(str(fc / f"b{k}"))
+        p_src, f_src = (spark.readStream.schema(x).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(d))
+                        for x, d in ((pschema, prod), (fschema, fc)))
+        SJ.run_available_now(SJ.forecast_alerts_stateful(p_src, f_src), run + "/ckpt", path=run + "/out")
+    got = sorted((r.product_id, r.type, r.message, r.occurred_at) for r in spark.read.parquet(run + "/out").collect())
+    rows = []
+    for _, job, p, sku, status, total, _, error, at in wanted:
+        known = [(c[7], c[8], c[4]) for c in changes if c[1] == p and c[7] <= at]
+        rows.append((job, int(p), sku, status, total, error, at, max(known)[2] if known else 100))
+    want = AL.forecast_alerts(spark.createDataFrame(
+        rows, "job_id string, product_id long, sku string, status string, total_predicted_demand decimal(18,2), "
+              "error_message string, occurred_at timestamp_ntz, current_stock int"))
+    assert got == sorted((r.product_id, r.type, r.message, r.occurred_at) for r in want.collect())
+    assert len(got) > 20
