@@ -121,8 +121,9 @@ def _counts(df: DataFrame, table: str, rules: dict) -> DataFrame:
 
 def audit_constraints(products: DataFrame, orders: DataFrame, items: DataFrame,
                       jobs: DataFrame, points: DataFrame) -> DataFrame:
-    """Stored-table rules with violation counts: CHECK, NOT NULL, lengths in
-    one pass per table; UNIQUE by a group-by; foreign keys by anti joins."""
+    """The 17 stored-table rules of the registered query and its SQL twin, with
+    violation counts: CHECK, NOT NULL, lengths in one pass per table; UNIQUE by a
+    group-by; foreign keys by anti joins. For every rule: audit_all_constraints."""
     p = _counts(products, "products", {
         "price_non_negative": F.col("price") < 0,
         "stock_non_negative": F.col("stock_quantity") < 0,
@@ -162,3 +163,58 @@ def audit_constraints(products: DataFrame, orders: DataFrame, items: DataFrame,
     for part in (dup, o, i, fk_items, j, pt, fk_points):
         out = out.unionByName(part)
     return out
+
+
+#: Every rule of the reference's DDL: NOT NULL columns, lengths, checks (broken
+#: when true; a null breaks NOT NULL only), unique keys (the first is the primary
+#: key) and parents.
+DDL = {
+    "products": dict(
+        not_null=("product_id", "name", "sku", "category", "price", "stock_quantity", "created_at", "updated_at", "version"),
+        lengths={"name": 255, "sku": 50, "category": 100},
+        checks={"price_non_negative": "price < 0", "stock_non_negative": "stock_quantity < 0"},
+        unique=("product_id", "sku")),
+    "orders": dict(
+        not_null=("id", "customer_id", "status", "created_at", "updated_at", "version"), lengths={"status": 20},
+        checks={"status_allowed": ("status", C.ORDER_STATUSES)}, unique=("id",)),
+    "order_items": dict(
+        not_null=("order_id", "product_id", "sku", "quantity", "unit_price"), lengths={"sku": 50},
+        checks={"quantity_positive": "quantity <= 0", "unit_price_non_negative": "unit_price < 0"},
+        parent=("order_fk", "order_id", "orders")),
+    "forecast_jobs": dict(
+        not_null=("id", "product_id", "sku", "horizon_days", "status", "created_at", "updated_at", "version"),
+        lengths={"sku": 50, "status": 20, "model_used": 50, "error_message": 1000},
+        checks={"status_allowed": ("status", C.JOB_STATUSES),
+                "horizon_range": f"horizon_days NOT BETWEEN {C.MIN_HORIZON} AND {C.MAX_HORIZON}"}, unique=("id",)),
+    "forecast_points": dict(
+        not_null=("job_id", "forecast_date", "predicted_quantity", "lower_bound", "upper_bound"),
+        checks={"predicted_non_negative": "predicted_quantity < 0"}, parent=("job_fk", "job_id", "forecast_jobs")),
+    "alerts": dict(
+        not_null=("id", "type", "severity", "product_id", "sku", "title", "message", "occurred_at"),
+        lengths={"type": 30, "severity": 20, "product_id": 255, "sku": 50, "title": 255}, unique=("id",)),
+}
+
+
+def audit_all_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations of every rule of ``DDL`` in tables of the model: column rules in
+    one pass per table, keys by a group-by (all rows of a repeated key count),
+    parents by an anti join."""
+    parts = []
+    for table, ddl in DDL.items():
+        df = tables[table]
+        rules = {f"{c}_not_null": F.col(c).isNull() for c in ddl["not_null"]}
+        rules |= {f"{c}_length_{n}": F.length(F.col(c).cast("string")) > n for c, n in ddl.get("lengths", {}).items()}
+        rules |= {name: F.expr(c) if isinstance(c, str) else ~F.col(c[0]).isin(*c[1]) for name, c in ddl.get("checks", {}).items()}
+        parts.append(_counts(df, table, rules))
+        extra = [(f"{c}_unique", df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+                 for c in ddl.get("unique", ())]
+        if "parent" in ddl:
+            rule, key, parent = ddl["parent"]
+            extra.append((rule, df.where(F.col(key).isNotNull()).join(tables[parent].select(F.col("id").alias(key)), key, "left_anti")
+                          .select(F.lit(1).cast("bigint").alias("n"))))
+        parts += [rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
+                  .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations") for rule, rows in extra]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

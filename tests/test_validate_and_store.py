@@ -177,3 +177,40 @@ def test_write_version_and_keyed_topic(spark, tmp_path):
     # one key's records sit in one file, in order
     assert len({f for f, _ in by_file["k1"]}) == 1
     assert [v for _, v in by_file["k1"]] == ['{"x":1}', '{"x":2}']
+
+
+def test_every_table_rule_counts_its_violation(spark):
+    """All 70 rules of the reference's DDL: a clean table breaks none, and for
+    each rule one broken row (two for a repeated key) is counted."""
+    from quayside import schemas as S
+    schemas = {"products": S.PRODUCTS, "orders": S.ORDERS, "order_items": S.ORDER_ITEMS, "forecast_jobs": S.FORECAST_JOBS,
+               "forecast_points": S.FORECAST_POINTS, "alerts": S.ALERTS}
+    good = {"products": ("1", "n", "S", "c", Decimal("0.00"), 0, T0, T0, 0), "orders": ("1", "7", "PENDING", T0, T0, 0),
+            "order_items": ("1", "1", "S", 1, Decimal("0.00")),
+            "forecast_jobs": ("1", "1", "S", 365, "FAILED", None, None, None, T0, T0, 0),
+            "forecast_points": ("1", T0.date(), Decimal("0"), Decimal("0"), Decimal("0")),
+            "alerts": ("1", "t", "s", "1", "S", "t", "m", T0)}
+    bad = {"price_non_negative": ("price", Decimal("-1")), "stock_non_negative": ("stock_quantity", -1), "status_allowed": ("status", "X"),
+           "quantity_positive": ("quantity", 0), "unit_price_non_negative": ("unit_price", Decimal("-1")), "horizon_range": ("horizon_days", 366),
+           "predicted_non_negative": ("predicted_quantity", Decimal("-1")), "order_fk": ("order_id", "9"), "job_fk": ("job_id", "9")}
+    rows, want = {t: [r] for t, r in good.items()}, {}
+    for t, ddl in VD.DDL.items():
+        names = schemas[t].names
+        rules = [(f"{c}_not_null", c, None) for c in ddl["not_null"]]
+        rules += [(f"{c}_length_{n}", c, "é" * (n + 1)) for c, n in ddl.get("lengths", {}).items()]
+        rules += [(name, *bad[name]) for name in [*ddl.get("checks", ()), *[p[0] for p in [ddl.get("parent")] if p]]]
+        for k, (rule, column, value) in enumerate(rules):
+            row = dict(zip(names, good[t])) | {u: f"{u[0]}{k}" for u in ddl.get("unique", ())} | {column: value}
+            rows[t].append(tuple(row[n] for n in names))
+            want[t, rule] = 1
+        for u in ddl.get("unique", ()):
+            rows[t].append(tuple((dict(zip(names, good[t])) | {v: f"u{u}" for v in ddl["unique"] if v != u})[n] for n in names))
+            want[t, f"{u}_unique"] = 2
+    for t in ("orders", "forecast_jobs"):  # a status that is too long is also not allowed
+        want[t, "status_allowed"] += 1
+    assert len(want) == 70
+    frames = {t: spark.createDataFrame(r, schemas[t]) for t, r in rows.items()}
+    got = VD.audit_all_constraints(frames).collect()
+    assert {(r.table_name, r.rule): r.violations for r in got} == want and len(got) == 70
+    clean = VD.audit_all_constraints({t: spark.createDataFrame([r], schemas[t]) for t, r in good.items()})
+    assert not any(r.violations for r in clean.collect())
