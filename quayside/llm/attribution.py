@@ -107,7 +107,7 @@ def attribute(docs: DataFrame, tokenizer: str, rule: str = "first", sections: st
     names = ["id", "section", "start", "end", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(SpanEncoder, file_text.value, spaces)
+        own = encoder(SpanEncoder, file_text.value, spaces, True)
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)

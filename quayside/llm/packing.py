@@ -39,7 +39,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(Encoder, file_text.value, spaces)
+        own = encoder(Encoder, file_text.value, spaces, "<u4", True)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []

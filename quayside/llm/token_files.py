@@ -54,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, spaces: bool = Tru
     file_text, end = vocabulary(docs.sparkSession, tokenizer), np.array([end_id], IDS).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(Encoder, file_text.value, spaces, IDS)
+        own = encoder(Encoder, file_text.value, spaces, IDS, True)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

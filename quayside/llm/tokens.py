@@ -6,7 +6,10 @@ order. Texts are cut only where every tokenizer of this family cuts by itself
 before it merges anything: before white space that follows something else, and
 after a run of Latin letters that an ASCII character other than a letter
 follows. Texts with a character on which two definitions of white space differ
-are encoded uncut. Tests hold the ids against uncut encoding.
+are encoded uncut. Tests hold the ids against uncut encoding. With ``special``
+the strings of special tokens in a text are those tokens, as in a plain call of
+the library (no cut splits them: they begin with ``<`` and hold no white space);
+without it they are ordinary text.
 """
 
 from __future__ import annotations
@@ -60,12 +63,12 @@ class Encoder:
 
     ``spaces``: the tokenizer keeps white space (byte-level) or drops it."""
 
-    def __init__(self, file_text: str, spaces: bool, dtype: str = "<u4"):
+    def __init__(self, file_text: str, spaces: bool, dtype: str = "<u4", special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file_text)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.tokenizer.no_truncation()
         if self.tokenizer.get_vocab_size() > 1 << 8 * np.dtype(dtype).itemsize:
             raise ValueError("the ids do not fit")
@@ -102,8 +105,8 @@ def encoder(kind: type, *args):
 class SpanEncoder:
     """Character spans of a text's tokens, by the same pieces."""
 
-    def __init__(self, file_text: str, spaces: bool):
-        self.encoder = Encoder(file_text, spaces)
+    def __init__(self, file_text: str, spaces: bool, special: bool = False):
+        self.encoder = Encoder(file_text, spaces, special=special)
         self.known = Remembered()
 
     def _encode(self, texts: list[str]):

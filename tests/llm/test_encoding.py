@@ -42,6 +42,35 @@ def test_pieces_encode_like_whole_texts(path, spaces):
     assert own.ids("<|endoftext|>") == own.ids("<|endo") + own.ids("ftext|>") or len(own.ids("<|endoftext|>")) > 4
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_special_tokens_as_a_fresh_tokenizer_has_them(path, spaces, spark):
+    from tokenizers import Tokenizer
+
+    fresh, file_text = Tokenizer.from_file(path), open(path, encoding="utf-8").read()
+    own, spans = tokens.Encoder(file_text, spaces, special=True), tokens.SpanEncoder(file_text, spaces, True)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "see", "é", "ß漢", " ", "  ", "\n", "'s", "1", "!", "<|", "-", "\u0301", "\x1c"]
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(st.sampled_from(parts), max_size=12).map("".join))
+    def check(text):
+        whole = fresh.encode(text, add_special_tokens=False)
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.ids
+        assert [tuple(x) for x in spans.spans(text).tolist()] == whole.offsets
+
+    check()
+    texts = ["see <|endoftext|> here", "plain", "a<|startoftext|>b<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: len(fresh.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.length - 1 for r in packing.packed_documents(docs, path, spaces=spaces).collect()} == want
+    counts = Counter()
+    for r in attribution.attribute(docs, path, spaces=spaces).collect():
+        counts[r.doc_id] += r.n_tokens
+    assert counts == want
+    if spaces:
+        files = token_files.read(spark, token_files.write(docs, path)).collect()
+        assert {r.doc_id: r.n_tokens for r in files} in (want, {k: n + 1 for k, n in want.items()})
+
+
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_PIECES", 50)
     own, _ = encoders(BYTE, True)
