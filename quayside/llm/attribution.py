@@ -123,9 +123,9 @@ def attribute(docs: DataFrame, tokenizer: str, rule: str = "first", sections: st
                     rows.append(np.column_stack([np.append(np.arange(len(where)), -1), np.vstack([where, [[-1, -1]]]), crossing])[:keep])
                     owners.append((np.full(keep, i), total[:keep]))
                 table = np.vstack(rows).astype(np.int64)
-                own, total = (np.concatenate(x) for x in zip(*owners))
+                owner, total = (np.concatenate(x) for x in zip(*owners))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(own.astype(np.int64))), pa.array(table[:, 0].astype(np.int32)), pa.array(table[:, 1]), pa.array(table[:, 2]),
+                    [part.column(0).take(pa.array(owner.astype(np.int64))), pa.array(table[:, 0].astype(np.int32)), pa.array(table[:, 1]), pa.array(table[:, 2]),
                      pa.array(total if rule == "split" else total.astype(np.int64)), pa.array(table[:, 3])], names=names)
 
     wanted = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(sections).alias("sections")] if sections else [])]

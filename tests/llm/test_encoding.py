@@ -71,6 +71,12 @@ def test_special_tokens_as_a_fresh_tokenizer_has_them(path, spaces, spark):
         assert {r.doc_id: r.n_tokens for r in files} in (want, {k: n + 1 for k, n in want.items()})
 
 
+def test_attribution_of_more_rows_than_a_slice(spark):
+    docs = spark.range(300).coalesce(1).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    got = attribution.attribute(docs, BYTE).collect()
+    assert {r.doc_id for r in got} == set(range(300))
+
+
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_PIECES", 50)
     own, _ = encoders(BYTE, True)
