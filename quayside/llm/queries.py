@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import attribution, exact_dedup, langid, mixing, packing, quality, sketch_join, token_files, toxicity, warc
+from quayside.llm import (attribution, exact_dedup, filter_audit, langid, line_crf, mixing, packing, quality, sketch_join, spelling,
+                          token_files, toxicity, warc)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,21 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "most")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.cells(filter_audit.failures(documents(spark, sf_dir), labels)))
+
+
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = line_crf.fit(docs, labels.where(~line_crf.held_out()))
+    return line_crf.predict(docs, field).withColumn("held_out", line_crf.held_out())
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_files": op2_token_files,
@@ -71,6 +87,9 @@ QUERIES = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_section_tokens": op10_section_tokens,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_quality": op12_line_quality,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,4 +154,31 @@ ORACLE = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op11_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        f AS (SELECT doc_id, part,
+                     (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                     + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                     + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+        l AS (SELECT doc_id, coalesce(max(quality), 0) = 1 AS good, coalesce(max(toxic), 0) = 1 AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+              FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+        s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS s),
+        o AS (SELECT a.s || b.s || c.s || d.s || e.s AS o FROM s a, s b, s c, s d, s e
+              WHERE len(list_distinct([a.s, b.s, c.s, d.s, e.s])) = 5),
+        k AS (SELECT o, i, ord(o[i]) - 65 AS bit, list_sum(list_transform(range(1, i), lambda j: 1 << (ord(o[j]) - 65)))::INT AS early
+              FROM o, (SELECT unnest(range(1, 6)) AS i)),
+        z AS (SELECT part, o AS filter_order, i::INT AS step, bit,
+                     sum(CASE WHEN mask & coalesce(early, 0) = 0 AND (mask >> bit) & 1 = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                     sum(CASE WHEN mask & coalesce(early, 0) = 0 AND (mask >> bit) & 1 = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+                     sum(CASE WHEN mask & coalesce(early, 0) <> 0 AND (mask >> bit) & 1 = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+                     sum(CASE WHEN mask = 1 << bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                     sum(CASE WHEN mask & coalesce(early, 0) = 0 AND (mask >> bit) & 1 = 1 THEN g ELSE 0 END)::BIGINT AS good_lost,
+                     sum(CASE WHEN mask & coalesce(early, 0) = 0 AND (mask >> bit) & 1 = 1 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+              FROM c, k GROUP BY part, o, i, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM z
+    """,
 }
