@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.expr import round_even, stable_id, weekday_mon0
+from ..session import ensure_checkpoint_dir
 
 Keys = Sequence[str]
 
@@ -69,6 +70,28 @@ def seed_history(items: DataFrame, keys: Keys, ts: str = "occurred_at",
                         F.col(qty).cast("double").alias("y"))
 
 
+def seed_models(items: DataFrame, keys: Keys, ts: str = "occurred_at", qty: str = "quantity",
+                horizon: int = C.DEFAULT_HORIZON, carry: Keys = ()) -> DataFrame:
+    """The model row of every item's seed history (``keys``, ``carry``, the columns
+    of ``fit`` and ``total_predicted_demand`` over ``horizon``).
+
+    A seed history holds nothing but the item's quantity and order day, so items
+    that agree in both have one model. The distinct pairs are fitted, whose number
+    stops growing (quantities x days) while the items go on, and every item is
+    joined with its pair's row. The rows of the pairs are checkpointed: the join
+    then has a bare exchange on both sides, so adaptive execution may broadcast the
+    pairs by their bytes or split a pair that very many items share.
+    """
+    pair = ["_seed_day", "_seed_qty"]
+    own = items.select(*keys, *carry, F.to_date(F.col(ts)).alias(pair[0]), F.col(qty).cast("double").alias(pair[1]))
+    seeds = seed_history(own.select(*pair).distinct(), pair, ts=pair[0], qty=pair[1])
+    model = fit(seeds, pair).withColumn("total_predicted_demand", horizon_total(F.lit(horizon)))
+    ensure_checkpoint_dir(items.sparkSession)
+    model = model.checkpoint(eager=True).withColumnsRenamed({c: f"{c}_of" for c in pair})
+    same = (F.col(pair[0]) == F.col(f"{pair[0]}_of")) & F.col(pair[1]).eqNullSafe(F.col(f"{pair[1]}_of"))
+    return own.join(model, same).drop(*pair, *(f"{c}_of" for c in pair))
+
+
 # ------------------------------------------------------------------- W1, W2, W3
 def series_index(history: DataFrame, keys: Keys, ds: str = "ds") -> DataFrame:
     """0-based position by date (x), series length (n), training size (k), last date."""
@@ -251,7 +274,7 @@ def _failure_reason(horizon: str, model: str) -> Column:
 # ------------------------------------------------------------------------- F2
 def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
              horizon: str = "horizon_days", model: str = "model", request: Keys | None = None,
-             registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
+             registry: dict | None = None, pinned: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every request becomes one job row, COMPLETED with model, MAE and total
     demand, or FAILED with the reason; plus the points of completed jobs.
 
@@ -264,6 +287,8 @@ def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
     The history is read once: one fit over all series yields both the request
     checks (length, smallest quantity) and the models. MAE and total come from
     the model's own row. Failing series are kept as FAILED rows, never dropped.
+    ``pinned`` checkpoints the requests with their models, for plans that read jobs
+    and points, or one of them in several branches.
     """
     request, registry = list(request or keys), registry or {}
     requests = requests.withColumns({horizon: F.coalesce(F.col(horizon), F.lit(C.DEFAULT_HORIZON)),
@@ -274,6 +299,9 @@ def run_jobs(requests: DataFrame, history: DataFrame, keys: Keys,
     own = F.col(model).isin(*registry) if registry else F.lit(False)
     named = F.when(own, F.lit(C.MODEL_NAME)).otherwise(F.col(model))
     req = req.withColumn("_name", named).withColumn("failure_reason", _failure_reason(horizon, "_name")).withColumn("_own", own)
+    if pinned:
+        ensure_checkpoint_dir(req.sparkSession)
+        req = req.checkpoint(eager=True)
     ok = F.col("failure_reason").isNull()
     native = ok & ~F.col("_own")
     out = points(req.where(native), request, horizon, clamp_ingest=True)

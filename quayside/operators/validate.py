@@ -8,7 +8,7 @@ predicates; per-order verdicts over items are a partially aggregated
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -111,61 +111,7 @@ def validate_points(points: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ V7
-def _counts(df: DataFrame, table: str, rules: dict) -> DataFrame:
-    """One pass over a table: count_if per rule, then one row per rule."""
-    agg = df.agg(*[F.count(F.when(cond, 1)).alias(name) for name, cond in rules.items()])
-    stack = ", ".join(f"'{n}', `{n}`" for n in rules)
-    return agg.selectExpr(f"stack({len(rules)}, {stack}) as (rule, violations)") \
-        .select(F.lit(table).alias("table_name"), "rule", "violations")
-
-
-def audit_constraints(products: DataFrame, orders: DataFrame, items: DataFrame,
-                      jobs: DataFrame, points: DataFrame) -> DataFrame:
-    """The 17 stored-table rules of the registered query and its SQL twin, with
-    violation counts: CHECK, NOT NULL, lengths in one pass per table; UNIQUE by a
-    group-by; foreign keys by anti joins. For every rule: audit_all_constraints."""
-    p = _counts(products, "products", {
-        "price_non_negative": F.col("price") < 0,
-        "stock_non_negative": F.col("stock_quantity") < 0,
-        "name_not_null": F.col("name").isNull(),
-        "sku_not_null": F.col("sku").isNull(),
-        "name_length_255": F.length("name") > 255,
-        "sku_length_50": F.length("sku") > 50,
-        "category_length_100": F.length("category") > 100,
-    })
-    dup = (products.groupBy("sku").count().where(F.col("count") > 1)
-           .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("violations"))
-           .select(F.lit("products").alias("table_name"), F.lit("sku_unique").alias("rule"), "violations"))
-    o = _counts(orders, "orders", {
-        "status_allowed": ~F.coalesce(F.col("status").isin(*C.ORDER_STATUSES), F.lit(False)),
-        "customer_not_null": F.col("customer_id").isNull(),
-    })
-    i = _counts(items, "order_items", {
-        "quantity_positive": F.col("quantity") <= 0,
-        "unit_price_non_negative": F.col("unit_price") < 0,
-    })
-    fk_items = (items.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti")
-                .agg(F.count(F.lit(1)).alias("violations"))
-                .select(F.lit("order_items").alias("table_name"), F.lit("order_fk").alias("rule"),
-                        "violations"))
-    j = _counts(jobs, "forecast_jobs", {
-        "status_allowed": ~F.coalesce(F.col("status").isin(*C.JOB_STATUSES), F.lit(False)),
-        "horizon_range": ~F.col("horizon_days").between(C.MIN_HORIZON, C.MAX_HORIZON),
-    })
-    pt = _counts(points, "forecast_points", {
-        "predicted_non_negative": F.col("predicted_quantity") < 0,
-    })
-    fk_points = (points.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
-                 .agg(F.count(F.lit(1)).alias("violations"))
-                 .select(F.lit("forecast_points").alias("table_name"), F.lit("job_fk").alias("rule"),
-                         "violations"))
-    out = p
-    for part in (dup, o, i, fk_items, j, pt, fk_points):
-        out = out.unionByName(part)
-    return out
-
-
-#: Every rule of the reference's DDL: NOT NULL columns, lengths, checks (broken
+#: Every rule of the stored tables: NOT NULL columns, lengths, checks (broken
 #: when true; a null breaks NOT NULL only), unique keys (the first is the primary
 #: key) and parents.
 DDL = {
@@ -195,26 +141,65 @@ DDL = {
 }
 
 
-def audit_all_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations of every rule of ``DDL`` in tables of the model: column rules in
-    one pass per table, keys by a group-by (all rows of a repeated key count),
-    parents by an anti join."""
-    parts = []
+def column_rules(table: str) -> dict[str, Column]:
+    """The rules of a table that a row breaks by itself, true where broken."""
+    ddl = DDL[table]
+    rules = {f"{c}_not_null": F.col(c).isNull() for c in ddl["not_null"]}
+    rules |= {f"{c}_length_{n}": F.length(F.col(c).cast("string")) > n for c, n in ddl.get("lengths", {}).items()}
+    return rules | {name: F.expr(c) if isinstance(c, str) else ~F.col(c[0]).isin(*c[1]) for name, c in ddl.get("checks", {}).items()}
+
+
+RULES, OWNER, CHILD = range(3)  # roles
+
+
+def _tagged(table: str, df: DataFrame) -> DataFrame:
+    """What a table's rows say: (space, key, role). A broken row says which rules it
+    breaks (space: the table, key: a bit per rule); every row names its keys (space:
+    table.column) as their owner, and its parent's key as a child."""
+    ddl, said = DDL[table], []
+    broken = sum((F.when(cond, F.lit(1 << k)).otherwise(0) for k, cond in enumerate(column_rules(table).values())), F.lit(0))
+    said.append(F.when(broken > 0, F.struct(F.lit(table).alias("space"), broken.cast("string").alias("key"), F.lit(RULES).alias("role"))))
+    keys = [(f"{table}.{c}", c, OWNER) for c in ddl.get("unique", ())]
+    if "parent" in ddl:
+        _, c, parent = ddl["parent"]
+        keys.append((f"{parent}.id", c, CHILD))
+    for space, c, role in keys:
+        said.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(space).alias("space"), F.col(c).cast("string").alias("key"), F.lit(role).alias("role"))))
+    return df.select(F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations of every rule of ``DDL`` in the six tables, a row per rule.
+
+    Every table is read once. What its rows say goes into one union that is grouped
+    once by (space, key), with a partial aggregate before the shuffle, so an order
+    that holds a third of all items is one row per task: keys with several owners
+    break uniqueness (all their rows count), keys with children but no owner break
+    the parent rule (their children count), and the sets of broken column rules come
+    with their number of rows. A second exchange adds up a few hundred rows."""
+    said = None
+    for table in DDL:
+        said = _tagged(table, tables[table]) if said is None else said.unionByName(_tagged(table, tables[table]))
+    role = F.col("role")
+    met = said.groupBy("space", "key").agg(*(F.count_if(role == r).alias(n) for r, n in ((RULES, "rows"), (OWNER, "owners"), (CHILD, "children"))))
+
+    hit = lambda table, rule, n: F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), n.alias("n"))
+    found, every = F.array().cast("array<struct<table_name:string,rule:string,n:bigint>>"), []
     for table, ddl in DDL.items():
-        df = tables[table]
-        rules = {f"{c}_not_null": F.col(c).isNull() for c in ddl["not_null"]}
-        rules |= {f"{c}_length_{n}": F.length(F.col(c).cast("string")) > n for c, n in ddl.get("lengths", {}).items()}
-        rules |= {name: F.expr(c) if isinstance(c, str) else ~F.col(c[0]).isin(*c[1]) for name, c in ddl.get("checks", {}).items()}
-        parts.append(_counts(df, table, rules))
-        extra = [(f"{c}_unique", df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-                 for c in ddl.get("unique", ())]
-        if "parent" in ddl:
-            rule, key, parent = ddl["parent"]
-            extra.append((rule, df.where(F.col(key).isNotNull()).join(tables[parent].select(F.col("id").alias(key)), key, "left_anti")
-                          .select(F.lit(1).cast("bigint").alias("n"))))
-        parts += [rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
-                  .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations") for rule, rows in extra]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        names = list(column_rules(table))
+        bits = F.col("key").cast("long")
+        found = F.when(F.col("space") == table, F.filter(F.array(*(
+            F.when(bits.bitwiseAND(F.lit(1 << k)) != 0, hit(table, r, F.col("rows"))) for k, r in enumerate(names))), lambda x: x.isNotNull())).otherwise(found)
+        every += [(table, r) for r in names]
+    for table, ddl in DDL.items():
+        children = [(t, d["parent"][0]) for t, d in DDL.items() if "parent" in d and d["parent"][2] == table]
+        for c in ddl.get("unique", ()):
+            own = [F.when(F.col("owners") > 1, hit(table, f"{c}_unique", F.col("owners")))]
+            own += [F.when(F.col("owners") == 0, hit(t, r, F.col("children"))) for t, r in children if c == "id"]
+            found = F.when(F.col("space") == f"{table}.{c}", F.filter(F.array(*own), lambda x: x.isNotNull())).otherwise(found)
+            every.append((table, f"{c}_unique"))
+        every += children
+    rows = met.select(F.explode(found).alias("x")).select("x.*")
+    # every rule has a row, those that nothing breaks too
+    none = rows.sparkSession.createDataFrame([(t, r, 0) for t, r in every], "table_name string, rule string, n long")
+    return rows.unionByName(none).groupBy("table_name", "rule").agg(F.sum("n").alias("violations"))

@@ -117,8 +117,8 @@ def q_validate_history(spark, base):
         .select("product_id", "n_points", "failure_reason")
 
 
-def forecast_jobs(spark, base):
-    return FC.run_jobs(forecast_requests(spark, base), history(spark, base), ["product_id"])
+def forecast_jobs(spark, base, pinned: bool = False):
+    return FC.run_jobs(forecast_requests(spark, base), history(spark, base), ["product_id"], pinned=pinned)
 
 
 @query("forecast_jobs")
@@ -165,10 +165,7 @@ def q_seed_history(spark, base):
 
 @query("forecast_per_confirmed_item")
 def q_forecast_per_item(spark, base):
-    keys = ITEM_KEYS
-    seeds = FC.seed_history(confirmed_order_items(spark, base), keys)
-    pts = FC.points(FC.fit(seeds, keys), keys, 30, clamp_ingest=True)
-    return pts
+    return FC.points(FC.seed_models(confirmed_order_items(spark, base), ITEM_KEYS), ITEM_KEYS, 30, clamp_ingest=True)
 
 
 # ============================================================ ledger
@@ -211,14 +208,15 @@ def q_job_lifecycle(spark, base):
 
 
 # ============================================================ alerts
-def forecast_results(spark, base) -> DataFrame:
+def forecast_results(spark, base, stored=None, led=None) -> DataFrame:
     """Forecast outcomes as events: job id, product, sku, status, total,
-    error and the publish time; current stock joined as of that time."""
-    jobs, _ = forecast_jobs(spark, base)
+    error and the publish time; current stock joined as of that time. The fit is
+    written once: the lookup reads the events in several branches."""
+    jobs, _ = (stored or (forecast_jobs(spark, base, pinned=True), None))[0]
     ev = jobs.select(F.col("id").alias("job_id"), "product_id", "sku", "status",
                      "total_predicted_demand", "error_message",
                      FX.forecast_event_time("product_id").alias("occurred_at"))
-    stock = ledger_table(spark, base).where(F.col("accepted"))
+    stock = (ledger_table(spark, base) if led is None else led).where(F.col("accepted"))
     return AL.stock_as_of(ev, stock)
 
 
@@ -235,51 +233,63 @@ def q_all_alerts(spark, base):
 
 
 # ============================================================ stored model tables
+ITEM_JOB_COLS = ("product_id", "sku", "occurred_at")
+
+
+def item_models(items: DataFrame) -> DataFrame:
+    """Item columns, model and total of every item: what its job row and its points
+    are made of."""
+    return FC.seed_models(items, ITEM_KEYS, carry=ITEM_JOB_COLS)
+
+
+def item_job_rows(models: DataFrame) -> DataFrame:
+    """One completed 30-day job per item model (F4)."""
+    return models.select(
+        stable_id(F.lit("item"), "order_id", "item_key").alias("id"), *ITEM_KEYS, "product_id", "sku", F.lit(30).alias("horizon_days"),
+        F.lit("COMPLETED").alias("status"), F.lit("linear-trend").alias("model_used"), F.col("mae").cast("decimal(10,4)").alias("mae"),
+        F.lit(None).cast("string").alias("error_message"), "total_predicted_demand",
+        F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"))
+
+
 def item_jobs(spark, base):
     """One 30-day job per confirmed order item, on its seed history (F4)."""
-    keys = ITEM_KEYS
-    items = confirmed_order_items(spark, base)
-    model = FC.fit(FC.seed_history(items, keys), keys)
-    pts = FC.points(model, keys, 30, clamp_ingest=True)
-    tot = model.select(*keys, "mae", FC.horizon_total(F.lit(30)).alias("total_predicted_demand"))
-    jobs = (items.join(tot, keys)
-            .select(stable_id(F.lit("item"), "order_id", "item_key").alias("id"), "product_id", "sku",
-                    F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"),
-                    F.lit("linear-trend").alias("model_used"), F.col("mae").cast("decimal(10,4)").alias("mae"),
-                    F.lit(None).cast("string").alias("error_message"), "total_predicted_demand",
-                    F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"),
-                    F.lit(0).cast("bigint").alias("version")))
-    points = pts.join(items.select(*keys, stable_id(F.lit("item"), "order_id", "item_key").alias("job_id")), keys)
-    return jobs, points.drop(*keys)
-
-
-def jobs_table(spark, base) -> DataFrame:
+    models = item_models(confirmed_order_items(spark, base))
+    jobs = item_job_rows(models).drop(*ITEM_KEYS).withColumn("version", F.lit(0).cast("bigint"))
+    keyed = models.withColumn("job_id", stable_id(F.lit("item"), "order_id", "item_key"))
+    return jobs, FC.points(keyed, ["job_id"], 30, clamp_ingest=True)
+
+
+def stored_forecasts(spark, base):
+    """(jobs and points of the product requests, jobs and points of the items), each
+    pair from model rows that are written once: for plans that read several of them."""
+    return forecast_jobs(spark, base, pinned=True), item_jobs(spark, base)
+
+
+def jobs_table(spark, base, stored=None) -> DataFrame:
     """Stored forecast jobs: one per product request plus one per confirmed item."""
-    jobs, _ = forecast_jobs(spark, base)
+    (jobs, _), (ij, _) = stored or (forecast_jobs(spark, base), item_jobs(spark, base))
     t = FX.forecast_event_time("product_id")
     prod = jobs.select("id", "product_id", "sku", "horizon_days", "status", "model_used", "mae",
                        "error_message", "total_predicted_demand", t.alias("created_at"),
                        t.alias("updated_at"), F.lit(0).cast("bigint").alias("version"))
-    ij, _ = item_jobs(spark, base)
     return prod.unionByName(ij)
 
 
-def points_table(spark, base) -> DataFrame:
+def points_table(spark, base, stored=None) -> DataFrame:
     """Stored forecast points (decimal(12,4)) of every completed job."""
-    jobs, pts = forecast_jobs(spark, base)
+    (jobs, pts), (_, ip) = stored or stored_forecasts(spark, base)
     prod = pts.join(jobs.select(F.col("id").alias("job_id"), "product_id"), "product_id").drop("product_id")
-    _, ip = item_jobs(spark, base)
     allp = prod.unionByName(ip)
     return allp.select("job_id", F.col("date").alias("forecast_date"),
                        *[F.col(c).cast("decimal(12,4)").alias(c)
                          for c in ("predicted_quantity", "lower_bound", "upper_bound")])
 
 
-def product_events(spark, base) -> DataFrame:
+def product_events(spark, base, led=None) -> DataFrame:
     """Product events: PRODUCT_CREATED for every product (at its first stock
     movement, or at its creation if it never moved), one STOCK_ADJUSTED per
     accepted delta, and PRODUCT_DELETED for discontinued products."""
-    led = ledger_table(spark, base)
+    led = ledger_table(spark, base) if led is None else led
     prods = FX.products(spark, base).select("product_id", "sku", "category", "price")
     first = led.groupBy("product_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     created = first.select("product_id", F.col("f.ts").alias("occurredAt"),
@@ -305,13 +315,15 @@ def product_events(spark, base) -> DataFrame:
                      F.col("occurredAt").alias("_order_ts"), "_order_seq")
 
 
-def alerts_table(spark, base) -> DataFrame:
-    """Stored alerts: low-stock alerts of the ledger plus forecast alerts."""
-    ev = product_events(spark, base)
+def alerts_table(spark, base, stored=None) -> DataFrame:
+    """Stored alerts: low-stock alerts of the ledger plus forecast alerts. The ledger
+    is written once for both."""
+    led = ledger_table(spark, base)
+    ev = product_events(spark, base, led)
     low = AL.low_stock(AL.downward_adjustments(ev).select(
         F.col("productId").alias("product_id"), "sku", F.col("stockQuantity").alias("stock_quantity"),
         F.col("occurredAt").alias("occurred_at"), AL.stock_event_key(seq="_order_seq").alias("event_id")))
-    return AL.all_alerts(low, AL.forecast_alerts(forecast_results(spark, base)))
+    return AL.all_alerts(low, AL.forecast_alerts(forecast_results(spark, base, stored, led)))
 
 
 QUERIES_LIST = list(QUERIES)
@@ -422,8 +434,8 @@ def q_order_view(spark, base):
 
 @query("jobs_with_points")
 def q_jobs_with_points(spark, base):
-    j = RD.jobs_with_points(jobs_table(spark, base).select("id", "product_id", "status"),
-                            points_table(spark, base))
+    stored = stored_forecasts(spark, base)
+    j = RD.jobs_with_points(jobs_table(spark, base, stored).select("id", "product_id", "status"), points_table(spark, base, stored))
     flat = j.select("id", "product_id", "status", F.posexplode_outer("points").alias("pos", "p"))
     return flat.select("id", "product_id", "status", F.col("pos").cast("double").alias("point_pos"),
                        F.col("p.forecast_date").alias("forecast_date"),
@@ -432,7 +444,8 @@ def q_jobs_with_points(spark, base):
 
 @query("forecast_job_view")
 def q_forecast_job_view(spark, base):
-    v = RD.forecast_job_view(jobs_table(spark, base).drop("total_predicted_demand"), points_table(spark, base))
+    stored = stored_forecasts(spark, base)
+    v = RD.forecast_job_view(jobs_table(spark, base, stored).drop("total_predicted_demand"), points_table(spark, base, stored))
     return v.select("id", "product_id", "status", F.col("result.modelUsed").alias("model_used"),
                     F.col("result.mae").cast("double").alias("mae"),
                     F.col("result.totalPredictedDemand").cast("double").alias("total_predicted_demand"),
@@ -692,8 +705,13 @@ def q_validate_points(spark, base):
 
 @query("audit_constraints")
 def q_audit_constraints(spark, base):
-    return VD.audit_constraints(FX.products(spark, base), FX.orders(spark, base), FX.order_items(spark, base),
-                                jobs_table(spark, base), points_table(spark, base))
+    """All rules of the six stored tables, on rows of which some are broken. The
+    models behind jobs and points are fitted once."""
+    pinned = stored_forecasts(spark, base)
+    tables = {"products": FX.products(spark, base), "orders": FX.orders(spark, base), "order_items": FX.order_items(spark, base),
+              "forecast_jobs": jobs_table(spark, base, pinned), "forecast_points": points_table(spark, base, pinned),
+              "alerts": alerts_table(spark, base, pinned)}
+    return VD.audit_constraints({t: FX.with_faults(df, t) for t, df in tables.items()})
 
 
 # ============================================================ writes
@@ -753,6 +771,23 @@ def q_upsert_forecast_jobs(spark, base):
     return _dbl(ST.upsert_forecast_jobs(jobs, rerun.unionByName(done).unionByName(new)), "mae")
 
 
+@query("replace_forecast_points")
+def q_replace_forecast_points(spark, base):
+    """Two results of one job in a batch, written at one instant: the points of the
+    second stay, those of the first and the stored ones go; other jobs keep theirs."""
+    stored = stored_forecasts(spark, base)
+    points = points_table(spark, base, stored)
+    even = table(spark, base, "part", "p_partkey").where(F.col("p_partkey") % 2 == 0).select(F.col("p_partkey").alias("product_id"))
+    done = jobs_table(spark, base, stored).where(F.col("status") == "COMPLETED").join(even, "product_id", "left_semi").select(*_JOB_COLS)
+    numbered = F.explode(F.array(F.lit(1), F.lit(2))).alias("write_no")
+    writes = done.select("*", numbered).withColumn("model_used", F.concat(F.lit("run-"), F.col("write_no").cast("string")))
+    changed = F.when(F.col("write_no") == 1, F.col("predicted_quantity") + 1).otherwise(F.col("predicted_quantity") * 2)
+    incoming = (points.join(done.select(F.col("id").alias("job_id")), "job_id", "left_semi").select("*", numbered)
+                .withColumn("predicted_quantity", changed.cast("decimal(12,4)")))
+    out = ST.replace_points(points, writes, incoming)
+    return _dbl(out, "predicted_quantity", "lower_bound", "upper_bound")
+
+
 @query("versioned_update")
 def q_versioned_update(spark, base):
     li = table(spark, base, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
@@ -789,22 +824,28 @@ def q_forecast_custom_model(spark, base):
 
 # ============================================================ streaming twins
 from ..streaming import jobs as SJ  # noqa: E402
+from ..streaming.stock_index import StockIndex  # noqa: E402
 
 
-def _events_stream(spark, base) -> DataFrame:
-    schema = spark.read.parquet(f"{base}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(base)
+def _in_parts(df: DataFrame, part, n: int, folder: str) -> None:
+    """Write rows in ``n`` parts one after another (``part``: a column of 0 .. n - 1),
+    so a file source meets them in that order."""
+    for k in range(n):
+        df.where(part == k).write.mode("append").parquet(folder)
 
 
 @query("stream_stock_ledger")
 def q_stream_stock_ledger(spark, base):
-    out = SJ.stream_stock_ledger(FX.deltas_of(_events_stream(spark, base)), FX.LEDGER_START)
     run = SJ.scratch(spark, "ledger")
-    SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/out")
-    res = spark.read.parquet(f"{run}/out")
-    msg = F.when(~F.col("accepted"), F.format_string(
-        "Cannot reduce stock below zero. Current: %d, Delta: %d", F.col("balance_before"), F.col("delta")))
-    return res.withColumn("message", msg)
+    ev = spark.read.parquet(f"{base}/events.parquet")
+    # three thirds of the time covered, several files each, a micro-batch per third
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(at), F.max(at)).first()  # one row
+    third = F.least(F.lit(2), F.floor((at - F.lit(lo)) * 3 / F.lit(max(1, (hi or 0) - (lo or 0)))).cast("int"))
+    _in_parts(ev.repartition(4, "event_id"), third, 3, f"{run}/in")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{run}/in")
+    SJ.run_available_now(FX.deltas_of(src), f"{run}/_checkpoint", sink=SJ.stock_ledger_sink(f"{run}/out", FX.LEDGER_START, compact_every=2))
+    return spark.read.parquet(f"{run}/out/rows").drop("batch_id")
 
 
 @query("stream_dedup_events")
@@ -836,7 +877,7 @@ def q_stream_low_stock(spark, base):
     EV.write_topic(EV.product_event_records(product_events(spark, base)), f"{run}/topic", ("_order_ts", "_order_seq"))
     src = EV.read_keyed_topic(spark, f"{run}/topic", "product.events", stream=True, max_files_per_trigger=8)
     SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.low_stock_sink(f"{run}/alerts"))
-    return spark.read.parquet(f"{run}/alerts").drop("alert_date").withColumn(
+    return spark.read.parquet(f"{run}/alerts").drop("alert_date", "batch_id").withColumn(
         "occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
 
 
@@ -847,10 +888,12 @@ def q_stream_forecast_alerts(spark, base):
     rec = EV.parse_values(EV.forecast_event_records(
         jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
     EV.write_records(rec, f"{run}/topic", "productId", ("occurredAt",))
-    src = EV.read_topic(spark, f"{run}/topic", "forecast.completed", stream=True)
-    src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
-    stock = ledger_table(spark, base).where(F.col("accepted"))
-    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.forecast_alert_sink(f"{run}/alerts", stock))
+    # the stock by day is stored once; a micro-batch reads the days it touches
+    index = StockIndex(spark, f"{run}/stock")
+    stock = ledger_table(spark, base).where(F.col("accepted")).select("product_id", "ts", F.col("event_id").alias("seq"), F.col("balance").alias("stock"))
+    index.fold(0, index.extend(stock, 0))
+    src = EV.read_topic(spark, f"{run}/topic", "forecast.completed", stream=True, max_files_per_trigger=4)
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=SJ.forecast_alert_sink(f"{run}/alerts", index))
     return spark.read.parquet(f"{run}/alerts").drop("batch_id")
 
 
@@ -868,31 +911,25 @@ def q_stream_forecast_alerts_stateful(spark, base):
         jobs.withColumn("occurred_at", FX.forecast_event_time("product_id"))), "forecast.completed")
     for part in (fev.limit(0), fev):
         EV.write_records(part, f"{run}/forecasts", "productId", ("occurredAt",))
-        out = SJ.forecast_alerts_stateful(
+        out = SJ.both_topics(
             EV.read_keyed_topic(spark, f"{run}/products", "product.events", stream=True, max_files_per_trigger=8),
             EV.read_topic(spark, f"{run}/forecasts", "forecast.completed", stream=True, max_files_per_trigger=8))
-        SJ.run_available_now(out, f"{run}/_checkpoint", path=f"{run}/alerts")
-    return spark.read.parquet(f"{run}/alerts")
+        SJ.run_available_now(out, f"{run}/_checkpoint", sink=SJ.indexed_alert_sink(f"{run}/alerts", f"{run}/stock"))
+    return spark.read.parquet(f"{run}/alerts").drop("batch_id")
 
 
-def _item_forecasts(batch: DataFrame):
-    keys = ITEM_KEYS
+def _item_fits(batch: DataFrame) -> DataFrame:
     conf = RD.confirmed_orders(batch).select(
         F.col("orderId").cast("bigint").alias("order_id"), F.col("occurredAt").alias("occurred_at"),
         F.explode("items").alias("item"))
     flat = conf.select("order_id", "occurred_at", F.col("item.productId").cast("bigint").alias("product_id"),
                        F.col("item.sku").alias("sku"), F.col("item.quantity").alias("quantity"),
                        F.col("item.unitPrice").alias("unit_price"))
-    items = FC.keyed_items(flat, "order_id", ITEM_CONTENT, ("occurred_at",))
-    model = FC.fit(FC.seed_history(items, keys), keys)
-    pts = FC.points(model, keys, 30, clamp_ingest=True)
-    done = model.select(*keys, "mae", FC.horizon_total(F.lit(30)).alias("total_predicted_demand"))
-    jobs = items.join(done, keys, "left").select(
-        stable_id(F.lit("item"), "order_id", "item_key").alias("id"), "order_id", "item_key", "product_id", "sku",
-        F.lit(30).alias("horizon_days"), F.lit("COMPLETED").alias("status"), F.lit("linear-trend").alias("model_used"),
-        F.col("mae").cast("decimal(10,4)").alias("mae"), F.lit(None).cast("string").alias("error_message"),
-        "total_predicted_demand", F.col("occurred_at").alias("created_at"), F.col("occurred_at").alias("updated_at"))
-    return jobs, pts
+    return item_models(FC.keyed_items(flat, "order_id", ITEM_CONTENT, ("occurred_at",)))
+
+
+def _item_forecasts(models: DataFrame):
+    return item_job_rows(models), FC.points(models, ITEM_KEYS, 30, clamp_ingest=True)
 
 
 def _order_forecast_run(spark, base) -> str:
@@ -901,7 +938,7 @@ def _order_forecast_run(spark, base) -> str:
     src = EV.read_keyed_topic(spark, f"{run}/topic", "order.events", stream=True, max_files_per_trigger=64)
     src = src.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz"))
     SJ.run_available_now(src, f"{run}/_checkpoint",
-                         sink=SJ.order_forecast_sink(f"{run}/jobs", f"{run}/points", _item_forecasts))
+                         sink=SJ.order_forecast_sink(f"{run}/models", f"{run}/jobs", f"{run}/points", _item_fits, _item_forecasts))
     return run
 
 

@@ -7,6 +7,8 @@ DuckDB does not turn them into decimals.
 
 from __future__ import annotations
 
+from ..sources.fixtures import FAULT_MODULUS, FAULTS
+
 ORACLE: dict[str, str] = {}
 
 
@@ -751,31 +753,62 @@ SELECT job_id, forecast_date, CAST(predicted_quantity AS DOUBLE) AS predicted_qu
        NOT (lower_bound > upper_bound OR predicted_quantity < 0) AS accepted
 FROM points_all""")
 
-sql("audit_constraints", with_(*STORE) + """
-SELECT 'products' AS table_name, rule, violations FROM (
-  SELECT 'price_non_negative' AS rule, count(*) FILTER (WHERE price < 0) AS violations FROM products
-  UNION ALL SELECT 'stock_non_negative', count(*) FILTER (WHERE stock_quantity < 0) FROM products
-  UNION ALL SELECT 'name_not_null', count(*) FILTER (WHERE name IS NULL) FROM products
-  UNION ALL SELECT 'sku_not_null', count(*) FILTER (WHERE sku IS NULL) FROM products
-  UNION ALL SELECT 'name_length_255', count(*) FILTER (WHERE length(name) > 255) FROM products
-  UNION ALL SELECT 'sku_length_50', count(*) FILTER (WHERE length(sku) > 50) FROM products
-  UNION ALL SELECT 'category_length_100', count(*) FILTER (WHERE length(category) > 100) FROM products
-  UNION ALL SELECT 'sku_unique', CAST(coalesce(sum(c), 0) AS BIGINT)
-            FROM (SELECT count(*) AS c FROM products GROUP BY sku HAVING count(*) > 1))
-UNION ALL
-SELECT 'orders', 'status_allowed', count(*) FILTER (WHERE status IS NULL OR status NOT IN
-       ('PENDING', 'CONFIRMED', 'SHIPPED', 'DELIVERED', 'CANCELLED')) FROM orders_m
-UNION ALL SELECT 'orders', 'customer_not_null', count(*) FILTER (WHERE customer_id IS NULL) FROM orders_m
-UNION ALL SELECT 'order_items', 'quantity_positive', count(*) FILTER (WHERE quantity <= 0) FROM items
-UNION ALL SELECT 'order_items', 'unit_price_non_negative', count(*) FILTER (WHERE unit_price < 0) FROM items
-UNION ALL SELECT 'order_items', 'order_fk', count(*) FROM items WHERE order_id NOT IN (SELECT id FROM orders_m)
-UNION ALL SELECT 'forecast_jobs', 'status_allowed', count(*) FILTER (WHERE status IS NULL OR status NOT IN
-       ('PENDING', 'RUNNING', 'COMPLETED', 'FAILED')) FROM jobs_all
-UNION ALL SELECT 'forecast_jobs', 'horizon_range', count(*) FILTER (WHERE NOT horizon_days BETWEEN 1 AND 365)
-          FROM jobs_all
-UNION ALL SELECT 'forecast_points', 'predicted_non_negative', count(*) FILTER (WHERE predicted_quantity < 0)
-          FROM points_all
-UNION ALL SELECT 'forecast_points', 'job_fk', count(*) FROM points_all WHERE job_id NOT IN (SELECT id FROM jobs_all)""")
+
+
+def _faulty(table: str, source: str, columns: str) -> str:
+    """Rows of a model table, broken in place where the faults say so."""
+    _, number, faults = FAULTS[table]
+    repl = []
+    for c in dict.fromkeys(c for c, _ in faults):
+        own = "CAST(product_id AS VARCHAR)" if (table, c) == ("alerts", "product_id") else c
+        cases = " ".join(f"WHEN {number} % {FAULT_MODULUS} = {k} THEN {v}" for k, (x, v) in enumerate(faults) if x == c)
+        repl.append(f"CASE {cases} ELSE {own} END AS {c}")
+    return f"bad_{table} AS (SELECT * REPLACE ({', '.join(repl)}) FROM (SELECT {columns} FROM {source}))"
+
+
+def _audit() -> str:
+    """Every rule by a query of its own."""
+    def counts(table, rules):
+        return [f"SELECT '{table}' AS table_name, '{r}' AS rule, count(*) FILTER (WHERE {c}) AS violations FROM bad_{table}" for r, c in rules]
+
+    def not_null(*columns):
+        return [(f"{c}_not_null", f"{c} IS NULL") for c in columns]
+
+    def longer(**most):
+        return [(f"{c}_length_{n}", f"length({c}) > {n}") for c, n in most.items()]
+
+    def unique(table, c):
+        return (f"SELECT '{table}', '{c}_unique', CAST(coalesce(sum(n), 0) AS BIGINT) FROM "
+                f"(SELECT count(*) AS n FROM bad_{table} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)")
+
+    def orphans(table, rule, c, parent):
+        return (f"SELECT '{table}', '{rule}', count(*) FROM bad_{table} x WHERE {c} IS NOT NULL "
+                f"AND NOT EXISTS (SELECT 1 FROM bad_{parent} p WHERE p.id = x.{c})")
+
+    parts = counts("products", [
+        *not_null("product_id", "name", "sku", "category", "price", "stock_quantity", "created_at", "updated_at", "version"),
+        *longer(name=255, sku=50, category=100), ("price_non_negative", "price < 0"), ("stock_non_negative", "stock_quantity < 0")])
+    parts += counts("orders", [*not_null("id", "customer_id", "status", "created_at", "updated_at", "version"), *longer(status=20),
+                               ("status_allowed", "status NOT IN ('PENDING', 'CONFIRMED', 'SHIPPED', 'DELIVERED', 'CANCELLED')")])
+    parts += counts("order_items", [*not_null("order_id", "product_id", "sku", "quantity", "unit_price"), *longer(sku=50),
+                                    ("quantity_positive", "quantity <= 0"), ("unit_price_non_negative", "unit_price < 0")])
+    parts += counts("forecast_jobs", [
+        *not_null("id", "product_id", "sku", "horizon_days", "status", "created_at", "updated_at", "version"),
+        *longer(sku=50, status=20, model_used=50, error_message=1000),
+        ("status_allowed", "status NOT IN ('PENDING', 'RUNNING', 'COMPLETED', 'FAILED')"), ("horizon_range", "horizon_days NOT BETWEEN 1 AND 365")])
+    parts += counts("forecast_points", [*not_null("job_id", "forecast_date", "predicted_quantity", "lower_bound", "upper_bound"),
+                                        ("predicted_non_negative", "predicted_quantity < 0")])
+    parts += counts("alerts", [*not_null("id", "type", "severity", "product_id", "sku", "title", "message", "occurred_at"),
+                               *longer(type=30, severity=20, product_id=255, sku=50, title=255)])
+    parts += [unique("products", "product_id"), unique("products", "sku"), unique("orders", "id"), unique("forecast_jobs", "id"), unique("alerts", "id"),
+              orphans("order_items", "order_fk", "order_id", "orders"), orphans("forecast_points", "job_fk", "job_id", "forecast_jobs")]
+    return "\nUNION ALL ".join(parts)
+
+
+sql("audit_constraints", with_(
+    *dict.fromkeys([*STORE, *FULL]), _faulty("products", "products", "*"), _faulty("orders", "orders_m", "*"), _faulty("order_items", "items", "*"),
+    _faulty("forecast_jobs", "jobs_all", "id, product_id, sku, horizon_days, status, model_used, mae, error_message, created_at, updated_at, version"),
+    _faulty("forecast_points", "points_all", "*"), _faulty("alerts", "alerts_all", "*")) + _audit())
 
 # ------------------------------------------------------------ writes
 sql("upsert_products", with_(PRODUCTS, INCOMING) + """
@@ -836,6 +869,13 @@ UNION ALL
 SELECT 'new-' || id, product_id, sku, horizon_days, 'COMPLETED', 'linear-trend', 1.5, NULL, created_at,
        updated_at + INTERVAL 2 HOUR, 0 FROM hit WHERE product_id % 10 = 0""".replace("\n\n, hit", ",\nhit"))
 
+sql("replace_forecast_points", with_(*STORE) + """
+SELECT p.job_id, p.forecast_date,
+       CAST(CASE WHEN j.status = 'COMPLETED' AND j.product_id % 2 = 0 THEN p.predicted_quantity * 2 ELSE p.predicted_quantity END AS DOUBLE)
+         AS predicted_quantity,
+       CAST(p.lower_bound AS DOUBLE) AS lower_bound, CAST(p.upper_bound AS DOUBLE) AS upper_bound
+FROM points_all p JOIN jobs_all j ON j.id = p.job_id""")
+
 sql("versioned_update", with_(PRODUCTS) + """
 , u AS (SELECT l_partkey AS product_id, l_orderkey * 100 + l_linenumber AS update_id, l_shipdate AS ts,
                CAST(0 AS BIGINT) AS version FROM lineitem),
@@ -922,7 +962,7 @@ SELECT order_id, item_key, errors = '' AS accepted, errors FROM e""".replace("\n
 DATE_COLUMNS = {
     "daily_demand": ["ds"], "stream_daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
     "forecast_points": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
-    "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"],
+    "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"], "replace_forecast_points": ["forecast_date"],
     "forecast_custom_model": ["date"],
 }
 

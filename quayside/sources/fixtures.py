@@ -164,3 +164,49 @@ def forecast_event_time(product_col: str = "product_id"):
     """Instant at which a product's forecast result is published (fixture rule)."""
     return _ntz(FORECAST_EVENT_BASE) + F.make_dt_interval(
         days=(F.col(product_col) % FORECAST_EVENT_SPREAD).cast("int"))
+
+
+# --- fixed values: faults for the constraint audit -----------------------------
+#: Per table a number of each row (SQL of Spark and of DuckDB) and, in order, the
+#: columns that are broken in place with their broken value (SQL that both read).
+#: The k-th fault hits the rows whose number modulo FAULT_MODULUS is k.
+FAULT_MODULUS = 97
+FAULTS = {
+    "products": ("product_id", "product_id", [
+        ("product_id", "NULL"), ("name", "NULL"), ("sku", "NULL"), ("category", "NULL"), ("price", "NULL"), ("stock_quantity", "NULL"),
+        ("created_at", "NULL"), ("updated_at", "NULL"), ("version", "NULL"), ("name", "repeat('x', 256)"), ("sku", "repeat('x', 51)"),
+        ("category", "repeat('x', 101)"), ("price", "-1"), ("stock_quantity", "-1"), ("product_id", "1"), ("sku", "'SKU-000001'")]),
+    "orders": ("id", "id", [
+        ("id", "NULL"), ("customer_id", "NULL"), ("status", "NULL"), ("created_at", "NULL"), ("updated_at", "NULL"), ("version", "NULL"),
+        ("status", "repeat('x', 21)"), ("status", "'LOST'"), ("id", "1")]),
+    "order_items": ("order_id", "order_id", [
+        ("order_id", "NULL"), ("product_id", "NULL"), ("sku", "NULL"), ("quantity", "NULL"), ("unit_price", "NULL"),
+        ("sku", "repeat('x', 51)"), ("quantity", "0"), ("unit_price", "-1"), ("order_id", "-1")]),
+    "forecast_jobs": ("product_id", "product_id", [
+        ("id", "NULL"), ("product_id", "NULL"), ("sku", "NULL"), ("horizon_days", "NULL"), ("status", "NULL"), ("created_at", "NULL"),
+        ("updated_at", "NULL"), ("version", "NULL"), ("sku", "repeat('x', 51)"), ("status", "repeat('x', 21)"),
+        ("model_used", "repeat('x', 51)"), ("error_message", "repeat('x', 1001)"), ("status", "'LOST'"), ("horizon_days", "366"),
+        ("id", "'same'")]),
+    "forecast_points": ("unix_date(forecast_date)", "date_diff('day', DATE '1970-01-01', forecast_date)", [
+        ("job_id", "NULL"), ("forecast_date", "NULL"), ("predicted_quantity", "NULL"), ("lower_bound", "NULL"), ("upper_bound", "NULL"),
+        ("predicted_quantity", "-1"), ("job_id", "'gone'")]),
+    "alerts": ("product_id", "product_id", [
+        ("id", "NULL"), ("type", "NULL"), ("severity", "NULL"), ("product_id", "NULL"), ("sku", "NULL"), ("title", "NULL"),
+        ("message", "NULL"), ("occurred_at", "NULL"), ("type", "repeat('x', 31)"), ("severity", "repeat('x', 21)"),
+        ("product_id", "repeat('9', 256)"), ("sku", "repeat('x', 51)"), ("title", "repeat('x', 256)"), ("id", "'same'")]),
+}
+
+
+def with_faults(df: DataFrame, table: str) -> DataFrame:
+    """The rows of a model table, some broken as FAULTS says."""
+    number, _, faults = FAULTS[table]
+    hit = F.expr(f"{number} % {FAULT_MODULUS}")
+    out = []
+    for c in df.columns:
+        kind = "string" if (table, c) == ("alerts", "product_id") else df.schema[c].dataType.simpleString()
+        value = F.col(c).cast(kind)
+        for k, (column, broken) in enumerate(faults):
+            if column == c:
+                value = F.when(hit == k, F.expr(f"CAST({broken} AS {kind})")).otherwise(value)
+        out.append(value.alias(c))
+    return df.select(*out)

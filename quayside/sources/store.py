@@ -11,12 +11,22 @@ PRODUCT_FIELDS = ("name", "sku", "category", "price", "stock_quantity")
 
 
 # ------------------------------------------------------------------ S8
-def _last_per_key(incoming: DataFrame, key: str, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
-    """Several writes to one id in a batch: the last one (by ``order``) wins and
-    each write counts for the version. A partially aggregated ``max_by``, so an
-    id written by a large share of the batch is reduced map-side."""
+WRITE = ("updated_at", "write_no")
+
+
+def _place(incoming: DataFrame) -> list[str]:
+    """The columns that put writes in order: their instant and, where the batch
+    numbers its writes, that number, which decides between equal instants."""
+    return [c for c in WRITE if c in incoming.columns]
+
+
+def _last_per_key(incoming: DataFrame, key: str) -> DataFrame:
+    """Several writes to one id in a batch: the last one (by instant, then write
+    number, then content) wins and each write counts for the version. A partially
+    aggregated ``max_by``, so an id written by a large share of the batch is reduced
+    map-side."""
     cols = [c for c in incoming.columns if c != key]
-    o = F.struct(*[F.col(c) for c in order], F.struct(*cols))
+    o = F.struct(*_place(incoming), F.struct(*cols))
     last = incoming.groupBy(key).agg(F.max_by(F.struct(*cols), o).alias("_last"),
                                      F.count(F.lit(1)).alias("_writes"))
     return last.select(key, "_last.*", "_writes")
@@ -26,7 +36,7 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, key: str = "product_
     """Known id: overwrite name, sku, category, price, stock; keep created_at;
     version + 1 per write. Unknown id: insert with version 0 (+1 per further
     write in the same batch). Untouched rows stay. Several writes to one id in
-    a batch: the last by updated_at wins."""
+    a batch: the last by updated_at, then by write_no if there is one, wins."""
     s = stored.alias("s")
     i = _last_per_key(incoming, key).alias("i")
     j = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
@@ -53,9 +63,9 @@ def _version(key: str):
 def upsert_orders(stored: DataFrame, stored_items: DataFrame, incoming: DataFrame,
                   incoming_items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Known id: replace status and the items only; unknown: insert. Of several
-    writes to one id in a batch the last by updated_at wins. Items of changed
-    orders are replaced as a whole (anti join + union); incoming items that carry
-    their write's updated_at count only for the write that won."""
+    writes to one id in a batch the last by updated_at, then by write_no, wins. Items
+    of changed orders are replaced as a whole (anti join + union); incoming items that
+    carry their write's updated_at or write_no count only for the write that won."""
     last = _last_per_key(incoming, "id")
     s, i = stored.alias("s"), last.alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
@@ -67,9 +77,10 @@ def upsert_orders(stored: DataFrame, stored_items: DataFrame, incoming: DataFram
         F.coalesce(F.col("s.created_at"), F.col("i.created_at")).alias("created_at"),
         F.when(new, F.col("i.updated_at")).otherwise(F.col("s.updated_at")).alias("updated_at"),
         _version("id"))
-    changed = last.select(F.col("id").alias("order_id"), "updated_at")
-    if "updated_at" in incoming_items.columns:
-        incoming_items = incoming_items.join(changed, ["order_id", "updated_at"], "left_semi")
+    changed = last.select(F.col("id").alias("order_id"), *_place(last))
+    named = [c for c in _place(incoming_items) if c in changed.columns]
+    if named:
+        incoming_items = incoming_items.join(changed, ["order_id", *named], "left_semi")
     items = stored_items.join(changed, "order_id", "left_anti").unionByName(
         incoming_items.select(*stored_items.columns))
     return orders, items
@@ -83,10 +94,9 @@ def upsert_forecast_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Known id: status, error message and updated_at always; model and mae only
     when a write carries a result (model_used present), else the old ones stay;
     created_at stays. Of several writes to one id in a batch the last by
-    updated_at wins, and the last that carries a result gives the result."""
-    result = F.struct(*JOB_RESULT_FIELDS)
-    results = (incoming.where(F.col("model_used").isNotNull()).groupBy("id")
-               .agg(F.max_by(result, F.struct("updated_at", *JOB_RESULT_FIELDS)).alias("_result")))
+    updated_at, then by write_no, wins, and the last that carries a result gives the
+    result."""
+    results = _last_results(incoming).select("id", F.struct(*JOB_RESULT_FIELDS).alias("_result"))
     s = stored.alias("s")
     i = _last_per_key(incoming, "id").join(results, "id", "left").alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
@@ -101,13 +111,24 @@ def upsert_forecast_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return j.select(*cols, _version("id"))
 
 
+def _last_results(incoming: DataFrame) -> DataFrame:
+    """Per job the last write of a batch that carries a result."""
+    place = _place(incoming)
+    row = F.struct(*place, *[c for c in JOB_RESULT_FIELDS if c in incoming.columns])
+    return (incoming.where(F.col("model_used").isNotNull()).groupBy("id").agg(F.max(row).alias("_r"))
+            .select("id", "_r.*"))
+
+
 def replace_points(stored: DataFrame, jobs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Forecast points after ``upsert_forecast_jobs`` with the writes ``jobs``:
-    a job whose write carries a result gets the incoming points in place of all
-    its old ones; the points of other jobs stay."""
-    done = jobs.where(F.col("model_used").isNotNull()).select(F.col("id").alias("job_id")).distinct()
-    return stored.join(done, "job_id", "left_anti").unionByName(
-        incoming.join(done, "job_id", "left_semi").select(*stored.columns))
+    """Forecast points after ``upsert_forecast_jobs`` with the writes ``jobs``: a job
+    whose write carries a result gets the incoming points in place of all its old
+    ones; the points of other jobs stay. Incoming points that carry their write's
+    updated_at or write_no count only for the result that won, so of several results
+    of one job in a batch one set of points stays."""
+    won = _last_results(jobs).withColumnRenamed("id", "job_id")
+    named = [c for c in _place(incoming) if c in won.columns]
+    return stored.join(won, "job_id", "left_anti").unionByName(
+        incoming.join(won, ["job_id", *named], "left_semi").select(*stored.columns))
 
 
 # ------------------------------------------------------------------ S11

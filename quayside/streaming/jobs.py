@@ -1,10 +1,12 @@
 """Structured Streaming versions of the event consumers.
 
 Every job is ``readStream`` -> the same operators as the batch plan ->
-``writeStream``. Stateless consumers run their batch twin inside
-``foreachBatch``; the stock ledger keeps each product's balance in
-``applyInPandasWithState``. All checkpoints live under the session's shared
-``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+``writeStream``. Consumers run their batch twin inside ``foreachBatch``; what must
+outlive a micro-batch (balances, stock by day, alerts to deliver) lies in stored
+tables whose folders carry the batch's number, so a batch that is tried again reads
+what it read before and replaces what it wrote. All checkpoints live under the
+session's shared ``spark.checkpoint.dir``, so a restarted query resumes where it
+stopped.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..operators import alerts as AL
 from ..operators import ledger as LG
+from ..operators import notify as NT
 from ..session import ensure_checkpoint_dir
+from .stock_index import LATEST, StockIndex, path_exists
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,50 +49,63 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there; any other trouble with the store rises."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 # ------------------------------------------------------------------ T8
-STATE_SCHEMA = "balance bigint"
-LEDGER_OUT = ("product_id {k}, ts {t}, event_id bigint, delta bigint, balance_before bigint, "
-              "balance bigint, accepted boolean")
-
-
-def _ledger_state(opening: int):
-    def step(key, batches, state):
-        b = int(state.get[0]) if state.exists else opening
-        frames = list(batches)
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        d = pdf["delta"].to_numpy(dtype=np.int64)
-        after, ok = LG.replay(b, d)
-        before = after - np.where(ok, d, 0)
-        b = int(after[-1]) if len(d) else b
-        state.update((b,))
-        yield pdf.assign(balance_before=before, balance=after, accepted=ok)[
-            ["product_id", "ts", "event_id", "delta", "balance_before", "balance", "accepted"]]
-    return step
-
-
-def stream_stock_ledger(deltas: DataFrame, opening: int = 300) -> DataFrame:
-    """Streaming ledger: per product, deltas of a micro-batch are applied in
-    (ts, event_id) order from the balance kept in state. Keyed by product, so
-    the state of one product lives in one place; a micro-batch holds at most
-    the rows admitted by the source's per-trigger limit."""
-    k = deltas.schema["product_id"].dataType.simpleString()
-    t = deltas.schema["ts"].dataType.simpleString()
-    out = LEDGER_OUT.format(k=k, t=t)
-    return deltas.groupBy("product_id").applyInPandasWithState(
-        _ledger_state(opening), outputStructType=out, stateStructType=STATE_SCHEMA,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+class LedgerStore:
+    """Ledger rows and balances of a stream, below one folder.
+
+    ``rows/batch_id=k`` holds the ledger rows of micro-batch k, ``balances/batch_id=k``
+    the closing balances of the products it touched, and every ``compact_every``
+    batches ``snapshots/batch_id=k`` the balances of all products after batch k. The
+    balances before a batch are the last snapshot below its number and the (at most
+    ``compact_every``) batches since, so a batch that is tried again begins where it
+    began the first time and replaces its own folders."""
+
+    def __init__(self, path: str, opening: int = 300, compact_every: int = 16):
+        self.path, self.opening, self.compact_every = path.rstrip("/"), opening, compact_every
+
+    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame | None:
+        path = f"{self.path}/{name}"
+        return spark.read.schema(f"{schema}, batch_id long").parquet(path) if path_exists(spark, path) else None
+
+    def balances(self, spark: SparkSession, key_type: str, before: int) -> DataFrame | None:
+        """(product_id, opening) of every product met before batch ``before``."""
+        schema = f"product_id {key_type}, balance long"
+        done, all_ = self._table(spark, "balances", schema), self._table(spark, "snapshots", schema)
+        if done is None:
+            return None
+        done = done.where(F.col("batch_id") < before)
+        if all_ is not None:
+            at = all_.where(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
+            if at is not None:
+                done = done.where(F.col("batch_id") > at).unionByName(all_.where(F.col("batch_id") == at))
+        return done.groupBy("product_id").agg(F.max_by("balance", "batch_id").alias("opening"))
+
+    def apply(self, deltas: DataFrame, batch_id: int) -> None:
+        """The chunked ledger on one micro-batch, from the committed balances: a
+        product that holds a third of it is split into chunks like any other."""
+        spark, kind = deltas.sparkSession, deltas.schema["product_id"].dataType.simpleString()
+        opening = self.balances(spark, kind, batch_id)
+        if opening is not None:
+            opening = opening.join(deltas.select("product_id").distinct(), "product_id", "left_semi")
+        write_batch(LG.ledger(deltas, opening, default_opening=self.opening), f"{self.path}/rows", batch_id)
+        own = spark.read.parquet(f"{self.path}/rows/batch_id={batch_id}")
+        write_batch(LG.final_balances(own).select("product_id", "balance"), f"{self.path}/balances", batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            after = self.balances(spark, kind, batch_id + 1).withColumnRenamed("opening", "balance")
+            write_batch(after, f"{self.path}/snapshots", batch_id)
+
+
+def stock_ledger_sink(path: str, opening: int = 300, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of the streaming ledger: a micro-batch's deltas are applied
+    in (ts, event_id) order from the balances that the batches before it left."""
+    return LedgerStore(path, opening, compact_every).apply
 
 
 # ------------------------------------------------------------------ T5
-def low_stock_sink(path: str, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS):
-    """foreachBatch writer: P12 + R1 on the micro-batch, appended without
-    repeating ids already written (redelivered events alert once)."""
+def low_stock_sink(path: str, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS, outbox: NT.Outbox | None = None):
+    """foreachBatch writer: P12 + R1 on the micro-batch, without ids that earlier
+    batches have stored (redelivered events alert once); new alerts go to the
+    ``outbox`` if there is one."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ev = AL.downward_adjustments(batch).select(
@@ -103,95 +117,91 @@ def low_stock_sink(path: str, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOL
         if path_exists(spark, path):
             # only the date partitions this batch touches are read (the semi
             # join on the partition column lets Spark prune the others)
-            existing = spark.read.schema(alerts.schema).parquet(path).select("id", "alert_date") \
+            stored = spark.read.schema(alerts.schema.add("batch_id", "long")).parquet(path)
+            existing = stored.where(F.col("batch_id") < batch_id).select("id", "alert_date") \
                 .join(alerts.select("alert_date").distinct(), "alert_date", "left_semi")
             alerts = alerts.join(existing, ["id", "alert_date"], "left_anti")
-        alerts.write.mode("append").partitionBy("alert_date").parquet(path)
+        (alerts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "alert_date").parquet(path))
+        if outbox is not None:
+            own = spark.read.schema(alerts.schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") == batch_id)
+            outbox.commit(own.drop("batch_id", "alert_date"), batch_id)
+            outbox.deliver(spark)
     return write
 
 
 # ------------------------------------------------------------------ T6
-def forecast_alert_sink(path: str, stock: DataFrame):
-    """foreachBatch writer: route forecast events and raise surge / low-demand
-    / failed alerts with the stock as of each event (J7 against the stock table)."""
+def results_of(forecast_events: DataFrame) -> DataFrame:
+    """Forecast events (completed and failed) as results for the alert rules."""
+    return forecast_events.where(F.col("eventType").isin("FORECAST_COMPLETED", "FORECAST_FAILED")).select(
+        F.col("jobId").alias("job_id"), F.col("productId").cast("bigint").alias("product_id"), "sku", "status",
+        F.col("totalPredictedDemand").alias("total_predicted_demand"),
+        F.col("errorMessage").alias("error_message"), F.col("occurredAt").cast("timestamp_ntz").alias("occurred_at"))
+
+
+def changes_of(product_events: DataFrame) -> DataFrame:
+    """Stock adjustments as the changes of a stock index."""
+    return product_events.where(F.col("eventType") == "STOCK_ADJUSTED").select(
+        F.col("productId").cast("bigint").alias("product_id"), F.col("occurredAt").cast("timestamp_ntz").alias("ts"),
+        F.col("eventSeq").alias("seq"), F.col("stockQuantity").cast("bigint").alias("stock"))
+
+
+def forecast_alert_sink(path: str, index: StockIndex, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS,
+                        outbox: NT.Outbox | None = None):
+    """foreachBatch writer: forecast events raise surge, low-demand and failed alerts
+    with the stock as of each event (J7), read from the days of ``index`` that the
+    batch touches."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        ev = batch.where(F.col("eventType").isin("FORECAST_COMPLETED", "FORECAST_FAILED")).select(
-            F.col("jobId").alias("job_id"), F.col("productId").cast("bigint").alias("product_id"), "sku", "status",
-            F.col("totalPredictedDemand").alias("total_predicted_demand"),
-            F.col("errorMessage").alias("error_message"), F.col("occurredAt").alias("occurred_at"))
-        res = AL.stock_as_of(ev, stock)
-        write_batch(AL.forecast_alerts(res), path, batch_id)
+        _raise_alerts(index.as_of(results_of(batch), LATEST), path, batch_id, thresholds, outbox)
     return write
 
 
-# ------------------------------------------------------------------ T6 (stateful)
-STOCK_STATE = "stock binary, ts binary, seq binary"  # a product's changes in time order, 64-bit integers
-RESULT_OUT = ("job_id string, product_id bigint, sku string, status string, "
-              "total_predicted_demand decimal(18,2), error_message string, occurred_at timestamp_ntz, "
-              "current_stock int")
-
-
-def _stock_state(default_stock: int):
-    def step(key, batches, state):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        # the changes kept so far take part again, so a forecast that comes late
-        # meets the stock of its own time and an older change its place; a change
-        # at the same instant as a forecast counts for it
-        us, seq = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), pdf["seq"].fillna(-1).to_numpy(np.int64)
-        kind, stock = pdf["kind"].to_numpy(np.int64), pdf["stock"].fillna(-1).to_numpy(np.int64)
-        if state.exists:
-            old_stock, old_us, old_seq = (np.frombuffer(x, np.int64) for x in state.get)
-            us, seq = np.append(us, old_us), np.append(seq, old_seq)
-            kind, stock = np.append(kind, np.zeros(len(old_us), np.int64)), np.append(stock, old_stock)
-        order = np.lexsort((seq, kind, us))
-        is_stock = kind[order] == 0
-        at = np.maximum.accumulate(np.where(is_stock, np.arange(len(order)), -1))
-        asof = np.where(at >= 0, stock[order][at], default_stock)
-        changes = order[is_stock]
-        last = changes[np.append(us[changes][1:] != us[changes][:-1], True)] if len(changes) else changes
-        if (pdf["kind"] == 0).any():  # of the changes at one instant only the last can be met again
-            state.update(tuple(x[last].tobytes() for x in (stock, us, seq)))
-        rows = order[~is_stock]
-        out = pdf.iloc[rows].assign(current_stock=asof[~is_stock])
-        yield out.rename(columns={"total": "total_predicted_demand", "ts": "occurred_at"})[
-            ["job_id", "product_id", "sku", "status", "total_predicted_demand", "error_message", "occurred_at", "current_stock"]]
-    return step
-
-
-def forecast_alerts_stateful(product_events: DataFrame, forecast_events: DataFrame,
-                             thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS,
-                             default_stock: int = C.DEFAULT_CURRENT_STOCK) -> DataFrame:
-    """Both topics in one stream keyed by product: stock adjustments go into the
-    product's stock history (kept in state), each forecast event is joined with
-    it as of its own time, however late either comes, and evaluated by the alert
-    rules. Rows of a micro-batch are put in order by (time, stock first, seq).
-    A forecast is answered in the micro-batch it comes in, from the changes
-    received by then; a change that comes after it does not alter its answer."""
-    stock = product_events.where(F.col("eventType") == "STOCK_ADJUSTED").select(
-        F.col("productId").cast("bigint").alias("product_id"),
-        F.col("occurredAt").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("kind"),
-        F.col("eventSeq").alias("seq"), F.col("stockQuantity").cast("bigint").alias("stock"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (("job_id", "string"), ("sku", "string"),
-                                                   ("status", "string"), ("total", "decimal(18,2)"),
-                                                   ("error_message", "string"))])
-    fc = forecast_events.where(F.col("eventType").isin("FORECAST_COMPLETED", "FORECAST_FAILED")).select(
-        F.col("productId").cast("bigint").alias("product_id"),
-        F.col("occurredAt").cast("timestamp_ntz").alias("ts"), F.lit(1).alias("kind"),
-        F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("stock"),
-        F.col("jobId").alias("job_id"), "sku", "status",
-        F.col("totalPredictedDemand").alias("total"), F.col("errorMessage").alias("error_message"))
-    results = stock.unionByName(fc).groupBy("product_id").applyInPandasWithState(
-        _stock_state(default_stock), outputStructType=RESULT_OUT, stateStructType=STOCK_STATE,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    return AL.forecast_alerts(results, thresholds)
+def _raise_alerts(results: DataFrame, path: str, batch_id: int, thresholds: C.AlertThresholds, outbox: NT.Outbox | None) -> None:
+    write_batch(AL.forecast_alerts(results, thresholds), path, batch_id)
+    if outbox is not None:
+        spark = results.sparkSession
+        outbox.commit(spark.read.parquet(f"{path.rstrip('/')}/batch_id={batch_id}"), batch_id)
+        outbox.deliver(spark)
+
+
+# ------------------------------------------------------------------ T6 (both topics)
+_CHANGE, _RESULT = ("ts", "seq", "stock"), ("job_id", "sku", "status", "total_predicted_demand", "error_message", "occurred_at")
+
+
+def both_topics(product_events: DataFrame, forecast_events: DataFrame) -> DataFrame:
+    """Stock changes and forecast results as one stream, told apart by ``is_change``."""
+    changes, results = changes_of(product_events), results_of(forecast_events)
+    null = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+    return changes.select(F.lit(True).alias("is_change"), "product_id", *_CHANGE, *null(results, _RESULT)).unionByName(
+        results.select(F.lit(False).alias("is_change"), "product_id", *null(changes, _CHANGE), *_RESULT))
+
+
+def indexed_alert_sink(path: str, index_path: str, retention_days: int = 7, thresholds: C.AlertThresholds = C.DEFAULT_THRESHOLDS,
+                       default_stock: int = C.DEFAULT_CURRENT_STOCK, outbox: NT.Outbox | None = None):
+    """foreachBatch writer of ``both_topics``: a batch's stock changes extend the
+    stored index, then its forecasts are looked up as of their own time, however late
+    they or the changes come. What is kept to look up is bounded by
+    ``retention_days`` (see ``StockIndex``); forecasts from before are looked up in
+    the stored history. A forecast is answered in the batch it comes in, from the
+    changes stored by then; a change that comes after it does not alter its answer."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        index = StockIndex(batch.sparkSession, index_path, retention_days, default_stock)
+        touched = index.extend(batch.where("is_change").select("product_id", *_CHANGE), batch_id)
+        results = batch.where("NOT is_change").select("product_id", *_RESULT)
+        _raise_alerts(index.as_of(results, batch_id, touched), path, batch_id, thresholds, outbox)
+        index.fold(batch_id, touched)
+    return write
 
 
 # ------------------------------------------------------------------ T7
-def order_forecast_sink(jobs_path: str, points_path: str, run: Callable[[DataFrame], tuple]):
-    """foreachBatch writer: confirmed orders of the micro-batch become one
-    forecast job per item (batch F4 plan), written as job and point rows."""
+def order_forecast_sink(models_path: str, jobs_path: str, points_path: str, fit: Callable[[DataFrame], DataFrame],
+                        rows: Callable[[DataFrame], tuple]):
+    """foreachBatch writer: confirmed orders of the micro-batch become one forecast
+    job per item (batch F4 plan). The batch is parsed and fitted once, into a written
+    table of model rows; jobs and points are projections of that table."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        jobs, pts = run(batch)
+        write_batch(fit(batch), models_path, batch_id)
+        jobs, pts = rows(batch.sparkSession.read.parquet(f"{models_path.rstrip('/')}/batch_id={batch_id}"))
         write_batch(jobs, jobs_path, batch_id)
         write_batch(pts, points_path, batch_id)
     return write

@@ -200,3 +200,18 @@ def test_daily_demand_recent_window(spark):
         "product_id long, occurred_at timestamp, quantity int")
     got = FC.daily_demand(items, since_days=3, as_of=F.lit(dt.date(2024, 3, 10))).collect()
     assert sorted(r.ds.day for r in got) == [8, 9, 10]
+
+
+def test_models_of_pairs_equal_models_of_items(spark):
+    """Fitting distinct (quantity, day) pairs gives every item the model of its own
+    history, items with nulls and repeated rows included."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 3, 1, 15)
+    rows = [(k, k % 4, t0 + dt.timedelta(days=k % 3, hours=k % 5)) for k in range(60)]
+    rows += [(100, None, t0), (101, 2, None), (102, None, t0 + dt.timedelta(days=1))]
+    items = spark.createDataFrame(rows, "item long, quantity int, occurred_at timestamp")
+    got = FC.seed_models(items, ["item"], carry=["quantity"])
+    own = FC.fit(FC.seed_history(items, ["item"]), ["item"])
+    own = own.withColumn("total_predicted_demand", FC.horizon_total(F.lit(30))).join(items.select("item", "quantity"), "item")
+    assert sorted(map(tuple, got.select(own.columns).collect()), key=str) == sorted(map(tuple, own.collect()), key=str)
+    assert got.count() == 62

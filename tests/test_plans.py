@@ -41,9 +41,18 @@ def test_scans_are_pruned_and_filtered(spark):
     assert re.search(r"PushedFilters: \[[^\]]*Not\(EqualTo\(o_orderstatus,P\)\)", p)
 
 
-def test_top1_per_product_is_limited_before_the_shuffle(spark):
+def test_top1_per_product_is_aggregated_before_the_shuffle(spark):
     p = plan(CA.q_latest_forecast(spark, BASE))
-    assert count(r"WindowGroupLimit", p) >= 2      # partial (map side) and final
+    assert "partial_min" in p and "Window" not in p.split("partial_min")[0]
+
+
+def test_item_forecasts_explode_distinct_pairs_only(spark):
+    """30-row histories are made of the distinct (quantity, day) pairs; items meet the
+    checkpointed models of the pairs."""
+    items = CA.confirmed_order_items(spark, BASE)
+    p = plan(FC.seed_models(items, CA.ITEM_KEYS))
+    assert "Generate explode(sequence(date" not in p and count("Window", p) == 0
+    assert count(r"Scan ExistingRDD", p) == 1
 
 
 def test_seed_histories_shuffle_items_not_exploded_rows(spark):
@@ -56,13 +65,16 @@ def test_seed_histories_shuffle_items_not_exploded_rows(spark):
     assert ex > gen > 0   # tree text: the parent (Generate) is printed before its child
 
 
-def test_lifecycle_rounds_do_not_duplicate_the_plan(spark):
+def test_lifecycle_events_are_shuffled_once(spark):
     from quayside.operators import lifecycle as LC
     from quayside.sources import fixtures as FX
-    final, _ = LC.order_lifecycle(FX.order_lifecycle_events(spark, BASE))
+    final, verdicts = LC.order_lifecycle(FX.order_lifecycle_events(spark, BASE))
+    # verdicts read the checkpointed chunks; the only exchange is that of the chunks' edge rows
+    p = plan(verdicts)
+    assert count(r"Exchange hashpartitioning\(_k0", p) == 1 and count("SortMergeJoin", p) == 0 and count("FileScan", p) == 0
+    # final states: one more exchange, of rows that are aggregated before it
     p = plan(final)
-    # one events scan per round plus the key count, not 2^rounds copies
-    assert count(r"FileScan parquet", p) <= 5
+    assert count(r"Exchange hashpartitioning\(_k0", p) == 2 and "partial_max_by" in p
 
 
 def test_item_keys_need_no_per_order_sort(spark):

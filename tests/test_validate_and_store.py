@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from quayside.operators import reads as RD
 from quayside.operators import validate as VD
 from quayside.sources import store as ST
@@ -210,7 +212,66 @@ def test_every_table_rule_counts_its_violation(spark):
         want[t, "status_allowed"] += 1
     assert len(want) == 70
     frames = {t: spark.createDataFrame(r, schemas[t]) for t, r in rows.items()}
-    got = VD.audit_all_constraints(frames).collect()
+    got = VD.audit_constraints(frames).collect()
     assert {(r.table_name, r.rule): r.violations for r in got} == want and len(got) == 70
-    clean = VD.audit_all_constraints({t: spark.createDataFrame([r], schemas[t]) for t, r in good.items()})
+    clean = VD.audit_constraints({t: spark.createDataFrame([r], schemas[t]) for t, r in good.items()})
     assert not any(r.violations for r in clean.collect())
+
+
+def test_registered_audit_has_a_violation_of_every_rule(spark):
+    from quayside.plans import catalog as CA
+    rows = CA.q_audit_constraints(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 70 and all(r.violations > 0 for r in rows)
+
+
+def test_audit_has_two_exchanges(spark):
+    from quayside import schemas as S
+    tables = {"products": S.PRODUCTS, "orders": S.ORDERS, "order_items": S.ORDER_ITEMS, "forecast_jobs": S.FORECAST_JOBS,
+              "forecast_points": S.FORECAST_POINTS, "alerts": S.ALERTS}
+    df = VD.audit_constraints({t: spark.createDataFrame([], s) for t, s in tables.items()})
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert p.count("Exchange ") == 2 and "Join" not in p and "partial_count_if" not in p.split("Exchange ")[0]
+
+
+def test_audit_of_a_hot_parent_and_of_orphans(spark):
+    """Children of one order are added up before the shuffle; children without a
+    parent count one by one; null keys break no key rule."""
+    from quayside import schemas as S
+    empty = {t: spark.createDataFrame([], s) for t, s in (("products", S.PRODUCTS), ("forecast_jobs", S.FORECAST_JOBS),
+                                                         ("forecast_points", S.FORECAST_POINTS), ("alerts", S.ALERTS))}
+    orders = spark.createDataFrame([("1", "7", "PENDING", T0, T0, 0), (None, "7", "PENDING", T0, T0, 0), (None, "7", "PENDING", T0, T0, 0)], S.ORDERS)
+    items = spark.createDataFrame([("1", "1", "S", 1, Decimal("0.00"))] * 50 + [("2", "1", "S", 1, Decimal("0.00"))] * 3
+                                  + [(None, "1", "S", 1, Decimal("0.00"))], S.ORDER_ITEMS)
+    got = {(r.table_name, r.rule): r.violations for r in VD.audit_constraints({**empty, "orders": orders, "order_items": items}).collect()}
+    assert {k: v for k, v in got.items() if v} == {("orders", "id_not_null"): 2, ("order_items", "order_id_not_null"): 1, ("order_items", "order_fk"): 3}
+    assert len(got) == 70
+
+
+def test_write_numbers_decide_between_equal_instants(spark):
+    """Two writes of one batch to one row at one instant: the one with the larger
+    number wins, whatever its content sorts like; its items and points stay alone."""
+    jobs = spark.createDataFrame([("a", 1, "S", 30, "RUNNING", None, None, None, T0, T0, 0)],
+                                 "id string, product_id long, sku string, horizon_days int, status string, model_used string, "
+                                 "mae decimal(10,4), error_message string, created_at timestamp, updated_at timestamp, version long")
+    w = jobs.drop("version").withColumns({"write_no": F.lit(1), "status": F.lit("RUNNING")})
+    x = w.withColumns({"write_no": F.lit(2), "status": F.lit("COMPLETED"), "model_used": F.lit("a-model")})
+    y = w.withColumns({"write_no": F.lit(3), "status": F.lit("COMPLETED"), "model_used": F.lit("A-model")})
+    got = ST.upsert_forecast_jobs(jobs, w.unionByName(x).unionByName(y)).collect()
+    assert [(r.status, r.model_used, r.version) for r in got] == [("COMPLETED", "A-model", 3)]
+    points = spark.createDataFrame([("a", T0.date(), 1), ("b", T0.date(), 1)], "job_id string, forecast_date date, q int")
+    incoming = spark.createDataFrame([("a", T0.date(), 20, 2), ("a", T0.date(), 30, 3)], "job_id string, forecast_date date, q int, write_no int")
+    kept = ST.replace_points(points, w.unionByName(x).unionByName(y), incoming)
+    assert sorted((r.job_id, r.q) for r in kept.collect()) == [("a", 30), ("b", 1)]
+
+    orders = spark.createDataFrame([(1, 7, "PENDING", T0, T0, 0)], "id long, customer_id long, status string, created_at timestamp, updated_at timestamp, version long")
+    items = spark.createDataFrame([(1, 10, 1)], "order_id long, product_id long, quantity int")
+    a = orders.drop("version").withColumns({"write_no": F.lit(1), "status": F.lit("SHIPPED")})
+    b = orders.drop("version").withColumns({"write_no": F.lit(2), "status": F.lit("CONFIRMED")})
+    new = spark.createDataFrame([(1, 10, 2, 1), (1, 11, 3, 2)], "order_id long, product_id long, quantity int, write_no int")
+    o, i = ST.upsert_orders(orders, items, a.unionByName(b), new)
+    assert [r.status for r in o.collect()] == ["CONFIRMED"] and [tuple(r) for r in i.collect()] == [(1, 11, 3)]
