@@ -5,6 +5,7 @@ returns a DataFrame whose column names match its SQL twin in ``oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..operators import forecast as FC
 from ..operators import ledger as LG
 from ..operators import lifecycle as LC
 from ..functions.expr import sku_of, stable_id
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,6 +336,7 @@ from ..operators import reads as RD  # noqa: E402
 from ..operators import validate as VD  # noqa: E402
 from ..sources import events as EV  # noqa: E402
 from ..sources import store as ST  # noqa: E402
+from ..sources.buckets import BucketTable  # noqa: E402
 from ..sources.tables import table  # noqa: E402
 
 _PRODUCT_COLS = ("product_id", "name", "sku", "category", "price", "stock_quantity",
@@ -734,6 +737,17 @@ def q_upsert_products(spark, base):
     return _dbl(ST.upsert_products(FX.products(spark, base), product_updates(spark, base)), "price")
 
 
+@query("upsert_products_in_buckets")
+def q_upsert_products_in_buckets(spark, base):
+    """The same upsert into a stored bucket table: only the buckets of the incoming
+    ids are read and written."""
+    run, stored = f"{ensure_checkpoint_dir(spark).rstrip('/')}/products-{uuid.uuid4().hex[:12]}", FX.products(spark, base)
+    products = BucketTable(spark, run, stored.schema, "product_id")
+    products.write(stored, 0)
+    products.update(1, product_updates(spark, base), ST.upsert_products)
+    return _dbl(products.read(), "price")
+
+
 @query("upsert_orders")
 def q_upsert_orders(spark, base):
     orders, items = FX.orders(spark, base), FX.order_items(spark, base)
@@ -824,6 +838,7 @@ def q_forecast_custom_model(spark, base):
 
 # ============================================================ streaming twins
 from ..streaming import jobs as SJ  # noqa: E402
+from ..streaming import refresh as RF  # noqa: E402
 from ..streaming.stock_index import StockIndex  # noqa: E402
 
 
@@ -871,6 +886,18 @@ def q_stream_daily_demand(spark, base):
     return SJ.daily_demand_total(spark.read.parquet(f"{run}/out"))
 
 
+@query("stream_forecast_refresh")
+def q_stream_forecast_refresh(spark, base):
+    """T7 on A7: models refreshed by every micro-batch of items, whatever its days;
+    the forecast points of the models after the last one."""
+    run = SJ.scratch(spark, "refresh")
+    items = FX.confirmed_items(spark, base)
+    items.repartition(4, "order_id").write.parquet(f"{run}/in")
+    src = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{run}/in")
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=RF.refresh_sink(f"{run}/store", buckets=16))
+    return FC.points(RF.ForecastStore(spark, f"{run}/store", buckets=16).current(), ["product_id"], 30)
+
+
 @query("stream_low_stock")
 def q_stream_low_stock(spark, base):
     run = SJ.scratch(spark, "low-stock")

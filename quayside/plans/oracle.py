@@ -896,6 +896,8 @@ ORACLE["stream_low_stock"] = ORACLE["alerts_low_stock"]
 ORACLE["stream_forecast_alerts"] = ORACLE["all_alerts"]
 ORACLE["stream_forecast_alerts_stateful"] = ORACLE["all_alerts"]
 ORACLE["stream_daily_demand"] = ORACLE["daily_demand"]
+ORACLE["stream_forecast_refresh"] = ORACLE["forecast_points"]
+ORACLE["upsert_products_in_buckets"] = ORACLE["upsert_products"]
 sql("stream_order_forecast_jobs", with_(*STORE) + """
 SELECT j.id, j.product_id, j.sku, j.horizon_days, j.status, j.model_used, CAST(j.mae AS DOUBLE) AS mae, j.error_message,
        CAST(j.total_predicted_demand AS DOUBLE) AS total_predicted_demand, j.created_at, j.updated_at
@@ -961,7 +963,7 @@ SELECT order_id, item_key, errors = '' AS accepted, errors FROM e""".replace("\n
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
     "daily_demand": ["ds"], "stream_daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
-    "forecast_points": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
+    "forecast_points": ["date"], "stream_forecast_refresh": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
     "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"], "replace_forecast_points": ["forecast_date"],
     "forecast_custom_model": ["date"],
 }
