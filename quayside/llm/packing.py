@@ -43,8 +43,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = own.ids(text) + end
+                for doc, ids in zip(part.column(0).to_pylist(), own.ids_of(part.column(1).to_pylist())):
+                    ids += end
                     out += [(doc, k, k * capacity, (len(x := ids[s:s + width])) // 4, x) for k, s in enumerate(range(0, len(ids), width))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],

@@ -16,6 +16,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable
+from itertools import compress, repeat
+from operator import is_
 from pathlib import Path
 
 import numpy as np
@@ -26,8 +30,18 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _RUN = rf"[{_LETTERS}]++(?![^\x00-\x7f])"
 _WITH_SPACE = re.compile(rf"\s*{_RUN}|\s*\S+|\s+")
 _WITHOUT_SPACE = re.compile(rf"{_RUN}|\S+")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
 _UNCUT = re.compile("[\x1c-\x1f᠎]")
-MOST_PIECES = 350_000  # remembered pieces of a worker, twice: about 150 MB
+CODES = {"<u2": "H", "<u4": "I"}  # array codes of the widths of an id
+MOST_PIECES = 600_000  # remembered pieces of a worker, twice: about 250 MB
+
+
+def id_width(path: str, *ids: int) -> str:
+    """The numpy type that holds every id of a tokenizer's file, and ``ids``."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(path).get_vocab_size() - 1, *ids)
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -45,17 +59,21 @@ class Remembered(dict):
         super().__init__()
         self.old: dict[str, bytes] = {}
 
-    def missing(self, pieces: list[str]) -> list[str]:
+    def missing(self, pieces: Iterable[str]) -> list[str]:
         """The pieces that must be learned; all others are in the dict then."""
-        new = {p for p in pieces if p not in self}
+        every = set(pieces)
+        new = [p for p in every if p not in self]
         if len(self) + len(new) > MOST_PIECES:
             self.old = dict(self)
             self.clear()
-            new = set(pieces)
-        for p in [p for p in new if p in self.old]:
-            self[p] = self.old[p]
-            new.discard(p)
-        return list(new)
+            new = every
+        unknown = []
+        for p in new:
+            if (x := self.old.get(p)) is None:
+                unknown.append(p)
+            else:
+                self[p] = x
+        return unknown
 
 
 class Encoder:
@@ -74,21 +92,51 @@ class Encoder:
             raise ValueError("the ids do not fit")
         self.keeps_all = spaces  # pieces cover the text, so their lengths give places
         self.cut = (_WITH_SPACE if spaces else _WITHOUT_SPACE).findall
-        self.dtype, self.known = dtype, Remembered()
+        self.code, self.known = CODES[dtype], Remembered()
+        # no token of letters and a leading space holds a line end or a mark
+        self.separator = "\n" if spaces else " ! "
+        self.separator_id = self.tokenizer.encode(self.separator.strip(" "), add_special_tokens=False).ids[0]
 
     def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        if _UNCUT.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        pieces = self.cut(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = self.known.missing(pieces)
-            for i in range(0, len(new), 4096):
-                for p, e in zip(some := new[i:i + 4096], self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, self.dtype).tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of several texts; the pieces that are new among them are learned
+        together."""
+        pieces = [None if _UNCUT.search(t := text or "") else self.cut(t) for text in texts]
+        found = [None if p is None else list(map(self.known.get, p)) for p in pieces]
+        gaps = [[] if f is None or None not in f else list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
+        self.learn({p[k] for p, g in zip(pieces, gaps) for k in g})
+        out = []
+        for text, p, f, g in zip(texts, pieces, found, gaps):
+            for k in g:
+                f[k] = self.known[p[k]]
+            out.append(self._own(text) if f is None else b"".join(f))
+        return out
+
+    def _own(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces. Plain words go to the library joined by a
+        separator that stays a token of its own, and the ids are cut at it."""
+        new = self.known.missing(pieces)
+        words = [p for p in new if _PLAIN(p)]
+        for i in range(0, len(words), 4096):
+            some = words[i:i + 4096]
+            ids = array(self.code, self.tokenizer.encode_batch_fast([self.separator.join(some)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(np.frombuffer(ids, f"<u{ids.itemsize}") == self.separator_id)
+            if len(ends) != len(some) - 1:
+                new += some  # not cut as expected: one by one
+                continue
+            data, at = ids.tobytes(), 0
+            for p, end in zip(some, [*(ends * ids.itemsize).tolist(), len(data)]):
+                self.known[p] = data[at:end]
+                at = end + ids.itemsize
+        rest = [p for p in new if p not in self.known]
+        for i in range(0, len(rest), 4096):
+            for p, e in zip(some := rest[i:i + 4096], self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[p] = array(self.code, e.ids).tobytes()
 
 
 _ENCODERS: dict[tuple, object] = {}

@@ -77,6 +77,18 @@ def test_attribution_of_more_rows_than_a_slice(spark):
     assert {r.doc_id for r in got} == set(range(300))
 
 
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_pieces_learned_together_encode_like_pieces_alone(path, spaces):
+    own, _ = encoders(path, spaces)
+    rng = random.Random(7)
+    texts = [r[1] for r in odd_rows()[:14] if len(r[1] or "") < 5000] + [words(rng, 50, 2000).title() for _ in range(30)] + ["a\x1cb", "ſ ſtop", "!", "\n"]
+    got = own.ids_of(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    odd_one, _ = encoders(path, spaces)
+    odd_one.separator_id = 3  # a separator that is not found: pieces go one by one
+    assert odd_one.ids_of(texts) == got
+
+
 def test_remembered_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_PIECES", 50)
     own, _ = encoders(BYTE, True)
@@ -127,6 +139,53 @@ def test_token_files(spark, odd, empty, monkeypatch):
     assert token_files.read(spark, token_files.write(empty, BYTE)).count() == 0
 
 
+def test_token_files_of_one_id_on_many_rows(spark, monkeypatch):
+    """400 texts under one id: one order whatever the partitioning, several files,
+    and index bytes that are read once per document."""
+    monkeypatch.setattr(token_files, "BLOCK", 300)
+    rng = random.Random(4)
+    rows = [(7, words(rng, rng.choice([0, 1, 30, 900]))) for _ in range(400)] + [(None, "a b"), (3, None)]
+    found = []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        folder = token_files.write(docs, BYTE, files=4)
+        assert sum(r["docs"] > 20 for r in spark.read.parquet(f"{folder}/manifest").collect()) >= 3
+        found.append(sorted(map(tuple, token_files.read(spark, folder, with_ids=True).collect()), key=lambda r: r[1]))
+    assert found[0] == found[1] and len(found[0]) == 402
+    asked = []
+    for k in range(4):
+        for docs_at, first, last, own, points in token_files._units(f"{folder}/part-{k:06d}.tok".removeprefix("file:")):
+            asked += [(k, d) for d in range(first, last)]
+            assert len(points) // token_files._POINT.itemsize >= own
+    assert len(asked) == len(set(asked)) == 402
+
+
+def test_damaged_token_files_are_noticed(spark, tmp_path):
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    folder = str(tmp_path / "files")
+    token_files.write(docs, BYTE, folder, files=1)
+    name = tmp_path / "files" / "part-000000.tok"
+    whole = name.read_bytes()
+    points, n_docs, docs_at = token_files._points(*token_files.opened(str(name)))
+    for at in (docs_at + 5, docs_at + n_docs * token_files._DOC.itemsize + 3, 40):
+        broken = bytearray(whole)
+        broken[at] ^= 1
+        name.write_bytes(bytes(broken))
+        with pytest.raises(Exception):
+            token_files.read(spark, folder).collect()
+    name.write_bytes(whole)
+    assert token_files.read(spark, folder).count() == 50
+
+
+def test_ids_wider_than_16_bits(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "id_width", lambda path, *ids: "<u4")
+    docs = spark.range(30).selectExpr("id AS doc_id", "concat('words ', id) AS text")
+    got = token_files.read(spark, token_files.write(docs, BYTE, end_id=70_000), with_ids=True).collect()
+    own, _ = encoders(BYTE, True)
+    assert {r.doc_id: bytes(r.ids) for r in got} == {k: own.ids(f"words {k}") + np.array([70_000], "<u4").tobytes() for k in range(30)}
+    assert tokens.id_width(BYTE, 2) == "<u2" and tokens.id_width(BYTE, 70_000) == "<u4"
+
+
 def brute_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
