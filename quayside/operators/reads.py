@@ -8,9 +8,11 @@ Filters are plain predicates so Catalyst pushes them into the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 # ------------------------------------------------------------------ P1
 def product_view(products: DataFrame) -> DataFrame:
@@ -25,37 +27,68 @@ def order_totals(items: DataFrame, order_key: str = "order_id") -> DataFrame:
         F.sum(F.col("unit_price") * F.col("quantity")).cast("decimal(18,2)").alias("total"))
 
 
-# ------------------------------------------------------------------ J1
-def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Each order with its items (left join: an order without items keeps one row)."""
-    return orders.join(items, orders["id"] == items["order_id"], "left").drop("order_id")
-
-
-# ------------------------------------------------------------------ P2
-def order_view(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Order header with items (each with its subtotal) and the order total.
-
-    Items and totals are built from the flat child rows by one group-by; the
-    header is joined on the order key.
-    """
-    it = items.select("order_id", F.struct(
+# ------------------------------------------------------------------ J1, P2
+#: Items of an order that stay together; a larger order is dealt out in pieces.
+PIECE = 10_000
+
+
+def _pieces(orders: DataFrame, items: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Headers and items by (order, piece).
+
+    An order of n items has ceil(n / limit) pieces, almost always one. Items go to a
+    piece by a hash of their content (equal items stay together), headers are repeated
+    for every piece, so a group-by or join on (order, piece) has no key that grows with
+    an order. Counts and totals come from one partially aggregated group-by; only the
+    large orders, a small checkpointed table, meet the items, by a join with a bare
+    exchange on both sides that adaptive execution can split. Headers carry
+    ``n_items``, ``total``, ``n_pieces`` and ``piece``."""
+    per = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_items"),
+                                        F.sum(F.col("unit_price") * F.col("quantity")).cast("decimal(18,2)").alias("total"))
+    ensure_checkpoint_dir(items.sparkSession)
+    large = per.where(F.col("n_items") > limit).select("order_id", F.ceil(F.col("n_items") / limit).cast("int").alias("n_pieces")).checkpoint(eager=True)
+    own = F.pmod(F.xxhash64(*[c for c in items.columns if c != "order_id"]), F.coalesce("n_pieces", F.lit(1))).cast("int")
+    placed = items.join(large, "order_id", "left").withColumn("piece", own).drop("n_pieces")
+    head = (orders.join(per.withColumnRenamed("order_id", "id"), "id", "left").select(*orders.columns, "n_items", "total")
+            .withColumn("total", F.coalesce("total", F.lit(0).cast("decimal(18,2)")))
+            .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("n_items") / limit).cast("int")))
+            .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1))))
+    return head, placed
+
+
+def _flat(head: DataFrame, placed: DataFrame, columns: list[str]) -> DataFrame:
+    """Headers with their items, one row per item; a header without items keeps one
+    row, from a branch of its own, so the join is an inner one and splits on either
+    side."""
+    inner = head.where("n_items IS NOT NULL").withColumnRenamed("id", "order_id").join(placed, ["order_id", "piece"]).withColumnRenamed("order_id", "id")
+    none = head.where("n_items IS NULL").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in placed.schema if f.name not in ("order_id", "piece")])
+    return inner.select(*columns).unionByName(none.select(*columns))
+
+
+def orders_with_items(orders: DataFrame, items: DataFrame, limit: int = PIECE) -> DataFrame:
+    """Each order with its items (an order without items keeps one row)."""
+    head, placed = _pieces(orders, items, limit)
+    return _flat(head, placed, [*orders.columns, *(c for c in items.columns if c != "order_id")])
+
+
+def order_view(orders: DataFrame, items: DataFrame, limit: int = PIECE) -> DataFrame:
+    """Order header with items (each with its subtotal) and the order total, an array
+    per piece: an order of more than ``limit`` items has a row for each of its
+    ``n_pieces`` pieces, every one with the whole order's total."""
+    head, placed = _pieces(orders, items, limit)
+    arrays = placed.select("order_id", "piece", F.struct(
         "product_id", "sku", "quantity", "unit_price",
         (F.col("unit_price") * F.col("quantity")).cast("decimal(18,2)").alias("subtotal")).alias("item"))
-    agg = it.groupBy("order_id").agg(
-        F.array_sort(F.collect_list("item")).alias("items"),
-        F.sum("item.subtotal").cast("decimal(18,2)").alias("total"))
-    return (orders.join(agg, orders["id"] == agg["order_id"], "left").drop("order_id")
-            .withColumn("items", F.coalesce("items", F.array().cast(agg.schema["items"].dataType)))
-            .withColumn("total", F.coalesce("total", F.lit(0).cast("decimal(18,2)"))))
+    arrays = arrays.groupBy("order_id", "piece").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    kind = arrays.schema["items"].dataType
+    return (head.withColumnRenamed("id", "order_id").join(arrays, ["order_id", "piece"], "left").withColumnRenamed("order_id", "id")
+            .select(*orders.columns, F.coalesce("items", F.array().cast(kind)).alias("items"), "total", "piece", "n_pieces"))
 
 
-def order_view_flat(orders: DataFrame, items: DataFrame) -> DataFrame:
+def order_view_flat(orders: DataFrame, items: DataFrame, limit: int = PIECE) -> DataFrame:
     """Flattened order view: one row per item with subtotal and the order total."""
-    tot = order_totals(items)
-    li = items.withColumn("subtotal", (F.col("unit_price") * F.col("quantity")).cast("decimal(18,2)"))
-    return (orders.join(li, orders["id"] == li["order_id"], "left").drop("order_id")
-            .join(tot, orders["id"] == tot["order_id"], "left").drop("order_id")
-            .withColumn("total", F.coalesce("total", F.lit(0).cast("decimal(18,2)"))))
+    head, placed = _pieces(orders, items, limit)
+    placed = placed.withColumn("subtotal", (F.col("unit_price") * F.col("quantity")).cast("decimal(18,2)"))
+    return _flat(head, placed, [*orders.columns, *(c for c in placed.columns if c not in ("order_id", "piece")), "total"])
 
 
 # ------------------------------------------------------------------ J2, O2

@@ -393,7 +393,9 @@ def q_jobs_by_status(spark, base):
 
 @query("terminal_jobs")
 def q_terminal_jobs(spark, base):
-    return _dbl(RD.terminal_jobs(jobs_table(spark, base)).select(*_JOB_COLS), "mae")
+    # jobs of which some have lost their status or hold another one
+    jobs = FX.with_faults(jobs_table(spark, base).select(*_JOB_COLS), "forecast_jobs")
+    return _dbl(RD.terminal_jobs(jobs), "mae", "product_id", "horizon_days", "version")
 
 
 @query("latest_forecast")
@@ -484,8 +486,9 @@ def q_admit_new_products(spark, base):
 
 @query("orphan_children")
 def q_orphan_children(spark, base):
-    return _dbl(RD.orphan_children(FX.order_items(spark, base), FX.orders(spark, base), "order_id"),
-                "unit_price")
+    # items of which some name an order that is not there, or none
+    items = FX.with_faults(FX.order_items(spark, base), "order_items")
+    return _dbl(RD.orphan_children(items, FX.orders(spark, base), "order_id"), "unit_price", "order_id", "product_id", "quantity")
 
 
 @query("delete_cascade")
@@ -518,6 +521,28 @@ def q_src_product_events(spark, base):
     return _dbl(ev.withColumn("occurredAt", F.col("occurredAt").cast("timestamp_ntz")), "price", "stockDelta")
 
 
+def damaged_records(spark, base) -> DataFrame:
+    """Product event records of which some are cut off, some hold a text where a number
+    belongs and some have no value (by product)."""
+    rec, kind = EV.product_event_records(product_events(spark, base)).select("key", "value"), F.col("key").cast("bigint") % 11
+    value = (F.when(kind == 3, F.expr("substring(value, 1, length(value) div 2)"))
+             .when(kind == 4, F.regexp_replace("value", '"stockQuantity":[0-9]+', '"stockQuantity":"many"'))
+             .when(kind == 5, F.lit(None).cast("string")).otherwise(F.col("value")))
+    return rec.withColumn("value", value)
+
+
+@query("rejected_records")
+def q_rejected_records(spark, base):
+    """Per product the records that parse and those that are rejected."""
+    return _parsed_and_rejected(*EV.parse_records(damaged_records(spark, base), "product.events"))
+
+
+def _parsed_and_rejected(good: DataFrame, bad: DataFrame) -> DataFrame:
+    one = lambda k, df, key: df.select(F.col(key).cast("bigint").alias("product_id"), F.lit(k).alias("kind"))
+    rows = one("parsed", good, "productId").unionByName(one("rejected", bad, "key"))
+    return rows.groupBy("product_id").agg(F.count_if(F.col("kind") == "parsed").alias("n_parsed"), F.count_if(F.col("kind") == "rejected").alias("n_rejected"))
+
+
 @query("downward_adjustments")
 def q_downward_adjustments(spark, base):
     return _dbl(AL.downward_adjustments(product_events(spark, base)).drop("_order_ts", "_order_seq"), "price")
@@ -561,7 +586,7 @@ def order_events(spark, base) -> DataFrame:
     # the items' array is built once per order; the steps multiply it by at most three
     return v.withColumn("s", F.explode(steps)).select(
         F.col("s.eventType").alias("eventType"), F.col("id").alias("orderId"), F.col("customer_id").alias("customerId"),
-        items.alias("items"), "total", F.col("s.status").alias("status"), F.col("updated_at").alias("occurredAt"),
+        items.alias("items"), "total", F.col("s.status").alias("status"), F.col("updated_at").alias("occurredAt"), "piece", "n_pieces",
         F.col("updated_at").alias("_order_ts"), F.col("s.step").cast("bigint").alias("_order_seq"))
 
 
@@ -681,7 +706,9 @@ def q_validate_stock_deltas(spark, base):
 
 @query("validate_orders")
 def q_validate_orders(spark, base):
-    return VD.validate_orders(FX.orders(spark, base), FX.order_items(spark, base)) \
+    # orders and items of which some are broken
+    orders, items = (FX.with_faults(df, t) for df, t in ((FX.orders(spark, base), "orders"), (FX.order_items(spark, base), "order_items")))
+    return VD.validate_orders(orders, items).withColumn("id", F.col("id").cast("double")) \
         .select("id", "n_items", "n_bad_items", "accepted", "errors")
 
 
@@ -886,6 +913,17 @@ def q_stream_daily_demand(spark, base):
     return SJ.daily_demand_total(spark.read.parquet(f"{run}/out"))
 
 
+@query("stream_rejected_records")
+def q_stream_rejected_records(spark, base):
+    """The same from a topic that is read as a stream, several files a micro-batch."""
+    run = SJ.scratch(spark, "rejected")
+    damaged_records(spark, base).repartition(6, "key").write.option("ignoreNullFields", "false").json(f"{run}/topic")
+    src = EV.keyed_records(spark, f"{run}/topic", stream=True, max_files_per_trigger=2)
+    sink = SJ.rejecting_sink("product.events", lambda good, k: SJ.write_batch(good, f"{run}/good", k), f"{run}/bad")
+    SJ.run_available_now(src, f"{run}/_checkpoint", sink=sink)
+    return _parsed_and_rejected(spark.read.parquet(f"{run}/good"), spark.read.parquet(f"{run}/bad"))
+
+
 @query("stream_forecast_refresh")
 def q_stream_forecast_refresh(spark, base):
     """T7 on A7: models refreshed by every micro-batch of items, whatever its days;

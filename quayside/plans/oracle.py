@@ -441,6 +441,17 @@ points_all AS (
          CAST(greatest(upper_bound, 0.0::DOUBLE) AS DECIMAL(12,4))
   FROM it_pts)"""
 
+def _faulty(table: str, source: str, columns: str) -> str:
+    """Rows of a model table, broken in place where the faults say so."""
+    _, number, faults = FAULTS[table]
+    repl = []
+    for c in dict.fromkeys(c for c, _ in faults):
+        own = "CAST(product_id AS VARCHAR)" if (table, c) == ("alerts", "product_id") else c
+        cases = " ".join(f"WHEN {number} % {FAULT_MODULUS} = {k} THEN {v}" for k, (x, v) in enumerate(faults) if x == c)
+        repl.append(f"CASE {cases} ELSE {own} END AS {c}")
+    return f"bad_{table} AS (SELECT * REPLACE ({', '.join(repl)}) FROM (SELECT {columns} FROM {source}))"
+
+
 STORE = [PRODUCTS, ORDERS_M, ITEMS, HIST, CHECKS, VALID, *FIT, *POINTS, TOTALS, JOBS, CONF_ITEMS, SEEDS,
          *ITEM_JOBS, JOBS_ALL, POINTS_ALL]
 JOB_COLS = ("id, product_id, sku, horizon_days, status, model_used, CAST(mae AS DOUBLE) AS mae, "
@@ -461,7 +472,10 @@ sql("orders_by_status", with_(ORDERS_M) + "SELECT * FROM orders_m WHERE status =
 sql("jobs_by_product", with_(*STORE) + f"""
 SELECT {JOB_COLS} FROM jobs_all WHERE product_id IN (SELECT product_id FROM products WHERE category = 'PROMO')""")
 sql("jobs_by_status", with_(*STORE) + f"SELECT {JOB_COLS} FROM jobs_all WHERE status = 'FAILED'")
-sql("terminal_jobs", with_(*STORE) + f"SELECT {JOB_COLS} FROM jobs_all WHERE status IN ('COMPLETED', 'FAILED')")
+BAD_JOBS = _faulty("forecast_jobs", "jobs_all", "id, product_id, sku, horizon_days, status, model_used, mae, error_message, created_at, updated_at, version")
+sql("terminal_jobs", with_(*STORE, BAD_JOBS) + f"""
+SELECT * REPLACE (CAST(product_id AS DOUBLE) AS product_id, CAST(horizon_days AS DOUBLE) AS horizon_days, CAST(version AS DOUBLE) AS version)
+FROM (SELECT {JOB_COLS} FROM bad_forecast_jobs WHERE status IN ('COMPLETED', 'FAILED'))""")
 sql("latest_forecast", with_(*STORE) + f"""
 SELECT {JOB_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY updated_at DESC, id) AS rn
@@ -527,9 +541,11 @@ FROM (SELECT i.*, i.sku IN (SELECT sku FROM products) AS stored,
              row_number() OVER (PARTITION BY i.sku ORDER BY i.created_at, i.product_id) AS rn
       FROM incoming i)
 WHERE stored OR rn >= 1""")
-sql("orphan_children", with_(ORDERS_M, ITEMS) + """
-SELECT order_id, product_id, sku, quantity, CAST(unit_price AS DOUBLE) AS unit_price
-FROM items WHERE order_id NOT IN (SELECT id FROM orders_m)""")
+BAD_ITEMS = _faulty("order_items", "items", "*")
+sql("orphan_children", with_(ORDERS_M, ITEMS, BAD_ITEMS) + """
+SELECT CAST(order_id AS DOUBLE) AS order_id, CAST(product_id AS DOUBLE) AS product_id, sku, CAST(quantity AS DOUBLE) AS quantity,
+       CAST(unit_price AS DOUBLE) AS unit_price
+FROM bad_order_items i WHERE NOT EXISTS (SELECT 1 FROM orders_m o WHERE o.id = i.order_id)""")
 sql("delete_cascade", with_(ORDERS_M, ITEMS) + """,
 req AS (
   SELECT o_orderkey AS id FROM orders
@@ -717,20 +733,25 @@ SELECT event_id, event_type <> 'error' AS accepted,
        CASE WHEN event_type = 'error' THEN 'delta: delta is required' ELSE '' END AS errors
 FROM events""")
 
-sql("validate_orders", with_(ORDERS_M, ITEMS) + """
-, per AS (
-  SELECT order_id, count(*) AS n_items,
-         count(*) FILTER (WHERE NOT (product_id IS NOT NULL AND sku IS NOT NULL AND trim(sku) <> ''
-                                     AND quantity >= 1 AND unit_price IS NOT NULL AND unit_price >= 0.01))
-           AS n_bad_items
-  FROM items GROUP BY order_id),
+sql("validate_orders", with_(ORDERS_M, ITEMS, _faulty("orders", "orders_m", "*"), BAD_ITEMS) + """,
+flags AS (
+  SELECT order_id, product_id IS NULL AS a, coalesce(trim(sku), '') = '' AS b, coalesce(quantity < 1, false) AS c,
+         unit_price IS NULL AS d, coalesce(unit_price < 0.01, false) AS e FROM bad_order_items),
+per AS (
+  SELECT order_id, count(*) AS n_items, count(*) FILTER (WHERE a OR b OR c OR d OR e) AS n_bad_items, count(*) FILTER (WHERE a) AS a,
+         count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c, count(*) FILTER (WHERE d) AS d, count(*) FILTER (WHERE e) AS e
+  FROM flags GROUP BY order_id),
 v AS (
   SELECT o.id, coalesce(p.n_items, 0) AS n_items, coalesce(p.n_bad_items, 0) AS n_bad_items,
          concat_ws(', ', CASE WHEN o.customer_id IS NULL THEN 'customerId: must not be null' END,
                    CASE WHEN coalesce(p.n_items, 0) = 0 THEN 'items: Order must have at least one item' END,
-                   CASE WHEN coalesce(p.n_bad_items, 0) > 0 THEN 'items: invalid items' END) AS errors
-  FROM orders_m o LEFT JOIN per p ON p.order_id = o.id)
-SELECT id, n_items, n_bad_items, errors = '' AS accepted, errors FROM v""".replace("\n\n, per", ",\nper"))
+                   CASE WHEN a > 0 THEN printf('items.productId: must not be null (%d)', a) END,
+                   CASE WHEN b > 0 THEN printf('items.sku: must not be blank (%d)', b) END,
+                   CASE WHEN c > 0 THEN printf('items.quantity: must be greater than or equal to 1 (%d)', c) END,
+                   CASE WHEN d > 0 THEN printf('items.unitPrice: must not be null (%d)', d) END,
+                   CASE WHEN e > 0 THEN printf('items.unitPrice: must be greater than or equal to 0.01 (%d)', e) END) AS errors
+  FROM bad_orders o LEFT JOIN per p ON p.order_id = o.id)
+SELECT CAST(id AS DOUBLE) AS id, n_items, n_bad_items, errors = '' AS accepted, errors FROM v""")
 
 sql("validate_forecast_requests", with_(HIST) + """
 , r AS (SELECT p_partkey AS product_id, printf('SKU-%06d', p_partkey) AS sku, p_size * 8 AS horizon_days FROM part),
@@ -755,17 +776,6 @@ FROM points_all""")
 
 
 
-def _faulty(table: str, source: str, columns: str) -> str:
-    """Rows of a model table, broken in place where the faults say so."""
-    _, number, faults = FAULTS[table]
-    repl = []
-    for c in dict.fromkeys(c for c, _ in faults):
-        own = "CAST(product_id AS VARCHAR)" if (table, c) == ("alerts", "product_id") else c
-        cases = " ".join(f"WHEN {number} % {FAULT_MODULUS} = {k} THEN {v}" for k, (x, v) in enumerate(faults) if x == c)
-        repl.append(f"CASE {cases} ELSE {own} END AS {c}")
-    return f"bad_{table} AS (SELECT * REPLACE ({', '.join(repl)}) FROM (SELECT {columns} FROM {source}))"
-
-
 def _audit() -> str:
     """Every rule by a query of its own."""
     def counts(table, rules):
@@ -807,8 +817,7 @@ def _audit() -> str:
 
 sql("audit_constraints", with_(
     *dict.fromkeys([*STORE, *FULL]), _faulty("products", "products", "*"), _faulty("orders", "orders_m", "*"), _faulty("order_items", "items", "*"),
-    _faulty("forecast_jobs", "jobs_all", "id, product_id, sku, horizon_days, status, model_used, mae, error_message, created_at, updated_at, version"),
-    _faulty("forecast_points", "points_all", "*"), _faulty("alerts", "alerts_all", "*")) + _audit())
+    BAD_JOBS, _faulty("forecast_points", "points_all", "*"), _faulty("alerts", "alerts_all", "*")) + _audit())
 
 # ------------------------------------------------------------ writes
 sql("upsert_products", with_(PRODUCTS, INCOMING) + """
@@ -895,6 +904,11 @@ ORACLE["stream_stock_ledger"] = ORACLE["stock_ledger"]
 ORACLE["stream_low_stock"] = ORACLE["alerts_low_stock"]
 ORACLE["stream_forecast_alerts"] = ORACLE["all_alerts"]
 ORACLE["stream_forecast_alerts_stateful"] = ORACLE["all_alerts"]
+sql("rejected_records", with_(*PE) + """
+SELECT productId AS product_id, count(*) FILTER (WHERE productId % 11 NOT IN (3, 4, 5)) AS n_parsed,
+       count(*) FILTER (WHERE productId % 11 IN (3, 4, 5)) AS n_rejected
+FROM pevents GROUP BY productId""")
+ORACLE["stream_rejected_records"] = ORACLE["rejected_records"]
 ORACLE["stream_daily_demand"] = ORACLE["daily_demand"]
 ORACLE["stream_forecast_refresh"] = ORACLE["forecast_points"]
 ORACLE["upsert_products_in_buckets"] = ORACLE["upsert_products"]

@@ -22,6 +22,7 @@ from ..operators import alerts as AL
 from ..operators import ledger as LG
 from ..operators import notify as NT
 from ..session import ensure_checkpoint_dir
+from ..sources import events as EV
 from .stock_index import LATEST, StockIndex, path_exists
 
 
@@ -207,6 +208,18 @@ def order_forecast_sink(models_path: str, jobs_path: str, points_path: str, fit:
     return write
 
 
+# ------------------------------------------------------------------ S1..S3
+def rejecting_sink(topic: str, sink: Callable[[DataFrame, int], None], rejected_path: str):
+    """foreachBatch writer of raw keyed records: those that parse go to ``sink``, the
+    others to a table of rejected records, a folder per batch. No record is lost in
+    between: as many come in as are parsed and rejected."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, bad = EV.parse_records(batch, topic)
+        write_batch(bad, rejected_path, batch_id)
+        sink(good, batch_id)
+    return write
+
+
 # ------------------------------------------------------------------ T9
 def dedup_sink(path: str, keys: Sequence[str], event_time: str = "ts"):
     """foreachBatch writer that keeps the first delivery of every event, however

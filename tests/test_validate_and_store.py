@@ -45,7 +45,13 @@ def test_order_rules(spark):
     got = {r.id: (r.accepted, r.errors) for r in VD.validate_orders(orders, items).collect()}
     assert got[1] == (True, "")
     assert got[2] == (False, "customerId: must not be null, items: Order must have at least one item")
-    assert got[3] == (False, "items: invalid items")
+    assert got[3] == (False, "items.quantity: must be greater than or equal to 1 (1)")
+    items = spark.createDataFrame([(1, None, " ", 0, None), (1, 10, "A", 1, Decimal("0.00")), (1, 10, "A", 1, Decimal("1.00"))],
+                                  "order_id long, product_id long, sku string, quantity int, unit_price decimal(12,2)")
+    (r,) = VD.validate_orders(orders.where("id = 1"), items).collect()
+    assert (r.n_items, r.n_bad_items, r.accepted) == (3, 2, False)
+    assert r.errors == ("items.productId: must not be null (1), items.sku: must not be blank (1), items.quantity: must be greater than or equal to 1 (1), "
+                        "items.unitPrice: must not be null (1), items.unitPrice: must be greater than or equal to 0.01 (1)")
 
 
 def test_admission_and_orphans(spark):
