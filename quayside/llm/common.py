@@ -32,7 +32,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     executor costs a re-read instead of a replay."""
     path = shared_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Remove the folders of written tables that nothing will read again: whatever
+    was made of them must be written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(col: Column) -> Column:

@@ -14,17 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import written
-
-
-def _hand_over(links: DataFrame, keep_self: bool) -> DataFrame:
-    """For links (u, v): hand every v, and u if ``keep_self``, to min(v, u)."""
-    least = written(links.groupBy("u").agg(F.min("v").alias("v"))
-                    .select("u", F.least("u", "v").alias("m")), "least")
-    handed = links.join(least, "u").select(F.col("v").alias("x"), "m")
-    if keep_self:
-        handed = handed.unionByName(least.select(F.col("u").alias("x"), "m"))
-    return handed.where("x <> m")
+from quayside.llm.common import done_with, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,12 +25,22 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(
             now.select(F.col("m").alias("u"), F.col("x").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("x"), "m").distinct())
-        large = written(large, "large-star")
-        now = written(_hand_over(large.select(F.col("x").alias("u"), F.col("m").alias("v")), True).distinct(), "small-star")
+        least = written(_least(both), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("x"), "m").distinct(), "large-star")
+        done_with(now, least)
+        links = large.select(F.col("x").alias("u"), F.col("m").alias("v"))
+        least = written(_least(links), "least")
+        # every v, and u itself, to the smallest node that u knows
+        handed = links.join(least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
+        now = written(handed.where("x <> m").distinct(), "small-star")
+        done_with(large, least)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "m").cast("decimal(38,0)"))).first()  # one row
         if after == state:
             return now.select(F.col("x").alias("node"), F.col("m").alias("component")).unionByName(
                 now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
         state = after
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """For links (u, v): the smallest node that u knows, itself included."""
+    return links.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))

@@ -11,8 +11,10 @@ of distinct ``size``-word shingles (``sketches.shingle_set``).
    that depends on a part's content alone they share one of their first d + 1
    parts. The order is by rarity (the counts of step 1): text that thousands of
    documents share comes last and mostly drops out.
-3. Part keys met by more than one distinct set ("live") make candidates. Copies
-   fold into one representative here, by partial aggregation.
+3. Part keys met by more than one distinct set make candidates. Copies fold into one
+   representative: among the documents that a task reads together before anything is
+   shuffled, then where a key's rows meet. That is the only shuffle of all keys; a
+   key's rows go by in order and only keys with two sets or more are written.
 4. Per live key, each member is paired with one hub, the member with most live
    keys. Pairs must pass the size ratio and the Hamming bound of the 512-bit
    sketches, then the exact intersection of the two shingle sets. Components of
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import written
+from quayside.llm.common import done_with, written
 from quayside.llm.components import components
 from quayside.llm.sketches import Bands, dense_sketch, part_keys, rarest, shingle_sets
 
@@ -104,25 +106,55 @@ def _cell_counts(described: DataFrame) -> np.ndarray:
 
 
 def sketch_keys(texts: DataFrame, size: int, bands: Bands, counts) -> DataFrame:
-    """(key, doc_id, f1): the rarest d + 1 part keys of each document."""
+    """(key, doc_id, f1): the rarest d + 1 part keys of each document; of equal sets
+    among the documents read together, only under the smallest id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = counts.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids, keys, first, n = part.column(0).to_numpy(zero_copy_only=False), [np.empty(0, np.uint64)], [], []
-                for s in shingle_sets(part.column(1).to_pylist(), size):
+                part, classes = b.slice(at, 512), {}
+                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size)):
+                    f1 = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
+                    classes[f1] = (min(doc, classes[f1][0]) if f1 in classes else doc, s)
+                keys, n = [np.empty(0, np.uint64)], []
+                for _, s in classes.values():
                     own = [rarest(part_keys(s, band, parts), cells, bands.differ(len(s)) + 1) for band, parts in bands.of(len(s))]
                     keys += own
                     n.append(sum(map(len, own)))
-                    first.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                 yield pa.RecordBatch.from_pydict({
-                    "key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(ids.astype(np.int64), n),
-                    "f1": np.repeat(np.array(first, np.int64), n)})
+                    "key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(np.array([d for d, _ in classes.values()], np.int64), n),
+                    "f1": np.repeat(np.array(list(classes), np.int64), n)})
 
     return texts.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, f1 long")
 
 
+def meeting(keyed: DataFrame) -> DataFrame:
+    """(key, rep) of the keys that two distinct sets or more hold, a row per set with
+    its smallest id. One shuffle by key; a partition's rows go by in (key, f1) order,
+    with one (key, f1) held back, so nothing grows with a key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, had = np.empty((3, 0), np.int64), False  # the last (key, f1, id) and whether its key had a set before it
+
+        def rows(keys: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], names=["key", "rep"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, f1, doc = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (f1[1:] != f1[:-1])]))
+            key, f1, doc = key[start], f1[start], np.minimum.reduceat(doc, start)
+            same = key[1:] == key[:-1]
+            met = np.concatenate([[had], same]) | np.concatenate([same, [False]])
+            yield rows(key[:-1][met[:-1]], doc[:-1][met[:-1]])
+            held, had = np.array([key[-1:], f1[-1:], doc[-1:]]), bool(met[-1])
+        if had:
+            yield rows(held[0], held[2])
+
+    return (keyed.select("key", "f1", "doc_id").repartition("key").sortWithinPartitions("key", "f1")
+            .mapInArrow(run, "key long, rep long"))
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Size ratio and Hamming bound: necessary for a link, cheap to test."""
     col = lambda side, x: F.col(f"{side}.{x}")
@@ -157,7 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "linked")
+    out = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "linked")
+    done_with(ids, sets)
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -169,11 +203,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = described.where("slice IS NULL").drop("slice", "cells")
     counts = spark.sparkContext.broadcast(_cell_counts(described))
 
-    keyed = written(sketch_keys(texts, size, bands, counts), "keyed")
-    live = written(keyed.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"))
-                   .where("lo <> hi").select("key"), "live")
-    met = written(keyed.join(live, "key", "left_semi"), "met")
-    members = written(met.groupBy("key", "f1").agg(F.min("doc_id").alias("rep")).select("key", "rep"), "members")
+    members = written(meeting(sketch_keys(texts, size, bands, counts)), "members")
 
     scores = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("score")), "scores")
     hubs = written(members.join(scores, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"))).alias("h"))
@@ -183,8 +213,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = written(sets.join(scores.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", *WORDS), "nodes")
     near = (star.join(nodes.alias("k"), F.col("a") == F.col("k.rep")).join(nodes.alias("h"), F.col("b") == F.col("h.rep"))
             .where(_may_link("k", "h", percent)).select("a", "b").distinct())
-    first = verified(written(near, "near"), texts, size, percent)
+    near = written(near, "near")
+    done_with(hubs, scores)
+    first = verified(near, texts, size, percent)
     groups = components(first)
+    done_with(near, first)
 
     placed = written(members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
     mixed = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -193,6 +226,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = (rest.alias("k").join(rest.alias("h"), (F.col("k.key") == F.col("h.key")) & (F.col("k.component") < F.col("h.component")) & _may_link("k", "h", percent))
               .select(F.least("k.rep", "h.rep").alias("a"), F.greatest("k.rep", "h.rep").alias("b")).distinct())
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
+    done_with(placed, mixed, members, rest, star, nodes)
     second = verified(across, texts, size, percent)
     settled = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = written(components(settled.unionByName(second)), "components")
