@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import done_with, written
 from quayside.llm.components import components
-from quayside.llm.sketches import Bands, dense_sketch, part_keys, rarest, shingle_sets
+from quayside.llm.sketches import Bands, dense_sketch, part_keys, rarest, shingle_sets, sketches_apart, wide_sketch
 
 CELLS = 1 << 20  # counts of part keys; the memory of the broadcast is 4 bytes each
 SLICES = 64
@@ -172,11 +172,22 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["doc_id", "elements"])
+            sets = shingle_sets(b.column(1).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_sketch(x) for x in sets], pa.binary()),
+                pa.array([x.tobytes() for x in sets], pa.large_binary()).cast(pa.binary())], names=["doc_id", "n", "wide", "elements"])
 
     sets = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-                   .mapInArrow(to_sets, "doc_id long, elements binary"), "sets")
+                   .mapInArrow(to_sets, "doc_id long, n long, wide binary, elements binary"), "sets")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, x, nb, y = (c.to_pylist() for c in b.columns[2:])
+            good = [(100 + percent) * sketches_apart(p, q) <= (100 - percent) * (m + n) for m, p, n, q in zip(na, x, nb, y)]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,10 +198,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    out = written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long").distinct(), "linked")
-    done_with(ids, sets)
+    # wide sketches first: most pairs of large sets that do not link go before the sets travel
+    some = written(pairs.join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b")
+                   .select("a", "b", "a_n", "a_wide", "b_n", "b_wide").mapInArrow(hopeful, "a long, b long").distinct(), "hopeful")
+    out = written(some.join(side("a", "elements"), "a").join(side("b", "elements"), "b")
+                  .select("a", "b", "a_elements", "b_elements").mapInArrow(linked, "a long, b long").distinct(), "linked")
+    done_with(ids, sets, some)
     return out
 
 

@@ -191,3 +191,20 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     alone = {x for x in parent if all(a == b for a, b in links if x in (a, b))}
     assert got == {x: find(x) for x in parent if x not in alone}
+
+
+def test_wide_sketches_bound_the_symmetric_difference():
+    import numpy as np
+    rng = np.random.default_rng(9)
+    for n in (1, 100, 129, 1000, 5000):
+        for other in (n, int(n * 1.17) + 1):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.concatenate([x[rng.random(n) < 0.9], rng.integers(0, 1 << 63, max(0, other - n) + n // 10, dtype=np.uint64)])
+            x, y = np.unique(x), np.unique(y)
+            apart = len(np.setxor1d(x, y))
+            got = sketches.sketches_apart(sketches.wide_sketch(x), sketches.wide_sketch(y))
+            assert got <= apart and got % 2 == apart % 2 and got == sketches.sketches_apart(sketches.wide_sketch(y), sketches.wide_sketch(x))
+            assert len(sketches.wide_sketch(x)) >= len(x) / 2 and sketches.sketches_apart(sketches.wide_sketch(x), sketches.wide_sketch(x)) == 0
+    # large unrelated sets are far apart, which 512 bits could not tell
+    a, b = (np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) for _ in "ab")
+    assert sketches.sketches_apart(sketches.wide_sketch(a), sketches.wide_sketch(b)) > 3000
