@@ -59,6 +59,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Few documents at a time, so a task holds the sets of these only."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def describe(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Per document doc_id, n, f1, f2 (digest), s0..s7 (sketch); and rows with
     ``slice`` and ``cells``, the counts of part keys."""
@@ -67,7 +74,7 @@ def describe(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
-        for b in batches:
+        for b in sliced(batches):
             n, marks, keys = [], [], [np.empty(0, np.uint64)]
             for s in shingle_sets(b.column(1).to_pylist(), size):
                 n.append(len(s))
@@ -110,20 +117,19 @@ def sketch_keys(texts: DataFrame, size: int, bands: Bands, counts) -> DataFrame:
     among the documents read together, only under the smallest id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = counts.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, classes = b.slice(at, 512), {}
-                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size)):
-                    f1 = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
-                    classes[f1] = (min(doc, classes[f1][0]) if f1 in classes else doc, s)
-                keys, n = [np.empty(0, np.uint64)], []
-                for _, s in classes.values():
-                    own = [rarest(part_keys(s, band, parts), cells, bands.differ(len(s)) + 1) for band, parts in bands.of(len(s))]
-                    keys += own
-                    n.append(sum(map(len, own)))
-                yield pa.RecordBatch.from_pydict({
-                    "key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(np.array([d for d, _ in classes.values()], np.int64), n),
-                    "f1": np.repeat(np.array(list(classes), np.int64), n)})
+        for b in sliced(batches):
+            classes: dict[int, tuple[int, np.ndarray]] = {}
+            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), size)):
+                f1 = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
+                classes[f1] = (min(doc, classes[f1][0]) if f1 in classes else doc, s)
+            keys, n = [np.empty(0, np.uint64)], []
+            for _, s in classes.values():
+                own = [rarest(part_keys(s, band, parts), cells, bands.differ(len(s)) + 1) for band, parts in bands.of(len(s))]
+                keys += own
+                n.append(sum(map(len, own)))
+            yield pa.RecordBatch.from_pydict({
+                "key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(np.array([d for d, _ in classes.values()], np.int64), n),
+                "f1": np.repeat(np.array(list(classes), np.int64), n)})
 
     return texts.where("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, f1 long")
 
@@ -171,7 +177,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     few = ids.count() <= BROADCAST_IDS
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b.column(1).to_pylist(), size)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_sketch(x) for x in sets], pa.binary()),
