@@ -217,18 +217,38 @@ def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT
     m = model.select("*", F.explode(F.sequence(F.lit(1), h.cast("int"))).alias("step"))
     out = m.select(*keys, *carry, F.date_add(F.col("last_ds"), F.col("step")).alias("date"),
                    _predicted(F.col("step")).alias("predicted_quantity"))
-    std = F.greatest(F.lit(C.STD_FLOOR), F.abs(F.col("predicted_quantity")) * F.lit(C.STD_FRACTION))
-    pq = F.col("predicted_quantity")
-    out = out.select(
-        "*",
-        (F.greatest(F.lit(0.0), round_even(pq - F.lit(C.Z_95) * std, 2)) + F.lit(0.0)).alias("lower_bound"),
-        (round_even(pq + F.lit(C.Z_95) * std, 2) + F.lit(0.0)).alias("upper_bound"),
-    )
+    lower, upper = _bounds(F.col("predicted_quantity"))
+    out = out.select("*", lower.alias("lower_bound"), upper.alias("upper_bound"))
     if clamp_ingest:
         out = clamp_negative(out)
     return out
 
 
+def _bounds(predicted: Column) -> tuple[Column, Column]:
+    std = F.greatest(F.lit(C.STD_FLOOR), F.abs(predicted) * F.lit(C.STD_FRACTION))
+    return (F.greatest(F.lit(0.0), round_even(predicted - F.lit(C.Z_95) * std, 2)) + F.lit(0.0),
+            round_even(predicted + F.lit(C.Z_95) * std, 2) + F.lit(0.0))
+
+
+def responses(requests: DataFrame, history: DataFrame, keys: Keys, horizon: str = "horizon_days") -> DataFrame:
+    """What a forecast request is answered with, for requests that the model takes:
+    the request's columns, ``model_used``, ``forecast`` (an array of at most 365 days,
+    made inside the row), ``mae`` and ``confidence_interval`` (the level of the bounds)."""
+    r = requests.withColumn(horizon, F.coalesce(F.col(horizon), F.lit(C.DEFAULT_HORIZON))).join(
+        fit(history, keys, min_points=C.MIN_HISTORY), list(keys))
+    r = r.where(F.col(horizon).between(C.MIN_HORIZON, C.MAX_HORIZON))
+
+    def day(step: Column) -> Column:
+        pq = _predicted(step)
+        lower, upper = _bounds(pq)
+        return F.struct(F.date_add(F.col("last_ds"), step).alias("date"), pq.alias("predicted_quantity"), lower.alias("lower_bound"),
+                        upper.alias("upper_bound"))
+
+    return r.select(*requests.columns, F.lit(C.MODEL_USED).alias("model_used"),
+                    F.transform(F.sequence(F.lit(1), F.col(horizon).cast("int")), day).alias("forecast"), "mae",
+                    F.lit(C.CONFIDENCE).alias("confidence_interval"))
+
+
 def clamp_negative(pts: DataFrame) -> DataFrame:
     """predicted, lower and upper each max(value, 0) when a result is taken in."""
     return pts.withColumns({c: F.greatest(F.col(c), F.lit(0.0))

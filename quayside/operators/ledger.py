@@ -15,8 +15,8 @@ It is still split across tasks, hot products included, as a three-phase scan:
    fold over one row per chunk gives every chunk's start window; each chunk
    is then summarised, in parallel, by its exact transfer function on that
    window only (``end = start + shift(start)``; a table of distinct balances
-   for narrow windows, sorted pieces for wide ones; one piece when the window
-   lies above the chunk's deficit). A second fold over the summaries gives
+   for narrow windows; for wide ones sorted pieces, part by part under a budget
+   of pieces; one piece when the window lies above the chunk's deficit). A second fold over the summaries gives
    each chunk's exact opening balance. Without the window a draining product
    would need one piece per delta.
 3. Chunks are replayed in parallel from their opening balances: a vectorised
@@ -38,51 +38,13 @@ from ..session import ensure_checkpoint_dir
 
 # start windows up to this width are tabulated; wider ones use pieces
 TABULATE_MAX_WIDTH = 4096
-
-
-def _transfer(deltas: np.ndarray, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Exact piecewise transfer function of one chunk on start balances [a, b).
-
-    Returns ``(lo, shift)``: for a start balance s with lo[j] <= s < lo[j+1]
-    (the last piece running to ``b``) the chunk ends at s + shift[j]. Only
-    negative deltas can split a piece; the positive ones between them are
-    added in bulk. Starts at or above the chunk's deficit take the plain total.
-    """
-    prefix = np.cumsum(deltas)
-    deficit = int(max(0, -prefix.min())) if len(prefix) else 0
-    total = int(prefix[-1]) if len(prefix) else 0
-    if deficit <= a:
-        return np.array([a], dtype=np.int64), np.array([total], dtype=np.int64)
-    end = np.iinfo(np.int64).max if b is None else b
-    if b is not None and b - a <= TABULATE_MAX_WIDTH:
-        return _transfer_table(deltas, a, b)
-    neg = np.flatnonzero(deltas < 0)
-    gains = np.cumsum(np.where(deltas > 0, deltas, 0))
-    lo = np.array([a], dtype=np.int64)
-    shift = np.array([0], dtype=np.int64)
-    seen = 0                                       # positive total already applied
-    for i in neg.tolist():
-        shift = shift + (int(gains[i]) - seen)     # the positives before this delta
-        seen = int(gains[i])
-        need = -int(deltas[i])
-        hi = np.append(lo[1:], end)
-        split = need - shift                       # first start accepted in each piece
-        whole = split <= lo                        # piece fully accepted
-        part = (split > lo) & (split < hi)         # piece cut in two
-        new_shift = np.where(whole, shift - need, shift)
-        if part.any():
-            idx = np.flatnonzero(part)
-            lo = np.insert(lo, idx + 1, split[idx])
-            new_shift = np.insert(new_shift, idx + 1, shift[idx] - need)
-        shift = new_shift
-        keep = np.ones(len(lo), dtype=bool)        # merge neighbours with equal shift
-        keep[1:] = shift[1:] != shift[:-1]
-        lo, shift = lo[keep], shift[keep]
-    return lo, shift + (int(gains[-1]) - seen)
+# pieces of a transfer function after which a wide window is summarised anew
+PIECES = 64
 
 
 def _transfer_table(deltas: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same function for a narrow window, as a table of the distinct
+    """The exact transfer function of a run on a narrow window [a, b): ``(lo, shift)``,
+    where a start s with lo[j] <= s < lo[j+1] ends at s + shift[j]. A table of the distinct
     balances reached from every start in [a, b). Trajectories that meet stay
     together, so the table shrinks; once one value is left the rest of the
     chunk is a scalar loop."""
@@ -116,6 +78,55 @@ def _transfer_table(deltas: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.
     return starts[keep], shift[keep]
 
 
+def _transfer_some(deltas: list[int], first: int, a: int, b: int, budget: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The transfer function on starts [a, b) of as many deltas from ``first`` on as
+    leave it at most ``budget`` pieces (one delta at least), and where they end. A
+    negative delta that every start can pay moves all pieces by one addition."""
+    lo, shift, moved, low = np.array([a], dtype=np.int64), np.array([0], dtype=np.int64), 0, a
+    for i in range(first, len(deltas)):
+        d = deltas[i]
+        if d >= 0 or low + moved + d >= 0:     # low: the smallest balance, without what all moved by
+            moved += d
+            continue
+        hi = np.append(lo[1:], b)
+        split = -d - moved - shift                 # first start accepted in each piece
+        part = (split > lo) & (split < hi)         # pieces cut in two
+        new = np.where(split <= lo, shift + d, shift)
+        if part.any():
+            at = np.flatnonzero(part)
+            lo = np.insert(lo, at + 1, split[at])
+            new = np.insert(new, at + 1, shift[at] + d)
+        keep = np.ones(len(lo), dtype=bool)        # merge neighbours with equal shift
+        keep[1:] = new[1:] != new[:-1]
+        lo, shift = lo[keep], new[keep]
+        low = int((lo + shift).min())
+        if len(lo) > budget:
+            return lo, shift + moved, i + 1
+    return lo, shift + moved, len(deltas)
+
+
+def _summary(deltas: np.ndarray, a: int, b: int, budget: int = PIECES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A run's transfer function on starts [a, b) as functions of its parts, one after
+    another. A part ends where its pieces go over the budget; the next one is
+    summarised on the balances that the starts have reached there, which are fewer and
+    fewer, until a table holds them. The whole has about as many pieces as deltas,
+    however wide the window, and a fold needs a binary search per part."""
+    parts, i, values = [], 0, deltas.tolist()
+    prefix = np.cumsum(np.append(0, deltas))
+    lowest = np.minimum.accumulate(prefix[::-1])[::-1]  # from each delta on
+    while i < len(values) or not parts:
+        if a + lowest[i] - prefix[i] >= 0:         # every start pays for all that is left
+            parts.append((np.array([a], dtype=np.int64), np.array([prefix[-1] - prefix[i]], dtype=np.int64)))
+            break
+        if b - a <= TABULATE_MAX_WIDTH:
+            parts.append(_transfer_table(deltas[i:], a, b))
+            break
+        lo, shift, i = _transfer_some(values, i, a, b, budget)
+        parts.append((lo, shift))
+        a, b = int((lo + shift).min()), int((np.append(lo[1:], b) + shift).max())
+    return parts
+
+
 def replay(start: int, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Balances after each delta and acceptance flags, from a known start."""
     prefix = np.cumsum(deltas)
@@ -224,9 +235,9 @@ def _summaries(it):
     """Phase C, per chunk run: its exact transfer function on its start window."""
     def rows():
         for k, c, d, (a, w) in _iter_runs(it, ("_a", "_w")):
-            lo, sh = _transfer(d, int(a), int(a) + int(w))
-            yield (k, c, lo.tolist(), sh.tolist())
-    yield from _batched(rows(), ["_k0", "_chunk", "_lo", "_shift"])
+            parts = _summary(d, int(a), int(a) + int(w))
+            yield (k, c, [x for lo, _ in parts for x in lo.tolist()], [x for _, sh in parts for x in sh.tolist()], [len(lo) for lo, _ in parts])
+    yield from _batched(rows(), ["_k0", "_chunk", "_lo", "_shift", "_pieces"])
 
 
 def _fold_starts(it):
@@ -237,15 +248,18 @@ def _fold_starts(it):
     for pdf in it:
         keys, chunks = pdf["_k0"].to_numpy(), pdf["_chunk"].to_numpy()
         starts = np.empty(len(pdf), dtype=np.int64)
-        for i, (lo, sh) in enumerate(zip(pdf["_lo"], pdf["_shift"])):
+        for i, (lo, sh, pieces) in enumerate(zip(pdf["_lo"], pdf["_shift"], pdf["_pieces"])):
+            lo = np.asarray(lo, dtype=np.int64)
             if keys[i] != last_key:
                 # the first chunk's window is [opening, opening + 1)
                 last_key, bal = keys[i], int(lo[0])
             starts[i] = bal
-            j = int(np.searchsorted(np.asarray(lo, dtype=np.int64), bal, side="right")) - 1
-            if j < 0:
-                raise ValueError(f"ledger: balance {bal} below the start window of chunk {chunks[i]}")
-            bal = bal + int(sh[j])
+            at = 0
+            for n in pieces:                       # the parts of the chunk, in order
+                j = int(np.searchsorted(lo[at:at + n], bal, side="right")) - 1
+                if j < 0:
+                    raise ValueError(f"ledger: balance {bal} below the start window of chunk {chunks[i]}")
+                bal, at = bal + int(sh[at + j]), at + n
         yield pd.DataFrame({"_k0": keys, "_chunk": chunks, "_start": starts})
 
 
@@ -329,7 +343,7 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
                      .mapInPandas(_bounds_fold, f"_k0 {ktype}, _chunk int, _a bigint, _w bigint"))
     # phase C: exact transfer function of every chunk on its window (parallel)
     summaries = _attach(chunked, windows).select("_k0", "_chunk", "_delta", "_a", "_w").mapInPandas(
-        _summaries, f"_k0 {ktype}, _chunk int, _lo array<bigint>, _shift array<bigint>")
+        _summaries, f"_k0 {ktype}, _chunk int, _lo array<bigint>, _shift array<bigint>, _pieces array<int>")
     # phase D: exact opening balance of every chunk
     starts = _pinned(summaries.repartition("_k0").sortWithinPartitions("_k0", "_chunk")
                     .mapInPandas(_fold_starts, f"_k0 {ktype}, _chunk int, _start bigint"))

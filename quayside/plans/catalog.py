@@ -5,7 +5,6 @@ returns a DataFrame whose column names match its SQL twin in ``oracle``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,6 @@ from ..operators import forecast as FC
 from ..operators import ledger as LG
 from ..operators import lifecycle as LC
 from ..functions.expr import sku_of, stable_id
-from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +137,14 @@ def several_requests(spark, base) -> DataFrame:
     return p.select("*", F.explode(asked).alias("r")).select("product_id", "sku", "r.*")
 
 
+@query("forecast_responses")
+def q_forecast_responses(spark, base):
+    """The answers to 7-day requests, a row per forecast day."""
+    asked = FX.products(spark, base).select("product_id", "sku", F.lit(7).alias("horizon_days"))
+    r = FC.responses(asked, history(spark, base), ["product_id"])
+    return r.select("product_id", "sku", "model_used", "mae", "confidence_interval", F.explode("forecast").alias("f")).select("*", "f.*").drop("f")
+
+
 @query("forecast_jobs_by_request")
 def q_forecast_jobs_by_request(spark, base):
     jobs, _ = FC.run_jobs(several_requests(spark, base), history(spark, base), ["product_id"],
@@ -764,19 +770,25 @@ def q_upsert_products(spark, base):
     return _dbl(ST.upsert_products(FX.products(spark, base), product_updates(spark, base)), "price")
 
 
+def bucket_table(spark, name: str, stored: DataFrame, key: str) -> BucketTable:
+    """A stored table as version 0 of a bucket table."""
+    t = BucketTable(spark, SJ.scratch(spark, name), stored.schema, key)
+    t.write(stored, 0)
+    return t
+
+
 @query("upsert_products_in_buckets")
 def q_upsert_products_in_buckets(spark, base):
     """The same upsert into a stored bucket table: only the buckets of the incoming
     ids are read and written."""
-    run, stored = f"{ensure_checkpoint_dir(spark).rstrip('/')}/products-{uuid.uuid4().hex[:12]}", FX.products(spark, base)
-    products = BucketTable(spark, run, stored.schema, "product_id")
-    products.write(stored, 0)
-    products.update(1, product_updates(spark, base), ST.upsert_products)
+    products = bucket_table(spark, "products", FX.products(spark, base), "product_id")
+    ST.upsert_products_into(products, product_updates(spark, base), 1)
     return _dbl(products.read(), "price")
 
 
-@query("upsert_orders")
-def q_upsert_orders(spark, base):
+def order_writes(spark, base) -> tuple[DataFrame, DataFrame]:
+    """Confirmed orders shipped a day later, each with an earlier write in the same
+    batch that loses, and new orders; the items of the shipped ones, one more each."""
     orders, items = FX.orders(spark, base), FX.order_items(spark, base)
     changed = orders.where(F.col("status") == "CONFIRMED").select(
         "id", "customer_id", F.lit("SHIPPED").alias("status"), "created_at",
@@ -789,9 +801,24 @@ def q_upsert_orders(spark, base):
     incoming = earlier.unionByName(changed).unionByName(new)
     inc_items = items.join(changed.select(F.col("id").alias("order_id")), "order_id") \
         .withColumn("quantity", F.col("quantity") + 1)
-    o, i = ST.upsert_orders(orders, items, incoming, inc_items)
-    tot = RD.order_totals(i)
-    return _dbl(o.join(tot.withColumnRenamed("order_id", "id"), "id", "left"), "total")
+    return incoming, inc_items
+
+
+def _with_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
+    return _dbl(orders.join(RD.order_totals(items).withColumnRenamed("order_id", "id"), "id", "left"), "total")
+
+
+@query("upsert_orders")
+def q_upsert_orders(spark, base):
+    return _with_totals(*ST.upsert_orders(FX.orders(spark, base), FX.order_items(spark, base), *order_writes(spark, base)))
+
+
+@query("upsert_orders_in_buckets")
+def q_upsert_orders_in_buckets(spark, base):
+    orders = bucket_table(spark, "orders", FX.orders(spark, base), "id")
+    items = bucket_table(spark, "order-items", FX.order_items(spark, base), "order_id")
+    ST.upsert_orders_into(orders, items, *order_writes(spark, base), 1)
+    return _with_totals(orders.read(), items.read())
 
 
 @query("upsert_forecast_jobs")

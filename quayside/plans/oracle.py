@@ -885,6 +885,12 @@ SELECT p.job_id, p.forecast_date,
        CAST(p.lower_bound AS DOUBLE) AS lower_bound, CAST(p.upper_bound AS DOUBLE) AS upper_bound
 FROM points_all p JOIN jobs_all j ON j.id = p.job_id""")
 
+sql("forecast_responses", with_(PRODUCTS, HIST, VALID, *FIT, *POINTS) + """
+SELECT p.product_id, r.sku, 'linear-trend' AS model_used, m.mae, CAST(0.95 AS DOUBLE) AS confidence_interval,
+       p.date, p.predicted_quantity, p.lower_bound, p.upper_bound
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY date) AS i FROM pts) p
+JOIN model m ON m.product_id = p.product_id JOIN products r ON r.product_id = p.product_id WHERE p.i <= 7""")
+
 sql("versioned_update", with_(PRODUCTS) + """
 , u AS (SELECT l_partkey AS product_id, l_orderkey * 100 + l_linenumber AS update_id, l_shipdate AS ts,
                CAST(0 AS BIGINT) AS version FROM lineitem),
@@ -912,6 +918,7 @@ ORACLE["stream_rejected_records"] = ORACLE["rejected_records"]
 ORACLE["stream_daily_demand"] = ORACLE["daily_demand"]
 ORACLE["stream_forecast_refresh"] = ORACLE["forecast_points"]
 ORACLE["upsert_products_in_buckets"] = ORACLE["upsert_products"]
+ORACLE["upsert_orders_in_buckets"] = ORACLE["upsert_orders"]
 sql("stream_order_forecast_jobs", with_(*STORE) + """
 SELECT j.id, j.product_id, j.sku, j.horizon_days, j.status, j.model_used, CAST(j.mae AS DOUBLE) AS mae, j.error_message,
        CAST(j.total_predicted_demand AS DOUBLE) AS total_predicted_demand, j.created_at, j.updated_at
@@ -977,7 +984,7 @@ SELECT order_id, item_key, errors = '' AS accepted, errors FROM e""".replace("\n
 # calendar-day columns of each query, handed over as midnight timestamps
 DATE_COLUMNS = {
     "daily_demand": ["ds"], "stream_daily_demand": ["ds"], "series_index": ["ds"], "train_val_split": ["ds"], "seed_history": ["ds"],
-    "forecast_points": ["date"], "stream_forecast_refresh": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
+    "forecast_points": ["date"], "forecast_responses": ["date"], "stream_forecast_refresh": ["date"], "forecast_per_confirmed_item": ["date"], "stream_order_forecasts": ["date"],
     "jobs_with_points": ["forecast_date"], "validate_points": ["forecast_date"], "replace_forecast_points": ["forecast_date"],
     "forecast_custom_model": ["date"],
 }

@@ -1,12 +1,15 @@
 """Writes to the model tables without a MERGE-capable format: an upsert is a
 full outer join of the stored table with the incoming rows, written as a new
-version folder (never over the folder being read)."""
+version folder (never over the folder being read). The ``..._into`` forms read and
+write only the buckets of a ``BucketTable`` that the incoming ids touch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import BucketTable
+
 PRODUCT_FIELDS = ("name", "sku", "category", "price", "stock_quantity")
 
 
@@ -131,6 +134,36 @@ def replace_points(stored: DataFrame, jobs: DataFrame, incoming: DataFrame) -> D
         incoming.join(won, ["job_id", *named], "left_semi").select(*stored.columns))
 
 
+# ------------------------------------------------------------------ S8..S10 into buckets
+def upsert_products_into(products: BucketTable, incoming: DataFrame, version: int) -> list[int]:
+    """``upsert_products`` on the buckets that the incoming ids touch."""
+    return products.update(version, incoming, upsert_products)
+
+
+def upsert_orders_into(orders: BucketTable, items: BucketTable, incoming: DataFrame, incoming_items: DataFrame, version: int) -> list[int]:
+    """``upsert_orders`` on the touched buckets of both tables (items are bucketed by
+    their order, like the orders). Items are written first: an order's new version is
+    never without its items, and the same write again replaces both."""
+    if orders.buckets != items.buckets:
+        raise ValueError("orders and items need the same buckets")
+    touched = orders.touched(incoming, "id")
+    o, i = upsert_orders(orders.read(version, touched), items.read(version, touched), incoming, incoming_items)
+    items.write(i, version, touched)
+    orders.write(o, version, touched)
+    return touched
+
+
+def upsert_jobs_into(jobs: BucketTable, points: BucketTable, incoming: DataFrame, incoming_points: DataFrame, version: int) -> list[int]:
+    """``upsert_forecast_jobs`` and ``replace_points`` on the buckets that the written
+    jobs touch; points are bucketed by their job."""
+    if jobs.buckets != points.buckets:
+        raise ValueError("jobs and points need the same buckets")
+    touched = jobs.touched(incoming, "id")
+    points.write(replace_points(points.read(version, touched), incoming, incoming_points), version, touched)
+    jobs.write(upsert_forecast_jobs(jobs.read(version, touched), incoming), version, touched)
+    return touched
+
+
 # ------------------------------------------------------------------ S11
 def append_alerts(alerts: DataFrame, path: str, existing: DataFrame | None = None) -> DataFrame:
     """Insert-only. Ids already stored are skipped (replays and redeliveries

@@ -17,7 +17,3 @@ def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame
     df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
-
-def read_model_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A model table (products, orders, ...) stored as Parquet, with its declared schema."""
-    return spark.read.schema(schema).parquet(path)

@@ -115,3 +115,36 @@ def test_upsert_of_forecast_points_into_buckets(spark, tmp_path):
     new = spark.createDataFrame([("a", T0.date(), 9)], t.schema)
     t.update(1, new, lambda stored, incoming: ST.replace_points(stored, jobs, incoming), key="job_id")
     assert sorted((r.job_id, r.q) for r in t.read().collect()) == [("a", 9), ("b", 1)]
+
+
+def test_orders_and_jobs_are_written_into_touched_buckets(spark, tmp_path):
+    oschema = "id long, customer_id long, status string, created_at timestamp, updated_at timestamp, version long"
+    ischema = "order_id long, product_id long, quantity int"
+    orders, items = BucketTable(spark, str(tmp_path / "o"), oschema, "id", 32), BucketTable(spark, str(tmp_path / "i"), ischema, "order_id", 32)
+    stored = spark.createDataFrame([(k, 1, "PENDING", T0, T0, 0) for k in range(200)], oschema)
+    stored_items = spark.createDataFrame([(k, p, 1) for k in range(200) for p in (1, 2)], ischema)
+    orders.write(stored, 0)
+    items.write(stored_items, 0)
+    later = T0 + dt.timedelta(days=1)
+    incoming = spark.createDataFrame([(3, 1, "SHIPPED", T0, later), (900, 2, "PENDING", T0, later)], "id long, customer_id long, status string, created_at timestamp, updated_at timestamp")
+    new_items = spark.createDataFrame([(3, 9, 5), (900, 9, 6)], ischema)
+    touched = ST.upsert_orders_into(orders, items, incoming, new_items, 1)
+    assert len(touched) <= 2
+    want_o, want_i = ST.upsert_orders(stored, stored_items, incoming, new_items)
+    assert sorted(map(tuple, orders.read().collect())) == sorted(map(tuple, want_o.collect()))
+    assert sorted(map(tuple, items.read().collect())) == sorted(map(tuple, want_i.collect()))
+    assert {v for b, v in items.places(1).items() if b not in touched} == {0}
+
+    jschema = ("id string, product_id long, sku string, horizon_days int, status string, model_used string, mae decimal(10,4), "
+               "error_message string, created_at timestamp, updated_at timestamp, version long")
+    jobs, points = BucketTable(spark, str(tmp_path / "j"), jschema, "id", 16), BucketTable(spark, str(tmp_path / "p"), "job_id string, q int", "job_id", 16)
+    stored = spark.createDataFrame([(f"j{k}", k, "S", 30, "RUNNING", None, None, None, T0, T0, 0) for k in range(60)], jschema)
+    jobs.write(stored, 0)
+    points.write(spark.createDataFrame([(f"j{k}", 1) for k in range(60)], "job_id string, q int"), 0)
+    done = stored.where("id = 'j7'").drop("version").withColumns({"status": F.lit("COMPLETED"), "model_used": F.lit("m"), "updated_at": F.lit(later)})
+    touched = ST.upsert_jobs_into(jobs, points, done, spark.createDataFrame([("j7", 8), ("j7", 9)], "job_id string, q int"), 1)
+    assert len(touched) == 1
+    assert [(r.status, r.model_used, r.version) for r in jobs.read().where("id = 'j7'").collect()] == [("COMPLETED", "m", 1)]
+    assert sorted(r.q for r in points.read().where("job_id = 'j7'").collect()) == [8, 9] and points.read().count() == 61
+    with pytest.raises(ValueError):
+        ST.upsert_orders_into(orders, BucketTable(spark, str(tmp_path / "x"), ischema, "order_id", 8), incoming, new_items, 2)

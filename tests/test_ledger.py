@@ -39,14 +39,22 @@ def test_single_delta(spark, start, delta, balance, accepted):
         assert r.message is None
 
 
+def end_of(parts, start):
+    """Where a start ends by the functions of a run's parts."""
+    for lo, shift in parts:
+        j = int(np.searchsorted(lo, start, side="right")) - 1
+        assert j >= 0
+        start += int(shift[j])
+    return start
+
+
 def test_transfer_function_is_exact():
     rng = np.random.default_rng(7)
     for _ in range(300):
         d = rng.integers(-40, 30, size=rng.integers(1, 40))
-        lo, sh = LG._transfer(d)
+        parts = LG._summary(d, 0, 1 << 40)
         for b in range(0, 200):
-            j = np.searchsorted(lo, b, side="right") - 1
-            assert b + sh[j] == brute(b, d.tolist())[-1][0]
+            assert end_of(parts, b) == brute(b, d.tolist())[-1][0]
 
 
 @pytest.mark.parametrize("chunks", [1, 3, 8])
@@ -103,11 +111,10 @@ def test_windowed_transfer_matches_loop(width):
     for _ in range(40):
         d = rng.integers(-35, 30, size=int(rng.integers(1, 300)))
         a = int(rng.integers(0, 60))
-        lo, sh = LG._transfer(d, a, a + width)
-        assert lo[0] == a
+        parts = LG._summary(d, a, a + width)
+        assert parts[0][0][0] == a
         for b in list(range(a, a + min(width, 80))) + [a + width - 1]:
-            j = np.searchsorted(lo, b, side="right") - 1
-            assert b + sh[j] == brute(b, d.tolist())[-1][0]
+            assert end_of(parts, b) == brute(b, d.tolist())[-1][0]
 
 
 def test_reflected_window_holds_true_balance():
@@ -156,12 +163,49 @@ def test_transfer_property():
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.integers(-60, 50), min_size=1, max_size=80), st.integers(0, 40),
-           st.sampled_from([1, 3, 17, 5000]))
-    def check(deltas, a, width):
-        d = np.array(deltas, dtype=np.int64)
-        lo, sh = LG._transfer(d, a, a + width)
+           st.sampled_from([1, 3, 17, 5000]), st.sampled_from([1, 4, 64]))
+    def check(deltas, a, width, budget):
+        parts = LG._summary(np.array(deltas, dtype=np.int64), a, a + width, budget)
         for b in range(a, a + min(width, 60)):
-            j = np.searchsorted(lo, b, side="right") - 1
-            assert b + sh[j] == brute(b, deltas)[-1][0]
+            assert end_of(parts, b) == brute(b, deltas)[-1][0]
 
     check()
+
+
+def test_wide_windows_are_summarised_in_parts():
+    """The parts one after another give every start the end that replaying gives it."""
+    rng = np.random.default_rng(12)
+    for budget in (1, 3, 64):
+        for width in (1, 50, 5000, 20_000):
+            d = rng.integers(-400, 390, 600)
+            d[rng.integers(0, 600, 3)] = -9000
+            a = int(rng.integers(0, 50))
+            parts = LG._summary(d, a, a + width, budget)
+            for start in {a, a + width - 1, *rng.integers(a, a + width, 25).tolist()}:
+                assert end_of(parts, start) == LG.replay(start, d)[0][-1], (budget, width, start)
+
+
+def test_summary_of_a_wide_window_grows_with_the_deltas_only():
+    import time
+    rng = np.random.default_rng(13)
+    sizes, seconds = [], []
+    for n in (20_000, 80_000):
+        d = rng.integers(-50, 50, n)
+        t = time.perf_counter()
+        parts = LG._summary(d, 0, 1_000_000)
+        seconds.append(time.perf_counter() - t)
+        sizes.append(sum(len(lo) for lo, _ in parts))
+    assert sizes[1] <= 80_000 and seconds[1] < 3, (sizes, seconds)
+
+
+def test_ledger_with_a_huge_delta_matches_a_loop(spark):
+    """A window of a million balances in every later chunk."""
+    rng = np.random.default_rng(14)
+    d = rng.integers(-50, 49, 4000)
+    d[5], d[900] = 1_000_000, -1_000_001
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(seconds=i), i, int(x)) for i, x in enumerate(d)]
+    out = LG.ledger(spark.createDataFrame(rows, "product_id long, ts timestamp, event_id long, delta long"), None, default_opening=3, num_chunks=6)
+    got = {r.event_id: (r.balance, r.accepted) for r in out.collect()}
+    bal, ok = LG.replay(3, d)
+    assert got == {i: (int(bal[i]), bool(ok[i])) for i in range(len(d))}
