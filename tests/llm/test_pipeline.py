@@ -70,7 +70,7 @@ def test_registered_with_the_rest():
 
     names = list(E.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(E.oracle_sql()) <= set(names)
 
 
