@@ -38,6 +38,8 @@ from ..session import ensure_checkpoint_dir
 
 # start windows up to this width are tabulated; wider ones use pieces
 TABULATE_MAX_WIDTH = 4096
+# chunk number of a product's opening balance: before its first chunk
+OPENING = -1
 # pieces of a transfer function after which a wide window is summarised anew
 PIECES = 64
 
@@ -225,10 +227,13 @@ def _bounds_fold(it):
         for i in range(len(pdf)):
             if keys[i] != last_key:
                 last_key, r, w = keys[i], int(op[i]), 0
+            if chunks[i] == OPENING:
+                continue
             lo[i], width[i] = r, max(1, w)
             r = max(r + int(tot[i]), int(m[i]))
             w = max(w, int(dneg[i]))
-        yield pd.DataFrame({"_k0": keys, "_chunk": chunks, "_a": lo, "_w": width})
+        of_chunk = chunks != OPENING
+        yield pd.DataFrame({"_k0": keys[of_chunk], "_chunk": chunks[of_chunk], "_a": lo[of_chunk], "_w": width[of_chunk]})
 
 
 def _summaries(it):
@@ -331,12 +336,15 @@ def ledger(deltas: DataFrame, opening: DataFrame | None = None, key: str = "prod
     # phase A: reflected-walk map of every chunk (vectorised, parallel)
     refl = chunked.select("_k0", "_chunk", "_delta").mapInPandas(
         _reflections, f"_k0 {ktype}, _chunk int, _total bigint, _m bigint, _dneg bigint")
+    refl = refl.withColumn("_opening", F.lit(default_opening).cast("bigint"))
     if opening is not None:
-        op = opening.select(F.col(key).alias("_k0"), F.col("opening").cast("bigint").alias("_op"))
-        refl = refl.join(op, "_k0", "left")
-    else:
-        refl = refl.withColumn("_op", F.lit(None).cast("bigint"))
-    refl = refl.withColumn("_opening", F.coalesce("_op", F.lit(default_opening).cast("bigint"))).drop("_op")
+        # a row before the chunks, not a join: after a join on the key Spark leaves the
+        # exchange below out, and once adaptive execution broadcasts the openings and
+        # reads the chunks locally, a product's chunks lie in several partitions
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("_total", "_m", "_dneg")]
+        refl = refl.unionByName(opening.where(F.col(key).isNotNull()).select(
+            F.col(key).cast(ktype).alias("_k0"), F.lit(OPENING).alias("_chunk"), *none,
+            F.coalesce(F.col("opening").cast("bigint"), F.lit(default_opening).cast("bigint")).alias("_opening")))
     # phase B: start window of every chunk (a fold over <= one row per
     # partition the product touches); cached: derived from the checkpoint
     windows = _pinned(refl.repartition("_k0").sortWithinPartitions("_k0", "_chunk")

@@ -209,3 +209,25 @@ def test_ledger_with_a_huge_delta_matches_a_loop(spark):
     got = {r.event_id: (r.balance, r.accepted) for r in out.collect()}
     bal, ok = LG.replay(3, d)
     assert got == {i: (int(bal[i]), bool(ok[i])) for i in range(len(d))}
+
+
+def test_openings_that_turn_into_a_broadcast_at_run_time(spark):
+    """Products over many chunks with openings whose size is known at run time only:
+    the fold has to see all chunks of a product, in order, in one partition."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    rng = np.random.default_rng(3)
+    rows = [(p, int(d)) for d3 in rng.integers(-9, 9, (3000, 3)) for p, d in zip((1, 2, 3), d3)]
+    deltas = frame(spark, rows).repartition(4)
+    opening = deltas.select("product_id").distinct().selectExpr("product_id", "product_id * 100 AS opening").where("product_id < 3")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {(r.product_id, r.event_id): (r.balance, r.accepted) for r in LG.ledger(deltas, opening, default_opening=7, num_chunks=16).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for p, start in ((1, 100), (2, 200), (3, 7)):
+        own = [(i, d) for i, (q, d) in enumerate(rows) if q == p]
+        assert [got[(p, i)] for i, _ in own] == brute(start, [d for _, d in own])
