@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,13 +355,7 @@ def _user_points(asked: DataFrame, history: DataFrame, keys: Keys, request: Keys
     rows = asked.join(history, list(keys))
     schema = ", ".join([*(f"{k} {asked.schema[k].dataType.simpleString()}" for k in request),
                         "date date, predicted_quantity double, lower_bound double, upper_bound double"])
-    names = list(request)
-
-    def run(pdf):
-        got = fn(pdf.sort_values("ds").reset_index(drop=True), int(pdf["_h"].iloc[0]))
-        return got.assign(**{k: pdf[k].iloc[0] for k in names})[[*names, "date", "predicted_quantity", "lower_bound", "upper_bound"]]
-
-    return clamp_negative(rows.groupBy(*request).applyInPandas(run, schema))
+    return clamp_negative(_per_series(rows, request, fn, schema, "_h"))
 
 
 # ------------------------------------------------------------------------- X1
@@ -372,10 +368,80 @@ def custom_model(history: DataFrame, keys: Keys, fn, horizon: int = C.DEFAULT_HO
                             + ", date date, predicted_quantity double, lower_bound double,"
                               " upper_bound double")
 
-    def run(pdf):
-        return fn(pdf.sort_values("ds").reset_index(drop=True), horizon)
-
-    return history.groupBy(*keys).applyInPandas(run, out_schema)
+    return _per_series(history, keys, fn, out_schema, horizon)
+
+
+def takes_many(fn):
+    """Marks a user model ``fn(history, series, horizon) -> points`` that takes many
+    series at once: ``history`` has their rows by series and day, ``series`` the first
+    row of each (and one more at the end). It returns ``horizon`` points per series, in
+    order, without key columns. A plain user model costs a call per series, this one a
+    call per batch."""
+    fn.takes_many = True
+    return fn
+
+
+# rows of a call; a series is never cut, so a longer one makes a longer call
+SERIES_ROWS = 50_000
+
+
+def _per_series(rows: DataFrame, keys: Keys, fn, schema: str, horizon: int | str, size: int = SERIES_ROWS) -> DataFrame:
+    """A user model on every series of ``rows``. Marked models get whole series by the
+    batch, out of partitions that are sorted by series and day; others get a series a
+    call. ``horizon`` is a number or the column that holds each series' own."""
+    keys, names = list(keys), [f.split()[0] for f in schema.split(", ")]
+    if not getattr(fn, "takes_many", False):
+        def run(pdf):
+            got = fn(pdf.sort_values("ds").reset_index(drop=True), int(pdf[horizon].iloc[0]) if isinstance(horizon, str) else horizon)
+            return got.assign(**{k: pdf[k].iloc[0] for k in keys})[names] if isinstance(horizon, str) else got
+
+        return rows.groupBy(*keys).applyInPandas(run, schema)
+
+    # the series as one column, which no earlier exchange is partitioned by
+    rows = rows.withColumn("_series", F.struct(*keys)).withColumn("_part", F.xxhash64("_series"))
+    ordered = rows.repartition("_part").sortWithinPartitions("_part", *keys, "ds").drop("_series", "_part")
+
+    def answer(pdf, first):
+        own = pdf.iloc[first[:-1]].reset_index(drop=True)
+        h = own[horizon].to_numpy(dtype=int) if isinstance(horizon, str) else np.full(len(own), horizon)
+        for days in np.unique(h):                  # a call per horizon that is asked for
+            at = np.flatnonzero(h == days)
+            if len(at) < len(own):
+                keep = np.repeat(h == days, np.diff(first))
+                part, cut = pdf[keep].reset_index(drop=True), np.append(0, np.cumsum(np.diff(first)[at]))
+            else:
+                part, cut = pdf, first
+            got = fn(part, cut, int(days))
+            yield got.assign(**{k: own[k].to_numpy()[np.repeat(at, days)] for k in keys})[names]
+
+    def run(it):
+        held, n = [], 0
+        for pdf in it:
+            if pdf.empty:
+                continue
+            held, n = [*held, pdf], n + len(pdf)
+            if n < size:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            first = _series_starts(pdf, keys)
+            held, n = [pdf.iloc[first[-1]:]], len(pdf) - first[-1]  # the last series may go on
+            if len(first) > 1:
+                yield from answer(pdf.iloc[:first[-1]], first)
+        if held:
+            pdf = pd.concat(held, ignore_index=True)
+            yield from answer(pdf, np.append(_series_starts(pdf, keys), len(pdf)))
+
+    return ordered.mapInPandas(run, schema)
+
+
+def _series_starts(pdf: pd.DataFrame, keys: Keys) -> np.ndarray:
+    """Rows where a series begins; null keys are equal to each other."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for k in keys:
+        v, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        new[1:] |= ~((v[1:] == v[:-1]) | (null[1:] & null[:-1])).astype(bool)
+    return np.flatnonzero(new)
 
 
 def forecast_with(model_name: str, history: DataFrame, keys: Keys,

@@ -215,3 +215,29 @@ def test_models_of_pairs_equal_models_of_items(spark):
     own = own.withColumn("total_predicted_demand", FC.horizon_total(F.lit(30))).join(items.select("item", "quantity"), "item")
     assert sorted(map(tuple, got.select(own.columns).collect()), key=str) == sorted(map(tuple, own.collect()), key=str)
     assert got.count() == 62
+
+
+def test_user_model_on_many_series_at_once(spark):
+    """A model marked with takes_many gets whole series in day order, whatever batch
+    they end in, and answers as one that is called per series."""
+    rng = np.random.default_rng(5)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=int(d)), float(rng.integers(0, 50)), 2 + s % 3)
+            for s in range(40) for d in rng.permutation(1 + s % 13)]
+    h = spark.createDataFrame(rows, "sid int, ds date, y double, days int").repartition(3)
+
+    def plain(pdf, horizon):
+        return pd.DataFrame({"sid": pdf["sid"].iloc[0], "step": range(horizon), "total": pdf["y"].sum(), "last": pdf["y"].iloc[-1]})
+
+    @FC.takes_many
+    def many(history, series, horizon):
+        n = len(series) - 1
+        y = history["y"].to_numpy()
+        return pd.DataFrame({"step": np.tile(np.arange(horizon), n), "total": np.repeat(np.add.reduceat(y, series[:-1]), horizon),
+                             "last": np.repeat(y[series[1:] - 1], horizon)})
+
+    schema = "sid int, step int, total double, last double"
+    for horizon in (3, "days"):
+        want = sorted(map(tuple, FC._per_series(h, ["sid"], plain, schema, horizon).collect()))
+        for size in (1, 10, 1000):
+            assert sorted(map(tuple, FC._per_series(h, ["sid"], many, schema, horizon, size).collect())) == want
+    assert not FC._per_series(h.limit(0), ["sid"], many, schema, 3).collect()
