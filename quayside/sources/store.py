@@ -128,10 +128,16 @@ def replace_points(stored: DataFrame, jobs: DataFrame, incoming: DataFrame) -> D
     ones; the points of other jobs stay. Incoming points that carry their write's
     updated_at or write_no count only for the result that won, so of several results
     of one job in a batch one set of points stays."""
-    won = _last_results(jobs).withColumnRenamed("id", "job_id")
+    # the points are many times the results: looked up in a hash table, not sorted
+    won = _last_results(jobs).withColumnRenamed("id", "job_id").hint("shuffle_hash")
     named = [c for c in _place(incoming) if c in won.columns]
-    return stored.join(won, "job_id", "left_anti").unionByName(
-        incoming.join(won, ["job_id", *named], "left_semi").select(*stored.columns))
+    # matched by job alone, the write's place compared as bounds: were it a join key,
+    # points that lie by job would all be moved again
+    i, w = incoming.alias("i"), won.alias("w")
+    same = F.col("i.job_id") == F.col("w.job_id")
+    for c in named:
+        same &= (F.col(f"i.{c}") <= F.col(f"w.{c}")) & (F.col(f"i.{c}") >= F.col(f"w.{c}"))
+    return stored.join(won, "job_id", "left_anti").unionByName(i.join(w, same, "left_semi").select(*stored.columns))
 
 
 # ------------------------------------------------------------------ S8..S10 into buckets
