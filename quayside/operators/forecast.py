@@ -399,7 +399,7 @@ def _per_series(rows: DataFrame, keys: Keys, fn, schema: str, horizon: int | str
 
     # the series as one column, which no earlier exchange is partitioned by
     rows = rows.withColumn("_series", F.struct(*keys)).withColumn("_part", F.xxhash64("_series"))
-    ordered = rows.repartition("_part").sortWithinPartitions("_part", *keys, "ds").drop("_series", "_part")
+    ordered = rows.repartition("_part").sortWithinPartitions("_part", *keys, F.asc_nulls_last("ds")).drop("_series", "_part")
 
     def answer(pdf, first):
         own = pdf.iloc[first[:-1]].reset_index(drop=True)

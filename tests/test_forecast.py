@@ -241,3 +241,10 @@ def test_user_model_on_many_series_at_once(spark):
         for size in (1, 10, 1000):
             assert sorted(map(tuple, FC._per_series(h, ["sid"], many, schema, horizon, size).collect())) == want
     assert not FC._per_series(h.limit(0), ["sid"], many, schema, 3).collect()
+
+
+def test_a_day_that_is_null_comes_last_for_marked_models_too(spark):
+    h = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1.0), (1, None, 3.0), (2, dt.date(2024, 1, 1), 2.0)], "product_id long, ds date, y double")
+    from quayside.plans.catalog import _mean_model
+    got = FC.forecast_with("mean", h, ["product_id"], 1, registry={"mean": _mean_model}).collect()
+    assert sorted((r.product_id, r.date, r.predicted_quantity) for r in got) == [(1, None, 2.0), (2, dt.date(2024, 1, 2), 2.0)]
