@@ -5,7 +5,7 @@ write only the buckets of a ``BucketTable`` that the incoming ids touch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import BucketTable
@@ -23,16 +23,16 @@ def _place(incoming: DataFrame) -> list[str]:
     return [c for c in WRITE if c in incoming.columns]
 
 
-def _last_per_key(incoming: DataFrame, key: str) -> DataFrame:
+def _last_per_key(incoming: DataFrame, key: str, *more: Column) -> DataFrame:
     """Several writes to one id in a batch: the last one (by instant, then write
     number, then content) wins and each write counts for the version. A partially
     aggregated ``max_by``, so an id written by a large share of the batch is reduced
-    map-side."""
+    map-side. ``more``: further aggregates of the same pass, kept as they are."""
     cols = [c for c in incoming.columns if c != key]
     o = F.struct(*_place(incoming), F.struct(*cols))
     last = incoming.groupBy(key).agg(F.max_by(F.struct(*cols), o).alias("_last"),
-                                     F.count(F.lit(1)).alias("_writes"))
-    return last.select(key, "_last.*", "_writes")
+                                     F.count(F.lit(1)).alias("_writes"), *more)
+    return last.select(key, "_last.*", *last.columns[2:])
 
 
 def upsert_products(stored: DataFrame, incoming: DataFrame, key: str = "product_id") -> DataFrame:
@@ -99,9 +99,10 @@ def upsert_forecast_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     created_at stays. Of several writes to one id in a batch the last by
     updated_at, then by write_no, wins, and the last that carries a result gives the
     result."""
-    results = _last_results(incoming).select("id", F.struct(*JOB_RESULT_FIELDS).alias("_result"))
     s = stored.alias("s")
-    i = _last_per_key(incoming, "id").join(results, "id", "left").alias("i")
+    # one pass gives the last write and the last result; a null id has no stored job to match
+    carries = F.col("id").isNotNull() & F.col("model_used").isNotNull()
+    i = _last_per_key(incoming, "id", F.max(F.when(carries, _result_row(incoming))).alias("_result")).alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
     new = F.col("i.id").isNotNull()
     cols = [F.coalesce(F.col("i.id"), F.col("s.id")).alias("id")]
@@ -114,11 +115,14 @@ def upsert_forecast_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return j.select(*cols, _version("id"))
 
 
+def _result_row(incoming: DataFrame) -> Column:
+    """A write's place and result."""
+    return F.struct(*_place(incoming), *[c for c in JOB_RESULT_FIELDS if c in incoming.columns])
+
+
 def _last_results(incoming: DataFrame) -> DataFrame:
     """Per job the last write of a batch that carries a result."""
-    place = _place(incoming)
-    row = F.struct(*place, *[c for c in JOB_RESULT_FIELDS if c in incoming.columns])
-    return (incoming.where(F.col("model_used").isNotNull()).groupBy("id").agg(F.max(row).alias("_r"))
+    return (incoming.where(F.col("model_used").isNotNull()).groupBy("id").agg(F.max(_result_row(incoming)).alias("_r"))
             .select("id", "_r.*"))
 
 

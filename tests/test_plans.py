@@ -80,3 +80,11 @@ def test_lifecycle_events_are_shuffled_once(spark):
 def test_item_keys_need_no_per_order_sort(spark):
     p = plan(CA.confirmed_order_items(spark, BASE))
     assert "Window" not in p and "partial_count" in p
+
+
+def test_an_upsert_of_jobs_reads_its_writes_once(spark):
+    from quayside.sources import store as ST
+    cols = "id string, product_id long, sku string, horizon_days int, status string, model_used string, mae decimal(10,4), error_message string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    stored = spark.createDataFrame([], cols + ", version long")
+    incoming = spark.createDataFrame([], cols).repartition(3, "sku")
+    assert count("REPARTITION_BY_NUM", plan(ST.upsert_forecast_jobs(stored, incoming))) == 1
