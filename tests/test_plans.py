@@ -82,6 +82,33 @@ def test_item_keys_need_no_per_order_sort(spark):
     assert "Window" not in p and "partial_count" in p
 
 
+def test_points_of_a_job_are_not_moved_one_by_one(spark):
+    """Jobs with their points, and their views: the items' rows are dealt out by job
+    before a point is made, and no exchange moves an item's points."""
+    for q in (CA.q_jobs_with_points, CA.q_forecast_job_view):
+        p = plan(q(spark, BASE))
+        # exchanges on job_id are those of rows dealt out, none is Spark's own
+        assert count(r"Exchange hashpartitioning\(job_id[^\n]*REPARTITION_BY_NUM", p) == 2
+        assert count(r"Exchange hashpartitioning\(job_id[^\n]*ENSURE_REQUIREMENTS", p) == 0
+
+
+def test_jobs_are_dealt_out_before_they_are_reduced_or_explode(spark):
+    assert count(r"Exchange hashpartitioning\(id[^\n]*REPARTITION_BY_NUM", plan(CA.q_latest_forecast(spark, BASE))) == 1
+    p = plan(CA.q_validate_points(spark, BASE))
+    assert count(r"Exchange hashpartitioning\(job_id[^\n]*REPARTITION_BY_NUM", p) == 1
+
+
+def test_seed_pairs_are_taken_from_cheaper_rows(spark):
+    """With ``seeds`` the items are not keyed a second time for their pairs."""
+    rows, items = CA.confirmed_order_rows(spark, BASE), CA.confirmed_order_items(spark, BASE)
+    nothing = items.where("false")
+    got = FC.seed_models(items, CA.ITEM_KEYS, seeds=rows)
+    want = FC.seed_models(items, CA.ITEM_KEYS)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    # the pairs come from the seeds alone
+    assert FC.seed_models(items, CA.ITEM_KEYS, seeds=rows.where("false")).isEmpty() and FC.seed_models(nothing, CA.ITEM_KEYS, seeds=rows).isEmpty()
+
+
 def test_an_upsert_of_jobs_reads_its_writes_once(spark):
     from quayside.sources import store as ST
     cols = "id string, product_id long, sku string, horizon_days int, status string, model_used string, mae decimal(10,4), error_message string, created_at timestamp_ntz, updated_at timestamp_ntz"
