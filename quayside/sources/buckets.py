@@ -59,13 +59,26 @@ class BucketTable:
         """The buckets of the keys in ``rows``, at most ``buckets`` numbers."""
         return sorted(r[0] for r in rows.select(self.bucket(F.col(key or self.key)).alias("b")).distinct().collect())
 
-    def write(self, rows: DataFrame, version: int, touched: list[int] | None = None) -> None:
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt out by ``bucket`` and ``part``, a share of its keys: what is grouped
+        by these two and the key, and then written, is not moved again. The count is
+        given: adaptive execution would choose one by the rows' packed size before they
+        are sorted and widened."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("bucket", self.bucket(F.col(self.key))).withColumn("part", F.pmod(F.hash(self.key), F.lit(-(-2 * n // self.buckets))))
+        return rows.repartition(n, "bucket", "part")
+
+    def write(self, rows: DataFrame, version: int, touched: list[int] | None = None, dealt: bool = False) -> None:
         """Make ``rows`` the content of the touched buckets (all, if none are named)
-        from ``version`` on. Rows of other buckets must not be among them."""
+        from ``version`` on. Rows of other buckets must not be among them. ``dealt``:
+        they lie as ``dealt`` leaves them, with its ``bucket``, and are written there."""
         old = self.places(self.version(version))
-        rows = rows.select(*self.schema.names).withColumn("bucket", self.bucket(F.col(self.key)))
-        # a file per bucket, and several for a large one: adaptive execution splits it
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
+        if dealt:
+            rows = rows.select(*self.schema.names, "bucket")
+        else:
+            # a file per bucket, and several for a large one: adaptive execution splits it
+            rows = rows.select(*self.schema.names).withColumn("bucket", self.bucket(F.col(self.key))).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
         own = {b: version for b in self._numbers(f"{self.path}/data/v={version}", "bucket")}
         if touched is not None and not set(own) <= set(touched):
             raise ValueError(f"rows of buckets that were not named: {sorted(set(own) - set(touched))}")

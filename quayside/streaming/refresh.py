@@ -6,9 +6,10 @@ weekday; Σx and Σx² follow from the position). The first 80 % of a series end
 row of it, so a fit is that row, the last row, and the errors of the rows between.
 
 A micro-batch adds its items to the days they fall on, in whatever order it comes:
-only the series it touches are summed anew, from the first changed day on, and only
-their buckets and models are written. Each batch writes a version of its own (see
-``BucketTable``), so a batch that is tried again does not count its items twice.
+only the buckets of the series it touches are summed anew and written, with their
+models. Of the stored rows days and quantities alone are moved: the sums, many times
+as wide, are made anew where their series lies. Each batch writes a version of its own
+(see ``BucketTable``), so a batch that is tried again does not count its items twice.
 """
 
 from __future__ import annotations
@@ -33,54 +34,64 @@ def _names(spec: str | list[str]) -> list[str]:
     return [x.strip().split(" ")[0] for x in (spec.split(",") if isinstance(spec, str) else spec)]
 
 
-def extended(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """Series rows after quantities (product_id, ds, y) were added to ``stored``.
-    Rows before a product's first changed day stay as they are; products without a
-    change keep all theirs."""
-    new = added.groupBy("product_id", "ds").agg(F.sum("y").alias("y"))
-    first = new.groupBy("product_id").agg(F.min("ds").alias("first"))
-    old = stored.join(first, "product_id", "left")
-    same = F.col("first").isNull() | (F.col("ds") < F.col("first"))
-    kept = old.where(same).drop("first")
-    # the row before the change carries the sums so far; the rows from it on are summed again
-    carry = kept.join(first, "product_id", "left_semi").groupBy("product_id").agg(
-        F.max_by(F.struct("x", *_names(SUMS)), "ds").alias("c"))
-    rows = (old.where(~same).select("product_id", "ds", "y").unionByName(new).groupBy("product_id", "ds").agg(F.sum("y").alias("y"))
-            .join(carry, "product_id", "left"))
-    before = Window.partitionBy("product_id").orderBy("ds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = lambda c, none: F.coalesce(F.col(f"c.{c}"), F.lit(none))
-    rows = rows.withColumn("x", at("x", -1) + F.count(F.lit(1)).over(before))
+#: what the rows of a series lie by (see ``BucketTable.dealt``)
+SERIES_KEY = ("bucket", "part", "product_id")
+
+
+def extended(table: BucketTable, stored: DataFrame, added: DataFrame) -> DataFrame:
+    """Series rows, dealt out by ``table``, after quantities (product_id, ds, y) were
+    added to ``stored``. Only days and quantities are moved, once; the sums are made
+    where a series lies. Without a date are: a batch's row, which comes before its first
+    day (or last, if it has none), and a stored row, which ends when its series changes."""
+    old = stored.select("product_id", "ds", "y", "x", F.lit(False).alias("new"))
+    new = added.select("product_id", "ds", "y", F.lit(None).cast("long").alias("x"), F.lit(True).alias("new"))
+    undated = F.when(F.col("ds").isNull(), F.coalesce("x", F.lit(-1).cast("long")))
+    rows = table.dealt(old.unionByName(new)).groupBy(*SERIES_KEY, "ds", undated.alias("undated")).agg(
+        F.sum("y").alias("y"), F.max("x").alias("x"), F.max("new").alias("new"))
+    series = Window.partitionBy(*SERIES_KEY)
+    rows = rows.withColumn("first", F.min(F.when(F.col("new"), F.col("ds"))).over(series))
+    rows = rows.withColumn("kept_to", F.max(F.when(F.col("ds") < F.col("first"), F.col("x"))).over(series))
+    ends = F.col("ds").isNull() & ~F.col("new") & F.col("first").isNotNull()
+    rows = rows.where(~ends | (F.col("x") < F.col("kept_to")))
+    # rows before the first changed day in their stored order, then the changed ones by day
+    stays = F.col("first").isNull() | F.col("ds").isNull() & ~F.col("new") | (F.col("ds") < F.col("first"))
+    before = (Window.partitionBy(*SERIES_KEY).orderBy(F.when(stays, F.col("x")).asc_nulls_last(), F.col("ds").asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("ends", ends).withColumn("x", F.count(F.lit(1)).over(before) - 1)
     dow = [weekday_mon0("ds") == i for i in range(7)]
     sums: list[Column] = [
-        (at("sy", 0.0) + F.sum("y").over(before)).alias("sy"),
-        (at("sxy", 0.0) + F.sum(F.col("x") * F.col("y")).over(before)).alias("sxy"),
-        F.least(F.col("c.min_y"), F.min("y").over(before)).alias("min_y"),
-        *((at(f"dsum{i}", 0.0) + F.sum(F.when(d, F.col("y")).otherwise(0.0)).over(before)).alias(f"dsum{i}") for i, d in enumerate(dow)),
-        *((at(f"dcnt{i}", 0) + F.count(F.when(d, 1)).over(before)).alias(f"dcnt{i}") for i, d in enumerate(dow))]
-    return kept.unionByName(rows.select("product_id", "ds", "y", "x", *sums))
+        F.sum("y").over(before).alias("sy"),
+        F.sum(F.col("x") * F.col("y")).over(before).alias("sxy"),
+        F.min("y").over(before).alias("min_y"),
+        *(F.sum(F.when(d, F.col("y")).otherwise(0.0)).over(before).alias(f"dsum{i}") for i, d in enumerate(dow)),
+        *(F.count(F.when(d, 1)).over(before).alias(f"dcnt{i}") for i, d in enumerate(dow))]
+    return rows.select(*SERIES_KEY, "ds", "y", "x", *sums, "ends").where(~F.col("ends")).drop("ends")
 
 
 def models_of(series: DataFrame) -> DataFrame:
-    """The model of every series, as ``forecast.fit`` gives it, from the running sums:
-    the training row's sums by a conditional aggregate, then the validation errors."""
-    n = series.groupBy("product_id").agg((F.max("x") + 1).alias("n"), F.max("ds").alias("last_ds"), F.max_by("min_y", "x").alias("least"))
-    n = n.withColumn("k", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * F.lit(C.TRAIN_FRACTION)).cast("long")))
-    # both sides are partitioned by product, so the training row is found without another shuffle
-    train = series.join(n, "product_id").where(F.col("x") == F.col("k") - 1)
+    """The model of every series that ``extended`` gives, as ``forecast.fit`` gives it,
+    from the running sums: the training row's sums, then the validation errors. A series
+    lies in one task, so none of its rows is moved."""
+    whole = Window.partitionBy(*SERIES_KEY)
+    rows = series.where(F.col("product_id").isNotNull()).withColumn("n", F.max("x").over(whole) + 1)
+    rows = rows.withColumn("k", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * F.lit(C.TRAIN_FRACTION)).cast("long")))
+    trained = F.col("x") == F.col("k") - 1
     kd = F.col("k").cast("double")
     sx, sxx = kd * (kd - 1) / 2, (kd - 1) * kd * (2 * kd - 1) / 6
     den = kd * sxx - sx * sx
     slope = F.when(den != 0, (kd * F.col("sxy") - sx * F.col("sy")) / den)
-    train = train.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * sx) / kd)
+    rows = rows.withColumn("slope", F.max(F.when(trained, slope)).over(whole))
+    rows = rows.withColumn("intercept", F.max(F.when(trained, (F.col("sy") - F.col("slope") * sx) / kd)).over(whole))
     mean = F.col("sy") / kd
     g = F.when(mean > 0, mean).otherwise(F.lit(1.0))
-    factors = [F.coalesce(F.when(F.col(f"dcnt{i}") > 0, F.col(f"dsum{i}") / F.col(f"dcnt{i}")) / g, F.lit(1.0)).alias(f"f{i}") for i in range(7)]
-    model = train.select("product_id", "n", "k", "slope", "intercept", "last_ds", *factors, F.col("least").alias("min_y"))
+    factors = [F.coalesce(F.when(F.col(f"dcnt{i}") > 0, F.col(f"dsum{i}") / F.col(f"dcnt{i}")) / g, F.lit(1.0)) for i in range(7)]
     fitted = F.greatest(F.lit(0.0), F.col("slope") * F.col("x").cast("double") + F.col("intercept"))
     error = F.when(F.col("x") >= F.col("k"), F.abs(F.col("y") - fitted))
-    errors = (series.select("product_id", "x", "y").join(model.select("product_id", "k", "slope", "intercept"), "product_id")
-              .groupBy("product_id").agg(F.coalesce(F.avg(error), F.lit(0.0)).alias("mae_raw")))
-    return model.join(errors, "product_id").withColumn("mae", round_even("mae_raw", 4)).select(*_names(MODELS))
+    models = rows.groupBy(*SERIES_KEY).agg(
+        *(F.max(c).alias(c) for c in ("n", "k", "slope", "intercept")), F.max("ds").alias("last_ds"),
+        *(F.max(F.when(trained, f)).alias(f"f{i}") for i, f in enumerate(factors)),
+        F.coalesce(F.avg(error), F.lit(0.0)).alias("mae_raw"), F.min("y").alias("min_y"), F.max(trained).alias("trained"))
+    return models.where("trained").withColumn("mae", round_even("mae_raw", 4)).select("bucket", *_names(MODELS))
 
 
 class ForecastStore:
@@ -91,17 +102,13 @@ class ForecastStore:
         self.models = BucketTable(spark, f"{path.rstrip('/')}/models", MODELS, "product_id", buckets)
 
     def extend(self, items: DataFrame, version: int, ts: str = "occurred_at", qty: str = "quantity") -> list[int]:
-        """Add a batch of items; series and models of the products among them are
-        brought up to date. The touched buckets."""
-        daily = FC.daily_demand(items, ts=ts, qty=qty)
-        touched = self.series.touched(daily)
-        self.series.write(extended(self.series.read(version, touched), daily), version, touched)
-        # models from the written series, of the batch's products only
-        now = self.series.read(version + 1, touched)
-        changed = daily.select("product_id").distinct()
-        new = models_of(now.join(changed, "product_id", "left_semi"))
-        old = self.models.read(version, touched).join(changed, "product_id", "left_anti")
-        self.models.write(old.unionByName(new), version, touched)
+        """Add a batch of items; the series and models in the buckets of its products
+        are brought up to date. The touched buckets."""
+        touched = self.series.touched(items.select(F.col("product_id").cast("long").alias("product_id")))
+        rows = extended(self.series, self.series.read(version, touched), FC.daily_demand(items, ts=ts, qty=qty))
+        self.series.write(rows, version, touched, dealt=True)
+        # the models of the touched buckets, where their series lie: a series' own sums are not moved
+        self.models.write(models_of(rows), version, touched, dealt=True)
         return touched
 
     def current(self, min_points: int = C.MIN_HISTORY) -> DataFrame:
