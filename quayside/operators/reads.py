@@ -93,9 +93,14 @@ def order_view_flat(orders: DataFrame, items: DataFrame, limit: int = PIECE) ->
 
 # ------------------------------------------------------------------ J2, O2
 def jobs_with_points(jobs: DataFrame, points: DataFrame) -> DataFrame:
-    """Each job with its points in ascending date order (empty when none)."""
-    pts = points.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
-        "forecast_date", "predicted_quantity", "lower_bound", "upper_bound"))).alias("points"))
+    """Each job with its points in ascending date order (empty when none). ``points``
+    has a row per point, or rows with an array ``points`` of some points of a job:
+    then a row is grouped and sorted per array, not per point."""
+    if "points" in points.columns:
+        all_ = F.flatten(F.collect_list("points"))
+    else:
+        all_ = F.collect_list(F.struct("forecast_date", "predicted_quantity", "lower_bound", "upper_bound"))
+    pts = points.groupBy("job_id").agg(F.array_sort(all_).alias("points"))
     return jobs.join(pts, jobs["id"] == pts["job_id"], "left").drop("job_id")
 
 
