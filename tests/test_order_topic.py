@@ -8,6 +8,7 @@ import re
 from quayside.operators import reads as RD
 from quayside.plans import catalog as CA
 from quayside.sources import events as EV
+from quayside.streaming import jobs as SJ
 
 BASE = "/root/testdata/sf0.001"
 
@@ -50,3 +51,11 @@ def test_an_order_view_moves_its_items_once(spark):
     assert p.index("collect_list") < p.index("REPARTITION_BY_COL")
     got = {r.id: r for r in v.collect()}
     assert [i.sku for i in got[1]["items"]] == ["S"] and got[2]["items"] == []
+
+
+def test_batches_of_a_stream_are_stored_as_zstd(spark, tmp_path):
+    """Jobs hold an id of 64 characters each, points repeat their job's keys."""
+    df = spark.createDataFrame([(k, "x") for k in range(10)], "a long, b string")
+    SJ.write_batch(df, str(tmp_path / "jobs"), 3)
+    assert glob.glob(f"{tmp_path}/jobs/batch_id=3/*.zstd.parquet") and not glob.glob(f"{tmp_path}/jobs/batch_id=3/*.snappy.parquet")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "jobs")).select("a", "b").collect())) == [(k, "x") for k in range(10)]
