@@ -265,16 +265,18 @@ def points(model: DataFrame, keys: Keys, horizon: int | str | Column = C.DEFAULT
     return out
 
 
-def _day(step: Column) -> Column:
-    pq = _predicted(step)
-    lower, upper = _bounds(pq)
-    return F.struct(F.date_add(F.col("last_ds"), step).alias("date"), pq.alias("predicted_quantity"), lower.alias("lower_bound"),
-                    upper.alias("upper_bound"))
+def point_array(horizon: Column) -> Column:
+    """The rows of ``points`` of a model row as one array, in date order. The bounds are
+    taken from predictions that are there, not from the formula again."""
+    days = F.transform(F.sequence(F.lit(1), horizon.cast("int")), lambda i: F.struct(
+        F.date_add(F.col("last_ds"), i).alias("date"), _predicted(i).alias("predicted_quantity")))
 
+    def bounded(day: Column) -> Column:
+        lower, upper = _bounds(day["predicted_quantity"])
+        return F.struct(day["date"].alias("date"), day["predicted_quantity"].alias("predicted_quantity"),
+                        lower.alias("lower_bound"), upper.alias("upper_bound"))
 
-def point_array(horizon: Column) -> Column:
-    """The rows of ``points`` of a model row as one array, in date order."""
-    return F.transform(F.sequence(F.lit(1), horizon.cast("int")), _day)
+    return F.transform(days, bounded)
 
 
 def _bounds(predicted: Column) -> tuple[Column, Column]:

@@ -155,20 +155,33 @@ def column_rules(table: str) -> dict[str, Column]:
 RULES, OWNER, CHILD = range(3)  # roles
 
 
+def _spaces() -> list[str]:
+    """What a key stands for: a table (its broken rules) or a unique column."""
+    return [*DDL, *(f"{t}.{c}" for t, ddl in DDL.items() for c in ddl.get("unique", ()))]
+
+
 def _tagged(table: str, df: DataFrame) -> DataFrame:
     """What a table's rows say: (space, key, role). A broken row says which rules it
     breaks (space: the table, key: a bit per rule); every row names its keys (space:
-    table.column) as their owner, and its parent's key as a child."""
-    ddl, said = DDL[table], []
+    table.column) as their owner, and its parent's key as a child. Spaces are numbers:
+    they are hashed and moved with every key."""
+    ddl, at = DDL[table], {name: k for k, name in enumerate(_spaces())}
     broken = sum((F.when(cond, F.lit(1 << k)).otherwise(0) for k, cond in enumerate(column_rules(table).values())), F.lit(0))
-    said.append(F.when(broken > 0, F.struct(F.lit(table).alias("space"), broken.cast("string").alias("key"), F.lit(RULES).alias("role"))))
     keys = [(f"{table}.{c}", c, OWNER) for c in ddl.get("unique", ())]
     if "parent" in ddl:
         _, c, parent = ddl["parent"]
         keys.append((f"{parent}.id", c, CHILD))
-    for space, c, role in keys:
-        said.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(space).alias("space"), F.col(c).cast("string").alias("key"), F.lit(role).alias("role"))))
-    return df.select(F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    say = lambda space, key, role: F.struct(F.lit(at[space]).alias("space"), key.cast("string").alias("key"), F.lit(role).alias("role"))
+    rows = df.select(*[F.col(k).cast("string").alias(f"_key{n}") for n, (_, k, _) in enumerate(keys)], broken.alias("_broken"))
+    rules, bad = say(table, F.col("_broken"), RULES), F.col("_broken") > 0
+    named = [(F.col(f"_key{n}").isNotNull(), say(space, F.col(f"_key{n}"), role)) for n, (space, _, role) in enumerate(keys)]
+    if len(named) == 1:
+        # a row says one thing, few say two: cases, which are compiled, in place of a filter of an array
+        (has, key), = named
+        said = F.when(bad & has, F.array(rules, key)).when(bad, F.array(rules)).when(has, F.array(key))
+    else:
+        said = F.filter(F.array(F.when(bad, rules), *(F.when(has, key) for has, key in named)), lambda x: x.isNotNull())
+    return rows.select(F.explode(said).alias("x")).select("x.*")
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
@@ -186,12 +199,13 @@ def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     role = F.col("role")
     met = said.groupBy("space", "key").agg(*(F.count_if(role == r).alias(n) for r, n in ((RULES, "rows"), (OWNER, "owners"), (CHILD, "children"))))
 
+    at = {name: k for k, name in enumerate(_spaces())}
     hit = lambda table, rule, n: F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), n.alias("n"))
     found, every = F.array().cast("array<struct<table_name:string,rule:string,n:bigint>>"), []
     for table, ddl in DDL.items():
         names = list(column_rules(table))
         bits = F.col("key").cast("long")
-        found = F.when(F.col("space") == table, F.filter(F.array(*(
+        found = F.when(F.col("space") == at[table], F.filter(F.array(*(
             F.when(bits.bitwiseAND(F.lit(1 << k)) != 0, hit(table, r, F.col("rows"))) for k, r in enumerate(names))), lambda x: x.isNotNull())).otherwise(found)
         every += [(table, r) for r in names]
     for table, ddl in DDL.items():
@@ -199,7 +213,7 @@ def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
         for c in ddl.get("unique", ()):
             own = [F.when(F.col("owners") > 1, hit(table, f"{c}_unique", F.col("owners")))]
             own += [F.when(F.col("owners") == 0, hit(t, r, F.col("children"))) for t, r in children if c == "id"]
-            found = F.when(F.col("space") == f"{table}.{c}", F.filter(F.array(*own), lambda x: x.isNotNull())).otherwise(found)
+            found = F.when(F.col("space") == at[f"{table}.{c}"], F.filter(F.array(*own), lambda x: x.isNotNull())).otherwise(found)
             every.append((table, f"{c}_unique"))
         every += children
     rows = met.select(F.explode(found).alias("x")).select("x.*")
